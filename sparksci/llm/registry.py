@@ -1,9 +1,14 @@
 """The queries of the training-data operators and their SQL counterparts."""
 
-from sparksci.llm import bpe, line_dedup, ogg, sharding
+from sparksci.llm import bpe, language_id, line_dedup, near_dedup, ogg, packing, sharding, topk, url_rules
 
 QUERIES = {
+    "op1_url_rules": url_rules.op1_url_rules,
     "op2_lpt_sharding": sharding.op2_lpt_sharding,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_top_k": topk.op5_top_k,
+    "op6_language_id": language_id.op6_language_id,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_ogg_media": ogg.op9_ogg_media,
     "op10_bpe": bpe.op10_bpe,
