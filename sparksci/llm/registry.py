@@ -1,11 +1,12 @@
 """The queries of the training-data operators and their SQL counterparts."""
 
-from sparksci.llm import bpe, language_id, line_dedup, near_dedup, ogg, packing, sharding, topk, url_rules
+from sparksci.llm import bpe, language_id, line_dedup, lm_score, near_dedup, ogg, packing, sharding, topk, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1_url_rules,
     "op2_lpt_sharding": sharding.op2_lpt_sharding,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_lm_scores": lm_score.op4_lm_scores,
     "op5_top_k": topk.op5_top_k,
     "op6_language_id": language_id.op6_language_id,
     "op7_near_dedup": near_dedup.op7_near_dedup,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_lm_scores": lm_score.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
