@@ -1,8 +1,57 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language identification, line and near deduplication, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it
+kept.  All stages but the last return the columns that they were given.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparksci.llm import language_id, line_dedup, near_dedup, packing
+from sparksci.llm.common import table, written
+
+#: Documents under this score resemble no language that the corpus has: their n-grams are in no profile.
+LEAST_SCORE = 0.02
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has no letters, or n-grams of no known language, go."""
+    return language_id.identified(docs, language_id.profiles_of(docs), "text", LEAST_SCORE)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three documents or more share stay in the last of them only; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id stays."""
+    kept = near_dedup.near_duplicates(docs, width=5, similarity=0.8).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+
+
+def pack_into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2,048 words, no two of one source or of equal texts."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", keep_identified),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", keep_one_of_each_group),
+    ("packing", pack_into_sequences),
+]
+
+#: MinHash links and best-fit packing have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each stage's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
