@@ -171,7 +171,8 @@ def _pairs(every: bool, most_apart: int, ratio: float):
 
 def candidates(buckets: DataFrame, every: bool, similarity: float) -> DataFrame:
     """Distinct pairs (a, b), a < b, of set fingerprints from (key, lo, hi, part, set, n, sketch, label)."""
-    dealt = buckets.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "label", "set")
+    rows = buckets.select("key", "lo", "hi", "part", "set", "n", "sketch", "label")
+    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "label", "set")
     pairs = dealt.mapInArrow(_pairs(every, most_bits_apart(similarity), similarity), "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
