@@ -1,16 +1,6 @@
 """Every registered query and its SQL counterpart."""
 
-from __future__ import annotations
+from sparksci.plans import cluster, graph, morphology, series, spatial, statistics
+from sparksci.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def _describe_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.count("*").alias("n"))
-
-
-QUERIES["describe_by_flag"] = _describe_by_flag
+__all__ = ["ORACLES", "QUERIES", "cluster", "graph", "morphology", "series", "spatial", "statistics"]
