@@ -160,12 +160,14 @@ def score(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
 
 def ngram_counts(df: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
     """The count tables themselves: (n, gram, count) for users, by DataFrame operations alone."""
-    w = words(ascii_lower(F.col(text_col)))
-    grams = [
-        F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
-        for n in range(1, order + 1)
-    ]
-    return df.select(w.alias("w")).select(F.explode(F.concat(*(F.when(F.size("w") >= k + 1, g).otherwise(F.slice(g, 1, 0)) for k, g in enumerate(grams)))).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("count"))
+    none = F.array().cast("array<struct<n:int,gram:string>>")
+
+    def grams(n: int):
+        every = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i, F.lit(n)), " ").alias("gram")))
+        return F.when(F.size("w") >= n, every).otherwise(none)
+
+    held = df.select(words(ascii_lower(F.col(text_col))).alias("w"))
+    return held.select(F.explode(F.concat(*(grams(n) for n in range(1, order + 1)))).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("count"))
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,383 @@
+"""Each operator against brute force, exact round trips or held-out accuracy; and its defined edge cases."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparksci.llm import bpe, language_id, line_dedup, lm_score, ogg, packing, registry, sharding, topk, url_rules
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string, key string"
+TEXTS = [None, "", " ", "word", "Same text here twice", "Same text here twice", "é中文 ñandú\nline two\n\nline four", "x" * 60_000, "1234 !!", "a b c d e f g h i j k l m n o p q r s t u v w x y z"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows and columns with clashing names."""
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}" if i else None, None, 7, "big", "k") for i, t in enumerate(TEXTS)]
+    rows += [rows[3], (None, "a row without id and with some words", None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# --- op1 ---------------------------------------------------------------------------------------
+
+
+def test_policy_longest_rule_wins(spark):
+    urls = {
+        "http://a.example.net/en/1": ("a.example.net", "/en/1", "example.net/en/", "allow"),
+        "http://EXAMPLE.net/de/1?x#y": ("example.net", "/de/1", "net/", "block"),
+        "https://net": ("net", "", None, "allow"),
+        "https://w.example.com/de/x": ("w.example.com", "/de/x", "example.com/de/", "block"),
+        "https://notexample.com/de/x": ("notexample.com", "/de/x", None, "allow"),
+        "https://x.org/fr/2": ("x.org", "/fr/2", "org/fr/", "allow"),
+        "no scheme": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
+    }
+    pages = spark.createDataFrame([(i, u, "host?") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    none = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows(url_rules.judge(pages, none))}
+    assert got == dict(enumerate(urls.values()))
+
+
+def test_mined_rules_block_what_holds_all_their_tokens(spark):
+    bad = [(f"http://spam{i % 2}.test/win/{i}?promo=1", True) for i in range(60)]
+    good = [(f"http://spam{i % 2}.test/news/{i}", False) for i in range(60)] + [(f"http://fine.test/win/{i}", False) for i in range(60)]
+    labelled = spark.createDataFrame(bad + good, "url string, bad boolean")
+    rules = rows(url_rules.mine(labelled, 0.05, 0.9))
+    assert rules and all(r["confidence"] >= 0.9 for r in rules)
+    sets = [set(r["tokens"]) for r in rules]
+    assert not any(a < b for a in sets for b in sets)  # shorter rules that are as sure replace longer ones
+    pages = spark.createDataFrame([(1, "http://spam0.test/win/9?promo=2"), (2, "http://spam0.test/news/9"), (3, "http://fine.test/win/3")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in rows(url_rules.judge(pages, spark.createDataFrame(url_rules.mine(labelled, 0.05, 0.9).collect(), "rule_id long, tokens array<string>, confidence double, support double")))}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
+# --- op2 ---------------------------------------------------------------------------------------
+
+
+def test_sharding_law(spark, odd):
+    got = rows(sharding.shard_by_size(odd, 8))
+    assert len(got) == odd.count()
+    groups = {}
+    for r in got:
+        groups.setdefault((r["size"], r["text_crc32"]), set()).add(r["shard"])
+    assert all(len(s) == 1 for s in groups.values())
+    for k in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == k)
+        assert slots == list(range(len(slots)))
+    assert {r["text_crc32"] for r in got if r["size"] == 4 + 1} == {zlib.crc32(b"word")}
+
+
+def test_lpt_equals_a_plain_heap():
+    rng = random.Random(5)
+    sizes = [rng.randint(1, 40) for _ in range(500)] + [1000]
+    classes = {}
+    for s in sizes:
+        n, t = classes.get(s, (0, 0))
+        classes[s] = (n + 1, t + s)
+    dealt = sharding.lpt([(c, *v) for c, v in classes.items()], 8)
+    loads = [sum(c * counts[k] for c, counts in dealt.items()) for k in range(8)]
+    assert sum(loads) == sum(sizes) and max(loads) - min(loads) <= 1
+
+
+def test_sharding_is_balanced(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    loads = {r["shard"]: r["b"] for r in rows(sharding.shard_by_size(docs, 8).groupBy("shard").agg(F.sum("size").alias("b")))}
+    assert max(loads.values()) - min(loads.values()) < 0.02 * sum(loads.values())
+
+
+# --- op3 ---------------------------------------------------------------------------------------
+
+
+def test_packing_takes_the_tightest_compatible_bin():
+    rng = random.Random(3)
+    sizes = sorted((rng.randint(1, 100) for _ in range(300)), reverse=True)
+    sources = [rng.choice([-1, 0, 0, 0, 1, 2, 70]) for _ in sizes]
+    clusters = [rng.choice([-1, -1, 0, 1, 2]) for _ in sizes]
+    got, offsets = packing.pack_pieces(np.array(sizes), np.array(sources), np.array(clusters), 128)
+    bins = []  # (room, sources, clusters), by brute force
+    for n, s, c, b, at in zip(sizes, sources, clusters, got, offsets, strict=True):
+        fit = [k for k, x in enumerate(bins) if x[0] >= n and not (s >= 0 and s in x[1]) and not (c >= 0 and c in x[2])]
+        if fit:
+            least = min(bins[k][0] for k in fit)
+            assert bins[b][0] == least
+        else:
+            assert b == len(bins)
+            bins.append([128, set(), set()])
+        assert at == 128 - bins[b][0]
+        bins[b][0] -= n
+        bins[b][1].add(s), bins[b][2].add(c)
+
+
+def test_packing_keeps_every_word(spark, odd):
+    long = spark.createDataFrame([(50, "w " * 5000, None, "s1", None, None, None, None)], SCHEMA)
+    docs = odd.unionByName(long)
+    got = rows(packing.pack_documents(docs, 64, 4))
+    assert sum(r["n"] for r in got if r["doc_id"] == 50) == 5000
+    assert sum(r["n"] for r in got) == 5000 + sum(len((t or "").split()) for t in TEXTS) + 1 + 8
+    assert all(r["bin"] is None for r in got if r["n"] == 0)
+    held = {}
+    for r in got:
+        if r["bin"] is not None:
+            held[r["bin"]] = held.get(r["bin"], 0) + r["n"]
+    assert max(held.values()) <= 64
+
+
+# --- op4 ---------------------------------------------------------------------------------------
+
+
+def brute_scores(texts, order):
+    import math
+
+    docs = [(t or "").lower().split() for t in texts]
+
+    def count(words, n):
+        out = {}
+        for i in range(len(words) - n + 1):
+            g = tuple(words[i : i + n])
+            out[g] = out.get(g, 0) + 1
+        return out
+
+    every = [{} for _ in range(order + 1)]
+    for d in docs:
+        for n in range(1, order + 1):
+            for g, c in count(d, n).items():
+                every[n][g] = every[n].get(g, 0) + c
+    total = sum(map(len, docs))
+    out = []
+    for d in docs:
+        own = [count(d, n) for n in range(order + 1)]
+        rest = lambda g, own=own: every[len(g)].get(g, 0) - own[len(g)].get(g, 0)
+        words = max(1, total - len(d))
+        s = 0.0
+        for i, w in enumerate(d):
+            value = None
+            for n in range(min(order, i + 1), 0, -1):
+                g = tuple(d[i - n + 1 : i + 1])
+                steps = min(order, i + 1) - n
+                if rest(g) > 0:
+                    value = 0.4**steps * (rest(g) / (words if n == 1 else rest(g[:-1])))
+                    break
+            if value is None:
+                value = 0.4 ** (min(order, i + 1) - 1) * 0.4 / words
+            s += math.log10(value)
+        out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_equal_brute_force(spark, order):
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("a b c d e f gg hh".split()) for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, "", "one", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in rows(lm_score.score(df, order))}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(brute_scores(texts, order), abs=1e-9)
+
+
+def test_count_tables(spark):
+    df = spark.createDataFrame([("a b a b",), ("b",), (None,)], "text string")
+    got = {(r["n"], r["gram"]): r["count"] for r in rows(lm_score.ngram_counts(df))}
+    assert got == {(1, "a"): 2, (1, "b"): 3, (2, "a b"): 2, (2, "b a"): 1}
+
+
+# --- op5 ---------------------------------------------------------------------------------------
+
+
+def test_top_k_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(1)
+    v = [x.tolist() for x in rng.normal(size=(300, 5)) * rng.uniform(0.1, 3, (300, 1))]
+    v[7] = v[100] = v[200] = v[0]  # ties
+    v[13] = v[13][:3]  # a short vector
+    data = list(enumerate(v)) + [(400, None), (500, [1.0, None]), (600, [float("nan")]), (None, [1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows(topk.top_k(df, F.col("vec_id") % 10 == 0, 10, pivots=6))}
+    m = np.zeros((300, 5), np.int64)
+    for i, x in enumerate(v):
+        m[i, : len(x)] = np.floor(1024 * np.array(x))
+    want = {}
+    for q in range(0, 300, 10):
+        s = m @ m[q]
+        order = [i for i in np.lexsort((np.arange(300), -s)) if i != q][:10]
+        want |= {(q, k + 1): (int(i), int(s[i])) for k, i in enumerate(order)}
+    assert got == want
+
+
+def test_top_k_of_few_and_none(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in rows(topk.top_k(df, F.col("vec_id") == 0))] == [(0, 1, 2 * 1024 * 1024)]
+    assert topk.top_k(df.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
+
+
+# --- op6 ---------------------------------------------------------------------------------------
+
+
+def test_language_accuracy_on_held_out_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = language_id.op6_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    right, n = got.where("lang = lang_pred").count(), got.count()
+    assert n > 20 and right / n > 0.97
+
+
+def test_language_edge_cases(spark, odd):
+    profiles = language_id.profiles_of(odd)
+    got = rows(language_id.predict(odd, profiles, "text", F.col("doc_id"), F.col("n_chars")))
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+    for r in got:
+        if r["doc_id"] in (0, 1, 2, 8):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+    assert language_id.identified(odd, profiles).columns == odd.columns
+    assert language_id.Profiles([]).predict("abc") == ("und", 0.0)
+
+
+def test_gram_counts_equal_counting():
+    text = "Éa aé, b9c  ab"
+    grams, counts = language_id.gram_counts(text)
+    marked = " éa aé b c ab "
+    want = {}
+    for n in (1, 2, 3):
+        for i in range(len(marked) - n + 1):
+            g = marked[i : i + n]
+            if g.strip() and not (n == 3 and g[1] == " ") and not (n == 1 and g == " "):
+                want[g] = want.get(g, 0) + 1
+    assert sorted(counts.tolist()) == sorted(want.values()) and len(set(grams.tolist())) == len(want)
+
+
+# --- op8 ---------------------------------------------------------------------------------------
+
+
+def test_cuckoo_filter_has_no_false_negatives():
+    rng = np.random.default_rng(0)
+    keys = rng.integers(-(2**63), 2**63, 20_000, np.int64)
+    f = line_dedup.Cuckoo.sized(len(keys))
+    assert f.insert(keys) and f.holds(keys).all()
+    f.delete(keys[:10_000])
+    assert f.holds(keys[10_000:]).all() and f.holds(keys[:10_000]).mean() < 0.01
+
+
+def test_line_index_is_reversible(spark):
+    line = "a line that is long enough to count"
+    docs = spark.createDataFrame([(i, f"{line}\n own {i} text") for i in range(4)], "doc_id long, text string")
+    index = line_dedup.LineIndex.build(docs.where("doc_id < 2"))
+    keys = index.refs.select("key").distinct()
+    assert index.repeated(keys).count() == 0
+    more = index.insert(docs.where("doc_id >= 2"))
+    assert [r["n_docs"] for r in rows(more.repeated(more.refs.select("key").distinct()))] == [4]
+    less = more.delete(docs.where("doc_id IN (1, 3)").select("doc_id"))
+    assert less.repeated(keys).count() == 0
+    again = less.insert(docs.where("doc_id = 1"))
+    assert [r["last_doc"] for r in rows(again.repeated(keys))] == [2]
+
+
+def test_line_dedup_edge_cases(spark, odd, empty):
+    got = rows(line_dedup.dedup_lines(odd))
+    assert len(got) == odd.count() and sum(r["n_dropped"] for r in got) == 0
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+# --- op9 ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [0, 1, 191, 192, 193, 4095, 4096, 65_025, 255 * 255, 255 * 255 * 3 + 17])
+def test_ogg_round_trip(n):
+    text = random.Random(n).randbytes(n)
+    payload = ogg.payload_of(text)
+    assert len(payload) % 192 == 0 and payload.startswith(text)
+    media = ogg.encode(payload)
+    assert ogg.decode(media)["payload"] == payload
+
+
+def test_ogg_checksum_is_the_published_one():
+    def slow(data):
+        crc = 0
+        for b in data:
+            crc ^= b << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+        return crc
+
+    for data in (b"", b"OggS", bytes(range(256))):
+        assert ogg.page_checksum(data) == slow(data)
+
+
+def test_ogg_lacing_of_packets_over_many_pages():
+    packets = [(b"h" * 10, 0), (b"x" * 255, 255), (b"y" * 200_000, 200_255), (b"", 200_255), (b"z", 200_256)]
+    media = b"".join(p for _, p in ogg.stream_pages(7, packets))
+    s = ogg.logical_streams(media)[7]
+    assert s["packets"] == [p for p, _ in packets]
+
+
+def test_ogg_damage_is_found(spark):
+    media = bytearray(ogg.encode(ogg.payload_of(b"some text" * 50)))
+    media[len(media) // 2] ^= 1
+    df = spark.createDataFrame([(1, 3, bytes(media)), (2, 3, None), (3, 3, b"junk")], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in rows(ogg.decode_media(df))}
+    assert "checksum" in got[1]["error"] and got[2]["error"] == "no media" and got[3]["error"]
+
+
+def test_ogg_edge_cases(spark, odd):
+    got = rows(ogg.decode_media(ogg.encode_media(odd)))
+    assert len(got) == odd.count() and all(r["error"] is None for r in got)
+    blank = hashlib.sha256(b" " * 192).hexdigest()
+    assert {r["payload_sha256"] for r in got if r["n_bytes"] == 0} == {blank}
+
+
+# --- op10 --------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.VOCABULARY)
+    own = bpe.Encoder(open(bpe.VOCABULARY).read())
+    rng = random.Random(2)
+    texts = [t or "" for t in TEXTS] + ["<|endoftext|>", "a<|endoftext|> b", "\0special<|endoftext|>", "don't WE'LL   x \n\n y", "a" * 3000]
+    texts += ["".join(rng.choice("ab cé中　 '\n\U0001f6000") for _ in range(rng.randint(0, 120))) for _ in range(300)]
+    for t, ids in zip(texts, own.encode_batch(texts), strict=True):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert ids == want
+        assert own.decode(ids) == library.decode(want, skip_special_tokens=False) == t
+
+
+def test_bpe_round_trip(spark, odd):
+    ids = bpe.encode(odd)
+    back = {r["doc_id"]: r["text"] for r in rows(bpe.decode(ids)) if r["doc_id"] is not None}
+    assert back == {i: t or "" for i, t in enumerate(TEXTS)}
+    got = {r["doc_id"]: r for r in rows(bpe.digests(odd))}
+    assert got[1]["n_tokens"] == 0 and got[1]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+# --- all ---------------------------------------------------------------------------------------
+
+
+def test_operators_take_empty_tables(spark, empty):
+    assert sharding.shard_by_size(empty, 8).count() == 0
+    assert packing.pack_documents(empty).count() == 0
+    assert lm_score.score(empty).count() == 0
+    assert ogg.decode_media(ogg.encode_media(empty)).count() == 0
+    assert bpe.digests(empty).count() == 0
+    assert language_id.predict(empty, language_id.profiles_of(empty), "text", F.col("doc_id")).count() == 0
+
+
+def test_scores_of_odd_rows(spark, odd):
+    got = rows(lm_score.score(odd))
+    assert len(got) == odd.count()
+    assert all((r["mean_score"] is None) == (r["n_words"] == 0) for r in got)
+
+
+def test_every_operator_has_its_query():
+    names = sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES)
+    assert names == list(range(1, 11))
