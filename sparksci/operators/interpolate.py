@@ -17,7 +17,7 @@ def _bracketed(knots: DataFrame, queries: DataFrame, x: str, values: list[str],
     """queries with the structs ``a`` and ``b``: the knots at or before, and after, each query; end segments extend outwards."""
     keys = _by(by)
     w = Window.partitionBy(*keys).orderBy(x)
-    fields = F.struct(F.col(x).cast("double").alias("x"), *(F.col(v).cast("double").alias(v) for v in values))
+    fields = F.struct(F.col(x).cast("double").alias("at"), *(F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)))
     k = knots.select(*keys, F.col(x).cast("double").alias("__x"), fields.alias("__k"), F.lead(fields).over(w).alias("__next"), F.lag(fields).over(w).alias("__prev"), F.lit(0).alias("__q"), F.lit(None).cast("string").alias("__id"))
     own = queries.withColumn("__row", F.struct(*queries.columns))
     q = own.select(*keys, F.col(xq).cast("double").alias("__x"), F.lit(1).alias("__q"), "__row")
@@ -42,9 +42,9 @@ def interp1d(knots: DataFrame, queries: DataFrame, x: str, y: str, xq: str, by=(
     rows = _bracketed(knots, queries, x, [y], xq, by)
     a, b, q = F.col("__a"), F.col("__b"), F.col(xq).cast("double")
     if method == "linear":
-        value = F.when(b["x"] == a["x"], a[y]).otherwise(a[y] + (b[y] - a[y]) * (q - a["x"]) / (b["x"] - a["x"]))
+        value = F.when(b["at"] == a["at"], a["v0"]).otherwise(a["v0"] + (b["v0"] - a["v0"]) * (q - a["at"]) / (b["at"] - a["at"]))
     elif method == "nearest":
-        value = F.when(F.abs(q - a["x"]) < F.abs(b["x"] - q), a[y]).otherwise(b[y])
+        value = F.when(F.abs(q - a["at"]) < F.abs(b["at"] - q), a["v0"]).otherwise(b["v0"])
     else:
         raise ValueError("method is linear or nearest; for smooth curves see hermite")
     return rows.withColumn(out, value).drop("__a", "__b")
@@ -92,9 +92,9 @@ def hermite(knots: DataFrame, queries: DataFrame, x: str, y: str, slope: str, xq
     """Cubic Hermite values from knots with slopes (of pchip_slopes or akima_slopes)."""
     rows = _bracketed(knots, queries, x, [y, slope], xq, by)
     a, b, q = F.col("__a"), F.col("__b"), F.col(xq).cast("double")
-    h = b["x"] - a["x"]
-    t = (q - a["x"]) / h
+    h = b["at"] - a["at"]
+    t = F.try_divide(q - a["at"], h)
     value = (
-        (2 * t**3 - 3 * t**2 + 1) * a[y] + (t**3 - 2 * t**2 + t) * h * a[slope] + (3 * t**2 - 2 * t**3) * b[y] + (t**3 - t**2) * h * b[slope]
+        (2 * t**3 - 3 * t**2 + 1) * a["v0"] + (t**3 - 2 * t**2 + t) * h * a["v1"] + (3 * t**2 - 2 * t**3) * b["v0"] + (t**3 - t**2) * h * b["v1"]
     )
-    return rows.withColumn(out, F.when(h == 0, a[y]).otherwise(value)).drop("__a", "__b")
+    return rows.withColumn(out, F.when(h == 0, a["v0"]).otherwise(value)).drop("__a", "__b")
