@@ -7,7 +7,9 @@ the similarity, so that pairs far below the threshold are never fetched.  What i
 left is confirmed on the full sets.  Documents with equal sets are one node from the
 start.  Round 1 confirms each document's best partners; round 2 confirms every pair
 that passes and still lies in two components, so large groups of copies cost a few
-links a document and no link between different texts is lost.
+links a document and no link between different texts is lost.  Round 2 also folds the
+full sets into odd sketches that grow with them: their XOR has at most as many bits as
+the sets differ in shingles, so a pair with more is certainly below the threshold.
 
 The bands miss a pair at the threshold with a probability of (1 - 0.8**4)**24 = 3e-6.
 
@@ -78,6 +80,36 @@ def odd_sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """The odd sketch of a full set, of two to four bits a shingle (a power of two, 1,024 at least)."""
+    bits = max(1024, 1 << (2 * len(shingles) - 1).bit_length())
+    at = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(column: list[bytes], width: int) -> np.ndarray:
+    """Full-set sketches of ``width`` bytes or twice that, as rows of ``width``: a long one is the XOR of its halves."""
+    rows = [np.frombuffer(b, np.uint64) for b in column]
+    return np.stack([r if len(r) * 8 == width else r[: width // 8] ^ r[width // 8 :] for r in rows])
+
+
+def _differ_little(i: np.ndarray, j: np.ndarray, full: list[bytes], size: np.ndarray, similarity: float) -> np.ndarray:
+    """False where the full-set sketches prove that pair (i, j) is below the threshold."""
+    percent = round(similarity * 100)
+    width = np.array([len(b) for b in full])
+    least, out = np.minimum(width[i], width[j]), np.ones(len(i), bool)
+    for w in np.unique(least).tolist():
+        own = np.flatnonzero((least == w) & (np.maximum(width[i], width[j]) <= 2 * w))
+        used, at = np.unique(np.concatenate([i[own], j[own]]), return_inverse=True)
+        rows = _folded([full[k] for k in used.tolist()], w)
+        for a in range(0, len(own), 4096):
+            some = own[a : a + 4096]
+            x, y = at[: len(own)][a : a + 4096], at[len(own) :][a : a + 4096]
+            apart = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1, dtype=np.int64)
+            out[some] = apart * (100 + percent) <= (size[i[some]] + size[j[some]]) * (100 - percent)
+    return out
+
+
 def _tokens(column: pa.Array) -> Iterator[np.ndarray]:
     ends, flat = column.offsets.to_numpy().tolist(), column.values.to_numpy().view(np.uint64)
     for a, b in zip(ends, ends[1:], strict=False):
@@ -85,28 +117,29 @@ def _tokens(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def features(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (shingles), set (its fingerprint), bands and sketch of every row. Map-only."""
+    """doc_id, n (shingles), set (its fingerprint), bands and both sketches of every row. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sets, bands, sketches = [], [], [], []
+            n, sets, bands, sketches, full = [], [], [], [], []
             for tokens in _tokens(batch.column(1)):
                 x = shingle_set(tokens, width)
                 n.append(len(x))
                 if not len(x):
-                    sets.append(None), bands.append(None), sketches.append(None)
+                    sets.append(None), bands.append(None), sketches.append(None), full.append(None)
                     continue
                 s = samples(x)
                 sets.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(s).view(np.int64))
                 sketches.append(odd_sketch(s))
+                full.append(parity(x))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n", "set", "bands", "sketch"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(full, pa.binary())],
+                names=["doc_id", "n", "set", "bands", "sketch", "full"],
             )
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), word_hashes(F.col(text_col)).alias("tokens"))
-    return rows.mapInArrow(run, "doc_id long, n long, set binary, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, n long, set binary, bands array<long>, sketch binary, full binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -134,6 +167,7 @@ def _pairs(every: bool, most_apart: int, ratio: float):
             sets = t.column(4).combine_chunks()
             size, part, label = (t.column(c).to_numpy() for c in (5, 3, 7))
             bits = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+            full = t.column(8).to_pylist() if every else []
             left, right = [], []
             lengths = np.diff(starts)
             two = starts[:-1][lengths == 2]
@@ -154,8 +188,10 @@ def _pairs(every: bool, most_apart: int, ratio: float):
                         fit &= part[some, None] != part[None, own]
                     if every:
                         i, j = np.nonzero(fit)
-                        ahead = i + at < j + a
-                        left.append(i[ahead] + at), right.append(j[ahead] + a)
+                        i, j = i + at, j + a
+                        i, j = i[i < j], j[i < j]
+                        near = _differ_little(i, j, full, size, ratio)
+                        left.append(i[near]), right.append(j[near])
                     else:
                         best = np.where(fit, apart, 1 << 20).argmin(axis=1)
                         i = np.arange(len(best))
@@ -170,8 +206,8 @@ def _pairs(every: bool, most_apart: int, ratio: float):
 
 
 def candidates(buckets: DataFrame, every: bool, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of set fingerprints from (key, lo, hi, part, set, n, sketch, label)."""
-    rows = buckets.select("key", "lo", "hi", "part", "set", "n", "sketch", "label")
+    """Distinct pairs (a, b), a < b, of set fingerprints from (key, lo, hi, part, set, n, sketch, label), and full if all pairs are asked for."""
+    rows = buckets.select("key", "lo", "hi", "part", "set", "n", "sketch", "label", *(["full"] if every else []))
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "label", "set")
     pairs = dealt.mapInArrow(_pairs(every, most_bits_apart(similarity), similarity), "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -253,7 +289,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of df."""
     rows = written(features(df, width, id_col, text_col), "near-rows")
-    sets = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    sets = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("full").alias("full"))
     # Different sets are never one node, even if their rows have no id: an absent rep is a label of its own below.
     sets = written(sets.withColumn("label", F.xxhash64("set")), "near-sets")
     buckets = written(bucketed(sets), "near-buckets")
@@ -267,6 +303,7 @@ def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, id_c
     # Round 2: all pairs that pass and lie in two components.
     now = buckets.drop("label").join(labels, "set", "left").withColumn("label", F.coalesce("label", F.xxhash64("set")))
     open_buckets = now.join(now.groupBy("key", "lo", "hi").agg(F.count("*").alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).where("m > 2 AND least < most").select("key", "lo", "hi"), ["key", "lo", "hi"], "left_semi")
+    open_buckets = open_buckets.join(sets.select("set", "full"), "set")
     second = written(candidates(open_buckets, True, similarity).join(first, ["a", "b"], "left_anti"), "near-pairs")
     if not second.isEmpty():
         more = written(links.union(confirmed(second, full, similarity)), "near-links")
