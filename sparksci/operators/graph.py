@@ -184,3 +184,35 @@ def minimum_spanning_tree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         tree = settled(chosen if tree is None else tree.unionByName(chosen))
         label = settled(connected_components(tree, nodes).select("id", F.col("component").alias("c")))
         rows = rows.select("src", "dst", "w")
+
+
+def betweenness_centrality(edges: DataFrame, nodes: DataFrame, directed: bool = True, normalized: bool = True) -> DataFrame:
+    """Share of shortest paths (by hops) through each node: levels forwards with path counts, then dependencies backwards.
+
+    All sources advance together; a row is a (source, node) pair, as the definition demands.
+    """
+    links = settled(edges.select("src", "dst").where("src <> dst").distinct())
+    n = nodes.count()
+    level = settled(nodes.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths")))
+    known, levels = level.select("source", "id"), [level]
+    while True:
+        ahead = level.join(links, level["id"] == links["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        level = settled(ahead.join(known, ["source", "id"], "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        known = settled(known.union(level.select("source", "id")))
+    later, total = None, None
+    for level in reversed(levels):
+        own = level.withColumn("dep", F.lit(0.0))
+        if later is not None:
+            onward = later.select("source", F.col("id").alias("dst"), F.col("paths").alias("p2"), F.col("dep").alias("d2"))
+            met = level.join(links, level["id"] == links["src"]).join(onward, ["source", "dst"])
+            gained = met.groupBy("source", "id").agg(F.sum(F.col("paths") / F.col("p2") * (1 + F.col("d2"))).alias("g"))
+            own = level.join(gained, ["source", "id"], "left").select("source", "id", "paths", F.coalesce("g", F.lit(0.0)).alias("dep"))
+        later = settled(own)
+        part = later.where("source <> id").groupBy("id").agg(F.sum("dep").alias("c"))
+        total = part if total is None else total.union(part)
+    scale = (0.5 if not directed else 1.0) * (((2.0 if not directed else 1.0) / ((n - 1) * (n - 2))) if normalized and n > 2 else 1.0)
+    sums = total.groupBy("id").agg(F.sum("c").alias("c"))
+    return nodes.join(sums, "id", "left").select("id", (F.coalesce("c", F.lit(0.0)) * scale).alias("centrality"))

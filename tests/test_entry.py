@@ -28,3 +28,7 @@ def test_entry_imports_without_the_optional_subpackage(tmp_path):
             (tmp_path / "sparksci" / p.name).symlink_to(p)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_entry_imports_without_a_session():
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=ROOT, check=True)
