@@ -108,12 +108,12 @@ def _(spark, d):
 
 @query(
     "spearmanr",
-    f"""WITH k AS (SELECT l_linenumber, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_quantity, l_orderkey) AS a,
-row_number() OVER (PARTITION BY l_linenumber ORDER BY l_extendedprice, l_orderkey) AS b FROM lineitem)
-SELECT l_linenumber, {r('corr(a, b)', 'statistic')} FROM k GROUP BY 1""",
+    f"""WITH k AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS a,
+row_number() OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS b FROM events)
+SELECT event_type, {r('corr(a, b)', 'statistic')} FROM k GROUP BY 1""",
 )
 def _(spark, d):
-    return S.spearmanr(items(spark, d), "l_quantity", "l_extendedprice", "l_linenumber", "l_orderkey").select("l_linenumber", "statistic")
+    return S.spearmanr(events(spark, d), "value", "user_id", "event_type", "event_id").select("event_type", "statistic")
 
 
 @query(
@@ -127,12 +127,12 @@ def _(spark, d):
 
 @query(
     "kruskal",
-    f"""WITH k AS (SELECT l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_quantity, l_orderkey) AS k FROM lineitem),
-g AS (SELECT l_linenumber, l_returnflag, count(*) AS n, sum(k)::DOUBLE AS s FROM k GROUP BY 1, 2)
-SELECT l_linenumber, {r('12.0::DOUBLE / (sum(n)::DOUBLE * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n)::DOUBLE + 1)', 'statistic')} FROM g GROUP BY 1""",
+    f"""WITH k AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k FROM events),
+g AS (SELECT user_id, event_type, count(*) AS n, sum(k)::DOUBLE AS s FROM k GROUP BY 1, 2)
+SELECT user_id, {r('12.0::DOUBLE / (sum(n)::DOUBLE * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n)::DOUBLE + 1)', 'statistic')} FROM g GROUP BY 1""",
 )
 def _(spark, d):
-    return S.kruskal(items(spark, d), "l_quantity", "l_returnflag", "l_linenumber", "l_orderkey").select("l_linenumber", "statistic")
+    return S.kruskal(events(spark, d), "value", "event_type", "user_id", "event_id").select("user_id", "statistic")
 
 
 @query(
@@ -215,14 +215,14 @@ def _(spark, d):
     return S.median_abs_deviation(events(spark, d), "value", "event_type", scale=True)
 
 
-SLOPES = """WITH p AS (SELECT l_orderkey, l_linenumber AS i, l_quantity AS x, l_extendedprice / 7 AS y FROM lineitem),
+SLOPES = """WITH p AS (SELECT l_orderkey, l_linenumber AS i, l_quantity AS x, l_extendedprice / pi() AS y FROM lineitem),
 s AS (SELECT a.l_orderkey, a.i, (b.y - a.y) / (b.x - a.x) AS s FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.i {op} b.i AND abs(b.x - a.x) > 1e-15), """
 LINE = f"SELECT p.l_orderkey, {r('max(m.s)', 'slope')}, {r('quantile_cont(y - m.s * x, 0.5)', 'intercept')} FROM p JOIN m ON p.l_orderkey = m.l_orderkey GROUP BY 1"
 
 
 @query("theilslopes", SLOPES.format(op="<") + "m AS (SELECT l_orderkey, quantile_cont(s, 0.5) AS s FROM s GROUP BY 1) " + LINE)
 def _(spark, d):
-    return S.theilslopes(items(spark, d).withColumn("y", F.col("l_extendedprice") / 7), "l_quantity", "y", "l_orderkey", "l_linenumber")
+    return S.theilslopes(items(spark, d).withColumn("y", F.col("l_extendedprice") / math.pi), "l_quantity", "y", "l_orderkey", "l_linenumber")
 
 
 @query(
@@ -233,7 +233,7 @@ m AS (SELECT l_orderkey, quantile_cont(s, 0.5) AS s FROM u WHERE k = floor(n / 2
     + LINE,
 )
 def _(spark, d):
-    return S.siegelslopes(items(spark, d).withColumn("y", F.col("l_extendedprice") / 7), "l_quantity", "y", "l_orderkey", "l_linenumber")
+    return S.siegelslopes(items(spark, d).withColumn("y", F.col("l_extendedprice") / math.pi), "l_quantity", "y", "l_orderkey", "l_linenumber")
 
 
 SHARES = "WITH c AS (SELECT event_type, user_id % 10 AS b, count(*)::DOUBLE AS n, sum(value) AS w FROM events GROUP BY 1, 2), p AS (SELECT event_type, n / sum(n) OVER (PARTITION BY event_type) AS p, w / sum(w) OVER (PARTITION BY event_type) AS q FROM c) "
