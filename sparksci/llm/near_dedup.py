@@ -318,3 +318,32 @@ def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, id_c
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents linked at a similarity of 0.8 on two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+ORACLE = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM words
+), sized AS (
+  SELECT doc_id, g, count(*) OVER (PARTITION BY doc_id) AS n FROM shingles
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i, any_value(a.n) AS nx, any_value(b.n) AS ny
+  FROM sized a JOIN sized b ON a.g = b.g AND a.doc_id < b.doc_id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM shared WHERE 100 * i >= 80 * (nx + ny - i)
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(x, y) AS (
+  SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y
+), least_ids AS (
+  SELECT x, min(y) AS y FROM reach GROUP BY x
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.y, d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(l.y, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_ids l ON l.x = d.doc_id
+"""

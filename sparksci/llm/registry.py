@@ -17,5 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_lm_scores": lm_score.ORACLE,
+    "op5_top_k": topk.ORACLE,
+    "op7_near_dedup": near_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }

@@ -210,3 +210,17 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best neighbours of every hundredth embedding among all others."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLE = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, e.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM e q JOIN e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
