@@ -176,3 +176,44 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = profiles_of(docs.where(~held_out(F.col("doc_id"))))
     return predict(docs, profiles, "text", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
+
+
+ORACLE = """
+WITH crc AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * len(doc_id::VARCHAR))), lambda c, i:
+    xor((CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::INT, 1))::BIGINT) ELSE c END) >> 1,
+        CASE WHEN (CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::INT, 1))::BIGINT) ELSE c END) % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)),
+    4294967295::BIGINT) % 4 = 2 AS held_out
+  FROM documents
+), marked AS (
+  SELECT d.doc_id, d.lang, c.held_out, ' ' || trim(regexp_replace(lower(coalesce(d.text, '')), '[^\\p{L}]+', ' ', 'g')) || ' ' AS s
+  FROM documents d JOIN crc c ON c.doc_id = d.doc_id
+), letters AS (
+  SELECT doc_id, lang, held_out, string_split(s, '') AS c FROM marked WHERE len(s) > 2
+), grams AS (
+  SELECT doc_id, lang, held_out, g, count(*) AS n FROM (
+    SELECT doc_id, lang, held_out, unnest(list_concat(list_concat(c, list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])),
+                                                      list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) AS g FROM letters)
+  WHERE g <> ' ' AND (len(g) < 3 OR substr(g, 2, 1) <> ' ')
+  GROUP BY doc_id, lang, held_out, g
+), totals AS (
+  SELECT lang, g, sum(n) AS n FROM grams WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g
+), profile AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, CASE len(g) WHEN 1 THEN 0 WHEN 3 THEN 1 ELSE 2 END, g) - 1 AS p FROM totals
+  QUALIFY p < 400
+), own AS (
+  SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, CASE len(g) WHEN 1 THEN 0 WHEN 3 THEN 1 ELSE 2 END, g) - 1 AS k FROM grams
+  QUALIFY k < 400
+), met AS (
+  SELECT o.doc_id, p.lang, sum(400 - abs(o.k - p.p)) AS gained FROM own o JOIN profile p ON p.g = o.g GROUP BY o.doc_id, p.lang
+), sizes AS (
+  SELECT doc_id, count(*) AS m FROM own GROUP BY doc_id
+), every AS (
+  SELECT s.doc_id, l.lang, s.m, 400 * s.m - coalesce(x.gained, 0) AS away
+  FROM sizes s CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN met x ON x.doc_id = s.doc_id AND x.lang = l.lang
+), best AS (
+  SELECT doc_id, lang, 1.0::DOUBLE - away::DOUBLE / (400 * m)::DOUBLE AS score, row_number() OVER (PARTITION BY doc_id ORDER BY away, lang) AS r FROM every
+)
+SELECT m.doc_id, m.held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(b.score, 0.0::DOUBLE) AS score
+FROM marked m LEFT JOIN best b ON b.doc_id = m.doc_id AND b.r = 1
+"""

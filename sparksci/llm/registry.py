@@ -18,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op4_lm_scores": lm_score.ORACLE,
     "op5_top_k": topk.ORACLE,
+    "op6_language_id": language_id.ORACLE,
     "op7_near_dedup": near_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
