@@ -1,4 +1,4 @@
-"""Distributions with closed forms, as column expressions: pdf, cdf, sf, quantile.
+"""Distributions as column expressions: pdf, cdf, sf, quantile.
 
 ``Distribution`` objects hold validated parameters; their methods take and return
 columns, so densities and tails stay inside generated code.
@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparksci.functions import special
+
 
 @dataclass(frozen=True)
 class Distribution:
@@ -190,3 +193,136 @@ def discrete_uniform(low: int, high: int) -> Distribution:
         (low + high) / 2,
         (n**2 - 1) / 12,
     )
+
+
+# --- distributions whose cdf is a special function: densities are expressions, tails Arrow helpers -----------
+
+
+def _special(fn) -> Callable[[Column], Column]:
+    return lambda x: special.elementwise(fn)(x)
+
+
+def _by_bisection(cdf, low: float, high: float):
+    """Quantiles of a continuous distribution by halving an interval that holds them, vectorised."""
+
+    def quantile(p):
+        a, b = np.full(len(p), low), np.full(len(p), high)
+        for _ in range(200):
+            mid = (a + b) / 2
+            below = cdf(mid) < p
+            a, b = np.where(below, mid, a), np.where(below, b, mid)
+        return (a + b) / 2
+
+    return quantile
+
+
+def normal(loc: float = 0.0, scale: float = 1.0) -> Distribution:
+    _positive(scale=scale)
+    return Distribution(
+        "normal",
+        lambda x: F.exp(-((x - loc) ** 2) / (2 * scale**2)) / (scale * math.sqrt(2 * math.pi)),
+        _special(lambda x: 1 - special.normal_sf((x - loc) / scale)),
+        _special(lambda p: loc + scale * special.normal_ppf(p)),
+        loc,
+        scale**2,
+    )
+
+
+def lognormal(mu: float = 0.0, sigma: float = 1.0) -> Distribution:
+    _positive(sigma=sigma)
+    return Distribution(
+        "lognormal",
+        lambda x: F.when(x > 0, F.exp(-((F.log(x) - mu) ** 2) / (2 * sigma**2)) / (x * (sigma * math.sqrt(2 * math.pi)))).otherwise(0.0),
+        _special(lambda x: np.where(x > 0, 1 - special.normal_sf((np.log(np.where(x > 0, x, 1)) - mu) / sigma), 0.0)),
+        _special(lambda p: np.exp(mu + sigma * special.normal_ppf(p))),
+        math.exp(mu + sigma**2 / 2),
+        (math.exp(sigma**2) - 1) * math.exp(2 * mu + sigma**2),
+    )
+
+
+def gamma(shape: float, scale: float = 1.0) -> Distribution:
+    _positive(shape=shape, scale=scale)
+    cdf = lambda x: special.gammainc(shape, np.maximum(x, 0) / scale)
+    top = scale * (shape + 40 * math.sqrt(shape) + 800)
+    log_norm = math.lgamma(shape) + shape * math.log(scale)
+    return Distribution(
+        "gamma",
+        lambda x: F.when(x > 0, F.exp((shape - 1) * F.log(x) - x / scale - log_norm)).otherwise(0.0),
+        _special(cdf),
+        _special(_by_bisection(cdf, 0.0, top)),
+        shape * scale,
+        shape * scale**2,
+    )
+
+
+def chi2(df: float) -> Distribution:
+    return replace(gamma(df / 2, 2.0), name="chi2")
+
+
+def beta(a: float, b: float) -> Distribution:
+    _positive(a=a, b=b)
+    cdf = lambda x: special.betainc(a, b, np.clip(x, 0, 1))
+    log_norm = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    return Distribution(
+        "beta",
+        lambda x: F.when((x > 0) & (x < 1), F.exp((a - 1) * F.log(x) + (b - 1) * F.log1p(-x) - log_norm)).otherwise(0.0),
+        _special(cdf),
+        _special(_by_bisection(cdf, 0.0, 1.0)),
+        a / (a + b),
+        a * b / ((a + b) ** 2 * (a + b + 1)),
+    )
+
+
+def student_t(df: float) -> Distribution:
+    _positive(df=df)
+    cdf = lambda x: np.where(x > 0, 1 - special.t_two_sided(x, df) / 2, special.t_two_sided(x, df) / 2)
+    log_norm = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi)
+    return Distribution(
+        "student_t",
+        lambda x: F.exp(log_norm - (df + 1) / 2 * F.log1p(x**2 / df)),
+        _special(cdf),
+        _special(_by_bisection(cdf, -1e8, 1e8)),
+        0.0 if df > 1 else math.nan,
+        df / (df - 2) if df > 2 else math.inf,
+    )
+
+
+def f_distribution(d1: float, d2: float) -> Distribution:
+    _positive(d1=d1, d2=d2)
+    cdf = lambda x: 1 - special.f_sf(np.maximum(x, 0), d1, d2)
+    log_norm = math.lgamma((d1 + d2) / 2) - math.lgamma(d1 / 2) - math.lgamma(d2 / 2) + d1 / 2 * math.log(d1 / d2)
+    return Distribution(
+        "f",
+        lambda x: F.when(x > 0, F.exp(log_norm + (d1 / 2 - 1) * F.log(x) - (d1 + d2) / 2 * F.log1p(x * (d1 / d2)))).otherwise(0.0),
+        _special(cdf),
+        _special(_by_bisection(cdf, 0.0, 1e8)),
+        d2 / (d2 - 2) if d2 > 2 else math.inf,
+        2 * d2**2 * (d1 + d2 - 2) / (d1 * (d2 - 2) ** 2 * (d2 - 4)) if d2 > 4 else math.inf,
+    )
+
+
+def _counts(name: str, log_pmf, cdf, top: float, mean: float, variance: float) -> Distribution:
+    """A distribution of whole numbers from its log-pmf and cdf."""
+    whole = lambda k: (k >= 0) & (k == np.floor(k))
+
+    def quantile(p):
+        x = np.ceil(_by_bisection(lambda v: cdf(np.floor(v)), -1.0, top)(p) - 1e-9)
+        return np.maximum(x, 0)
+
+    return Distribution(name, _special(lambda k: np.where(whole(k), np.exp(log_pmf(np.where(whole(k), k, 0))), 0.0)), _special(lambda k: np.where(k < 0, 0.0, cdf(np.floor(np.maximum(k, 0))))), _special(quantile), mean, variance)
+
+
+def poisson(rate: float) -> Distribution:
+    _positive(rate=rate)
+    return _counts(
+        "poisson", lambda k: k * math.log(rate) - rate - special._lgamma(k + 1), lambda k: np.where(k < 0, 0.0, 1 - special.gammainc(np.maximum(k, 0) + 1, rate)), rate + 40 * math.sqrt(rate) + 100, rate, rate
+    )
+
+
+def binomial(n: int, p: float) -> Distribution:
+    if n < 0 or not 0 < p < 1:
+        raise ValueError("n is not negative and p lies in (0, 1)")
+    choose = lambda k: special._lgamma(n + 1) - special._lgamma(k + 1) - special._lgamma(np.maximum(n - k, 0) + 1)
+    log_pmf = lambda k: np.where(k <= n, choose(k) + k * math.log(p) + (n - k) * math.log1p(-p), -np.inf)
+    cdf = lambda k: np.where(k < 0, 0.0, np.where(k >= n, 1.0, special.betainc(np.maximum(n - k, 1e-9), np.maximum(k, 0) + 1, 1 - p)))
+    return _counts("binomial", log_pmf, cdf, float(n), n * p, n * p * (1 - p))

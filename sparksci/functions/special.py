@@ -121,7 +121,9 @@ def digamma(x: float) -> float:
     return total + math.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv * (1 / 252 - inv * (1 / 240 - inv / 132))))
 
 
-def _udf(fn):
+def elementwise(fn):
+    """A numpy function of arrays as a function of columns; null and NaN give null."""
+
     @F.pandas_udf("double")
     def one(*columns: pd.Series) -> pd.Series:
         values = [c.to_numpy(float) for c in columns]
@@ -134,20 +136,20 @@ def _udf(fn):
 
 
 def t_p_value(t: Column, df: Column) -> Column:
-    return _udf(t_two_sided)(t, df.cast("double"))
+    return elementwise(t_two_sided)(t, df.cast("double"))
 
 
 def chi2_p_value(x: Column, df: Column) -> Column:
-    return _udf(chi2_sf)(x, df.cast("double"))
+    return elementwise(chi2_sf)(x, df.cast("double"))
 
 
 def f_p_value(x: Column, d1: Column, d2: Column) -> Column:
-    return _udf(f_sf)(x, d1.cast("double"), d2.cast("double"))
+    return elementwise(f_sf)(x, d1.cast("double"), d2.cast("double"))
 
 
 def normal_p_value(z: Column) -> Column:
-    return _udf(lambda v: 2 * normal_sf(np.abs(v)))(z)
+    return elementwise(lambda v: 2 * normal_sf(np.abs(v)))(z)
 
 
 def normal_quantile(p: Column) -> Column:
-    return _udf(normal_ppf)(p)
+    return elementwise(normal_ppf)(p)

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from sparksci.functions import vectors
 from sparksci.operators import graph
-from sparksci.operators.spatial import _distances, _in_blocks, radius_join
+from sparksci.operators.spatial import _distances, _in_blocks, pdist, radius_join
 
 
 def nearest_center(v: Column, centers: list[list[float]]) -> Column:
@@ -165,3 +165,19 @@ def homogeneity_completeness_v_measure(df: DataFrame, a: str, b: str) -> DataFra
     h = F.when(F.col("ha") < 1e-15, 1.0).otherwise(F.col("mi") / F.greatest("ha", F.lit(1e-15)))
     c = F.when(F.col("hb") < 1e-15, 1.0).otherwise(F.col("mi") / F.greatest("hb", F.lit(1e-15)))
     return e.select(h.alias("homogeneity"), c.alias("completeness"), (2 * h * c / F.greatest(h + c, F.lit(1e-15))).alias("v_measure"))
+
+
+def single_linkage(points: DataFrame) -> DataFrame:
+    """(step, a, b, distance): merges of single linkage, which are the edges of the minimum spanning tree in order of length.
+
+    All pairs by definition: for point sets of bounded size; a and b are the points whose link merges their clusters.
+    """
+    pairs = pdist(points).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("distance").alias("w"))
+    tree = graph.minimum_spanning_tree(pairs, points.select("id"))
+    return tree.select(F.row_number().over(Window.orderBy("w", "src", "dst")).alias("step"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").alias("distance"))
+
+
+def fcluster(points: DataFrame, merges: DataFrame, distance: float) -> DataFrame:
+    """(id, label): clusters that remain when merges up to a distance are made; a label is the least id."""
+    links = merges.where(F.col("distance") <= distance).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w"))
+    return graph.connected_components(links, points.select("id")).select("id", F.col("component").alias("label"))

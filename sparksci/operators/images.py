@@ -135,3 +135,24 @@ def poisson(df: DataFrame, source: str, h: float, tol: float = 1e-8, max_iter: i
         if moved is None or moved < tol:
             break
     return out, done
+
+
+def map_coordinates(df: DataFrame, queries: DataFrame, order: str = "linear") -> DataFrame:
+    """queries (img, qid, yq, xq) with the value there, between pixels by bilinear weights; outside, the border goes on.
+
+    Every query looks up its four corner pixels by an equi-join; no query meets other pixels.
+    """
+    ends = df.groupBy("img").agg(F.max("y").alias("__h"), F.max("x").alias("__w"))
+    q = queries.join(ends, "img")
+    y, x = (F.least(F.greatest(F.col(c).cast("double"), F.lit(0.0)), F.col(m)) for c, m in (("yq", "__h"), ("xq", "__w")))
+    if order == "nearest":
+        corners = F.array(F.struct(F.round(y).cast("int").alias("y"), F.round(x).cast("int").alias("x"), F.lit(1.0).alias("w")))
+    elif order == "linear":
+        y0, x0 = F.floor(y), F.floor(x)
+        fy, fx = y - y0, x - x0
+        one = lambda dy, dx: F.struct((y0 + dy).cast("int").alias("y"), (x0 + dx).cast("int").alias("x"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("w"))
+        corners = F.filter(F.array(one(0, 0), one(0, 1), one(1, 0), one(1, 1)), lambda c: c["w"] > 0)
+    else:
+        raise ValueError("order is linear or nearest")
+    asked = q.select("img", "qid", F.explode(corners).alias("c")).select("img", "qid", "c.y", "c.x", "c.w")
+    return asked.join(df, ["img", "y", "x"]).groupBy("img", "qid").agg(F.sum(F.col("w") * F.col("v")).alias("value"))

@@ -260,6 +260,28 @@ def haar_dwt(df: DataFrame, y: str, order, by=()) -> DataFrame:
     return pairs.agg(((a + b) / math.sqrt(2)).alias("approx"), ((a - b) / math.sqrt(2)).alias("detail"))
 
 
+# Decomposition low-pass filters.
+WAVELETS = {
+    "haar": [0.7071067811865476, 0.7071067811865476],
+    "db2": [-0.12940952255092145, 0.22414386804185735, 0.836516303737469, 0.48296291314469025],
+}
+EXTENSIONS = {"symmetric": "mirror", "zero": "constant", "constant": "nearest", "periodic": "wrap"}
+
+
+def dwt(df: DataFrame, y: str, order: str, by=(), wavelet: str = "haar", extension: str = "symmetric") -> DataFrame:
+    """(by, pos, approx, detail): one level of a wavelet transform.
+
+    The series is extended by L - 1 values at both ends, correlated with the filters, and every second value kept.
+    """
+    low = WAVELETS[wavelet]
+    n, keys = len(low), _by(by)
+    high = [c if k % 2 else -c for k, c in enumerate(low[::-1])]
+    w = Window.partitionBy(*keys).orderBy("__pos")
+    rows = padded(df, y, order, by, n - 1, EXTENSIONS[extension])
+    out = rows.withColumn("approx", _weighted(w, low, 0)).withColumn("detail", _weighted(w, high, 0)).withColumn("__i", F.row_number().over(w) - 1)
+    return out.where((F.col("__i") % 2 == 0) & F.col("approx").isNotNull()).select(*keys, (F.col("__i") / 2).cast("long").alias("pos"), "approx", "detail")
+
+
 # --- spectra -------------------------------------------------------------------------------
 
 

@@ -110,3 +110,50 @@ def procrustes_rotation(pairs: DataFrame) -> DataFrame:
 
     centred = F.array(*(F.col(f"c{i}{j}") - F.col("n") * F.col(f"a{i}") * F.col(f"b{j}") for i in range(3) for j in range(3)))
     return means.select(kabsch(centred).alias("rotation"))
+
+
+def _hull(x: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull in counter-clockwise order, from the least point on (monotone chains)."""
+    p = np.unique(x, axis=0)
+    if len(p) < 3:
+        return p
+
+    def chain(rows):
+        out: list[np.ndarray] = []
+        for r in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (r[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (r[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(r)
+        return out[:-1]
+
+    return np.array(chain(p) + chain(p[::-1]))
+
+
+def convex_hull(points: DataFrame, by: str) -> DataFrame:
+    """(by, k, x, y): hull corners of planar points (by, v), in order.
+
+    A partition first reduces its share of each group to that share's hull, so only hull corners are shuffled.
+    """
+    kind = dict(points.dtypes)[by]
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, part in pdf.groupby("key", dropna=False):
+                h = _hull(np.stack(part["v"].to_numpy())[:, :2])
+                yield pd.DataFrame({"key": key, "x": h[:, 0], "y": h[:, 1]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = _hull(pdf[["x", "y"]].to_numpy())
+        return pd.DataFrame({by: pdf["key"].iloc[0], "k": np.arange(len(h)), "x": h[:, 0], "y": h[:, 1]})
+
+    parts = points.select(F.col(by).alias("key"), "v").mapInPandas(local, f"key {kind}, x double, y double")
+    return parts.groupBy("key").applyInPandas(whole, f"`{by}` {kind}, k int, x double, y double")
+
+
+def hull_measures(hull: DataFrame, by: str) -> DataFrame:
+    """Area and perimeter of each hull, from neighbouring corners."""
+    w = Window.partitionBy(by)
+    nx, ny = (F.coalesce(F.lead(c).over(w.orderBy("k")), F.first(c).over(w.orderBy("k"))) for c in ("x", "y"))
+    rows = hull.withColumn("nx", nx).withColumn("ny", ny)
+    area = F.abs(F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y"))) / 2
+    return rows.groupBy(by).agg(area.alias("area"), F.sum(F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2)).alias("perimeter"))

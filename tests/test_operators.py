@@ -213,3 +213,40 @@ def test_labels(spark):
     assert {r["label"]: (r["sum"], r["cy"], r["cx"]) for r in M.label_statistics(labelled).collect()} == {1: (4, 0.5, 0.5), 2: (4, 3.5, 3.5)}
     diagonal = image(spark, [[1, 0], [0, 1]])
     assert M.label(diagonal).agg(F.max("label")).first()[0] == 2 and M.label(diagonal, True).agg(F.max("label")).first()[0] == 1
+
+
+def test_hulls(spark):
+    rng = np.random.default_rng(0)
+    corners = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]
+    rows = [("a", v) for v in corners + (0.1 + 0.8 * rng.random((50, 2))).tolist()] + [("b", [2.0, 2.0])]
+    hull = X.convex_hull(spark.createDataFrame(rows, "g string, v array<double>"), "g")
+    assert [[r["x"], r["y"]] for r in hull.where("g = 'a'").orderBy("k").collect()] == corners
+    m = {r["g"]: (r["area"], r["perimeter"]) for r in X.hull_measures(hull, "g").collect()}
+    assert m == {"a": (1, 4), "b": (0, 0)}
+
+
+def test_single_linkage(spark):
+    df = points(spark, (0, 0), (1, 0), (3, 0), (10, 0))
+    merges = C.single_linkage(df)
+    assert [r["distance"] for r in merges.orderBy("step").collect()] == [1, 2, 7]
+    assert {r["id"]: r["label"] for r in C.fcluster(df, merges, 2.5).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def test_wavelets(spark):
+    df = series(spark, 1, 4, 3, 5, 8, 2, 7, 6)
+    for wavelet, size in (("haar", 2), ("db2", 4)):
+        got = S.dwt(df, "x", "t", "s", wavelet, "zero").orderBy("pos").collect()
+        low = S.WAVELETS[wavelet]
+        ends = [0.0] * (size - 1)
+        full = np.correlate(ends + [1, 4, 3, 5, 8, 2, 7, 6] + ends, low, "valid")[::2]
+        assert [r["approx"] for r in got] == pytest.approx(full.tolist())
+
+
+def test_map_coordinates(spark):
+    from sparksci.operators import images
+
+    df = image(spark, [[0, 1, 2], [10, 11, 12]])
+    asked = spark.createDataFrame([(0, 0, 0.5, 0.5), (0, 1, 1.0, 2.0), (0, 2, -3.0, 9.0), (0, 3, 0.25, 1.0)], "img int, qid int, yq double, xq double")
+    got = {r["qid"]: r["value"] for r in images.map_coordinates(df, asked).collect()}
+    assert got == pytest.approx({0: 5.5, 1: 12, 2: 2, 3: 3.5})
+    assert {r["qid"]: r["value"] for r in images.map_coordinates(df, asked, "nearest").collect()}[3] == 1

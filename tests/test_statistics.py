@@ -115,7 +115,8 @@ def test_information(spark):
 
 @pytest.mark.parametrize(
     "d",
-    [D.uniform(1, 3), D.exponential(2), D.laplace(1, 2), D.logistic(1, 2), D.cauchy(), D.weibull(1.5, 2), D.pareto(3), D.gumbel(), D.rayleigh(2), D.triangular(0, 1, 4)],
+    [D.uniform(1, 3), D.exponential(2), D.laplace(1, 2), D.logistic(1, 2), D.cauchy(), D.weibull(1.5, 2), D.pareto(3), D.gumbel(), D.rayleigh(2), D.triangular(0, 1, 4),
+     D.normal(1, 2), D.lognormal(0, 0.5), D.gamma(2.5, 2), D.chi2(4), D.beta(2, 3), D.student_t(5), D.f_distribution(4, 9)],
     ids=lambda d: d.name,
 )
 def test_quantiles_invert_cdfs(spark, d):
@@ -132,3 +133,20 @@ def test_windows(spark):
     w = spark.range(1).select(windows.window("hann", 8), windows.kaiser(9, 5.0)).first()
     assert w[0] == pytest.approx([0.5 - 0.5 * math.cos(2 * math.pi * i / 8) for i in range(8)])
     assert w[1] == pytest.approx(np.kaiser(9, 5.0).tolist())
+
+
+def test_counting_distributions(spark):
+    df = spark.createDataFrame([(float(k),) for k in range(12)], "k double")
+    for d, pmf in (
+        (D.poisson(2.5), lambda k: math.exp(-2.5) * 2.5**k / math.factorial(k)),
+        (D.binomial(9, 0.3), lambda k: math.comb(9, k) * 0.3**k * 0.7 ** (9 - k)),
+        (D.geometric(0.4), lambda k: 0.4 * 0.6 ** (k - 1) if k else 0.0),
+        (D.bernoulli(0.3), lambda k: (0.7, 0.3)[k] if k < 2 else 0.0),
+        (D.discrete_uniform(2, 5), lambda k: 0.25 if 2 <= k <= 5 else 0.0),
+    ):
+        rows = df.select("k", d.pdf(F.col("k")).alias("p"), d.cdf(F.col("k")).alias("c")).orderBy("k").collect()
+        want = [pmf(k) for k in range(12)]
+        assert [r["p"] for r in rows] == pytest.approx(want, abs=1e-12)
+        assert [r["c"] for r in rows] == pytest.approx(np.cumsum(want).tolist(), abs=1e-9)
+        q = spark.createDataFrame([(0.5,), (0.95,)], "u double").select(d.quantile(F.col("u")).alias("q")).collect()
+        assert [r["q"] for r in q] == [float(np.searchsorted(np.cumsum(want), u - 1e-12)) for u in (0.5, 0.95)]
