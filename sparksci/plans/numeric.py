@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparksci.functions import distributions as D
 from sparksci.functions import numeric as N
 from sparksci.operators import graph as G
 from sparksci.operators import images as M
 from sparksci.operators import matrix as X
 from sparksci.operators import mixture
+from sparksci.operators import series
+from sparksci.operators import spatial as S
 from sparksci.plans.graph import tree
 from sparksci.plans.morphology import IMAGE, masked, pixels
 from sparksci.plans.registry import query, r
@@ -176,3 +179,52 @@ def _(spark, d):
     e = tree(spark, d).where("src >= 20000000 AND dst % 40 = 0 OR src < 20000000 OR src >= 10000000 AND src < 10000005")
     e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     return G.betweenness_centrality(e, G.nodes_of(e), False)
+
+
+@query("dwt_db2")
+def _(spark, d):
+    return series.dwt(events(spark, d), "value", "event_id", "user_id", "db2")
+
+
+@query("convex_hull")
+def _(spark, d):
+    return S.convex_hull(events(spark, d).select("event_type", F.array("value", F.col("user_id").cast("double")).alias("v")), "event_type")
+
+
+@query(
+    "map_coordinates",
+    IMAGE
+    + f"""SELECT a.img, (a.y * 24 + a.x)::INT AS qid, {r('0.5 * a.v + 0.5 * b.v', 'value')} FROM a JOIN a b ON a.img = b.img AND a.y = b.y AND b.x = least(a.x + 1, 23)""",
+)
+def _(spark, d):
+    p = pixels(spark, d)
+    asked = p.select("img", (F.col("y") * 24 + F.col("x")).alias("qid"), F.col("y").cast("double").alias("yq"), (F.col("x") + 0.5).alias("xq"))
+    return M.map_coordinates(p, asked)
+
+
+Z = "((value - 50) / 25)"
+DENSITIES = [
+    (D.normal(), f"exp(-{Z} * {Z} / 2) / sqrt(2 * pi())"),
+    (D.lognormal(), f"CASE WHEN {Z} > 0 THEN exp(-pow(ln(CASE WHEN {Z} > 0 THEN {Z} ELSE 1 END), 2) / 2) / ({Z} * sqrt(2 * pi())) ELSE 0 END"),
+    (D.gamma(3, 1), f"CASE WHEN {Z} > 0 THEN {Z} * {Z} * exp(-{Z}) / 2 ELSE 0 END"),
+    (D.chi2(4), f"CASE WHEN {Z} > 0 THEN {Z} * exp(-{Z} / 2) / 4 ELSE 0 END"),
+    (D.beta(2, 3), f"CASE WHEN {Z} > 0 AND {Z} < 1 THEN 12 * {Z} * pow(1 - {Z}, 2) ELSE 0 END"),
+    (D.student_t(3), f"2 / (pi() * sqrt(3) * pow(1 + {Z} * {Z} / 3, 2))"),
+]
+for dist, pdf in DENSITIES:
+
+    @query(f"density_{dist.name}", f"SELECT event_id, {r(pdf, 'pdf')} FROM events")
+    def _(spark, d, dist=dist):
+        return events(spark, d).select("event_id", dist.pdf((F.col("value") - 50) / 25).alias("pdf"))
+
+    @query(f"tail_{dist.name}")
+    def _(spark, d, dist=dist):
+        return events(spark, d).select("event_id", dist.sf((F.col("value") - 50) / 25).alias("sf"))
+
+
+for dist in (D.poisson(2.5), D.binomial(9, 0.3), D.geometric(0.4), D.discrete_uniform(2, 5), D.bernoulli(0.3)):
+
+    @query(f"counts_{dist.name}")
+    def _(spark, d, dist=dist):
+        k = (F.col("event_id") % 12).cast("double")
+        return events(spark, d).select("event_id", dist.pdf(k).alias("pmf"), dist.cdf(k).alias("cdf"))
