@@ -208,7 +208,8 @@ class LineIndex:
 
 def dropped_keys(refs: DataFrame, index: LineIndex) -> DataFrame:
     """doc_id and the keys that lose their lines there."""
-    found = index.repeated(refs.select("key").distinct()).select("key", "last_doc")
+    # Written, so that the join below is between two plain exchanges and a hot key's rows can be split.
+    found = written(index.repeated(refs.select("key").distinct()).select("key", "last_doc"), "line-found")
     return refs.join(found, "key").where(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
 
 
