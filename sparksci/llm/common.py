@@ -77,6 +77,13 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every scratch table of these operators: call it once their results are written elsewhere."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/sparksci")
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def shares(total: float, each: float, least: int = 1) -> int:
     """How many parts of about ``each`` hold ``total``; grows in proportion to the data."""
     return max(least, math.ceil((total or 0) / each))

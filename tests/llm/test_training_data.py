@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparksci.llm import bpe, language_id, line_dedup, lm_score, ogg, packing, registry, sharding, topk, url_rules
+from sparksci.llm import bpe, common, language_id, line_dedup, lm_score, near_dedup, ogg, packing, registry, sharding, topk, url_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string, key string"
 TEXTS = [None, "", " ", "word", "Same text here twice", "Same text here twice", "é中文 ñandú\nline two\n\nline four", "x" * 60_000, "1234 !!", "a b c d e f g h i j k l m n o p q r s t u v w x y z"]
@@ -256,6 +256,35 @@ def test_gram_counts_equal_counting():
     assert sorted(counts.tolist()) == sorted(want.values()) and len(set(grams.tolist())) == len(want)
 
 
+# --- op7 ---------------------------------------------------------------------------------------
+
+
+def test_near_duplicates_of_odd_rows(spark, odd, empty):
+    got = rows(near_dedup.near_duplicates(odd, width=2))
+    assert len(got) == odd.count()
+    for r in got:
+        if r["doc_id"] in (0, 1, 2):
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (0, r["doc_id"], True)
+    assert {r["component_id"] for r in got if r["doc_id"] in (4, 5)} == {4}
+    assert [r["component_id"] for r in got if r["doc_id"] == 3] == [3, 3]  # a repeated row
+    assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_full_set_sketches_never_reject_a_link():
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 50, 700, 5000):
+        base = rng.integers(0, 2**64, n, np.uint64)
+        for share in (0.8, 0.85, 0.9, 1.0):
+            other = base.copy()
+            kept = int(np.ceil(2 * n * share / (1 + share)))  # common shingles of two sets of n at this similarity
+            other[kept:] = rng.integers(0, 2**64, n - kept, np.uint64)
+            a, b = np.unique(base), np.unique(other)
+            shared = len(np.intersect1d(a, b))
+            linked = 100 * shared >= 80 * (len(a) + len(b) - shared)
+            passed = near_dedup._differ_little(np.array([0]), np.array([1]), [near_dedup.parity(a), near_dedup.parity(b)], np.array([len(a), len(b)]), 0.8)
+            assert passed[0] or not linked
+
+
 # --- op8 ---------------------------------------------------------------------------------------
 
 
@@ -381,3 +410,11 @@ def test_scores_of_odd_rows(spark, odd):
 def test_every_operator_has_its_query():
     names = sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES)
     assert names == list(range(1, 11))
+
+
+def test_scratch_tables_can_be_removed(spark):
+    df = common.written(spark.range(5), "probe")
+    assert df.count() == 5
+    common.clear_scratch(spark)
+    with pytest.raises(Exception, match="exist|find|found"):
+        spark.read.parquet(df._scratch).count()
