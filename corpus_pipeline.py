@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparksci.llm import language_id, line_dedup, near_dedup, packing
-from sparksci.llm.common import table, written
+from sparksci.llm.common import discard, table, written
 
 #: Documents under this score resemble no language that the corpus has: their n-grams are in no profile.
 LEAST_SCORE = 0.02
@@ -53,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each stage's result written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)  # the stage before; the documents themselves are no scratch table
     return docs
