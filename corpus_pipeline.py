@@ -28,9 +28,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id stays."""
-    kept = near_dedup.near_duplicates(docs, width=5, similarity=0.8).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id stays, or one row if none has an id."""
+    doc_id = F.col("doc_id").cast("long")
+    loose = written(docs.where(doc_id.isNull()).withColumn("__row", F.monotonically_increasing_id()), "pipeline-loose")
+    rows = docs.where(doc_id.isNotNull()).withColumn("__row", F.lit(None).cast("long")).unionByName(loose)
+    kept = near_dedup.near_duplicates(rows, width=5, similarity=0.8, row_col="__row").where("kept").select(F.col("doc_id").alias("__kept"), F.col("__row").alias("__kept_row")).distinct()
+    return rows.join(kept, doc_id.eqNullSafe(F.col("__kept")) & F.col("__row").eqNullSafe(F.col("__kept_row")), "left_semi").drop("__row")
 
 
 def pack_into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

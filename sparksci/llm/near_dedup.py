@@ -14,8 +14,9 @@ the sets differ in shingles, so a pair with more is certainly below the threshol
 The bands miss a pair at the threshold with a probability of (1 - 0.8**4)**24 = 3e-6.
 
 Defined cases: documents without words are linked with nothing; fewer words than a
-shingle are one shingle; null ids are kept and linked, and null only if no document
-of the group has an id; repeated rows share a component.
+shingle are one shingle; rows without id are linked like others. A component's id is
+its least id, and null if nobody in it has one; then one of its rows is kept. Repeated
+rows share a component.
 """
 
 from __future__ import annotations
@@ -116,8 +117,8 @@ def _tokens(column: pa.Array) -> Iterator[np.ndarray]:
         yield flat[a:b]
 
 
-def features(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (shingles), set (its fingerprint), bands and both sketches of every row. Map-only."""
+def features(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, n (shingles), set (its fingerprint), bands, both sketches and row (a number if there is no id) of every row. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,12 +135,14 @@ def features(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str =
                 sketches.append(odd_sketch(s))
                 full.append(parity(x))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(full, pa.binary())],
-                names=["doc_id", "n", "set", "bands", "sketch", "full"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(full, pa.binary()), batch.column(2)],
+                names=["doc_id", "n", "set", "bands", "sketch", "full", "row"],
             )
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), word_hashes(F.col(text_col)).alias("tokens"))
-    return rows.mapInArrow(run, "doc_id long, n long, set binary, bands array<long>, sketch binary, full binary")
+    doc_id = F.col(id_col).cast("long")
+    row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    rows = df.select(doc_id.alias("doc_id"), word_hashes(F.col(text_col)).alias("tokens"), F.when(doc_id.isNull(), row).alias("row"))
+    return rows.mapInArrow(run, "doc_id long, n long, set binary, bands array<long>, sketch binary, full binary, row long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -263,19 +266,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(set, label): the least rep reachable, for every node that has a link.
+    """(set, label): the least node reachable, for every (set, node) that has a link.
 
     Labels go along links and then jump to the label of the node that they name; each pass is written, so
     lineage stays short. Passes grow with the logarithm of a component's diameter.
     """
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "near-links")
-    labels = written(nodes.join(both.select(F.col("a").alias("set")).distinct(), "set", "left_semi").select("set", "rep", F.col("rep").alias("label")), "near-labels")
+    labels = written(nodes.join(both.select(F.col("a").alias("set")).distinct(), "set", "left_semi").select("set", "node", F.col("node").alias("label")), "near-labels")
     while True:
         around = both.join(labels.select(F.col("set").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("seen"))
-        nearer = labels.join(around, labels["set"] == around["a"], "left").select("set", "rep", F.col("label").alias("was"), F.least("label", "seen").alias("label"))
-        named = labels.groupBy(F.col("rep").alias("name")).agg(F.min("label").alias("goal"))
+        nearer = labels.join(around, labels["set"] == around["a"], "left").select("set", "node", F.col("label").alias("was"), F.least("label", "seen").alias("label"))
+        named = labels.groupBy(F.col("node").alias("name")).agg(F.min("label").alias("goal"))
         jumped = written(
-            nearer.join(named, nearer["label"] == named["name"], "left").select("set", "rep", F.least("label", "goal").alias("label"), (F.least("label", "goal") != F.col("was")).alias("moved")),
+            nearer.join(named, nearer["label"] == named["name"], "left").select("set", "node", F.least("label", "goal").alias("label"), (F.least("label", "goal") != F.col("was")).alias("moved")),
             "near-labels",
         )
         moved = not jumped.where("moved").isEmpty()
@@ -286,33 +289,36 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels.select("set", "label")
 
 
-def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of df."""
-    rows = written(features(df, width, id_col, text_col), "near-rows")
-    sets = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("full").alias("full"))
-    # Different sets are never one node, even if their rows have no id: an absent rep is a label of its own below.
-    sets = written(sets.withColumn("label", F.xxhash64("set")), "near-sets")
+def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of df; and row_col, if named: numbers that tell rows without id apart."""
+    rows = written(features(df, width, id_col, text_col, row_col), "near-rows")
+    sets = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("full").alias("full"))
+    # Sets are numbered: ids name components at the end only, as rows can lack them.
+    sets = written(sets.withColumn("label", F.monotonically_increasing_id()), "near-sets")
     buckets = written(bucketed(sets), "near-buckets")
     first = written(candidates(buckets, False, similarity), "near-pairs")
     nodes = first.select(F.col("a").alias("set")).union(first.select(F.col("b").alias("set"))).distinct()
     chosen = sets.join(nodes, "set", "left_semi").select("set", "rep")
     full = written(full_sets(df, chosen, width, id_col, text_col), "near-full")
     links = written(confirmed(first, full, similarity), "near-links")
-    reps = sets.select("set", F.coalesce("rep", F.xxhash64("set")).alias("rep"))
-    labels = components(reps, links)
+    numbered = sets.select("set", F.col("label").alias("node"))
+    labels = components(numbered, links)
     # Round 2: all pairs that pass and lie in two components.
-    now = buckets.drop("label").join(labels, "set", "left").withColumn("label", F.coalesce("label", F.xxhash64("set")))
+    now = buckets.withColumnRenamed("label", "node").join(labels, "set", "left").withColumn("label", F.coalesce("label", "node"))
     open_buckets = now.join(now.groupBy("key", "lo", "hi").agg(F.count("*").alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).where("m > 2 AND least < most").select("key", "lo", "hi"), ["key", "lo", "hi"], "left_semi")
     open_buckets = open_buckets.join(sets.select("set", "full"), "set")
     second = written(candidates(open_buckets, True, similarity).join(first, ["a", "b"], "left_anti"), "near-pairs")
     if not second.isEmpty():
         more = written(links.union(confirmed(second, full, similarity)), "near-links")
-        labels = components(reps, more)
+        labels = components(numbered, more)
     discard(buckets, first, second, full, links)
-    own = rows.select("doc_id", "n", "set")
-    known = sets.select("set", "rep").join(labels.withColumnRenamed("label", "linked"), "set", "left").select("set", F.coalesce("linked", "rep").alias("component"))
-    out = own.join(known, "set", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    named = sets.select("set", "rep", "row").join(labels, "set").groupBy("label").agg(F.min("rep").alias("least"), F.min("row").alias("first"))
+    linked = labels.join(named, "label").select("set", "least", "first")
+    known = sets.select("set", "rep", F.col("row").alias("own")).join(linked, "set", "left").select("set", F.coalesce("least", "rep").alias("component"), F.coalesce("first", "own").alias("first"))
+    out = rows.select("doc_id", "n", "set", "row").join(known, "set", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    unnamed = F.col("component_id").isNull() & F.coalesce(F.col("row") == F.col("first"), F.lit(True))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), unnamed)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

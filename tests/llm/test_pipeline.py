@@ -91,6 +91,16 @@ def test_near_stage_keeps_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i in rows if label[i] == i)
 
 
+def test_near_stage_keeps_one_of_each_group_without_ids(spark):
+    base, alone = BASE[0], BASE[1]
+    rows = [(5, base), (6, base + " tail"), (None, base + " end"), (None, alone), (None, alone + " tail"), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == docs.columns and len(got) == 4
+    assert (5, base) in got and (None, "") in got and (None, None) in got and sum(t in (alone, alone + " tail") for _, t in got) == 1
+
+
 def test_near_duplicates_of_two_words_equal_all_pairs(spark):
     rows = corpus()
     label = groups(rows, 2)

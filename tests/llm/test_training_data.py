@@ -270,6 +270,24 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_without_id_take_the_least_id_or_none(spark):
+    rows_, want = [], []
+    for k in range(8):  # several groups: a wrong label would win in about half of them
+        base = [f"w{k}x{i}" for i in range(40)]
+        copy, third = " ".join([*base, "more"]), " ".join([*base, "other"])
+        rows_ += [(None, copy, 3 * k), (10 * k + 5, " ".join(base), None), (10 * k + 6, third, None)]
+        want += [(None, 10 * k + 5, False), (10 * k + 5, 10 * k + 5, True), (10 * k + 6, 10 * k + 5, False)]
+        lone = [f"l{k}x{i}" for i in range(40)]
+        rows_ += [(None, " ".join(lone), 100 + 3 * k), (None, " ".join([*lone, "more"]), 101 + 3 * k), (None, " ".join(lone), 102 + 3 * k)]
+        want += [(None, None, True), (None, None, False), (None, None, False)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, row long")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in rows(near_dedup.near_duplicates(df, width=2))]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    kept = [r for r in rows(near_dedup.near_duplicates(df, width=2, row_col="row")) if r["kept"] and r["doc_id"] is None]
+    assert sorted(r["row"] // 3 for r in kept) == [(100 + 3 * k) // 3 for k in range(8)] and all(r["component_id"] is None for r in kept)
+
+
 def test_full_set_sketches_never_reject_a_link():
     rng = np.random.default_rng(4)
     for n in (1, 3, 50, 700, 5000):
