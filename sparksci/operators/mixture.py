@@ -44,17 +44,20 @@ def _log_sum(a: np.ndarray) -> np.ndarray:
 def fit(points: DataFrame, means: list[list[float]], kind: str = "full", max_iter: int = 100, tol: float = 1e-3, reg: float = 1e-6) -> Mixture:
     """EM from given means with unit covariances; stops when the mean log-likelihood changes by less than ``tol``.
 
-    A task returns k rows of sums (weight, total, outer products), so what is moved does not grow with the points.
+    A task returns k rows of sums (weight, total, outer products or, where the kind needs no more, squares), so what
+    is moved does not grow with the points.
     """
     if kind not in KINDS:
         raise ValueError(f"kind is one of {', '.join(KINDS)}")
     m = np.array(means, float)
     k, d = m.shape
+    alone = kind in ("diagonal", "spherical")
+    width = d if alone else d * d
     model, last = Mixture(np.full(k, 1 / k), m, np.stack([np.eye(d)] * k), kind), None
     for step in range(1, max_iter + 1):
 
         def sums(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            n, t, o, ll = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0
+            n, t, o, ll = np.zeros(k), np.zeros((k, d)), np.zeros((k, width)), 0.0
             for pdf in batches:
                 if len(pdf):
                     x = np.stack(pdf["v"].to_numpy())
@@ -62,21 +65,23 @@ def fit(points: DataFrame, means: list[list[float]], kind: str = "full", max_ite
                     total = _log_sum(p)
                     g = np.exp(p - total[:, None])
                     n, t, ll = n + g.sum(0), t + g.T @ x, ll + total.sum()
-                    o = o + np.einsum("nk,ni,nj->kij", g, x, x)
-            yield pd.DataFrame({"k": np.arange(k), "n": n, "t": list(t), "o": list(o.reshape(k, -1)), "ll": ll / k})
+                    o = o + (g.T @ (x * x) if alone else np.einsum("nk,ni,nj->kij", g, x, x).reshape(k, -1))
+            yield pd.DataFrame({"k": np.arange(k), "n": n, "t": list(t), "o": list(o), "ll": ll / k})
 
         rows = points.select("v").mapInPandas(sums, "k int, n double, t array<double>, o array<double>, ll double")
         added = lambda c, size: F.array(*(F.sum(F.col(c)[i]) for i in range(size))).alias(c)
-        got = sorted(rows.groupBy("k").agg(F.sum("n").alias("n"), added("t", d), added("o", d * d), F.sum("ll").alias("ll")).collect(), key=lambda r: r["k"])
+        got = sorted(rows.groupBy("k").agg(F.sum("n").alias("n"), added("t", d), added("o", width), F.sum("ll").alias("ll")).collect(), key=lambda r: r["k"])
         n = np.array([r["n"] for r in got])
         count, ll = n.sum(), sum(r["ll"] for r in got) / n.sum()
         safe = np.maximum(n, 1e-12)
         means_ = np.array([r["t"] for r in got]) / safe[:, None]
-        cov = np.array([r["o"] for r in got]).reshape(k, d, d) / safe[:, None, None] - np.einsum("ki,kj->kij", means_, means_)
+        squares = np.array([r["o"] for r in got]) / safe[:, None]
+        if alone:
+            cov = np.stack([np.diag(v) for v in squares - means_**2])
+        else:
+            cov = squares.reshape(k, d, d) - np.einsum("ki,kj->kij", means_, means_)
         if kind == "tied":
             cov = np.stack([np.einsum("k,kij->ij", n, cov) / count] * k)
-        elif kind == "diagonal":
-            cov = np.stack([np.diag(np.diag(c)) for c in cov])
         elif kind == "spherical":
             cov = np.stack([np.eye(d) * np.trace(c) / d for c in cov])
         model = Mixture(n / count, means_, cov + reg * np.eye(d), kind, float(ll), step)

@@ -169,7 +169,7 @@ def _(spark, d):
 
 @query("gaussian_mixture")
 def _(spark, d):
-    p = embedded(spark, d).select("id", F.slice("v", 1, 4).alias("v"))
+    p = embedded(spark, d)
     starts = [row["v"] for row in p.orderBy("id").limit(3).collect()]
     return mixture.predict(p, mixture.fit(p, starts, "diagonal", 10)).select("id", "label", "score")
 

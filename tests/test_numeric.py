@@ -141,3 +141,28 @@ def test_betweenness(spark):
     e = spark.createDataFrame([(a, b, 1.0) for a, b in rows] + [(b, a, 1.0) for a, b in rows], "src long, dst long, w double")
     got = {r["id"]: r["centrality"] for r in G.betweenness_centrality(e, spark.range(5), False, False).collect()}
     assert got == {0: 0, 1: 5, 2: 3, 3: 0, 4: 0}
+
+
+def test_gaussian_mixture_query_takes_whole_vectors(spark, sf):
+    from sparksci.plans import QUERIES
+    from sparksci.plans.spatial import embedded
+
+    held = embedded(spark, sf).orderBy("id").collect()
+    x = np.array([r["v"] for r in held])
+    w, m, c = np.full(3, 1 / 3), x[:3], np.ones((3, x.shape[1]))
+    density = lambda: np.log(w) - 0.5 * (((x[:, None] - m) ** 2 / c).sum(2) + np.log(2 * np.pi * c).sum(1))
+    last = None
+    for _ in range(10):
+        p = density()
+        total = np.logaddexp.reduce(p, axis=1)
+        g = np.exp(p - total[:, None])
+        n = g.sum(0)
+        w, m = n / n.sum(), g.T @ x / n[:, None]
+        c = g.T @ (x * x) / n[:, None] - m**2 + 1e-6
+        if last is not None and abs(total.mean() - last) < 1e-3:
+            break
+        last = total.mean()
+    got = {r["id"]: (r["label"], r["score"]) for r in QUERIES["gaussian_mixture"](spark, sf).collect()}
+    p = density()
+    assert [got[r["id"]][0] for r in held] == p.argmax(1).tolist()
+    assert [got[r["id"]][1] for r in held] == pytest.approx(np.logaddexp.reduce(p, axis=1).tolist(), abs=1e-3)
