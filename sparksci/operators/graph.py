@@ -186,14 +186,31 @@ def minimum_spanning_tree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         rows = rows.select("src", "dst", "w")
 
 
+#: (source, node) rows of the sources that betweenness advances together.
+PAIRS = 1 << 24
+
+
 def betweenness_centrality(edges: DataFrame, nodes: DataFrame, directed: bool = True, normalized: bool = True) -> DataFrame:
     """Share of shortest paths (by hops) through each node: levels forwards with path counts, then dependencies backwards.
 
-    All sources advance together; a row is a (source, node) pair, as the definition demands.
+    Every node is a source and a row is a (source, node) pair, as the definition demands; sources advance in batches
+    of about PAIRS rows, each with its levels written.
     """
     links = settled(edges.select("src", "dst").where("src <> dst").distinct())
     n = nodes.count()
-    level = settled(nodes.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths")))
+    batches = max(1, math.ceil(n * n / PAIRS))
+    dealt, total = F.pmod(F.xxhash64("id"), F.lit(batches)), None
+    for k in range(batches):
+        part = settled(_dependencies(links, nodes.where(dealt == k)))
+        total = part if total is None else total.union(part)
+    scale = (0.5 if not directed else 1.0) * (((2.0 if not directed else 1.0) / ((n - 1) * (n - 2))) if normalized and n > 2 else 1.0)
+    sums = total.groupBy("id").agg(F.sum("c").alias("c"))
+    return nodes.join(sums, "id", "left").select("id", (F.coalesce("c", F.lit(0.0)) * scale).alias("centrality"))
+
+
+def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, c): the dependencies of the sources on each node, added up."""
+    level = settled(sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths")))
     known, levels = level.select("source", "id"), [level]
     while True:
         ahead = level.join(links, level["id"] == links["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
@@ -213,6 +230,4 @@ def betweenness_centrality(edges: DataFrame, nodes: DataFrame, directed: bool =
         later = settled(own)
         part = later.where("source <> id").groupBy("id").agg(F.sum("dep").alias("c"))
         total = part if total is None else total.union(part)
-    scale = (0.5 if not directed else 1.0) * (((2.0 if not directed else 1.0) / ((n - 1) * (n - 2))) if normalized and n > 2 else 1.0)
-    sums = total.groupBy("id").agg(F.sum("c").alias("c"))
-    return nodes.join(sums, "id", "left").select("id", (F.coalesce("c", F.lit(0.0)) * scale).alias("centrality"))
+    return total.groupBy("id").agg(F.sum("c").alias("c"))

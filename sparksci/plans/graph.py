@@ -74,9 +74,10 @@ def _(spark, d):
     return G.eigenvector_centrality(e, G.nodes_of(e), max_iter=8)
 
 
-def sparse(spark, d):
-    """Orders linked to the next order of the same customer: many chains."""
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 200000")
+def sparse(spark, d, above=None):
+    """Customers linked to their orders: many stars. With ``above``, orders above that price only."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    o = o if above is None else o.where(F.col("o_totalprice") > above)
     return o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + PART).alias("dst"), F.lit(1.0).alias("w"))
 
 
@@ -84,6 +85,15 @@ CHAIN = f"WITH e AS (SELECT o_custkey AS src, o_orderkey + {PART} AS dst FROM or
 
 
 @query("connected_components", CHAIN + "SELECT src AS id, src AS component FROM e UNION SELECT dst, src FROM e")
+def _(spark, d):
+    e = sparse(spark, d, 200000)
+    return G.connected_components(e, G.nodes_of(e))
+
+
+EVERY = f"WITH e AS (SELECT o_custkey AS src, o_orderkey + {PART} AS dst FROM orders) "
+
+
+@query("connected_components_all", EVERY + "SELECT src AS id, src AS component FROM e UNION SELECT dst, src FROM e")
 def _(spark, d):
     e = sparse(spark, d)
     return G.connected_components(e, G.nodes_of(e))

@@ -250,3 +250,27 @@ def test_map_coordinates(spark):
     got = {r["qid"]: r["value"] for r in images.map_coordinates(df, asked).collect()}
     assert got == pytest.approx({0: 5.5, 1: 12, 2: 2, 3: 3.5})
     assert {r["qid"]: r["value"] for r in images.map_coordinates(df, asked, "nearest").collect()}[3] == 1
+
+
+def test_whole_graph_queries(spark, sf, monkeypatch):
+    from sparksci.plans import QUERIES
+
+    nations = table(spark.read.parquet(f"{sf}/nation.parquet"), "n_nationkey", "n_regionkey")
+    held = table(spark.read.parquet(f"{sf}/customer.parquet").groupBy("c_nationkey").count(), "c_nationkey", "count")
+    customers = [r["c_custkey"] for r in spark.read.parquet(f"{sf}/customer.parquet").collect()]
+    size = {k: held.get(k, 0) + 1 for k in nations}
+    regions = {r: sum(size[k] for k in nations if nations[k] == r) + 1 for r in nations.values()}
+    n = sum(regions.values())
+    inside = lambda parts: (sum(parts) ** 2 - sum(p * p for p in parts)) / 2
+    want = {k: 0.0 for k in customers}
+    for k, r in nations.items():
+        whole = regions[r]
+        want[20_000_000 + k] = inside([1] * (size[k] - 1) + [whole - size[k]])
+        want[10_000_000 + r] = inside([size[j] for j in nations if nations[j] == r])
+    scale = 2 / ((n - 1) * (n - 2))
+    monkeypatch.setattr(G, "PAIRS", n * n // 2)
+    got = table(QUERIES["betweenness_centrality"](spark, sf), "id", "centrality")
+    assert got == pytest.approx({k: v * scale for k, v in want.items()}, abs=1e-4)
+    orders = spark.read.parquet(f"{sf}/orders.parquet").collect()
+    want = {r["o_orderkey"] + 1_000_000: r["o_custkey"] for r in orders} | {r["o_custkey"]: r["o_custkey"] for r in orders}
+    assert table(QUERIES["connected_components_all"](spark, sf), "id", "component") == want
