@@ -23,9 +23,25 @@ def cdist(points: DataFrame, queries: DataFrame, metric: str = "euclidean") -> D
 
 
 def pdist(points: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """(i, j, distance) for i < j."""
-    other = points.select(F.col("id").alias("j"), F.col("v").alias("w"))
-    return points.select(F.col("id").alias("i"), "v").join(other, F.col("i") < F.col("j")).select("i", "j", vectors.distance(F.col("v"), F.col("w"), metric).alias("distance"))
+    """(i, j, distance) for i < j: blocks of points meet blocks; the result is all pairs by definition."""
+    if metric not in ("euclidean", "sqeuclidean", "manhattan", "cosine"):
+        other = points.select(F.col("id").alias("j"), F.col("v").alias("w"))
+        return points.select(F.col("id").alias("i"), "v").join(other, F.col("i") < F.col("j")).select("i", "j", vectors.distance(F.col("v"), F.col("w"), metric).alias("distance"))
+    a = _in_blocks(points, BLOCK)
+    b = a.select(F.col("block").alias("to"), F.col("ids").alias("others"), F.col("vs").alias("ws"))
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                left, right, w = np.asarray(row.ids), np.asarray(row.others), np.stack(row.ws)
+                for at in range(0, len(left), 128):
+                    ids = left[at : at + 128]
+                    d = _distances(np.stack(row.vs[at : at + 128]), w, metric)
+                    i, j = np.nonzero(ids[:, None] < right if row.block == row.to else ids[:, None] != right)
+                    x, y = ids[i], right[j]
+                    yield pd.DataFrame({"i": np.minimum(x, y), "j": np.maximum(x, y), "distance": d[i, j]})
+
+    return a.join(b, F.col("block") <= F.col("to")).mapInPandas(pairs, "i long, j long, distance double")
 
 
 def squareform(pairs: DataFrame) -> DataFrame:

@@ -120,3 +120,8 @@ SELECT e.id, coalesce(n.label, -1)::BIGINT AS label FROM e LEFT JOIN w ON w.s =
 def _(spark, d):
     own = labelled(spark, d).where("label < 3").select("id", "v")
     return C.dbscan(own, 1.0, 5)
+
+
+@query("dbscan_all")
+def _(spark, d):
+    return C.dbscan(embedded(spark, d), 1.0, 5)

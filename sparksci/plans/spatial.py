@@ -50,6 +50,16 @@ def _(spark, d):
     return S.squareform(S.pdist(points(table(spark, d, "embeddings").where("label < 2"), "vec_id", "embedding")))
 
 
+@query("pdist_all")
+def _(spark, d):
+    return S.pdist(embedded(spark, d))
+
+
+@query("squareform_all")
+def _(spark, d):
+    return S.squareform(S.pdist(embedded(spark, d)))
+
+
 @query(
     "knn",
     P.format(metric=EUCLID) + f", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) SELECT query_id, rank::INT AS rank, id, {r('distance', 'distance')} FROM k WHERE rank <= 10",

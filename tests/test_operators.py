@@ -274,3 +274,27 @@ def test_whole_graph_queries(spark, sf, monkeypatch):
     orders = spark.read.parquet(f"{sf}/orders.parquet").collect()
     want = {r["o_orderkey"] + 1_000_000: r["o_custkey"] for r in orders} | {r["o_custkey"]: r["o_custkey"] for r in orders}
     assert table(QUERIES["connected_components_all"](spark, sf), "id", "component") == want
+
+
+def test_whole_embedding_queries(spark, tmp_path, monkeypatch):
+    from sparksci.plans import QUERIES
+
+    rng = np.random.default_rng(5)
+    v = np.concatenate([c + 0.2 * rng.standard_normal((8, 4)) for c in (0.0, 5.0, 9.0)] + [[[40.0] * 4]])
+    spark.createDataFrame([(i, x, i % 10) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(X, "BLOCK", 7)  # several blocks
+    d = np.sqrt(((v[:, None] - v) ** 2).sum(2))
+    got = {(r["i"], r["j"]): r["distance"] for r in QUERIES["pdist_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({(i, j): d[i, j] for i in range(len(v)) for j in range(i + 1, len(v))}, abs=1e-4)
+    square = {(r["i"], r["j"]): r["distance"] for r in QUERIES["squareform_all"](spark, str(tmp_path)).collect()}
+    assert square == pytest.approx({(i, j): d[i, j] for i in range(len(v)) for j in range(len(v))}, abs=1e-4)
+    # brute force: links with a core point at either end, clusters numbered by their least id
+    core = (d <= 1.0).sum(1) >= 5
+    links = (d <= 1.0) & (core[:, None] | core)
+    root = np.arange(len(v))
+    for _ in v:
+        root = np.array([min(root[links[i]], default=root[i]) for i in range(len(v))])
+    names = sorted({root[i] for i in range(len(v)) if links[i].any()})
+    want = {i: names.index(root[i]) if links[i].any() else -1 for i in range(len(v))}
+    assert len(names) == 3
+    assert table(QUERIES["dbscan_all"](spark, str(tmp_path)), "id", "label") == want
