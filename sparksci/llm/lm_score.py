@@ -176,6 +176,12 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 4).alias("mean_score"))
 
 
+def op4_lm_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the trigram counts of all others."""
+    out = score(table(spark, sf_dir, "documents"), 3)
+    return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 4).alias("mean_score"))
+
+
 ORACLE = """
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

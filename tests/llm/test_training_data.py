@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from sparksci.llm import bpe, common, language_id, line_dedup, lm_score, near_dedup, ogg, packing, registry, sharding, topk, url_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string, key string"
@@ -186,6 +187,14 @@ def test_scores_equal_brute_force(spark, order):
     assert [got[i] for i in range(len(texts))] == pytest.approx(brute_scores(texts, order), abs=1e-9)
 
 
+def test_scores_of_order_three_are_a_query(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("a b c".split()) for _ in range(rng.randint(0, 30))) for _ in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in rows(__spark_entry__.queries()["op4_lm_scores_order3"](spark, str(tmp_path)))}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(brute_scores(texts, 3), abs=1e-4)
+
+
 def test_count_tables(spark):
     df = spark.createDataFrame([("a b a b",), ("b",), (None,)], "text string")
     got = {(r["n"], r["gram"]): r["count"] for r in rows(lm_score.ngram_counts(df))}
