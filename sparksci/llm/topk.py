@@ -10,7 +10,9 @@ and the second round searches exactly these.
 Defined cases: vectors that are null or hold null or non-finite components, and rows
 without id, take no part; shorter vectors count as padded with zeros; a query never
 finds rows with its own id; equal scores go to the smaller id; fewer than k candidates
-are all returned.
+are all returned. Repeated rows: a query id is searched once, by the least of its
+vectors; as candidates, all rows are rows of their own, so an id that two rows hold can
+be found twice.
 """
 
 from __future__ import annotations
@@ -171,7 +173,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     space = _space(vectors, pivots)
     if space is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    asked = vectors.where(is_query)
+    asked = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = written(_blocks(_keyed(vectors, space, False), space, BLOCK, vectors.count()), "topk-blocks")
     queries = _blocks(_keyed(asked, space, True), space, QUERY_BLOCK, asked.count())
     queries = written(queries.selectExpr("block AS q_block", "pivot", "near AS q_near", "far AS q_far", "ids AS q_ids", "m AS q"), "topk-queries")
