@@ -8,15 +8,15 @@ of their id, so a hot source or cluster is spread evenly and memory is bounded.
 
 Defined cases: a document longer than a bin is cut into full pieces and a rest, and
 nothing is lost; documents without words get a row with a null bin; null sources and
-clusters conflict with nothing; equal lengths are taken in order of id.
+clusters conflict with nothing; equal lengths are taken in order of id, those of rows
+without id last; repeated rows are documents of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,11 +90,15 @@ def pack_pieces(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, ca
     return np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
 
 
-def _codes(values: pd.Series, repeated_only: bool = False) -> np.ndarray:
+def _codes(values: pa.ChunkedArray, repeated_only: bool = False) -> np.ndarray:
     """Small numbers for the values, -1 for null, and for values met once if these need no bit."""
-    if repeated_only:
-        values = values.where(values.duplicated(keep=False))
-    return pd.factorize(values)[0].astype(np.int64)
+    column = values.combine_chunks().dictionary_encode()
+    codes = pc.fill_null(column.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    if repeated_only and len(codes):
+        often = np.bincount(codes[codes >= 0], minlength=len(column.dictionary)) > 1
+        number = np.where(often, np.cumsum(often) - 1, -1)
+        codes = np.r_[number, -1][codes]
+    return codes
 
 
 def pack(df: DataFrame, id_col: Column, length: Column, source: Column, cluster: Column, capacity: int = CAPACITY, docs_a_task: int = DOCS_A_TASK) -> DataFrame:
@@ -102,31 +106,31 @@ def pack(df: DataFrame, id_col: Column, length: Column, source: Column, cluster:
 
     A bin's number is unique over all tasks: the task's number in the high bits.
     """
-    rows = df.select(id_col.cast("long").alias("doc_id"), length.cast("long").alias("n"), source.cast("string").alias("source"), cluster.cast("long").alias("cluster"))
+    rows = df.select(id_col.cast("long").alias("doc_id"), F.coalesce(length.cast("long"), F.lit(0)).alias("n"), source.cast("string").alias("source"), cluster.cast("long").alias("cluster"))
     tasks = shares(df.count(), docs_a_task)
     # xxhash64 skips nulls, so rows without id are spread by their other columns.
     rows = rows.withColumn("task", F.pmod(F.xxhash64("doc_id", "n", "source", "cluster"), F.lit(tasks)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        task = int(pdf["task"].iloc[0])
-        n = pdf["n"].to_numpy(np.int64)
+    def run(t: pa.Table) -> pa.Table:
+        task = t.column("task")[0].as_py()
+        n = t.column("n").to_numpy()
         pieces = np.maximum(1, -(-n // capacity))
-        at = np.repeat(np.arange(len(pdf)), pieces)
+        at = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(capacity, n[at] - piece * capacity)
-        ids = pdf["doc_id"].to_numpy("float64", na_value=np.inf) if pdf["doc_id"].isna().any() else pdf["doc_id"].to_numpy(np.int64)
-        order = np.lexsort((piece, ids[at], -size))
+        # Ids stay whole numbers; rows without one come last among equal sizes.
+        doc_id = t.column("doc_id").combine_chunks()
+        without = doc_id.is_null().to_numpy(zero_copy_only=False)
+        ids = pc.fill_null(doc_id, 0).to_numpy()
+        order = np.lexsort((piece, ids[at], without[at], -size))
         order = order[size[order] > 0]
-        number, offset = pack_pieces(size[order], _codes(pdf["source"])[at][order], _codes(pdf["cluster"], True)[at][order], capacity)
-        out = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at].to_numpy(), "piece": piece, "start": piece * capacity, "n": size})
-        for name, values in (("bin", number + (task << 32)), ("offset", offset)):
-            full = np.zeros(len(at), np.int64)
-            full[order] = values
-            out[name] = pd.array(full, "Int64")
-            out.loc[size == 0, name] = pd.NA
-        return out
+        number, offset = pack_pieces(size[order], _codes(t.column("source"))[at][order], _codes(t.column("cluster"), True)[at][order], capacity)
+        placed = np.zeros((2, len(at)), np.int64)
+        placed[:, order] = number + (task << 32), offset
+        columns = [doc_id.take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(size, pa.int64())]
+        return pa.table([*columns, *(pa.array(x, pa.int64(), mask=size == 0) for x in placed)], names=["doc_id", "piece", "start", "n", "bin", "offset"])
 
-    return rows.groupBy("task").applyInPandas(run, "doc_id long, piece int, start long, n long, bin long, offset long")
+    return rows.groupBy("task").applyInArrow(run, "doc_id long, piece int, start long, n long, bin long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, docs_a_task: int = DOCS_A_TASK) -> DataFrame:
