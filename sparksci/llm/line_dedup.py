@@ -8,8 +8,10 @@ keys are probed against the filters shard by shard and only what passes is check
 against the exact counts, so a filter's false positives never cost a line.
 
 Defined cases: null text is one empty line; lines of rows without id are never
-counted and stay; repeated rows of a document count once; ties do not arise, as
-the largest id keeps its lines.
+counted and stay; repeated rows of a document count as one document, whose lines are
+those of all its rows, and each row loses the lines that the document loses; ties do
+not arise, as the largest id keeps its lines. A filter that a batch fills up is rebuilt
+from the exact counts.
 """
 
 from __future__ import annotations
@@ -171,11 +173,14 @@ class LineIndex:
             f.delete(keys[~now])
             n += int(now.sum()) - int((~now).sum())
             full = not f.insert(keys[now])
-            # A full filter passes every key on to the exact counts until it is rebuilt.
-            return pa.table([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([b"" if full else f.t.tobytes()], pa.binary())], names=["shard", "keys", "filter"])
+            return pa.table([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([None if full else f.t.tobytes()], pa.binary())], names=["shard", "keys", "filter"])
 
-        filters = self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(lambda k, a, b: change(k, a, b), "shard int, keys long, filter binary")
-        return LineIndex(refs, written(filters, "line-filters"), self.shards, self.min_docs)
+        filters = written(self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(lambda k, a, b: change(k, a, b), "shard int, keys long, filter binary"), "line-filters")
+        full = filters.where("filter IS NULL").select("shard")
+        if not full.isEmpty():  # these shards outgrew their filters: they are rebuilt from the exact counts, as large as they need
+            held = self.counts(refs).where(F.col("n_docs") >= self.min_docs).withColumn("shard", _shard(F.col("key"), self.shards)).join(full, "shard", "left_semi")
+            filters = written(filters.where("filter IS NOT NULL").unionByName(self._filters(held, self.shards)), "line-filters")
+        return LineIndex(refs, filters, self.shards, self.min_docs)
 
     def insert(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         new = written(self.references(df, id_col, text_col), "line-new")
@@ -194,10 +199,7 @@ class LineIndex:
             names = asked.column(0).combine_chunks()
             if not filters.num_rows:
                 return pa.table([names.slice(0, 0)], names=["key"])
-            raw = filters.column(2)[0].as_py()
-            if not raw:
-                return pa.table([names], names=["key"])
-            f = Cuckoo(np.frombuffer(raw, np.uint16).reshape(-1, SLOTS))
+            f = Cuckoo(np.frombuffer(filters.column(2)[0].as_py(), np.uint16).reshape(-1, SLOTS))
             return pa.table([names.filter(pa.array(f.holds(_short(names))))], names=["key"])
 
         asked = keys.select("key", _shard(F.col("key"), self.shards).alias("shard"))
@@ -207,10 +209,16 @@ class LineIndex:
 
 
 def dropped_keys(refs: DataFrame, index: LineIndex) -> DataFrame:
-    """doc_id and the keys that lose their lines there."""
+    """doc_id and the keys that lose their lines there, in about as many cells by hash as a cell has keys."""
     # Written, so that the join below is between two plain exchanges and a hot key's rows can be split.
     found = written(index.repeated(refs.select("key").distinct()).select("key", "last_doc"), "line-found")
-    return refs.join(found, "key").where(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
+    gone = refs.join(found, "key").where(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
+    cells = F.ceil(F.sqrt(F.size("gone"))).cast("int")
+    return gone.select("doc_id", F.transform(F.sequence(F.lit(0), cells - 1), lambda c: F.filter("gone", lambda g: _cell(g, cells) == c)).alias("gone"))
+
+
+def _cell(key: Column, cells: Column) -> Column:
+    return F.pmod(F.xxhash64(key), cells).cast("int")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, index: LineIndex | None = None) -> DataFrame:
@@ -218,9 +226,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     index = index or LineIndex.build(df, min_docs, id_col, text_col)
     gone = dropped_keys(index.refs, index).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     joined = df.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left")
-    line_hash = lambda line: key_hash(line_key(line))
-    lines = lines_of(F.col(text_col))
-    stay = F.when(F.col("__gone").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(line_key(x)) < MIN_LENGTH) | ~F.array_contains(F.col("__gone"), line_hash(x))))
+    lines, gone = lines_of(F.col(text_col)), F.col("__gone")
+    # A line is sought in its hash's cell only, so a long document costs far less than lines times gone keys.
+    is_gone = lambda h: F.array_contains(F.get(gone, _cell(h, F.size(gone))), h)
+    stay = F.when(gone.isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(line_key(x)) < MIN_LENGTH) | ~is_gone(key_hash(line_key(x)))))
     kept = joined.withColumn("__stay", stay)
     n, left = F.size(lines).cast("long"), F.size("__stay").cast("long")
     own = [F.col(c) for c in df.columns if c not in (text_col, "n_lines", "n_dropped")]
