@@ -6,7 +6,8 @@ reassembles packets from the lacing values, separates the logical streams by
 serial number and derives timestamps from granule positions.
 
 Defined cases: null and empty texts store one block of padding; a null media value
-or one that fails a check gives a row whose ``error`` says why and null features.
+or one that fails a check gives a row whose ``error`` says why and null features, be it
+damaged or well checksummed but malformed; repeated rows are stored each.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ MAX_SEGMENTS = 255
 NO_PACKET_ENDS = -1
 PCM_MAGIC = b"PCM     "
 MARK_MAGIC = b"TIMEMARK"
+PCM_HEAD, MARK_HEAD = struct.Struct("<8sHHIIBBHI"), struct.Struct("<8sII")
 
 _REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
@@ -88,9 +90,9 @@ def stream_pages(serial: int, packets: list[tuple[bytes, int]]) -> list[tuple[in
 def encode(payload: bytes) -> bytes:
     """One physical Ogg stream: PCM samples and time marks, multiplexed in order of time."""
     serial = zlib.crc32(payload)
-    head = struct.pack("<8sHHIIBBHI", PCM_MAGIC, 0, 0, 1, RATE, 0, 1, PACKET, 0)
+    head = PCM_HEAD.pack(PCM_MAGIC, 0, 0, 1, RATE, 0, 1, PACKET, 0)
     sound = [(head, 0)] + [(payload[a : a + PACKET], min(a + PACKET, len(payload))) for a in range(0, len(payload), PACKET)]
-    marks = [(MARK_MAGIC + struct.pack("<I", RATE), 0)]
+    marks = [(MARK_HEAD.pack(MARK_MAGIC, RATE, MARK_EVERY), 0)]
     marks += [(f"{a / RATE:.3f}".encode(), a) for a in range(0, len(payload), MARK_EVERY)]
     a, b = stream_pages(serial, sound), stream_pages(serial ^ 0xFFFFFFFF, marks)
     order = [(i > 0, end, s, i, p) for s, pages in enumerate((a, b)) for i, (end, p) in enumerate(pages)]
@@ -119,16 +121,18 @@ def logical_streams(media: bytes) -> dict[int, dict]:
             raise ValueError(f"page {number} of stream {serial} does not continue its packet")
         s["pages"] += 1
         s["closed"] = bool(flags & LAST)
-        body, size = at + HEADER.size + n, 0
+        body, size, finished = at + HEADER.size + n, 0, False
         for k in lacing:
             size += k
             if k < 255:
                 s["packets"].append(b"".join([*s["open"], media[body : body + size]]))
                 s["ends"].append(None)
-                s["open"], body, size = [], body + size, 0
+                s["open"], body, size, finished = [], body + size, 0, True
         if size:
             s["open"].append(media[body : body + size])
-        if granule != NO_PACKET_ENDS and s["ends"]:
+        if finished != (granule != NO_PACKET_ENDS):
+            raise ValueError(f"the granule position of page {number} of stream {serial} does not say whether a packet ends there")
+        if finished:
             s["ends"][-1] = granule
         at = end
     if any(s["open"] or not s["closed"] for s in streams.values()):
@@ -136,24 +140,49 @@ def logical_streams(media: bytes) -> dict[int, dict]:
     return streams
 
 
+def packet_ends(durations: list[int], ends: list[int | None]) -> list[int]:
+    """End of each packet in samples: a page's granule position is that of the last packet it ends, the others lie before it."""
+    out: list[int] = [0] * len(ends)
+    for i in reversed(range(len(ends))):
+        own = ends[i]
+        out[i] = out[i + 1] - durations[i + 1] if own is None else own
+    return out
+
+
+def _stream(streams: dict[int, dict], magic: bytes, head: struct.Struct) -> dict:
+    for s in streams.values():
+        if s["packets"] and s["packets"][0].startswith(magic):
+            if len(s["packets"][0]) < head.size:
+                raise ValueError(f"the header of stream {magic.decode().strip()} is too short")
+            return s
+    raise ValueError("a logical stream is missing")
+
+
 def decode(media: bytes) -> dict:
-    """Samples, time marks and figures of a stored stream; raises ValueError where a check fails."""
+    """Samples, timed packets and figures of a stored stream; raises ValueError where a check fails."""
     streams = logical_streams(media)
-    sound = next((s for s in streams.values() if s["packets"][0].startswith(PCM_MAGIC)), None)
-    marks = next((s for s in streams.values() if s["packets"][0].startswith(MARK_MAGIC)), None)
-    if sound is None or marks is None:
-        raise ValueError("a logical stream is missing")
-    rate = struct.unpack_from("<I", sound["packets"][0], 16)[0]
+    sound, marks = _stream(streams, PCM_MAGIC, PCM_HEAD), _stream(streams, MARK_MAGIC, MARK_HEAD)
+    rate, every = PCM_HEAD.unpack_from(sound["packets"][0])[4], MARK_HEAD.unpack_from(marks["packets"][0])[2]
+    if rate == 0:
+        raise ValueError("the sample rate is 0")
     payload = b"".join(sound["packets"][1:])
-    end = next(g for g in reversed(sound["ends"]) if g is not None)
-    if end != len(payload):
-        raise ValueError("the last granule position differs from the samples")
+    if not payload:
+        raise ValueError("there are no samples")
+    sizes = [0, *map(len, sound["packets"][1:])]
+    ends = packet_ends(sizes, sound["ends"])
+    if any(end - before != size for before, end, size in zip(ends, ends[1:], sizes[1:], strict=False)) or ends[0]:
+        raise ValueError("granule positions differ from the samples")
+    at = packet_ends([0, 0, *[every] * (len(marks["packets"]) - 2)], marks["ends"])
+    if any(f"{a / rate:.3f}".encode() != text for a, text in zip(at[1:], marks["packets"][1:], strict=True)):
+        raise ValueError("a time mark differs from its granule position")
     x = np.frombuffer(payload, np.uint8)
     crossings = int(np.count_nonzero(np.diff((x >= 128).view(np.int8)))) if len(x) > 1 else 0
     return {
         "payload": payload,
-        "feature": f"rate={rate};seconds={end / rate:.6f};pages={sum(s['pages'] for s in streams.values())};packets={len(sound['packets'])};"
-        f"marks={len(marks['packets']) - 1};last_mark={marks['packets'][-1].decode()};mean={x.mean():.6f};crossings={crossings}",
+        "packets": [(PCM_MAGIC.decode().strip(), k, (end - size) / rate, end / rate, size) for k, (end, size) in enumerate(zip(ends, sizes, strict=True)) if k]
+        + [(MARK_MAGIC.decode(), k, a / rate, a / rate, len(marks["packets"][k])) for k, a in enumerate(at) if k],
+        "feature": f"rate={rate};seconds={ends[-1] / rate:.6f};pages={sum(s['pages'] for s in streams.values())};packets={len(sound['packets'])};"
+        f"last_packet={(ends[-1] - sizes[-1]) / rate:.6f};marks={len(at) - 1};last_mark={at[-1] / rate:.6f};mean={x.mean():.6f};crossings={crossings}",
     }
 
 
@@ -206,6 +235,27 @@ def decode_media(df: DataFrame, keep_payload: bool = False) -> DataFrame:
     return df.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
+def packet_times(df: DataFrame) -> DataFrame:
+    """doc_id, stream, packet, start_s, end_s and n_bytes of every packet of the ``media`` column, timed by granule positions.
+
+    Media that are null or fail a check have no rows here; decode_media says why.
+    """
+    names = ["doc_id", "stream", "packet", "start_s", "end_s", "n_bytes"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, media in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                try:
+                    rows = [(doc_id, *p) for p in decode(media)["packets"]] if media is not None else []
+                except ValueError:
+                    rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return df.select("doc_id", "media").mapInArrow(run, "doc_id long, stream string, packet long, start_s double, end_s double, n_bytes long")
+
+
 def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an Ogg stream and read back from the stored bytes."""
     return decode_media(encode_media(table(spark, sf_dir, "documents"))).drop("payload", "error")
