@@ -21,6 +21,7 @@ from itertools import chain
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 
 from sparksci.llm.common import table
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces of up to so many bytes go through their trees together.
 TOGETHER = 64
-#: Pieces in a task's newer memory; a full one becomes the older. Bounds a worker's memory, not what is encoded.
-REMEMBERED = 150_000
+#: Bytes of pieces in a task's newer memory, and what a piece weighs at least; a full one becomes the older.
+#: Bounds a worker's memory, not what is encoded.
+REMEMBERED, LEAST_WEIGHT = 9_600_000, 64
 NEVER = np.int64(1) << np.int64(40)
 # The published split pattern of byte-level BPE vocabularies; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,11 +47,35 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def refuse_unsupported(spec: dict) -> None:
+    """Raise where a tokenizer file asks for what this module does not do, rather than encode otherwise than it says."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [
+        name
+        for name, bad in (
+            ("a model other than BPE", model.get("type", "BPE") != "BPE"),
+            ("dropout", model.get("dropout")),
+            ("subword affixes", model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")),
+            ("byte fallback", model.get("byte_fallback")),
+            ("merges ignored for whole words", model.get("ignore_merges")),
+            ("a normalizer", spec.get("normalizer")),
+            ("a pre-tokenizer other than byte-level", pre.get("type") != "ByteLevel"),
+            ("a prefix space", pre.get("add_prefix_space")),
+            ("a split other than the byte-level pattern", pre.get("use_regex") is False),
+            ("added tokens that strip blanks or match whole words only", any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"])),
+        )
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"the tokenizer file has {', '.join(wrong)}")
+
+
 class Vocabulary:
     """Ids, merge ranks and special tokens of a tokenizer file, as arrays for lookups of many pairs."""
 
     def __init__(self, source: str):
         spec = json.loads(source)
+        refuse_unsupported(spec)
         ids, merges = spec["model"]["vocab"], spec["model"]["merges"]
         letters = byte_letters()
         back = {c: b for b, c in enumerate(letters)}
@@ -212,6 +238,7 @@ class Encoder:
         self.v = Vocabulary(source)
         self.known: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
         self.older: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.weight = 0
 
     def pieces(self, text: str) -> list[str]:
         v = self.v
@@ -224,7 +251,9 @@ class Encoder:
 
     def learn(self, new: list[str]) -> None:
         older = self.older
-        self.known.update((s, older[s]) for s in new if s in older)
+        again = [s for s in new if s in older]
+        self.known.update((s, older[s]) for s in again)
+        self.weight += sum(max(LEAST_WEIGHT, len(s)) for s in again)
         for s in [s for s in new if s.startswith("\0special") and s[8:] in self.v.special]:
             self.remember([s], [(self.v.special[s[8:]],)])
         by_width: dict[int, list[str]] = {}
@@ -246,11 +275,12 @@ class Encoder:
         decimal, bytes_of = self.v.decimal.__getitem__, self.v.bytes_of.__getitem__
         for s, ids in zip(pieces, encoded, strict=True):
             self.known[s] = (ids, ",".join(map(decimal, ids)), b"".join(map(bytes_of, ids)))
+        self.weight += sum(max(LEAST_WEIGHT, len(s)) for s in pieces)
 
     def lookup(self, texts: list[str | None]) -> list[list[tuple[tuple[int, ...], str, bytes]]]:
         """What is known of the pieces of each text, after learning the new ones."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if self.weight > REMEMBERED:
+            self.known, self.older, self.weight = {}, self.known, 0
         split = [self.pieces(t or "") for t in texts]
         self.learn(list(set(chain.from_iterable(split)) - self.known.keys()))
         return [list(map(self.known.__getitem__, p)) for p in split]
