@@ -1,11 +1,14 @@
 """Sharding by longest-processing-time scheduling of groups that stay together.
 
 Groups (here: equal texts) are sorted by size and each goes to the least-loaded
-shard of a heap.  Groups of one size class are interchangeable, so the heap runs
-over the classes, whose number is bounded, and each class's groups are cut by rank.
+shard of a heap.  Groups of one size are interchangeable, so the heap runs over the
+distinct sizes with the number of groups of each, and the groups of a size are cut by
+rank.  The sizes are distinct whole numbers whose sum is at most the bytes of the
+table, so the driver sees at most sqrt(2 * bytes) of them, and one more for each part.
 
 Defined cases: null text is a text of no bytes and groups with the empty text;
-repeated rows keep a row each; an empty table gives no rows.
+repeated rows keep a row each; an empty table gives no rows; equal loads go to the
+smaller shard.
 """
 
 from __future__ import annotations
@@ -20,22 +23,19 @@ from pyspark.sql import functions as F
 
 from sparksci.llm.common import byte_length, discard, shares, table, written
 
-#: Sizes keep so many leading bits: exact below 65,536 bytes, within 1 in 32,768 beyond.
-#: This bounds the classes (and what the driver sees) at 2**15 for each further bit of size.
-CLASS_BITS = 16
 GROUPS_A_PART = 500_000
 
 
-def lpt(classes: list[tuple[int, int, int]], shards: int) -> dict[int, list[int]]:
-    """How many groups of each class go to each shard: {class: counts}.
+def lpt(sizes: list[tuple[int, int]], shards: int) -> dict[int, list[int]]:
+    """How many groups of each size go to each shard, {size: counts}, from (size, groups).
 
-    classes: (class, groups, bytes in all). Every group weighs its class's mean. Whole rounds, one group to
-    each shard, are dealt at once where they keep the heap's order: when all loads are within one weight.
+    Whole rounds, one group to each shard, are dealt at once where they keep the heap's order: when all loads
+    are within one group of each other.
     """
-    heap = [(0.0, k) for k in range(shards)]
+    heap = [(0, k) for k in range(shards)]
     dealt = {}
-    for c, n, total in sorted(classes, reverse=True):
-        weight, counts = total / n, [0] * shards
+    for weight, n in sorted(sizes, reverse=True):
+        counts = [0] * shards
         while n:
             if n > 2 * shards and max(heap)[0] - heap[0][0] <= weight:
                 rounds = n // shards - 1
@@ -47,15 +47,33 @@ def lpt(classes: list[tuple[int, int, int]], shards: int) -> dict[int, list[int]
             heapq.heapreplace(heap, (load + weight, k))
             counts[k] += 1
             n -= 1
-        dealt[c] = counts
+        dealt[weight] = counts
     return dealt
 
 
+def _cuts(cells: list[tuple[int, int, int]], shards: int) -> pa.Table:
+    """For each (size, part) of the sorted groups with its number of groups: after which rank each shard's share ends."""
+    held: dict[int, int] = {}
+    for size, _, n in cells:
+        held[size] = held.get(size, 0) + n
+    left = lpt(list(held.items()), shards)
+    ends = np.empty((len(cells), shards), np.int64)
+    for row, (size, _, n) in enumerate(cells):
+        taken, rest = 0, left[size]
+        for k in range(shards):
+            take = min(n - taken, rest[k])
+            rest[k] -= take
+            taken += take
+            ends[row, k] = taken
+    size, part = (pa.array([c[i] for c in cells], kind) for i, kind in ((0, pa.int64()), (1, pa.int32())))
+    return pa.table([size, part, pa.ListArray.from_arrays(np.arange(len(cells) + 1, dtype=np.int32) * shards, ends.ravel())], names=["weight", "part", "cuts"])
+
+
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the groups of a sorted partition within each class, in order."""
+    """Number the groups of a sorted partition within each size, in order."""
     last, seen = None, 0
     for batch in batches:
-        c = batch.column(2).to_numpy()
+        c = batch.column(1).to_numpy()
         if not len(c):
             continue
         starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
@@ -85,39 +103,22 @@ def shard_by_size(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     rows = df.select(
         F.col(id_col).cast("long").alias("doc_id"), (byte_length(F.col(text_col)) + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("grp")
     )
-    bits = F.length(F.regexp_replace(F.bin("weight"), "^0+", ""))
-    drop = F.greatest(bits - CLASS_BITS, F.lit(0))
-    unit = F.pow(F.lit(2.0), drop).cast("long")
-    groups = rows.groupBy("grp").agg(F.sum("size").alias("weight")).withColumn("class", F.floor(F.col("weight") / unit).cast("long") * unit)
+    groups = rows.groupBy("grp").agg(F.sum("size").alias("weight"))
     total = df.count()
     parts = shares(total, GROUPS_A_PART, groups.sparkSession.sparkContext.defaultParallelism)
     ranked = (
-        groups.repartitionByRange(parts, F.desc("class"), "grp")
-        .sortWithinPartitions(F.desc("class"), "grp")
-        .mapInArrow(_ranked, "grp binary, weight long, class long, place long")
+        groups.repartitionByRange(parts, F.desc("weight"), "grp")
+        .sortWithinPartitions(F.desc("weight"), "grp")
+        .mapInArrow(_ranked, "grp binary, weight long, place long")
         .withColumn("part", F.spark_partition_id())
     )
     ranked = written(ranked, "shard-groups")
-    # A class lies in neighbouring parts of the range, so there are at most classes + parts cells.
-    cells = ranked.groupBy("class", "part").agg(F.count("*").alias("n"), F.sum("weight").alias("bytes")).collect()
-    classes: dict[int, list[int]] = {}
-    for c in cells:
-        own = classes.setdefault(c["class"], [0, 0])
-        own[0] += c["n"]
-        own[1] += c["bytes"]
-    dealt = lpt([(c, *v) for c, v in classes.items()], shards)
-    cuts = []
-    for c in sorted(cells, key=lambda c: (c["class"], c["part"])):
-        left, n, mine = dealt[c["class"]], c["n"], []
-        for k in range(shards):
-            take = min(n, left[k])
-            left[k] -= take
-            n -= take
-            mine.append((mine[-1] if mine else 0) + take)
-        cuts.append((c["class"], c["part"], mine))
+    # A size lies in neighbouring parts of the range, so there are at most sizes + parts cells.
+    cells = ranked.groupBy("weight", "part").agg(F.count("*").alias("n")).toArrow()
+    cells = sorted(zip(*(cells.column(c).to_pylist() for c in ("weight", "part", "n")), strict=True))
     spark = df.sparkSession
-    limits = spark.createDataFrame(cuts, "class long, part int, cuts array<long>")
-    placed = ranked.join(limits, ["class", "part"]).select("grp", F.size(F.filter("cuts", lambda x: x <= F.col("place"))).alias("shard"))
+    limits = spark.createDataFrame(_cuts(cells, shards), "weight long, part int, cuts array<long>")
+    placed = ranked.join(limits, ["weight", "part"]).select("grp", F.size(F.filter("cuts", lambda x: x <= F.col("place"))).alias("shard"))
     sharded = rows.join(placed, "grp").select("doc_id", "size", "text_crc32", "shard")
     numbered = written(sharded.mapInArrow(_numbered, "doc_id long, size long, text_crc32 long, shard int, at long").withColumn("part", F.spark_partition_id()), "shard-rows")
     discard(ranked)
