@@ -1,8 +1,11 @@
 """Each operator against brute force, exact round trips or held-out accuracy; and its defined edge cases."""
 
 import hashlib
+import heapq
+import json
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -81,16 +84,43 @@ def test_sharding_law(spark, odd):
     assert {r["text_crc32"] for r in got if r["size"] == 4 + 1} == {zlib.crc32(b"word")}
 
 
-def test_lpt_equals_a_plain_heap():
-    rng = random.Random(5)
-    sizes = [rng.randint(1, 40) for _ in range(500)] + [1000]
-    classes = {}
-    for s in sizes:
-        n, t = classes.get(s, (0, 0))
-        classes[s] = (n + 1, t + s)
-    dealt = sharding.lpt([(c, *v) for c, v in classes.items()], 8)
-    loads = [sum(c * counts[k] for c, counts in dealt.items()) for k in range(8)]
-    assert sum(loads) == sum(sizes) and max(loads) - min(loads) <= 1
+def plain_heap(sizes, shards):
+    """Longest processing time by the book: every group by itself, largest first, to the least-loaded shard."""
+    heap = [(0, k) for k in range(shards)]
+    counts = {}
+    for s in sorted(sizes, reverse=True):
+        load, k = heapq.heappop(heap)
+        heapq.heappush(heap, (load + s, k))
+        counts.setdefault(s, [0] * shards)[k] += 1
+    return counts
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lpt_equals_a_plain_heap(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 40 if seed % 2 else 5) for _ in range(500)] + [rng.randint(1, 10**7) for _ in range(seed * 10)] + [1000]
+    assert sharding.lpt(list(Counter(sizes).items()), 8) == plain_heap(sizes, 8)
+
+
+def test_shards_of_long_texts_equal_a_plain_heap(spark):
+    """Sizes near each other beyond 65,536 bytes, equal texts together."""
+    rng = random.Random(8)
+    texts = [f"{i:03d}" + "x" * n for i, n in enumerate([70_000 + rng.randint(0, 40) for _ in range(60)] + [rng.randint(0, 50) for _ in range(200)])]
+    texts += texts[:5] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = Counter()
+    for t in texts:
+        weights[t or ""] += len(t or "") + 1
+    want = Counter()
+    for size, counts in plain_heap(list(weights.values()), 8).items():
+        for k, n in enumerate(counts):
+            want[k] += size * n
+    got = rows(sharding.shard_by_size(df, 8))
+    loads = Counter()
+    for r in got:
+        loads[r["shard"]] += r["size"]
+        assert (r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]] or "") + 1, zlib.crc32((texts[r["doc_id"]] or "").encode()))
+    assert loads == want and len(got) == len(texts)
 
 
 def test_sharding_is_balanced(spark, sf):
@@ -136,6 +166,37 @@ def test_packing_keeps_every_word(spark, odd):
     assert max(held.values()) <= 64
 
 
+def test_packing_keeps_whole_number_ids_beside_a_null_id(spark):
+    big = 2**53 + 1
+    data = [(big, "a b c", "s0", 1), (big + 2, "d e", "s1", 2), (None, "f", "s2", 3), (big + 4, "", None, 4)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, task int")
+    got = rows(packing.pack_documents(df))
+    assert sorted((r["doc_id"] or 0, r["n"]) for r in got) == [(0, 1), (big, 3), (big + 2, 2), (big + 4, 0)]
+
+
+def test_packing_query_columns_equal_brute_force_bins(spark):
+    """One task: each bin as the tightest compatible one, recomputed from the texts with sets and dictionaries."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 40))) for _ in range(80)]
+    texts += [t.upper() + " " for t in texts[:10]]
+    data = [(i, t, f"s{rng.randint(0, 5)}" if i % 7 else None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["bin"], r["offset"]) for r in rows(packing.pack_documents(spark.createDataFrame(data, "doc_id long, text string, source string"), 48, 1000))}
+    want, bins = {}, []
+    for i, t, source in sorted(data, key=lambda x: (-len(x[1].split()), x[0])):
+        n, own = len(t.split()), " ".join(t.lower().split())
+        fit = [b for b in bins if b["room"] >= n and source not in b["sources"] and own not in b["texts"]]
+        best = min(fit, key=lambda b: (b["room"], b["aged"])) if fit else None
+        if best is None:
+            best = {"room": 48, "sources": set(), "texts": set(), "number": len(bins)}
+            bins.append(best)
+        want[i] = (best["number"], 48 - best["room"])
+        best["room"] -= n
+        best["aged"] = len(want)  # of bins with equal room, the one that came to it first is tried first
+        best["sources"] |= {source} - {None}
+        best["texts"].add(own)
+    assert got == want
+
+
 # --- op4 ---------------------------------------------------------------------------------------
 
 
@@ -231,6 +292,23 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(df.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_searches_a_repeated_query_once(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(3)
+    v = [x.tolist() for x in rng.normal(size=(40, 4))]
+    data = [(i, x, 7.0, i) for i, x in enumerate(v)] + [(0, v[0], None, None), (10, v[10], None, None), (10, [9.0, 9.0, 9.0, 9.0], 1.0, 1)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, score double, rank int")
+    got = rows(topk.top_k(df, F.col("vec_id") % 10 == 0, 5, pivots=4))
+    whole = [(i, np.floor(1024 * np.array(x)).astype(np.int64)) for i, x, _, _ in data]
+    want = []
+    for q in range(0, 40, 10):
+        own = min(x.tolist() for i, x in whole if i == q)
+        found = sorted((-int(x @ np.array(own)), i) for i, x in whole if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+
+
 # --- op6 ---------------------------------------------------------------------------------------
 
 
@@ -338,6 +416,37 @@ def test_line_index_is_reversible(spark):
     assert [r["last_doc"] for r in rows(again.repeated(keys))] == [2]
 
 
+def test_full_filters_are_rebuilt_and_stay_reversible(spark):
+    """Batches far larger than the filters they meet: no key is lost, inserting and deleting go on."""
+    few = spark.createDataFrame([(i, "the first line that counts here") for i in range(3)], "doc_id long, text string")
+    text = "\n".join(f"line number {k} that is long enough to count" for k in range(3000))
+    many = spark.createDataFrame([(10 + i, text) for i in range(3)], "doc_id long, text string")
+    more = line_dedup.LineIndex.build(few).insert(many)
+    keys = more.refs.select("key").distinct()
+    assert more.filters.where("filter IS NULL OR length(filter) = 0").isEmpty()
+    assert more.repeated(keys).count() == 3001
+    again = more.insert(spark.createDataFrame([(20 + i, text.replace("line", "other line")) for i in range(3)], "doc_id long, text string"))
+    assert again.repeated(again.refs.select("key").distinct()).count() == 6001
+    less = again.delete(many.select("doc_id").limit(1))
+    assert less.repeated(keys).count() == 1
+
+
+def test_lines_of_repeated_ids_and_clashing_columns(spark):
+    a, b = "the first of two lines that repeat", "the second of two lines that repeat"
+    data = [(1, a, 5, "x", None), (1, b, 6, "y", None), (2, f"{a}\n{b}", 7, "z", None), (3, f"{a.upper()}\n {b}\nown", 8, "w", None), (None, a, 9, "v", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, n_lines long, key string, gone string")
+    got = [(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"], r["key"]) for r in rows(line_dedup.dedup_lines(df))]
+    assert sorted(got, key=str) == sorted([(1, "", 1, 1, "x"), (1, "", 1, 1, "y"), (2, "", 2, 2, "z"), (3, f"{a.upper()}\n {b}\nown", 3, 0, "w"), (None, a, 1, 0, "v")], key=str)
+
+
+def test_line_dedup_of_a_long_document_with_many_repeated_lines(spark):
+    lines = [f"line number {k} that is long enough to count" for k in range(4000)]
+    data = [(i, "\n".join(lines[i:] + [f"own {i}"])) for i in range(3)]
+    got = {r["doc_id"]: r for r in rows(line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert [got[i]["n_dropped"] for i in range(3)] == [3998, 3998, 0]
+    assert got[0]["text"] == "\n".join(lines[:2] + ["own 0"])
+
+
 def test_line_dedup_edge_cases(spark, odd, empty):
     got = rows(line_dedup.dedup_lines(odd))
     assert len(got) == odd.count() and sum(r["n_dropped"] for r in got) == 0
@@ -384,6 +493,67 @@ def test_ogg_damage_is_found(spark):
     assert "checksum" in got[1]["error"] and got[2]["error"] == "no media" and got[3]["error"]
 
 
+def test_ogg_malformed_streams_say_why(spark):
+    """Valid checksums around packets that make no sense: every row gets its reason, none fails the job."""
+
+    def one(*streams):
+        return b"".join(p for k, packets in enumerate(streams) for _, p in ogg.stream_pages(k, packets))
+
+    head, mark = ogg.PCM_HEAD.pack(ogg.PCM_MAGIC, 0, 0, 1, 8000, 0, 1, 4096, 0), ogg.MARK_HEAD.pack(ogg.MARK_MAGIC, 8000, 32000)
+    stopped = ogg.PCM_HEAD.pack(ogg.PCM_MAGIC, 0, 0, 1, 0, 0, 1, 4096, 0)
+    sound, marks = [(head, 0), (b"x" * 192, 192)], [(mark, 0), (b"0.000", 0)]
+    empty_page = ogg._page(3, 0, ogg.FIRST | ogg.LAST, ogg.NO_PACKET_ENDS, b"", b"")
+    media = {
+        "good": one(sound, marks),
+        "no packet": empty_page,
+        "empty": b"",
+        "short header": one([(b"PCM     ", 0), (b"x", 1)], marks),
+        "short mark header": one(sound, [(b"TIMEMARK", 0)]),
+        "rate 0": one([(stopped, 0), (b"x" * 192, 192)], marks),
+        "no samples": one([(head, 0)], marks),
+        "wrong granule": one([(head, 0), (b"x" * 192, 191)], marks),
+        "granule without packet": ogg._page(3, 0, ogg.FIRST | ogg.LAST, 5, b"", b""),
+        "wrong mark": one(sound, [(mark, 0), (b"1.000", 0)]),
+        "mark not text": one(sound, [(mark, 0), (b"\xff\xfe", 0)]),
+        "only sound": one(sound),
+    }
+    df = spark.createDataFrame([(i, 192, m) for i, m in enumerate(media.values())], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in rows(ogg.decode_media(df))}
+    assert len(got) == len(media)
+    for i, name in enumerate(media):
+        assert (got[i]["error"] is None) == (name == "good"), name
+        assert (got[i]["feature"] is None) == (name != "good")
+    assert {r["doc_id"] for r in rows(ogg.packet_times(df))} == {0}
+
+
+def test_packets_are_timed_by_granules(spark):
+    n = 3 * 32_000 + 5
+    got = rows(ogg.packet_times(ogg.encode_media(spark.createDataFrame([(1, "a" * n)], "doc_id long, text string"))))
+    total = -(-n // 192) * 192
+    sound = sorted((r["packet"], r["start_s"], r["end_s"], r["n_bytes"]) for r in got if r["stream"] == "PCM")
+    assert sound == [(k + 1, a / 8000, min(a + 4096, total) / 8000, min(4096, total - a)) for k, a in enumerate(range(0, total, 4096))]
+    assert sorted((r["packet"], r["start_s"]) for r in got if r["stream"] == "TIMEMARK") == [(k + 1, 4.0 * k) for k in range(4)]
+
+
+def test_ogg_query_fields_are_recomputed(spark, sf):
+    """All contract columns from the texts and, for the stored form, from the media column by itself."""
+    docs = {r["doc_id"]: r["text"] for r in rows(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))}
+    media = {r["doc_id"]: bytes(r["media"]) for r in rows(ogg.encode_media(spark.read.parquet(f"{sf}/documents.parquet")))}
+    got = rows(ogg.op9_ogg_media(spark, sf))
+    assert len(got) == len(docs)
+    for r in got:
+        raw = (docs[r["doc_id"]] or "").encode()
+        payload = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(payload[-16:])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media[r["doc_id"]]), hashlib.sha256(media[r["doc_id"]]).hexdigest())
+        x = np.frombuffer(payload, np.uint8)
+        fields = dict(f.split("=") for f in r["feature"].split(";"))
+        assert float(fields["seconds"]) == pytest.approx(len(payload) / 8000, abs=1e-6) and float(fields["mean"]) == pytest.approx(x.mean(), abs=1e-6)
+        assert int(fields["crossings"]) == sum((a < 128) != (b < 128) for a, b in zip(payload, payload[1:], strict=False))
+        assert int(fields["packets"]) == 1 + -(-len(payload) // 4096) and int(fields["marks"]) == -(-len(payload) // 32_000)
+
+
 def test_ogg_edge_cases(spark, odd):
     got = rows(ogg.decode_media(ogg.encode_media(odd)))
     assert len(got) == odd.count() and all(r["error"] is None for r in got)
@@ -408,6 +578,37 @@ def test_bpe_equals_the_library():
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False) == t
 
 
+def test_bpe_digests_equal_the_library_on_a_table(spark, sf, odd):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.VOCABULARY)
+    for df in (spark.read.parquet(f"{sf}/documents.parquet"), odd):
+        texts = Counter((r["doc_id"], r["text"] or "") for r in rows(df))
+        want = Counter()
+        for (i, t), n in texts.items():
+            ids = library.encode(t, add_special_tokens=False).ids
+            back = library.decode(ids, skip_special_tokens=False)
+            want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()] += n
+        assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows(bpe.digests(df))) == want
+
+
+def test_bpe_refuses_files_that_ask_for_more():
+    spec = json.loads(open(bpe.VOCABULARY).read())
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}):
+        with pytest.raises(ValueError, match="tokenizer file"):
+            bpe.refuse_unsupported(spec | change)
+
+
+def test_bpe_memory_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 2000)
+    own = bpe.Encoder(open(bpe.VOCABULARY).read())
+    fresh = bpe.Encoder(open(bpe.VOCABULARY).read())
+    for k in range(50):
+        text = f"piece{k} " + "z" * (100 + k)
+        assert own.encode_batch([text]) == fresh.encode_batch([text])
+        assert len(own.known) + len(own.older) < 200
+
+
 def test_bpe_round_trip(spark, odd):
     ids = bpe.encode(odd)
     back = {r["doc_id"]: r["text"] for r in rows(bpe.decode(ids)) if r["doc_id"] is not None}
