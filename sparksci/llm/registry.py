@@ -19,6 +19,7 @@ QUERIES = {
 LARGER = {"op4_lm_scores_order3": lm_score.op4_lm_scores_order3}
 
 ORACLES = {
+    "op1_url_rules": url_rules.ORACLE,
     "op4_lm_scores": lm_score.ORACLE,
     "op5_top_k": topk.ORACLE,
     "op6_language_id": language_id.ORACLE,

@@ -6,6 +6,7 @@ import json
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -50,7 +51,7 @@ def test_policy_longest_rule_wins(spark):
         None: ("", "", None, "allow"),
     }
     pages = spark.createDataFrame([(i, u, "host?") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    none = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
+    none = spark.createDataFrame([], url_rules.RULES)
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows(url_rules.judge(pages, none))}
     assert got == dict(enumerate(urls.values()))
 
@@ -59,13 +60,52 @@ def test_mined_rules_block_what_holds_all_their_tokens(spark):
     bad = [(f"http://spam{i % 2}.test/win/{i}?promo=1", True) for i in range(60)]
     good = [(f"http://spam{i % 2}.test/news/{i}", False) for i in range(60)] + [(f"http://fine.test/win/{i}", False) for i in range(60)]
     labelled = spark.createDataFrame(bad + good, "url string, bad boolean")
-    rules = rows(url_rules.mine(labelled, 0.05, 0.9))
-    assert rules and all(r["confidence"] >= 0.9 for r in rules)
-    sets = [set(r["tokens"]) for r in rules]
-    assert not any(a < b for a in sets for b in sets)  # shorter rules that are as sure replace longer ones
-    pages = spark.createDataFrame([(1, "http://spam0.test/win/9?promo=2"), (2, "http://spam0.test/news/9"), (3, "http://fine.test/win/3")], "page_id long, url string")
-    got = {r["page_id"]: r["verdict"] for r in rows(url_rules.judge(pages, spark.createDataFrame(url_rules.mine(labelled, 0.05, 0.9).collect(), "rule_id long, tokens array<string>, confidence double, support double")))}
-    assert got == {1: "block", 2: "allow", 3: "allow"}
+    rules = url_rules.mine(labelled, 0.05, 0.9)
+    sets = [(r["verdict"], set(r["tokens"])) for r in rows(rules)]
+    assert {v for v, _ in sets} == {"block", "allow"} and all(r["confidence"] >= 0.9 for r in rows(rules))
+    assert not any(a < b and v == w for v, a in sets for w, b in sets)  # shorter rules that are as sure replace longer ones
+    data = [(1, "http://spam0.test/win/9?promo=2"), (2, "http://spam0.test/news/9"), (3, "http://fine.test/win/3"), (1, "http://spam0.test/win/9?promo=2"), (None, "http://spam1.test/win/8?promo=2"), (4, None)]
+    got = rows(url_rules.judge(spark.createDataFrame(data, "page_id long, url string"), rules))
+    assert sorted((r["page_id"] or 0, r["verdict"], r["mined"]) for r in got if r["page_id"] != 4) == [(0, "block", "block"), (1, "block", "block"), (1, "block", "block"), (2, "allow", "allow"), (3, "allow", "allow")]
+    assert [(r["verdict"], r["mined"]) for r in got if r["page_id"] == 4] == [("allow", None)]
+
+
+def test_mined_rules_equal_counting_all_token_sets(spark):
+    rng = random.Random(4)
+    labelled = []
+    for i in range(400):
+        parts = [rng.choice(["a", "bb", "cc"]), rng.choice(["shop", "blog"]), rng.choice(["en", "de"])]
+        labelled.append((f"http://{parts[1]}.{parts[0]}x.org/{parts[2]}/{i}" + rng.choice(["", "?ref=1", "?page=2&ref=3"]), rng.random() < (0.7 if parts[:2] == ["bb", "shop"] else 0.2)))
+    df = spark.createDataFrame(labelled, "url string, bad boolean")
+    baskets = [(frozenset(t), b) for t, b in df.select(url_rules.tokens(F.col("url")), "bad").collect()]
+    share = sum(b for _, b in baskets) / len(baskets)
+    counts = {}
+    for own, b in baskets:
+        for k in range(1, len(own) + 1):
+            for s in combinations(sorted(own), k):
+                n, bad = counts.get(s, (0, 0))
+                counts[s] = (n + 1, bad + b)
+    found = {}
+    for s, (n, bad) in counts.items():
+        for verdict, m, base in (("block", bad, share), ("allow", n - bad, 1 - share)):
+            if m >= 20 and m / n >= 0.5 and (m / n - base) / (base * (1 - base) / n) ** 0.5 >= 2:
+                found[s, verdict] = m / n
+    want = {(s, v): c for (s, v), c in found.items() if not any(w == v and set(x) < set(s) and d >= c for (x, w), d in found.items())}
+    got = {(tuple(sorted(r["tokens"])), r["verdict"]): r["confidence"] for r in rows(url_rules.mine(df))}
+    assert want and {v for _, v in want} == {"block", "allow"} and got == pytest.approx(want)
+
+
+def test_mining_long_urls_and_nothing(spark, empty):
+    long = [("http://a.test/" + "/".join(f"part{chr(97 + k)}x" for k in range(24)) + f"?i={i}", i % 4 == 0) for i in range(50)]
+    rules = url_rules.mine(spark.createDataFrame(long + [("http://b.test/" + "y" * 50_000, True), (None, True), ("", None)], "url string, bad boolean"))
+    assert rules.count() >= 0
+    none = spark.createDataFrame([], "url string, bad boolean")
+    assert url_rules.mine(none).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, verdict string")
+    assert url_rules.judge(pages, url_rules.mine(none)).count() == 0
+    labels = spark.createDataFrame([(1, None, None, "x"), (None, 0, 1, "x"), (2, 0, None, "x"), (2, 1, 0, "y")], "doc_id long, quality int, toxic int, url string")
+    urls = spark.createDataFrame([("http://h/1",), ("http://h/2",), (None,), ("http://h/x",)], "url string")
+    assert sorted((r["url"], r["bad"]) for r in rows(url_rules.labelled_urls(urls, labels))) == [("http://h/1", False), ("http://h/2", True)]
 
 
 # --- op2 ---------------------------------------------------------------------------------------
