@@ -28,11 +28,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id stays, or one row if none has an id."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one row stays: that with the least id, or any if none has one.
+
+    Repeated rows of an id are rows of the group; rows without words are in no group and all stay.
+    """
     doc_id = F.col("doc_id").cast("long")
-    loose = written(docs.where(doc_id.isNull()).withColumn("__row", F.monotonically_increasing_id()), "pipeline-loose")
-    rows = docs.where(doc_id.isNotNull()).withColumn("__row", F.lit(None).cast("long")).unionByName(loose)
-    kept = near_dedup.near_duplicates(rows, width=5, similarity=0.8, row_col="__row").where("kept").select(F.col("doc_id").alias("__kept"), F.col("__row").alias("__kept_row")).distinct()
+    often = written(docs.select(doc_id.alias("__often")).groupBy("__often").count().where("__often IS NOT NULL AND count > 1").select("__often"), "pipeline-often")
+    # Rows that their id does not tell apart are numbered; there are few of them, and the others are not written again.
+    apart = docs.where(doc_id.isNull()).unionByName(docs.join(often, doc_id == F.col("__often"), "left_semi"))
+    loose = written(apart.withColumn("__row", F.monotonically_increasing_id()), "pipeline-loose")
+    named = docs.where(doc_id.isNotNull()).join(often, doc_id == F.col("__often"), "left_anti")
+    rows = named.withColumn("__row", F.lit(None).cast("long")).unionByName(loose)
+    kept = near_dedup.near_duplicates(rows, width=5, similarity=0.8, row_col="__row").where("kept").select(F.col("doc_id").alias("__kept"), F.col("__row").alias("__kept_row"))
     return rows.join(kept, doc_id.eqNullSafe(F.col("__kept")) & F.col("__row").eqNullSafe(F.col("__kept_row")), "left_semi").drop("__row")
 
 

@@ -5,9 +5,11 @@ likely pairs into buckets; the samples, folded into a parity bitmap (an odd sket
 travel with each document, and the population count of two sketches' XOR estimates
 the similarity, so that pairs far below the threshold are never fetched.  What is
 left is confirmed on the full sets.  Documents with equal sets are one node from the
-start.  Round 1 confirms each document's best partners; round 2 confirms every pair
-that passes and still lies in two components, so large groups of copies cost a few
-links a document and no link between different texts is lost.  Round 2 also folds the
+start.  Round 1 deals each bucket to chunks of a bounded size, a row a member, and
+confirms each document's best partner there and its likeness to the bucket's first
+member; round 2 confirms every pair that passes and still lies in two components, so
+large groups of copies cost a few links a document and no link between different texts
+is lost.  Round 2 also folds the
 full sets into odd sketches that grow with them: their XOR has at most as many bits as
 the sets differ in shingles, so a pair with more is certainly below the threshold.
 
@@ -16,7 +18,8 @@ The bands miss a pair at the threshold with a probability of (1 - 0.8**4)**24 =
 Defined cases: documents without words are linked with nothing; fewer words than a
 shingle are one shingle; rows without id are linked like others. A component's id is
 its least id, and null if nobody in it has one; then one of its rows is kept. Repeated
-rows share a component.
+rows share a component, and all rows that hold its id are kept; where a column tells
+rows apart, one of them is.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ BANDS, ROWS = 24, 4
 SKETCH_BITS = 256
 #: Standard deviations of the sketch's estimate that a pair at the threshold may lie below it.
 MARGIN = 5
-#: Members of a bucket compared in one task; larger buckets are split into pairs of chunks.
-CHUNK = 1024
+#: Members of a bucket compared in one group of rows; larger buckets are split into chunks.
+CHUNK = 256
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(0, 2**64, SAMPLES, np.uint64) | np.uint64(1)
@@ -118,7 +121,7 @@ def _tokens(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def features(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """doc_id, n (shingles), set (its fingerprint), bands, both sketches and row (a number if there is no id) of every row. Map-only."""
+    """doc_id, n (shingles), set (its fingerprint), bands, both sketches and row (of row_col; else a number if there is no id) of every row. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,8 +143,8 @@ def features(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str =
             )
 
     doc_id = F.col(id_col).cast("long")
-    row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
-    rows = df.select(doc_id.alias("doc_id"), word_hashes(F.col(text_col)).alias("tokens"), F.when(doc_id.isNull(), row).alias("row"))
+    row = F.col(row_col).cast("long") if row_col else F.when(doc_id.isNull(), F.monotonically_increasing_id())
+    rows = df.select(doc_id.alias("doc_id"), word_hashes(F.col(text_col)).alias("tokens"), row.alias("row"))
     return rows.mapInArrow(run, "doc_id long, n long, set binary, bands array<long>, sketch binary, full binary, row long")
 
 
@@ -163,7 +166,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
 
 
 def _pairs(every: bool, most_apart: int, ratio: float):
-    """Candidate pairs of each bucket. every: all that pass; else each member's best partner and those with the first member."""
+    """Candidate pairs of each group of rows (key, lo, hi). every: all that pass; else each member's best partner and those with the first member.
+
+    A group is either one chunk (lo = hi), compared with itself, or two chunks, compared with each other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in _groups(batches):
@@ -208,25 +214,49 @@ def _pairs(every: bool, most_apart: int, ratio: float):
     return run
 
 
-def candidates(buckets: DataFrame, every: bool, similarity: float) -> DataFrame:
+def candidates(groups: DataFrame, every: bool, similarity: float) -> DataFrame:
     """Distinct pairs (a, b), a < b, of set fingerprints from (key, lo, hi, part, set, n, sketch, label), and full if all pairs are asked for."""
-    rows = buckets.select("key", "lo", "hi", "part", "set", "n", "sketch", "label", *(["full"] if every else []))
+    rows = groups.select("key", "lo", "hi", "part", "set", "n", "sketch", "label", *(["full"] if every else []))
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "label", "set")
     pairs = dealt.mapInArrow(_pairs(every, most_bits_apart(similarity), similarity), "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def bucketed(sets: DataFrame) -> DataFrame:
-    """Members of the buckets that hold two sets or more; a large bucket as pairs of chunks, each bounded."""
+    """(key, m, set, n, sketch, label): the members of the buckets that hold two sets or more, a row each."""
     rows = sets.select("set", "n", "sketch", "label", F.explode("bands").alias("key"))
-    held = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = rows.join(held, "key")
+    held = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("first")).where("m > 1")
+    return rows.join(held, "key").select("key", "m", "first", "set", "n", "sketch", "label")
+
+
+def starred(buckets: DataFrame) -> DataFrame:
+    """Groups of a bounded size for round 1: each member in one chunk of its bucket, and the bucket's first member in every chunk."""
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    part = F.pmod(F.xxhash64("set"), chunks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), chunks - 1))
-    return members.select("key", part.alias("part"), other.alias("other"), "set", "n", "sketch", "label").select(
-        "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "set", "n", "sketch", "label"
-    )
+    own = F.pmod(F.xxhash64("set"), chunks).cast("int")
+    to = F.when(F.col("label") == F.col("first"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))
+    # The first member has the least label of its bucket, so it leads every chunk.
+    return buckets.select("key", F.explode(to).alias("lo"), "set", "n", "sketch", "label").select("key", "lo", F.col("lo").alias("hi"), F.col("lo").alias("part"), "set", "n", "sketch", "label")
+
+
+def still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Groups for round 2: the buckets whose members still lie in two components, as chunks that must meet.
+
+    Members of the component with most of the bucket are not compared with each other again: their chunks meet
+    those of the others only, so a bucket of m members of which r lie outside gives m + r * (m / CHUNK) rows, not m * m / CHUNK.
+    """
+    now = buckets.select("key", "set", "n", "sketch", F.col("label").alias("node")).join(labels, "set", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = now.groupBy("key", "label").agg(F.count("*").alias("c"))
+    shape = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("m"), F.count("*").alias("components"))
+    # A bucket of two was compared in full in round 1.
+    shape = shape.where("m > 2 AND components > 1").select("key", F.col("most.label").alias("main"), F.ceil(F.col("most.c") / CHUNK).cast("int").alias("mains"), F.ceil((F.col("m") - F.col("most.c")) / CHUNK).cast("int").alias("others"))
+    member = now.join(shape, "key")
+    in_main = F.col("label") == F.col("main")
+    chunks = F.when(in_main, F.col("mains")).otherwise(F.col("others"))
+    # Chunks of the others are numbered first, those of the main component after them.
+    part = F.pmod(F.xxhash64("set"), chunks).cast("int") + F.when(in_main, F.col("others")).otherwise(F.lit(0))
+    meets = F.sequence(F.lit(0), F.col("others") - 1 + F.when(in_main, F.lit(0)).otherwise(F.col("mains")))
+    rows = member.select("key", part.alias("part"), F.explode(meets).alias("other"), "set", "n", "sketch", "label")
+    return rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "set", "n", "sketch", "label")
 
 
 def full_sets(df: DataFrame, chosen: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,35 +320,45 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of df; and row_col, if named: numbers that tell rows without id apart."""
+    """doc_id, n_shingles, component_id and kept for every row of df; and row_col, if named.
+
+    row_col holds numbers that tell rows without id, or with a repeated id, apart, and null elsewhere.
+    """
     rows = written(features(df, width, id_col, text_col, row_col), "near-rows")
-    sets = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("full").alias("full"))
+    # Of rows with one set, and later of a component, the head is the row with the least id, any id before none.
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("head")
+    sets = rows.where("n > 0").groupBy("set").agg(head, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("full").alias("full"))
     # Sets are numbered: ids name components at the end only, as rows can lack them.
     sets = written(sets.withColumn("label", F.monotonically_increasing_id()), "near-sets")
     buckets = written(bucketed(sets), "near-buckets")
-    first = written(candidates(buckets, False, similarity), "near-pairs")
-    nodes = first.select(F.col("a").alias("set")).union(first.select(F.col("b").alias("set"))).distinct()
-    chosen = sets.join(nodes, "set", "left_semi").select("set", "rep")
-    full = written(full_sets(df, chosen, width, id_col, text_col), "near-full")
+
+    def asked(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
+        new = nodes if known is None else nodes.join(known.select("set"), "set", "left_anti")
+        return sets.join(new, "set", "left_semi").select("set", F.col("head.doc_id").alias("rep"))
+
+    first = written(candidates(starred(buckets), False, similarity), "near-pairs")
+    full = written(full_sets(df, asked(first), width, id_col, text_col), "near-full")
     links = written(confirmed(first, full, similarity), "near-links")
     numbered = sets.select("set", F.col("label").alias("node"))
     labels = components(numbered, links)
     # Round 2: all pairs that pass and lie in two components.
-    now = buckets.withColumnRenamed("label", "node").join(labels, "set", "left").withColumn("label", F.coalesce("label", "node"))
-    open_buckets = now.join(now.groupBy("key", "lo", "hi").agg(F.count("*").alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).where("m > 2 AND least < most").select("key", "lo", "hi"), ["key", "lo", "hi"], "left_semi")
-    open_buckets = open_buckets.join(sets.select("set", "full"), "set")
-    second = written(candidates(open_buckets, True, similarity).join(first, ["a", "b"], "left_anti"), "near-pairs")
+    open_groups = still_open(buckets, labels).join(sets.select("set", "full"), "set")
+    second = written(candidates(open_groups, True, similarity).join(first, ["a", "b"], "left_anti"), "near-pairs")
     if not second.isEmpty():
-        more = written(links.union(confirmed(second, full, similarity)), "near-links")
-        labels = components(numbered, more)
+        more = written(asked(second, full), "near-asked")  # sets whose partners were all in other chunks
+        every = full if more.isEmpty() else full.union(written(full_sets(df, more, width, id_col, text_col), "near-full"))
+        new = written(confirmed(second, every, similarity), "near-links")
+        if not new.isEmpty():
+            labels = components(numbered, links.union(new))
     discard(buckets, first, second, full, links)
-    named = sets.select("set", "rep", "row").join(labels, "set").groupBy("label").agg(F.min("rep").alias("least"), F.min("row").alias("first"))
-    linked = labels.join(named, "label").select("set", "least", "first")
-    known = sets.select("set", "rep", F.col("row").alias("own")).join(linked, "set", "left").select("set", F.coalesce("least", "rep").alias("component"), F.coalesce("first", "own").alias("first"))
-    out = rows.select("doc_id", "n", "set", "row").join(known, "set", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    unnamed = F.col("component_id").isNull() & F.coalesce(F.col("row") == F.col("first"), F.lit(True))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), unnamed)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
+    heads = sets.select("set", "head").join(labels, "set").groupBy("label").agg(F.min("head").alias("head"))
+    linked = labels.join(heads, "label").select("set", F.col("head").alias("linked"))
+    known = sets.select("set", "head").join(linked, "set", "left").select("set", F.coalesce("linked", "head").alias("head"))
+    out = rows.select("doc_id", "n", "set", "row").join(known, "set", "left")
+    component = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    kept = F.col("head").isNull() | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & F.col("row").eqNullSafe(F.col("head.row")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

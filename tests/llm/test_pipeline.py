@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of each stage."""
 
 import hashlib
+import random
 import re
 
 import corpus_pipeline
@@ -101,6 +102,45 @@ def test_near_stage_keeps_one_of_each_group_without_ids(spark):
     assert (5, base) in got and (None, "") in got and (None, None) in got and sum(t in (alone, alone + " tail") for _, t in got) == 1
 
 
+def test_near_stage_keeps_one_of_repeated_rows_and_clashing_columns(spark):
+    base, alone = BASE[0], BASE[1]
+    data = [(5, base, 0, 1), (5, base, 1, 1), (5, alone, 2, 1), (6, base + " tail", 3, 1), (7, alone + " tail", 4, None), (8, "", 5, 1), (8, "", 6, 1), (None, alone, 7, 1), (9, None, 8, 1)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), r, x) for i, t, r, x in data], "doc_id long, text string, lang string, source string, n_chars long, row long, head int")
+    out = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert out.columns == docs.columns
+    assert got == sorted([(5, base), (5, alone), (8, ""), (8, ""), (9, None)], key=str)
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in every column, repeated rows, clashing names and long texts in each stage."""
+    long = "word " * 30_000 + "\n" + "a line that is longer than twenty letters\n" * 3
+    data = [(1, "some plain words", "en", "s", 5), (1, "some plain words", "en", "s", 5), (None, "more plain words", None, None, None), (None, None, None, None, None), (2, long, "en", None, 7), (3, "", "en", "s", 0)]
+    docs = spark.createDataFrame([(*x, "t", 1, 2.0) for x in data], "doc_id long, text string, lang string, source string, n_chars long, set string, task int, score double")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() <= docs.count(), name
+    packed = corpus_pipeline.pack_into_sequences(spark, docs, "").collect()
+    assert sum(r["n"] for r in packed if r["doc_id"] == 2) == len(long.split())
+
+
+def test_near_duplicates_over_many_chunks_equal_all_pairs(spark, monkeypatch):
+    """Buckets far larger than a chunk: copies of several bases that share bands, some links only across chunks."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 4)
+    rng = random.Random(6)
+    rows = {}
+    for k in range(3):
+        base = [f"w{k}x{i}" for i in range(60)]
+        for v in range(25):
+            w = list(base)
+            for j in range(rng.randint(0, 5)):
+                w[rng.randrange(60)] = f"n{k}y{v}z{j}"
+            rows[100 * k + v] = " ".join(w)
+    label = groups(rows, 2)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows), width=2).collect()}
+    assert got == label
+
+
 def test_near_duplicates_of_two_words_equal_all_pairs(spark):
     rows = corpus()
     label = groups(rows, 2)
