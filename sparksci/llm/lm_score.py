@@ -1,10 +1,16 @@
 """Language-model scores by stupid backoff over n-gram counts of the whole corpus.
 
-Documents are dealt to blocks by a hash.  A block's distinct n-grams, with their
-counts, go to the hash partition that owns them; there the counts of all blocks are
-summed (the count tables) and joined back to the n-grams that each block asked about;
-a document's scores are then summed where its words are.  A document is scored by what
-the rest of the corpus says: its own occurrences are taken off every count.
+Documents are dealt to blocks by a hash, and a block asks for its distinct n-grams, with
+how often it has each.  The questions are exploded to rows (block, gram, own); grouped by
+gram they give the count tables, partitioned by the grams' hash; these are joined back to
+the rows, and what each block asked for goes home to it, where the words' scores are
+summed by document.  A document is scored by what the rest of the corpus says: its own
+occurrences are taken off every count.
+
+Orders follow each other: an n-gram of three words or more is asked for only if both
+(n-1)-grams in it are found elsewhere, as otherwise it cannot be.  Between the exchange
+and the explosion the n-grams of a block and partition are one row with arrays, so rows
+shuffled are few and n-grams cost their hash.
 
 For a word after its context: count(context, word) / count(context) if the n-gram is
 found elsewhere, else 0.4 times the score after the context without its first word;
@@ -16,146 +22,148 @@ without id are scored too; repeated rows are documents of their own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparksci.llm.common import ascii_lower, byte_length, sequence_hashes, shares, table, word_hashes, words
+from sparksci.llm.common import ascii_lower, byte_length, sequence_hashes, shares, table, word_hashes, words, written
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
-BLOCK_BYTES = 3 << 20
-#: Distinct n-grams of all blocks, about, in one hash partition.
-PART_GRAMS = 2_000_000
+#: Bytes of text in a block: what a Python worker holds, and within which n-grams are counted before they are shuffled.
+BLOCK_BYTES = 8 << 20
+#: Rows (block, gram), about, in one hash partition; bounds the count table that a task joins to its rows.
+PART_ROWS = 1_500_000
 BYTES_A_WORD = 6
-_zstd = pa.Codec("zstd", 1)
-
-
-def _squeezed(x: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, compressed: planes of zeros cost nothing."""
-    return _zstd.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), asbytes=True)
-
-
-def _restored(b: bytes, n: int, kind: str) -> np.ndarray:
-    wide = np.dtype(kind).itemsize
-    raw = np.frombuffer(_zstd.decompress(b, n * wide, asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(wide, n).T).view(kind).reshape(n)
+ASKED = "part int, block long, n int, first int, grams array<long>, own array<long>"
 
 
 class Block:
-    """The words of some documents and the distinct n-grams of each order up to ``order`` (order 0: the words in all)."""
+    """The words of some documents and their n-grams."""
 
-    def __init__(self, tokens: pa.ChunkedArray, order: int):
+    def __init__(self, tokens: pa.ChunkedArray):
         column = tokens.combine_chunks()
         ends = column.offsets.to_numpy()
         self.words = column.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
         self.length = np.diff(ends)
         self.doc = np.repeat(np.arange(len(self.length)), self.length)
-        self.order = order
+        self.elsewhere: list[np.ndarray] = []
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the n-grams within documents and the positions where they end."""
+        """Hashes of the n-grams to ask for and the positions where they end (order 0: the words in all)."""
         if n == 0:
             return np.zeros(len(self.words), np.uint64), np.arange(len(self.words))
         end = np.arange(n - 1, len(self.words))
-        inside = self.doc[end] == self.doc[end - n + 1]
-        return sequence_hashes(self.words, n)[inside], end[inside]
-
-
-def _split(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each partition (by the leading bits) begins in sorted keys."""
-    first = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
-    return np.r_[np.searchsorted(keys, first), len(keys)]
-
-
-def _asked(order: int, bits: int):
-    """A block's questions: its distinct n-grams by partition."""
-
-    def run(key, t: pa.Table) -> pa.Table:
-        block = Block(t.column("tokens"), order)
-        rows = []
-        for n in range(order + 1):
-            keys, counts = np.unique(block.windows(n)[0], return_counts=True)
-            cut = _split(keys, bits)
-            for p in np.flatnonzero(np.diff(cut)).tolist():
-                own = keys[cut[p] : cut[p + 1]]
-                rows.append((p, key[0].as_py(), n, len(own), _squeezed(np.diff(own, prepend=np.uint64(0))), _squeezed(counts[cut[p] : cut[p + 1]].astype(np.int64))))
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "block", "n", "grams", "keys", "counts"])
-
-    return run
-
-
-def _summed(key, t: pa.Table) -> pa.Table:
-    """One partition of the count tables, joined back to what each block asked."""
-    order, grams, keys, counts = (t.column(c).to_pylist() for c in ("n", "grams", "keys", "counts"))
-    out: list[bytes | None] = [None] * len(order)
-    for n in sorted(set(order)):
-        own = [i for i, o in enumerate(order) if o == n]
-        every = np.concatenate([np.cumsum(_restored(keys[i], grams[i], "u8"), dtype=np.uint64) for i in own])
-        times = np.concatenate([_restored(counts[i], grams[i], "i8") for i in own])
-        sorted_at = np.argsort(every, kind="stable")
-        ranked = every[sorted_at]
-        begins = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-        totals = np.add.reduceat(times[sorted_at], begins)
-        answer = np.empty(len(every), np.int64)
-        answer[sorted_at] = np.repeat(totals, np.diff(np.r_[begins, len(ranked)]))
-        at = 0
-        for i in own:
-            out[i] = _squeezed(answer[at : at + grams[i]])
-            at += grams[i]
-    return pa.table([t.column("block"), t.column("n"), t.column("part"), t.column("grams"), pa.array(out, pa.binary())], names=["block", "n", "part", "grams", "totals"])
-
-
-def _scored(order: int):
-    def run(key, t: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(t.column("tokens"), order)
-        n_docs, n_words = len(block.length), len(block.words)
-        told: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for n, p, grams, b in zip(*(answers.column(c).to_pylist() for c in ("n", "part", "grams", "totals")), strict=True):
-            told.setdefault(n, []).append((p, _restored(b, grams, "i8")))
-        elsewhere = np.full((order + 1, n_words), -1, np.int64)  # counts without the document's own, at the n-gram's last word
-        for n in range(order + 1 if n_words else 0):
-            hashes, end = block.windows(n)
-            if not len(hashes):
-                continue
-            distinct, at = np.unique(hashes, return_inverse=True)
-            totals = np.concatenate([x for _, x in sorted(told[n], key=lambda x: x[0])])
-            _, pair, own = np.unique(block.doc[end] * len(distinct) + at, return_inverse=True, return_counts=True)
-            elsewhere[n, end] = totals[at] - own[pair]
-        rest = np.maximum(1, elsewhere[0])
-        seen = elsewhere[1] > 0 if n_words else np.zeros(0, bool)
-        value = np.where(seen, elsewhere[1], BACKOFF) / rest if n_words else np.zeros(0)
-        for n in range(2, order + 1):
-            context = np.r_[np.int64(1), elsewhere[n - 1][:-1]] if n_words else np.zeros(0, np.int64)
-            found = elsewhere[n] > 0
-            # Where the document is too short for this order there is no longer context to back off from.
-            value = np.where(found, elsewhere[n] / np.maximum(1, context), np.where(elsewhere[n] < 0, value, BACKOFF * value))
-        score = np.bincount(block.doc, np.log10(value), n_docs) if n_words else np.zeros(n_docs)
-        mean = [s / k if k else None for s, k in zip(score.tolist(), block.length.tolist(), strict=True)]
-        return pa.table([t.column("doc_id"), pa.array(block.length, pa.int64()), pa.array(score, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "score", "mean_score"])
-
-    return run
+        likely = self.doc[end] == self.doc[end - n + 1]
+        if n > 2:  # both shorter n-grams are found elsewhere
+            likely &= (self.elsewhere[n - 1][end] > 0) & (self.elsewhere[n - 1][end - 1] > 0)
+        return sequence_hashes(self.words, n)[likely], end[likely]
+
+    def distinct(self, n: int):
+        hashes, end = self.windows(n)
+        return *np.unique(hashes, return_inverse=True, return_counts=True), end
+
+    def learn(self, n: int, told: pa.Table) -> None:
+        """Counts without the document's own, at the position of the n-gram's last word; 0 where it is found nowhere else."""
+        grams, at, _, end = self.distinct(n)
+        own = told.filter(pc.equal(told.column("n"), n))
+        totals = np.ones(len(grams), np.int64)  # what was found once in all is not told
+        totals[own.column("at").to_numpy()] = own.column("total").to_numpy()
+        _, pair, mine = np.unique(self.doc[end] * max(1, len(grams)) + at, return_inverse=True, return_counts=True)
+        out = np.zeros(len(self.words), np.int64)
+        out[end] = totals[at] - mine[pair]
+        self.elsewhere.append(out)
+
+
+def _asked(block: Block, number: int, orders: range, bits: int) -> pa.Table:
+    """The distinct n-grams of a block and its counts, a row for each order and hash partition (the leading bits)."""
+    rows = []
+    for n in orders:
+        grams, _, counts, _ = block.distinct(n)
+        bounds = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+        cut = np.r_[np.searchsorted(grams, bounds), len(grams)]
+        for part in np.flatnonzero(np.diff(cut)).tolist():
+            a, b = int(cut[part]), int(cut[part + 1])
+            rows.append((part, number, n, a, grams[a:b].view(np.int64), counts[a:b]))
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    columns = zip(*rows, strict=True) if rows else [[]] * 6
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "block", "n", "first", "grams", "own"])
+
+
+def _counted(asked: DataFrame, parts: int) -> DataFrame:
+    """(block, n, at, total) of every n-gram asked for that occurs more than once: count tables joined to exploded n-grams.
+
+    Rows are partitioned by the grams' hash once; the tables and the join keep that partitioning.
+    """
+    each = F.posexplode(F.arrays_zip("grams", "own"))
+    dealt = asked.repartition(parts, "part").select("part", "block", "n", "first", each.alias("pos", "gram"))
+    rows = dealt.select("part", "n", F.col("gram.grams").alias("gram"), "block", (F.col("first") + F.col("pos")).alias("at"), F.col("gram.own").alias("own"))
+    counts = rows.groupBy("part", "n", "gram").agg(F.sum("own").alias("total")).where("total > 1")
+    return rows.join(counts.hint("shuffle_hash"), ["part", "n", "gram"]).select("block", "n", "at", "total")
+
+
+def _settled(spark: SparkSession) -> None:
+    """Let go of finished steps, so that Spark's cleaner removes their shuffle files before the next one writes its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def score(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, score (the sum of log10 of the words' scores) and mean_score for every row."""
-    size = df.agg(F.sum(byte_length(F.col(text_col)))).first()[0] or 0
+    spark, text = df.sparkSession, F.col(text_col)
+    size = df.agg(F.sum(byte_length(text))).first()[0] or 0
     blocks = shares(size, BLOCK_BYTES)
-    bits = (shares(size * order / BYTES_A_WORD, PART_GRAMS) - 1).bit_length()
-    text = F.col(text_col)
+    bits = (shares(2 * size / BYTES_A_WORD, PART_ROWS) - 1).bit_length()
     spread = F.pmod(F.xxhash64(F.col(id_col), F.crc32(F.coalesce(text, F.lit("")))), F.lit(blocks))
-    # Both uses below read this one exchange.
-    dealt = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), spread.alias("block")).repartition("block")
-    docs = dealt.select("block", "doc_id", word_hashes(F.col("text")).alias("tokens"))
-    ask, scored = _asked(order, bits), _scored(order)
-    asked = docs.groupBy("block").applyInArrow(lambda k, t: ask(k, t), "part int, block long, n int, grams int, keys binary, counts binary")
-    told = asked.groupBy("part").applyInArrow(lambda k, t: _summed(k, t), "block long, n int, part int, grams int, totals binary")
-    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda k, t, a: scored(k, t, a), "doc_id long, n_words long, score double, mean_score double")
+
+    def docs() -> DataFrame:
+        # Texts are shuffled, words hashed after it.
+        dealt = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), spread.alias("block")).repartition("block")
+        return dealt.select("block", "doc_id", word_hashes(F.col("text")).alias("tokens"))
+
+    def first(key, t):
+        return _asked(Block(t.column("tokens")), key[0].as_py(), range(min(order, 2) + 1), bits)
+
+    def further(n: int):
+        def run(key, t, told):
+            block = Block(t.column("tokens"))
+            for k in range(n):
+                block.learn(k, told)
+            return _asked(block, key[0].as_py(), range(n, n + 1), bits)
+
+        return run
+
+    def scored(key, t, told):
+        block = Block(t.column("tokens"))
+        for k in range(order + 1):
+            block.learn(k, told)
+        return _scores(block, order, t.column("doc_id"))
+
+    told = written(_counted(docs().groupBy("block").applyInArrow(first, ASKED), 1 << bits), "lm-told")
+    for n in range(3, order + 1):
+        _settled(spark)
+        more = docs().groupBy("block").cogroup(told.groupBy("block")).applyInArrow(further(n), ASKED)
+        told = told.union(written(_counted(more, 1 << bits), "lm-told"))
+    _settled(spark)
+    return docs().groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, "doc_id long, n_words long, score double, mean_score double")
+
+
+def _scores(block: Block, order: int, doc_id: pa.ChunkedArray) -> pa.Table:
+    n_docs, n_words, elsewhere = len(block.length), len(block.words), block.elsewhere
+    place = np.arange(n_words) - np.repeat(np.cumsum(block.length) - block.length, block.length)
+    value = np.where(elsewhere[1] > 0, elsewhere[1], BACKOFF) / np.maximum(1, elsewhere[0])
+    for n in range(2, order + 1):
+        context = np.r_[np.int64(1), elsewhere[n - 1][:-1]][:n_words]
+        found = elsewhere[n] > 0
+        # Where the document is too short for this order there is no longer context to back off from.
+        value = np.where(found, elsewhere[n] / np.maximum(1, context), np.where(place < n - 1, value, BACKOFF * value))
+    total = np.bincount(block.doc, np.log10(value), n_docs)
+    mean = [s / k if k else None for s, k in zip(total.tolist(), block.length.tolist(), strict=True)]
+    return pa.table([doc_id, pa.array(block.length, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "score", "mean_score"])
 
 
 def ngram_counts(df: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
@@ -171,14 +179,8 @@ def ngram_counts(df: DataFrame, order: int = ORDER, text_col: str = "text") -> D
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document scored by the bigram counts of all others."""
-    out = score(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 4).alias("mean_score"))
-
-
-def op4_lm_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by the trigram counts of all others."""
-    out = score(table(spark, sf_dir, "documents"), 3)
+    out = score(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 4).alias("mean_score"))
 
 
@@ -188,29 +190,30 @@ WITH words AS (
                              '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), tokens AS (
-  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words
-), pairs AS (
-  SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM tokens
-), uni AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
-uni_own AS (SELECT doc_id, word, count(*) AS n FROM tokens GROUP BY doc_id, word),
-bi AS (SELECT before, word, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY before, word),
-bi_own AS (SELECT doc_id, before, word, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY doc_id, before, word),
-sizes AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
-per_pair AS (
-  SELECT o.doc_id, o.before, o.word, b.n - o.n AS n2, uw.n - ow.n AS n1, ub.n - ob.n AS context, o.n AS times,
-         greatest(1, (SELECT count(*) FROM tokens) - s.n) AS rest
-  FROM bi_own o JOIN bi b ON b.before = o.before AND b.word = o.word
-  JOIN uni uw ON uw.word = o.word JOIN uni_own ow ON ow.doc_id = o.doc_id AND ow.word = o.word
-  JOIN uni ub ON ub.word = o.before JOIN uni_own ob ON ob.doc_id = o.doc_id AND ob.word = o.before
-  JOIN sizes s ON s.doc_id = o.doc_id
+  SELECT doc_id, unnest(w) AS c, generate_subscripts(w, 1) AS pos FROM words
+), grams AS (
+  SELECT doc_id, pos, c, lag(c) OVER d AS b, lag(c, 2) OVER d AS a FROM tokens WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), keyed AS (
+  SELECT doc_id, pos, c AS k1, b || ' ' || c AS k2, a || ' ' || b || ' ' || c AS k3, b AS p1, a || ' ' || b AS p2 FROM grams
+), own AS (
+  SELECT 1 AS n, doc_id, k1 AS k, count(*) AS own FROM keyed GROUP BY doc_id, k1
+  UNION ALL SELECT 2, doc_id, k2, count(*) FROM keyed WHERE k2 IS NOT NULL GROUP BY doc_id, k2
+  UNION ALL SELECT 3, doc_id, k3, count(*) FROM keyed WHERE k3 IS NOT NULL GROUP BY doc_id, k3
+), found AS (
+  SELECT doc_id, n, k, elsewhere FROM (SELECT doc_id, n, k, sum(own) OVER (PARTITION BY n, k) - own AS elsewhere FROM own) WHERE elsewhere > 0
+), rests AS (
+  SELECT doc_id, greatest(1, (SELECT count(*) FROM tokens) - count(*)) AS rest FROM tokens GROUP BY doc_id
 ), scored AS (
-  SELECT doc_id, times * log10(CASE WHEN n2 > 0 THEN n2::DOUBLE / context WHEN n1 > 0 THEN 0.4 * (n1::DOUBLE / rest)
-                               ELSE 0.4 * (0.4 / rest) END) AS score FROM per_pair
-  UNION ALL
-  SELECT t.doc_id, log10(CASE WHEN u.n - o.n > 0 THEN (u.n - o.n)::DOUBLE ELSE 0.4 END / greatest(1, (SELECT count(*) FROM tokens) - s.n))
-  FROM tokens t JOIN uni u ON u.word = t.word JOIN uni_own o ON o.doc_id = t.doc_id AND o.word = t.word
-  JOIN sizes s ON s.doc_id = t.doc_id WHERE t.pos = 1
-), sums AS (SELECT doc_id, sum(score) AS score FROM scored GROUP BY doc_id)
+  SELECT t.doc_id, log10(CASE WHEN f3.elsewhere > 0 THEN f3.elsewhere::DOUBLE / c2.elsewhere
+                              WHEN f2.elsewhere > 0 THEN CASE WHEN t.pos > 2 THEN 0.4 ELSE 1.0 END * (f2.elsewhere::DOUBLE / c1.elsewhere)
+                              ELSE CASE WHEN t.pos > 2 THEN 0.4 * 0.4 WHEN t.pos > 1 THEN 0.4 ELSE 1.0 END * (coalesce(f1.elsewhere, 0.4)::DOUBLE / r.rest) END) AS s
+  FROM keyed t JOIN rests r ON r.doc_id = t.doc_id
+  LEFT JOIN found f1 ON f1.doc_id = t.doc_id AND f1.n = 1 AND f1.k = t.k1
+  LEFT JOIN found f2 ON f2.doc_id = t.doc_id AND f2.n = 2 AND f2.k = t.k2
+  LEFT JOIN found f3 ON f3.doc_id = t.doc_id AND f3.n = 3 AND f3.k = t.k3
+  LEFT JOIN found c1 ON c1.doc_id = t.doc_id AND c1.n = 1 AND c1.k = t.p1
+  LEFT JOIN found c2 ON c2.doc_id = t.doc_id AND c2.n = 2 AND c2.k = t.p2
+), sums AS (SELECT doc_id, sum(s) AS score FROM scored GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, round(coalesce(s.score, 0), 4) AS score, round(s.score / len(d.w), 4) AS mean_score
 FROM words d LEFT JOIN sums s ON s.doc_id = d.doc_id
 """

@@ -15,9 +15,6 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
 }
 
-#: Larger settings of queries above, whose own setting is that of their SQL.
-LARGER = {"op4_lm_scores_order3": lm_score.op4_lm_scores_order3}
-
 ORACLES = {
     "op1_url_rules": url_rules.ORACLE,
     "op4_lm_scores": lm_score.ORACLE,

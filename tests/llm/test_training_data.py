@@ -279,8 +279,10 @@ def brute_scores(texts, order):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_equal_brute_force(spark, order):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_equal_brute_force(spark, order, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(lm_score, "PART_ROWS", 40)
     rng = random.Random(order)
     texts = [" ".join(rng.choice("a b c d e f gg hh".split()) for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, "", "one", "one"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -288,18 +290,18 @@ def test_scores_equal_brute_force(spark, order):
     assert [got[i] for i in range(len(texts))] == pytest.approx(brute_scores(texts, order), abs=1e-9)
 
 
-def test_scores_of_order_three_are_a_query(spark, tmp_path):
+def test_score_query_equals_brute_force(spark, tmp_path):
     rng = random.Random(9)
     texts = [" ".join(rng.choice("a b c".split()) for _ in range(rng.randint(0, 30))) for _ in range(30)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["score"] for r in rows(__spark_entry__.queries()["op4_lm_scores_order3"](spark, str(tmp_path)))}
+    got = {r["doc_id"]: r["score"] for r in rows(lm_score.op4_lm_scores(spark, str(tmp_path)))}
     assert [got[i] for i in range(len(texts))] == pytest.approx(brute_scores(texts, 3), abs=1e-4)
 
 
 def test_count_tables(spark):
     df = spark.createDataFrame([("a b a b",), ("b",), (None,)], "text string")
     got = {(r["n"], r["gram"]): r["count"] for r in rows(lm_score.ngram_counts(df))}
-    assert got == {(1, "a"): 2, (1, "b"): 3, (2, "a b"): 2, (2, "b a"): 1}
+    assert got == {(1, "a"): 2, (1, "b"): 3, (2, "a b"): 2, (2, "b a"): 1, (3, "a b a"): 1, (3, "b a b"): 1}
 
 
 # --- op5 ---------------------------------------------------------------------------------------
