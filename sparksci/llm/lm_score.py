@@ -1,10 +1,10 @@
 """Language-model scores by stupid backoff over n-gram counts of the whole corpus.
 
 Documents are dealt to blocks by a hash, and a block asks for its distinct n-grams, with
-how often it has each.  The questions are exploded to rows (block, gram, own); grouped by
-gram they give the count tables, partitioned by the grams' hash; these are joined back to
-the rows, and what each block asked for goes home to it, where the words' scores are
-summed by document.  A document is scored by what the rest of the corpus says: its own
+how often it has each.  The questions are exploded to rows (block, gram, own) that are
+partitioned by the grams' hash; summed by gram they give the count tables, each row meets
+its gram's sum there, and what each block asked for goes home to it, where the words'
+scores are summed by document.  A document is scored by what the rest of the corpus says: its own
 occurrences are taken off every count.
 
 Orders follow each other: an n-gram of three words or more is asked for only if both
@@ -29,17 +29,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparksci.llm.common import ascii_lower, byte_length, sequence_hashes, shares, table, word_hashes, words, written
 
 ORDER = 3
 BACKOFF = 0.4
 #: Bytes of text in a block: what a Python worker holds, and within which n-grams are counted before they are shuffled.
-BLOCK_BYTES = 8 << 20
-#: Rows (block, gram), about, in one hash partition; bounds the count table that a task joins to its rows.
+BLOCK_BYTES = 16 << 20
+#: Rows (block, gram), about, in one hash partition.
 PART_ROWS = 1_500_000
 BYTES_A_WORD = 6
-ASKED = "part int, block long, n int, first int, grams array<long>, own array<long>"
+ASKED = "part int, block long, n int, first int, grams array<long>, own array<int>"
 
 
 class Block:
@@ -88,22 +89,22 @@ def _asked(block: Block, number: int, orders: range, bits: int) -> pa.Table:
         cut = np.r_[np.searchsorted(grams, bounds), len(grams)]
         for part in np.flatnonzero(np.diff(cut)).tolist():
             a, b = int(cut[part]), int(cut[part + 1])
-            rows.append((part, number, n, a, grams[a:b].view(np.int64), counts[a:b]))
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            rows.append((part, number, n, a, grams[a:b].view(np.int64), counts[a:b].astype(np.int32)))
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     columns = zip(*rows, strict=True) if rows else [[]] * 6
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "block", "n", "first", "grams", "own"])
 
 
 def _counted(asked: DataFrame, parts: int) -> DataFrame:
-    """(block, n, at, total) of every n-gram asked for that occurs more than once: count tables joined to exploded n-grams.
+    """(block, n, at, total) of every n-gram asked for that occurs more than once: exploded n-grams and, beside each, its row of the count table.
 
-    Rows are partitioned by the grams' hash once; the tables and the join keep that partitioning.
+    Rows are partitioned by the grams' hash once; a window over each gram sums it and joins the sum back without another shuffle.
     """
     each = F.posexplode(F.arrays_zip("grams", "own"))
     dealt = asked.repartition(parts, "part").select("part", "block", "n", "first", each.alias("pos", "gram"))
     rows = dealt.select("part", "n", F.col("gram.grams").alias("gram"), "block", (F.col("first") + F.col("pos")).alias("at"), F.col("gram.own").alias("own"))
-    counts = rows.groupBy("part", "n", "gram").agg(F.sum("own").alias("total")).where("total > 1")
-    return rows.join(counts.hint("shuffle_hash"), ["part", "n", "gram"]).select("block", "n", "at", "total")
+    total = F.sum("own").over(Window.partitionBy("gram", "n", "part"))
+    return rows.select("block", "n", "at", total.alias("total")).where("total > 1")
 
 
 def _settled(spark: SparkSession) -> None:
