@@ -23,6 +23,8 @@ without id are scored too; repeated rows are documents of their own.
 from __future__ import annotations
 
 import gc
+import time
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,14 @@ from sparksci.llm.common import ascii_lower, byte_length, sequence_hashes, share
 ORDER = 3
 BACKOFF = 0.4
 #: Bytes of text in a block: what a Python worker holds, and within which n-grams are counted before they are shuffled.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Rows (block, gram), about, in one hash partition.
 PART_ROWS = 1_500_000
 BYTES_A_WORD = 6
+PACKED_ROWS = 500_000
+#: Seconds that Spark's cleaner, which works by itself, gets to remove the files of a finished step.
+CLEANER_S = 2
+TOLD = "block long, n int, at array<int>, total array<long>"
 ASKED = "part int, block long, n int, first int, grams array<long>, own array<int>"
 
 
@@ -73,7 +79,7 @@ class Block:
         grams, at, _, end = self.distinct(n)
         own = told.filter(pc.equal(told.column("n"), n))
         totals = np.ones(len(grams), np.int64)  # what was found once in all is not told
-        totals[own.column("at").to_numpy()] = own.column("total").to_numpy()
+        totals[pc.list_flatten(own.column("at")).to_numpy()] = pc.list_flatten(own.column("total")).to_numpy()
         _, pair, mine = np.unique(self.doc[end] * max(1, len(grams)) + at, return_inverse=True, return_counts=True)
         out = np.zeros(len(self.words), np.int64)
         out[end] = totals[at] - mine[pair]
@@ -104,13 +110,36 @@ def _counted(asked: DataFrame, parts: int) -> DataFrame:
     dealt = asked.repartition(parts, "part").select("part", "block", "n", "first", each.alias("pos", "gram"))
     rows = dealt.select("part", "n", F.col("gram.grams").alias("gram"), "block", (F.col("first") + F.col("pos")).alias("at"), F.col("gram.own").alias("own"))
     total = F.sum("own").over(Window.partitionBy("gram", "n", "part"))
-    return rows.select("block", "n", "at", total.alias("total")).where("total > 1")
+    return rows.select("block", "n", "at", total.alias("total")).where("total > 1").mapInArrow(_packed, TOLD)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, n, at, total) as one row with arrays for each block and order of many rows."""
+    held: list[pa.RecordBatch] = []
+
+    def rows() -> pa.RecordBatch:
+        block, n, at, total = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(4))
+        order = np.lexsort((n, block))
+        block, n = block[order], n[order]
+        starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (n[1:] != n[:-1])])
+        ends = pa.array(np.r_[starts, len(block)], pa.int32())
+        lists = (pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (at, total))
+        return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(n[starts]), *lists], names=["block", "n", "at", "total"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= PACKED_ROWS:
+            yield rows()
+            held = []
+    if any(b.num_rows for b in held):
+        yield rows()
 
 
 def _settled(spark: SparkSession) -> None:
     """Let go of finished steps, so that Spark's cleaner removes their shuffle files before the next one writes its own."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(CLEANER_S)
 
 
 def score(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
