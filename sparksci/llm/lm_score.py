@@ -29,11 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparksci.llm.common import ascii_lower, byte_length, sequence_hashes, shares, table, word_hashes, words, written
+from sparksci.llm.common import BLANKS, ascii_lower, byte_length, sequence_hashes, shares, table, words, written
 
 ORDER = 3
 BACKOFF = 0.4
@@ -43,8 +44,8 @@ BLOCK_BYTES = 12 << 20
 PART_ROWS = 1_500_000
 BYTES_A_WORD = 6
 PACKED_ROWS = 500_000
-#: Seconds that Spark's cleaner, which works by itself, gets to remove the files of a finished step.
-CLEANER_S = 2
+#: Seconds, three times, that Spark's cleaner gets to remove the files of a finished step.
+CLEANER_S = 1
 TOLD = "block long, n int, at array<int>, total array<long>"
 ASKED = "part int, block long, n int, first int, grams array<long>, own array<int>"
 
@@ -52,11 +53,15 @@ ASKED = "part int, block long, n int, first int, grams array<long>, own array<in
 class Block:
     """The words of some documents and their n-grams."""
 
-    def __init__(self, tokens: pa.ChunkedArray):
-        column = tokens.combine_chunks()
-        ends = column.offsets.to_numpy()
-        self.words = column.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
-        self.length = np.diff(ends)
+    def __init__(self, texts: pa.ChunkedArray):
+        trimmed = pc.ascii_trim(pc.ascii_lower(pc.fill_null(texts, "")), BLANKS)
+        split = pc.ascii_split_whitespace(trimmed).combine_chunks()
+        self.length = np.where(pc.binary_length(trimmed).to_numpy() > 0, pc.list_value_length(split).to_numpy(), 0)
+        flat = split.flatten()
+        # An empty text splits into one empty word; no other word is empty.
+        met = flat.filter(pc.greater(pc.binary_length(flat), 0)).dictionary_encode()
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in met.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+        self.words = hashes[met.indices.to_numpy()]
         self.doc = np.repeat(np.arange(len(self.length)), self.length)
         self.elsewhere: list[np.ndarray] = []
 
@@ -138,8 +143,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _settled(spark: SparkSession) -> None:
     """Let go of finished steps, so that Spark's cleaner removes their shuffle files before the next one writes its own."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(CLEANER_S)
+    for _ in range(3):  # what Python let go of reaches the JVM by and by, and the cleaner works by itself
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(CLEANER_S)
 
 
 def score(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,16 +157,14 @@ def score(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
     spread = F.pmod(F.xxhash64(F.col(id_col), F.crc32(F.coalesce(text, F.lit("")))), F.lit(blocks))
 
     def docs() -> DataFrame:
-        # Texts are shuffled, words hashed after it.
-        dealt = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), spread.alias("block")).repartition("block")
-        return dealt.select("block", "doc_id", word_hashes(F.col("text")).alias("tokens"))
+        return df.select(spread.alias("block"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).repartition("block")
 
     def first(key, t):
-        return _asked(Block(t.column("tokens")), key[0].as_py(), range(min(order, 2) + 1), bits)
+        return _asked(Block(t.column("text")), key[0].as_py(), range(min(order, 2) + 1), bits)
 
     def further(n: int):
         def run(key, t, told):
-            block = Block(t.column("tokens"))
+            block = Block(t.column("text"))
             for k in range(n):
                 block.learn(k, told)
             return _asked(block, key[0].as_py(), range(n, n + 1), bits)
@@ -168,7 +172,7 @@ def score(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
         return run
 
     def scored(key, t, told):
-        block = Block(t.column("tokens"))
+        block = Block(t.column("text"))
         for k in range(order + 1):
             block.learn(k, told)
         return _scores(block, order, t.column("doc_id"))
