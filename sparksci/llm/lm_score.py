@@ -63,7 +63,7 @@ class Block:
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in met.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
         self.words = hashes[met.indices.to_numpy()]
         self.doc = np.repeat(np.arange(len(self.length)), self.length)
-        self.elsewhere: list[np.ndarray] = []
+        self.elsewhere: dict[int, np.ndarray] = {}
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-grams to ask for and the positions where they end (order 0: the words in all)."""
@@ -81,14 +81,13 @@ class Block:
 
     def learn(self, n: int, told: pa.Table) -> None:
         """Counts without the document's own, at the position of the n-gram's last word; 0 where it is found nowhere else."""
-        grams, at, _, end = self.distinct(n)
-        own = told.filter(pc.equal(told.column("n"), n))
-        totals = np.ones(len(grams), np.int64)  # what was found once in all is not told
+        grams, at, totals, end = self.distinct(n)
+        own = told.filter(pc.equal(told.column("n"), n))  # other n-grams are found in this block only
         totals[pc.list_flatten(own.column("at")).to_numpy()] = pc.list_flatten(own.column("total")).to_numpy()
         _, pair, mine = np.unique(self.doc[end] * max(1, len(grams)) + at, return_inverse=True, return_counts=True)
         out = np.zeros(len(self.words), np.int64)
         out[end] = totals[at] - mine[pair]
-        self.elsewhere.append(out)
+        self.elsewhere[n] = out
 
 
 def _asked(block: Block, number: int, orders: range, bits: int) -> pa.Table:
@@ -107,7 +106,7 @@ def _asked(block: Block, number: int, orders: range, bits: int) -> pa.Table:
 
 
 def _counted(asked: DataFrame, parts: int) -> DataFrame:
-    """(block, n, at, total) of every n-gram asked for that occurs more than once: exploded n-grams and, beside each, its row of the count table.
+    """(block, n, at, total) of every n-gram asked for that is found in other blocks too: exploded n-grams and, beside each, its row of the count table.
 
     Rows are partitioned by the grams' hash once; a window over each gram sums it and joins the sum back without another shuffle.
     """
@@ -115,7 +114,7 @@ def _counted(asked: DataFrame, parts: int) -> DataFrame:
     dealt = asked.repartition(parts, "part").select("part", "block", "n", "first", each.alias("pos", "gram"))
     rows = dealt.select("part", "n", F.col("gram.grams").alias("gram"), "block", (F.col("first") + F.col("pos")).alias("at"), F.col("gram.own").alias("own"))
     total = F.sum("own").over(Window.partitionBy("gram", "n", "part"))
-    return rows.select("block", "n", "at", total.alias("total")).where("total > 1").mapInArrow(_packed, TOLD)
+    return rows.select("block", "n", "at", "own", total.alias("total")).where("total > own").drop("own").mapInArrow(_packed, TOLD)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +164,7 @@ def score(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
     def further(n: int):
         def run(key, t, told):
             block = Block(t.column("text"))
-            for k in range(n):
+            for k in range(2, n):
                 block.learn(k, told)
             return _asked(block, key[0].as_py(), range(n, n + 1), bits)
 
@@ -180,7 +179,7 @@ def score(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
     told = written(_counted(docs().groupBy("block").applyInArrow(first, ASKED), 1 << bits), "lm-told")
     for n in range(3, order + 1):
         _settled(spark)
-        more = docs().groupBy("block").cogroup(told.groupBy("block")).applyInArrow(further(n), ASKED)
+        more = docs().groupBy("block").cogroup(told.where("n > 1").groupBy("block")).applyInArrow(further(n), ASKED)
         told = told.union(written(_counted(more, 1 << bits), "lm-told"))
     _settled(spark)
     return docs().groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, "doc_id long, n_words long, score double, mean_score double")
