@@ -58,8 +58,9 @@ class Block:
         split = pc.ascii_split_whitespace(trimmed).combine_chunks()
         self.length = np.where(pc.binary_length(trimmed).to_numpy() > 0, pc.list_value_length(split).to_numpy(), 0)
         flat = split.flatten()
-        # An empty text splits into one empty word; no other word is empty.
-        met = flat.filter(pc.greater(pc.binary_length(flat), 0)).dictionary_encode()
+        if not self.length.all():  # an empty text splits into one empty word; no other word is empty
+            flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+        met = flat.dictionary_encode()
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in met.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
         self.words = hashes[met.indices.to_numpy()]
         self.doc = np.repeat(np.arange(len(self.length)), self.length)
@@ -75,18 +76,28 @@ class Block:
             likely &= (self.elsewhere[n - 1][end] > 0) & (self.elsewhere[n - 1][end - 1] > 0)
         return sequence_hashes(self.words, n)[likely], end[likely]
 
-    def distinct(self, n: int):
+    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams to ask for in order, their counts, and of the sorted windows where each n-gram begins and where each window ends.
+
+        The sort is stable, so the windows of an n-gram are in order of their documents.
+        """
         hashes, end = self.windows(n)
-        return *np.unique(hashes, return_inverse=True, return_counts=True), end
+        order = np.argsort(hashes, kind="stable")
+        ranked = hashes[order]
+        new = np.r_[True, ranked[1:] != ranked[:-1]][: len(ranked)]
+        starts = np.flatnonzero(new)
+        return ranked[starts], np.diff(np.r_[starts, len(ranked)]), new, end[order]
 
     def learn(self, n: int, told: pa.Table) -> None:
         """Counts without the document's own, at the position of the n-gram's last word; 0 where it is found nowhere else."""
-        grams, at, totals, end = self.distinct(n)
+        _, totals, new, end = self.distinct(n)
         own = told.filter(pc.equal(told.column("n"), n))  # other n-grams are found in this block only
         totals[pc.list_flatten(own.column("at")).to_numpy()] = pc.list_flatten(own.column("total")).to_numpy()
-        _, pair, mine = np.unique(self.doc[end] * max(1, len(grams)) + at, return_inverse=True, return_counts=True)
+        doc = self.doc[end]
+        pairs = np.flatnonzero(new | np.r_[True, doc[1:] != doc[:-1]][: len(doc)])  # where an n-gram's windows in one document begin
+        times = np.diff(np.r_[pairs, len(doc)])
         out = np.zeros(len(self.words), np.int64)
-        out[end] = totals[at] - mine[pair]
+        out[end] = np.repeat(totals[np.cumsum(new)[pairs] - 1] - times, times)
         self.elsewhere[n] = out
 
 
@@ -94,7 +105,7 @@ def _asked(block: Block, number: int, orders: range, bits: int) -> pa.Table:
     """The distinct n-grams of a block and its counts, a row for each order and hash partition (the leading bits)."""
     rows = []
     for n in orders:
-        grams, _, counts, _ = block.distinct(n)
+        grams, counts, _, _ = block.distinct(n)
         bounds = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
         cut = np.r_[np.searchsorted(grams, bounds), len(grams)]
         for part in np.flatnonzero(np.diff(cut)).tolist():
