@@ -125,7 +125,7 @@ def calinski_harabasz_score(points: DataFrame) -> DataFrame:
 def davies_bouldin_score(points: DataFrame) -> DataFrame:
     """Mean over clusters of the worst ratio of scatter to separation; centroids (k rows) meet each other, points do not."""
     center = _centroids(points).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "c"))), lambda p: p["c"]).alias("c"))
-    spread = points.join(F.broadcast(center), "label").groupBy("label").agg(F.avg(vectors.distance(F.col("v"), F.col("c"))).alias("s"))
+    spread = points.join(center, "label").groupBy("label").agg(F.avg(vectors.distance(F.col("v"), F.col("c"))).alias("s"))
     one = center.join(spread, "label")
     other = one.select(F.col("label").alias("l2"), F.col("c").alias("c2"), F.col("s").alias("s2"))
     worst = one.join(other, F.col("label") != F.col("l2")).groupBy("label").agg(F.max((F.col("s") + F.col("s2")) / vectors.distance(F.col("c"), F.col("c2"))).alias("r"))

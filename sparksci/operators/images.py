@@ -81,7 +81,8 @@ def distance_transform(df: DataFrame, metric: str = "euclidean") -> DataFrame:
     w = Window.partitionBy("img", "x").orderBy("y")
     own = F.when(F.col("v") != 0, F.col("y"))
     up = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy("img", "x").orderBy(F.desc("y"))
+    down = F.last(own, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     first = df.select("img", "y", "x", F.least(F.abs(F.col("y") - up), F.abs(F.col("y") - down)).cast("double").alias("d"))
     row = first.where("d IS NOT NULL").select("img", "y", F.col("x").alias("x2"), F.col("d").alias("d2"))
     step = F.abs(F.col("x") - F.col("x2")).cast("double")
@@ -156,3 +157,49 @@ def map_coordinates(df: DataFrame, queries: DataFrame, order: str = "linear") ->
         raise ValueError("order is linear or nearest")
     asked = q.select("img", "qid", F.explode(corners).alias("c")).select("img", "qid", "c.y", "c.x", "c.w")
     return asked.join(df, ["img", "y", "x"]).groupBy("img", "qid").agg(F.sum(F.col("w") * F.col("v")).alias("value"))
+
+
+def _sent(df: DataFrame, steps: list[tuple[int, int, float]]) -> DataFrame:
+    """(img, y, x, w, v): every pixel's value at each (dy, dx) from it, with that step's weight, where a pixel is."""
+    to = F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(float(w)).alias("w")) for a, b, w in steps))).alias("s")
+    moved = df.select("img", "y", "x", "v", to).select("img", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("s.w").alias("w"), "v")
+    return df.select("img", "y", "x").join(moved, ["img", "y", "x"])
+
+
+def convolve2d(df: DataFrame, kernel: list[list[float]]) -> DataFrame:
+    """Convolution with a short kernel, of the image's own size; beyond the image all is 0. Values travel to the pixels that they reach and add up there."""
+    h, w = (len(kernel) - 1) // 2, (len(kernel[0]) - 1) // 2
+    steps = [(i - h, j - w, c) for i, row in enumerate(kernel) for j, c in enumerate(row)]
+    return _sent(df, steps).groupBy("img", "y", "x").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+
+
+def correlate2d(df: DataFrame, kernel: list[list[float]]) -> DataFrame:
+    """Convolution with the kernel turned by half a circle."""
+    return convolve2d(df, [row[::-1] for row in kernel[::-1]])
+
+
+def _square(size: int) -> list[tuple[int, int, float]]:
+    if size < 1 or size % 2 == 0:
+        raise ValueError("the window size must be odd")
+    h = size // 2
+    return [(a, b, 1.0) for a in range(-h, h + 1) for b in range(-h, h + 1)]
+
+
+def medfilt2d(df: DataFrame, size: int = 3) -> DataFrame:
+    """Median of the square around each pixel; beyond the image all is 0."""
+    held = _sent(df, _square(size)).groupBy("img", "y", "x").agg(F.collect_list("v").alias("near"))
+    every = F.array_sort(F.concat("near", F.array_repeat(F.lit(0.0), size * size - F.size("near"))))
+    return held.select("img", "y", "x", every[size * size // 2].alias("v"))
+
+
+def wiener2d(df: DataFrame, size: int = 3, noise: float | None = None) -> DataFrame:
+    """Local mean plus the share of the deviation above the noise, by default the image's mean local variance; beyond the image all is 0."""
+    n = float(size * size)
+    local = _sent(df, _square(size)).groupBy("img", "y", "x").agg((F.sum("v") / n).alias("m"), (F.sum(F.col("v") * F.col("v")) / n).alias("q"))
+    rows = df.join(local, ["img", "y", "x"]).withColumn("var", F.col("q") - F.col("m") * F.col("m"))
+    if noise is None:
+        rows = rows.join(rows.groupBy("img").agg(F.avg("var").alias("noise")), "img")
+    else:
+        rows = rows.withColumn("noise", F.lit(float(noise)))
+    out = F.when(F.col("var") <= F.col("noise"), F.col("m")).otherwise(F.col("m") + (1 - F.col("noise") / F.col("var")) * (F.col("v") - F.col("m")))
+    return rows.select("img", "y", "x", out.alias("v"))

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparksci.functions.special import digamma
+from sparksci.functions.special import digamma, elementwise
 from sparksci.operators.statistics import _by
 
 FLOOR = 1e-300
@@ -50,9 +51,9 @@ def differential_entropy(df: DataFrame, x: str, by=(), k: int = 1) -> DataFrame:
     keys = _by(by)
     gap = F.lead(x, k).over(Window.partitionBy(*keys).orderBy(x)) - F.col(x)
     rows = df.where(F.col(x).isNotNull()).withColumn("__gap", gap)
-    psi = F.udf(digamma, "double")
+    psi = elementwise(np.vectorize(digamma, otypes=[float]))
     out = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.avg(_ln(F.col("__gap"))).alias("mean"))
-    return out.where(F.col("n") > k).select(*keys, (psi("n") - digamma(k) + F.col("mean")).alias("differential_entropy"))
+    return out.where(F.col("n") > k).select(*keys, (psi(F.col("n")) - digamma(k) + F.col("mean")).alias("differential_entropy"))
 
 
 def bin_index(x: Column, low: Column, high: Column, bins: int) -> Column:

@@ -6,6 +6,8 @@ two window frames over the union of both tables; no query is compared with all k
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +26,9 @@ def _bracketed(knots: DataFrame, queries: DataFrame, x: str, values: list[str],
     both = k.unionByName(q, allowMissingColumns=True)
     sweep = Window.partitionBy(*keys).orderBy("__x", "__q")
     last = lambda c: F.last(c, ignorenulls=True).over(sweep.rowsBetween(Window.unboundedPreceding, 0))
-    first = lambda c: F.first(c, ignorenulls=True).over(sweep.rowsBetween(0, Window.unboundedFollowing))
+    # The next one is the last one met from the other end: such a frame grows row by row, one that shrinks is read anew for each row.
+    back = Window.partitionBy(*keys).orderBy(F.desc("__x"), F.desc("__q"))
+    first = lambda c: F.last(c, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     pair = F.struct(F.col("__prev").alias("p"), F.col("__k").alias("k"), F.col("__next").alias("n"))
     marked = both.withColumn("__pair", F.when(F.col("__q") == 0, pair))
     placed = marked.withColumn("__before", last("__pair")).withColumn("__after", first("__pair")).where("__q = 1")
@@ -98,3 +102,41 @@ def hermite(knots: DataFrame, queries: DataFrame, x: str, y: str, slope: str, xq
         (2 * t**3 - 3 * t**2 + 1) * a["v0"] + (t**3 - 2 * t**2 + t) * h * a["v1"] + (3 * t**2 - 2 * t**3) * b["v0"] + (t**3 - t**2) * h * b["v1"]
     )
     return rows.withColumn(out, F.when(h == 0, a["v0"]).otherwise(value)).drop("__a", "__b")
+
+
+def cubic_spline_coefficients(df: DataFrame, x: str, y: str, by=(), bc: str = "natural") -> DataFrame:
+    """(by, segment, x0, a, b, c, d): y = a + b t + c t^2 + d t^3 for t = x - x0 between neighbouring knots.
+
+    The second derivatives solve one tridiagonal system a group, on the group's knots alone; bc is natural (0 at the
+    ends) or clamped (slope 0 at the ends). Knots are distinct; a group of fewer than two has no segment.
+    """
+    if bc not in ("natural", "clamped"):
+        raise ValueError("bc is natural or clamped")
+    keys = _by(by)
+    kinds = dict(df.dtypes)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__x")
+        t, v = pdf["__x"].to_numpy(float), pdf["__y"].to_numpy(float)
+        n = len(t)
+        h, slope = np.diff(t), np.diff(v) / np.diff(t)
+        lower, diag, upper, right = np.zeros(n), np.ones(n), np.zeros(n), np.zeros(n)
+        lower[1:-1], diag[1:-1], upper[1:-1], right[1:-1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:], 6 * np.diff(slope)
+        if bc == "clamped" and n > 1:
+            diag[0], upper[0], right[0] = 2 * h[0], h[0], 6 * slope[0]
+            lower[-1], diag[-1], right[-1] = h[-1], 2 * h[-1], -6 * slope[-1]
+        for i in range(1, n):
+            w = lower[i] / diag[i - 1]
+            diag[i] -= w * upper[i - 1]
+            right[i] -= w * right[i - 1]
+        m = np.zeros(n)
+        for i in range(n - 1, -1, -1):
+            m[i] = (right[i] - (upper[i] * m[i + 1] if i + 1 < n else 0.0)) / diag[i]
+        out = pd.DataFrame({"segment": np.arange(n - 1), "x0": t[:-1], "a": v[:-1], "b": slope - h * (2 * m[:-1] + m[1:]) / 6, "c": m[:-1] / 2, "d": np.diff(m) / (6 * h)})
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    rows = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where("__x IS NOT NULL AND __y IS NOT NULL")
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "segment long, x0 double, a double, b double, c double, d double"
+    return rows.groupBy(*keys).applyInPandas(solve, schema)

@@ -55,9 +55,11 @@ def condensed(square: DataFrame) -> DataFrame:
 
 
 def _in_blocks(points: DataFrame, size: int) -> DataFrame:
-    """(block, ids, vs): points dealt evenly by hash into bounded rows."""
-    n = max(1, -(-points.count() // size))
-    return points.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
+    """(block, ids, vs): points dealt evenly by hash into bounded rows; those without id or vector, or with a null in it, take no part."""
+    whole = points.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(~F.exists("v", lambda c: c.isNull()))
+    n = max(1, -(-whole.count() // size))
+    held = whole.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("p"))
+    return held.select("block", F.col("p.id").alias("ids"), F.col("p.v").alias("vs"))
 
 
 def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -173,3 +175,13 @@ def hull_measures(hull: DataFrame, by: str) -> DataFrame:
     rows = hull.withColumn("nx", nx).withColumn("ny", ny)
     area = F.abs(F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y"))) / 2
     return rows.groupBy(by).agg(area.alias("area"), F.sum(F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2)).alias("perimeter"))
+
+
+def hull_contains(hull: DataFrame, queries: DataFrame, by: str) -> DataFrame:
+    """queries (by, id, v) with ``inside``: not to the right of any edge of its group's hull (of convex_hull); false without a hull of three corners."""
+    w = Window.partitionBy(by).orderBy("k")
+    every = Window.partitionBy(by)
+    edges = hull.select(by, "x", "y", F.coalesce(F.lead("x").over(w), F.first("x").over(w)).alias("nx"), F.coalesce(F.lead("y").over(w), F.first("y").over(w)).alias("ny"), F.count("*").over(every).alias("corners"))
+    packed = edges.groupBy(by).agg(F.collect_list(F.struct("x", "y", "nx", "ny")).alias("edges"), F.max("corners").alias("corners"))
+    left = lambda e: (e["nx"] - e["x"]) * (F.col("v")[1] - e["y"]) - (e["ny"] - e["y"]) * (F.col("v")[0] - e["x"]) >= 0
+    return queries.join(packed, by, "left").select(*queries.columns, F.coalesce((F.col("corners") > 2) & F.forall("edges", left), F.lit(False)).alias("inside"))
