@@ -111,15 +111,14 @@ def _(spark, d):
 @query(
     "dbscan",
     LABELLED
-    + f""", p AS (SELECT a.id AS s, b.id AS d FROM e a, e b WHERE a.label < 3 AND b.label < 3 AND {DIST} <= 1.0), c AS (SELECT s FROM p GROUP BY 1 HAVING count(*) >= 5),
+    + f""", p AS (SELECT a.id AS s, b.id AS d FROM e a, e b WHERE {DIST} <= 1.0), c AS (SELECT s FROM p GROUP BY 1 HAVING count(*) >= 5),
 k AS (SELECT s, d FROM p WHERE s IN (SELECT s FROM c) OR d IN (SELECT s FROM c)),
 w AS (WITH RECURSIVE r(s, root) AS (SELECT DISTINCT s, s FROM k UNION SELECT k.d, r.root FROM r JOIN k ON k.s = r.s) SELECT s, min(root) AS root FROM r GROUP BY 1),
 n AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS label FROM (SELECT DISTINCT root FROM w))
-SELECT e.id, coalesce(n.label, -1)::BIGINT AS label FROM e LEFT JOIN w ON w.s = e.id LEFT JOIN n ON n.root = w.root WHERE e.label < 3""",
+SELECT e.id, coalesce(n.label, -1)::BIGINT AS label FROM e LEFT JOIN w ON w.s = e.id LEFT JOIN n ON n.root = w.root""",
 )
 def _(spark, d):
-    own = labelled(spark, d).where("label < 3").select("id", "v")
-    return C.dbscan(own, 1.0, 5)
+    return C.dbscan(embedded(spark, d), 1.0, 5)
 
 
 @query("dbscan_all")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparksci.operators import images
 from sparksci.operators import morphology as M
 from sparksci.plans.registry import query, r
 from sparksci.plans.statistics import events
@@ -91,3 +92,26 @@ def _(spark, d):
 @query("label_statistics")
 def _(spark, d):
     return M.label_statistics(numbered(spark, d))
+
+
+KERNEL = [[1.0, 2.0, 0.0], [0.5, -1.0, 3.0], [0.0, 4.0, -2.0]]
+WEIGHTS = ", ".join(f"({i - 1}, {j - 1}, {c}::DOUBLE)" for i, row in enumerate(KERNEL) for j, c in enumerate(row))
+REACHED = f", k AS (SELECT * FROM (VALUES {WEIGHTS}) t(dy, dx, w)) SELECT a.img, a.y, a.x, {{v}} FROM a JOIN k ON true JOIN a b ON b.img = a.img AND b.y = a.y {{sign}} k.dy AND b.x = a.x {{sign}} k.dx GROUP BY 1, 2, 3"
+for name, sign in (("convolve2d", "-"), ("correlate2d", "+")):
+
+    @query(name, IMAGE + REACHED.format(v=r("sum(k.w * b.v)", "v"), sign=sign))
+    def _(spark, d, name=name):
+        return getattr(images, name)(pixels(spark, d), KERNEL)
+
+
+AROUND = ", s AS (SELECT a.img, a.y, a.x, any_value(a.v) AS v, list(b.v) AS near, sum(b.v) / 9 AS m, sum(b.v * b.v) / 9 AS q FROM a JOIN a b ON b.img = a.img AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY 1, 2, 3)"
+
+
+@query("medfilt2d", IMAGE + AROUND + f" SELECT img, y, x, {r('list_sort(list_resize(near, 9, 0.0))[5]', 'v')} FROM s")
+def _(spark, d):
+    return images.medfilt2d(pixels(spark, d))
+
+
+@query("wiener2d", IMAGE + AROUND + f", n AS (SELECT *, q - m * m AS var, avg(q - m * m) OVER (PARTITION BY img) AS noise FROM s) SELECT img, y, x, {r('CASE WHEN var <= noise THEN m ELSE m + (1 - noise / var) * (v - m) END', 'v')} FROM n")
+def _(spark, d):
+    return images.wiener2d(pixels(spark, d))

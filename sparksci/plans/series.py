@@ -234,3 +234,37 @@ def _(spark, d):
 def _(spark, d):
     k, q = _queries(spark, d)
     return P.hermite(P.pchip_slopes(k, "x", "value", "user_id"), q, "x", "value", "slope", "xq", "user_id").select(*KEY, "value")
+
+
+@query(
+    "periodogram",
+    f"""WITH o AS (SELECT event_type, value - avg(value) OVER (PARTITION BY event_type) AS y, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+s AS (SELECT event_type, k.bin, max(n) AS n, sum(y * cos(2 * pi() * k.bin * i / n)) AS re, sum(y * sin(2 * pi() * k.bin * i / n)) AS im FROM o, range(16) k(bin) WHERE k.bin <= n // 2 GROUP BY 1, 2)
+SELECT event_type, bin, {r('bin / n', 'freq')}, {r('CASE WHEN bin = 0 OR 2 * bin = n THEN 1.0 ELSE 2.0 END * (re * re + im * im) / n', 'psd')} FROM s""",
+)
+def _(spark, d):
+    return S.periodogram(events(spark, d), "value", "event_id", "event_type")
+
+
+@query("csd")
+def _(spark, d):
+    return S.csd(events(spark, d).withColumn("u", F.col("user_id").cast("double")), "value", "u", "event_id", "event_type", nperseg=64)
+
+
+@query("coherence")
+def _(spark, d):
+    return S.coherence(events(spark, d).withColumn("u", F.col("user_id").cast("double")), "value", "u", "event_id", "event_type", nperseg=64)
+
+
+@query(
+    "istft",
+    f"""WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, i, {r('value', 'value')} FROM o WHERE i > 0 AND i < (n - 64) // 16 * 16 + 64""",
+)
+def _(spark, d):
+    return S.istft(S.stft(events(spark, d), "value", "event_id", "event_type", 64), "event_type", 64)
+
+
+@query("cubic_spline_coefficients")
+def _(spark, d):
+    return P.cubic_spline_coefficients(lines(spark, d), "x", "value", "user_id")

@@ -36,18 +36,18 @@ for name, sql in METRICS.items():
         return S.cdist(embedded(spark, d), asked(spark, d), name)
 
 
-@query("pdist", f"WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label < 3) SELECT q.id AS i, e.id AS j, {r(EUCLID, 'distance')} FROM e q JOIN e ON q.id < e.id")
+@query("pdist", f"WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT q.id AS i, e.id AS j, {r(EUCLID, 'distance')} FROM e q JOIN e ON q.id < e.id")
 def _(spark, d):
-    return S.pdist(points(table(spark, d, "embeddings").where("label < 3"), "vec_id", "embedding"))
+    return S.pdist(embedded(spark, d))
 
 
 @query(
     "squareform",
-    f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label < 2)
+    f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
 SELECT q.id AS i, e.id AS j, {r(f'CASE WHEN q.id = e.id THEN 0.0 ELSE {EUCLID} END', 'distance')} FROM e q, e""",
 )
 def _(spark, d):
-    return S.squareform(S.pdist(points(table(spark, d, "embeddings").where("label < 2"), "vec_id", "embedding")))
+    return S.squareform(S.pdist(embedded(spark, d)))
 
 
 @query("pdist_all")
@@ -109,3 +109,9 @@ def _(spark, d):
     q = V.quat_from_euler("XYZ", F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50)
     m = V.quat_to_matrix(q)
     return items(spark, d).select("l_orderkey", "l_linenumber", m[0][0].alias("m00"), m[1][0].alias("m10"), m[2][0].alias("m20"))
+
+
+@query("rotation_as_euler", f"SELECT l_orderkey, l_linenumber, {r('l_discount', 'a')}, {r('l_tax', 'b')}, {r('l_quantity / 50', 'c')} FROM lineitem")
+def _(spark, d):
+    q = V.quat_from_euler("XYZ", F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50)
+    return items(spark, d).select("l_orderkey", "l_linenumber", V.quat_to_euler(q).alias("e")).select("l_orderkey", "l_linenumber", "e.a", "e.b", "e.c")
