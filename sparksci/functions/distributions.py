@@ -326,3 +326,61 @@ def binomial(n: int, p: float) -> Distribution:
     log_pmf = lambda k: np.where(k <= n, choose(k) + k * math.log(p) + (n - k) * math.log1p(-p), -np.inf)
     cdf = lambda k: np.where(k < 0, 0.0, np.where(k >= n, 1.0, special.betainc(np.maximum(n - k, 1e-9), np.maximum(k, 0) + 1, 1 - p)))
     return _counts("binomial", log_pmf, cdf, float(n), n * p, n * p * (1 - p))
+
+
+def inverse_gamma(shape: float, scale: float = 1.0) -> Distribution:
+    _positive(shape=shape, scale=scale)
+    cdf = lambda x: np.where(x > 0, 1 - special.gammainc(shape, scale / np.where(x > 0, x, 1.0)), 0.0)
+    log_norm = shape * math.log(scale) - math.lgamma(shape)
+    return Distribution(
+        "inverse_gamma",
+        lambda x: F.when(x > 0, F.exp(log_norm - (shape + 1) * F.log(x) - scale / x)).otherwise(0.0),
+        _special(cdf),
+        _special(_by_bisection(cdf, 0.0, scale * 1e6)),
+        scale / (shape - 1) if shape > 1 else math.inf,
+        scale**2 / ((shape - 1) ** 2 * (shape - 2)) if shape > 2 else math.inf,
+    )
+
+
+def truncated_normal(low: float, high: float, loc: float = 0.0, scale: float = 1.0) -> Distribution:
+    _positive(scale=scale, width=high - low)
+    below = lambda x: 1 - special.normal_sf((np.asarray(x, float) - loc) / scale)
+    first, mass = float(below(low)), float(below(high) - below(low))
+    a, b = (low - loc) / scale, (high - loc) / scale
+    dens = lambda z: math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    shift = (dens(a) - dens(b)) / mass
+    return Distribution(
+        "truncated_normal",
+        lambda x: F.when((x >= low) & (x <= high), F.exp(-((x - loc) ** 2) / (2 * scale**2)) / (scale * math.sqrt(2 * math.pi) * mass)).otherwise(0.0),
+        _special(lambda x: np.clip((below(x) - first) / mass, 0.0, 1.0)),
+        _special(lambda p: np.clip(loc + scale * special.normal_ppf(first + p * mass), low, high)),
+        loc + scale * shift,
+        scale**2 * (1 + (a * dens(a) - b * dens(b)) / mass - shift**2),
+    )
+
+
+def negative_binomial(r: float, p: float) -> Distribution:
+    """Failures before the r-th success."""
+    _positive(r=r)
+    if not 0 < p < 1:
+        raise ValueError("p lies in (0, 1)")
+    log_pmf = lambda k: special._lgamma(k + r) - special._lgamma(k + 1) - math.lgamma(r) + r * math.log(p) + k * math.log1p(-p)
+    cdf = lambda k: np.where(k < 0, 0.0, special.betainc(r, np.maximum(k, 0) + 1, p))
+    mean, variance = r * (1 - p) / p, r * (1 - p) / p**2
+    return _counts("negative_binomial", log_pmf, cdf, mean + 40 * math.sqrt(variance) + 100, mean, variance)
+
+
+def hypergeometric(total: int, marked: int, drawn: int) -> Distribution:
+    """Marked ones among those drawn without putting back; the probabilities of all counts, at most ``drawn``, are summed once."""
+    if not (0 <= marked <= total and 0 <= drawn <= total and total > 0):
+        raise ValueError("marked and drawn lie between 0 and total")
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    low, high = max(0, drawn + marked - total), min(drawn, marked)
+    logs = np.array([choose(marked, k) + choose(total - marked, drawn - k) - choose(total, drawn) for k in range(low, high + 1)])
+    sums = np.minimum(np.cumsum(np.exp(logs)), 1.0)
+    at = lambda k: np.clip(np.asarray(k) - low, 0, high - low).astype(int)
+    log_pmf = lambda k: np.where((k >= low) & (k <= high), logs[at(k)], -np.inf)
+    cdf = lambda k: np.where(k < low, 0.0, np.where(k >= high, 1.0, sums[at(k)]))
+    mean = drawn * marked / total
+    variance = mean * (1 - marked / total) * (total - drawn) / (total - 1) if total > 1 else 0.0
+    return _counts("hypergeometric", log_pmf, cdf, float(high), mean, variance)

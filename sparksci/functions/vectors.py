@@ -153,3 +153,16 @@ def slerp(a: Column, b: Column, t: Column) -> Column:
         )
 
     return _let(_let(F.struct(a.alias("a"), b.alias("b"), t.alias("t")), measured), between)
+
+
+def quat_to_euler(q: Column, order: str = "XYZ") -> Column:
+    """struct(a, b, c) of the angles that quat_from_euler takes, for XYZ and ZYX; b lies in [-pi/2, pi/2]."""
+    m = quat_to_matrix(q)
+    clip = lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
+    if order == "XYZ":
+        a, b, c = F.atan2(m[2][1], m[2][2]), F.asin(clip(-m[2][0])), F.atan2(m[1][0], m[0][0])
+    elif order == "ZYX":
+        a, b, c = F.atan2(-m[0][1], m[0][0]), F.asin(clip(m[0][2])), F.atan2(-m[1][2], m[2][2])
+    else:
+        raise ValueError("order is XYZ or ZYX")
+    return F.struct(a.alias("a"), b.alias("b"), c.alias("c"))

@@ -231,3 +231,7 @@ def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
         part = later.where("source <> id").groupBy("id").agg(F.sum("dep").alias("c"))
         total = part if total is None else total.union(part)
     return total.groupBy("id").agg(F.sum("c").alias("c"))
+
+
+def is_strongly_connected(edges: DataFrame, nodes: DataFrame) -> bool:
+    return strongly_connected_components(edges, nodes).select("component").distinct().limit(2).count() == 1

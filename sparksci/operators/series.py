@@ -374,3 +374,74 @@ def detrend(df: DataFrame, y: str, order, by=(), kind: str = "linear", out: str
     joined = rows.join(fit, keys) if keys else rows.crossJoin(F.broadcast(fit))  # one row
     line = F.col("__m") + (F.col("__b") * (F.col("__i") - F.col("__c")) if kind == "linear" else 0.0)
     return joined.withColumn(out, F.col(y) - line).drop("__i", "__m", "__c", "__b")
+
+
+def periodogram(df: DataFrame, y: str, order, by=(), bins: int = 16, fs: float = 1.0, detrend: bool = True) -> DataFrame:
+    """(by, bin, freq, psd): one-sided power density of whole series at their first ``bins`` frequencies, by plain sums over all rows."""
+    keys = _by(by)
+    mean = df.groupBy(*keys).agg(F.avg(y).alias("__m"), F.count(y).alias("__n"))
+    held = df.where(F.col(y).isNotNull())
+    i = (F.row_number().over(_window(by, order)) - 1).cast("double")
+    rows = held.select(*keys, i.alias("__i"), F.col(y).cast("double").alias("__y"))
+    rows = rows.join(mean, keys) if keys else rows.crossJoin(F.broadcast(mean))  # one row
+    angle = 2 * math.pi * F.col("bin") * F.col("__i") / F.col("__n")
+    value = F.col("__y") - F.col("__m") if detrend else F.col("__y")
+    each = rows.select(*keys, "__n", value.alias("__v"), "__i", F.explode(F.sequence(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.col("__n") / 2).cast("int")))).alias("bin"))
+    sums = each.groupBy(*keys, "bin").agg(F.sum(F.col("__v") * F.cos(angle)).alias("re"), F.sum(F.col("__v") * F.sin(angle)).alias("im"), F.max("__n").alias("n"))
+    sides = F.when((F.col("bin") == 0) | (2 * F.col("bin") == F.col("n")), 1.0).otherwise(2.0)
+    return sums.select(*keys, F.col("bin").cast("long").alias("bin"), (F.col("bin") * fs / F.col("n")).alias("freq"), (sides * (F.col("re") ** 2 + F.col("im") ** 2) / (fs * F.col("n"))).alias("psd"))
+
+
+def csd(df: DataFrame, x: str, y: str, order, by=(), fs: float = 1.0, nperseg: int = 256, window: str = "hann", detrend: bool = True) -> DataFrame:
+    """(by, bin, freq, re, im, pxx, pyy): cross density of two columns and the density of each, averaged over half-overlapping segments.
+
+    Rows where either column is null take no part.
+    """
+    keys = _by(by)
+    n = 1 << (nperseg - 1).bit_length()
+
+    @F.pandas_udf("array<struct<re:double,im:double,pxx:double,pyy:double>>")
+    def cross(v: pd.Series, w: pd.Series) -> pd.Series:
+        taper = windows.samples(window, nperseg, periodic=False)
+        a, b = (np.array(c.tolist(), float).reshape(-1, nperseg) for c in (v, w))
+        if detrend:
+            a, b = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)
+        fa, fb = (np.fft.rfft(c * taper, n, axis=1) for c in (a, b))
+        scale = np.full(fa.shape[1], 2.0 / (fs * (taper**2).sum()))
+        scale[0] /= 2
+        if n % 2 == 0:
+            scale[-1] /= 2
+        z, pa, pb = np.conj(fa) * fb * scale, np.abs(fa) ** 2 * scale, np.abs(fb) ** 2 * scale
+        return pd.Series([[{"re": c.real, "im": c.imag, "pxx": p, "pyy": q} for c, p, q in zip(*r, strict=True)] for r in zip(z, pa, pb, strict=True)])
+
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    left, right = (segments(both, c, order, by, nperseg, nperseg // 2) for c in (x, y))
+    met = left.join(right.withColumnRenamed("values", "others"), [*keys, "segment"])
+    bins = met.select(*keys, F.posexplode(cross("values", "others")).alias("bin", "p"))
+    out = bins.groupBy(*keys, "bin").agg(*(F.avg(f"p.{c}").alias(c) for c in ("re", "im", "pxx", "pyy")))
+    return out.select(*keys, F.col("bin").cast("long").alias("bin"), (F.col("bin") * fs / n).alias("freq"), "re", "im", "pxx", "pyy")
+
+
+def coherence(df: DataFrame, x: str, y: str, order, by=(), fs: float = 1.0, nperseg: int = 256, window: str = "hann", detrend: bool = True) -> DataFrame:
+    """(by, bin, freq, coherence): the cross density's squared length over the product of both densities; null where a column has no power."""
+    z = csd(df, x, y, order, by, fs, nperseg, window, detrend)
+    return z.select(*_by(by), "bin", "freq", F.try_divide(F.col("re") ** 2 + F.col("im") ** 2, F.col("pxx") * F.col("pyy")).alias("coherence"))
+
+
+def istft(df: DataFrame, by=(), n_fft: int = 256, hop: int | None = None, window: str = "hann") -> DataFrame:
+    """(by, i, value) from (by, frame, bin, re, im) of stft: frames go back to samples, which add up by position over the squared window.
+
+    Positions that no window weighs have no value.
+    """
+    keys, step = _by(by), hop or n_fft // 4
+
+    @F.pandas_udf("array<double>")
+    def back(re: pd.Series, im: pd.Series) -> pd.Series:
+        z = np.array(re.tolist(), float) + 1j * np.array(im.tolist(), float)
+        return pd.Series(list(np.fft.irfft(z, n_fft, axis=1) * windows.samples(window, n_fft, periodic=True)))
+
+    weight = F.array(*(F.lit(float(w * w)) for w in windows.samples(window, n_fft, periodic=True)))
+    frames = df.groupBy(*keys, "frame").agg(F.sort_array(F.collect_list(F.struct("bin", "re", "im"))).alias("z"))
+    samples = frames.select(*keys, "frame", F.posexplode(back(F.col("z.re"), F.col("z.im"))).alias("k", "v"))
+    at = samples.select(*keys, (F.col("frame") * step + F.col("k")).cast("long").alias("i"), "v", F.get(weight, F.col("k")).alias("w"))
+    return at.groupBy(*keys, "i").agg(F.sum("v").alias("v"), F.sum("w").alias("w")).where("w > 1e-10").select(*keys, "i", (F.col("v") / F.col("w")).alias("value"))
