@@ -56,7 +56,9 @@ def condensed(square: DataFrame) -> DataFrame:
 
 def _in_blocks(points: DataFrame, size: int) -> DataFrame:
     """(block, ids, vs): points dealt evenly by hash into bounded rows; those without id or vector, or with a null in it, take no part."""
-    whole = points.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(~F.exists("v", lambda c: c.isNull()))
+    whole = points.where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    if dict(points.dtypes)["v"].startswith("array"):
+        whole = whole.where(~F.exists("v", lambda c: c.isNull()))
     n = max(1, -(-whole.count() // size))
     held = whole.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("p"))
     return held.select("block", F.col("p.id").alias("ids"), F.col("p.v").alias("vs"))
