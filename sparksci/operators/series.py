@@ -8,6 +8,7 @@ of bounded length, one segment a row.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -19,6 +20,7 @@ from pyspark.sql.window import Window
 
 from sparksci.functions import windows
 from sparksci.operators.statistics import _by
+from sparksci.sources.tables import settled
 
 
 def _window(by, order):
@@ -263,11 +265,18 @@ def haar_dwt(df: DataFrame, y: str, order, by=()) -> DataFrame:
 # Decomposition low-pass filters.
 WAVELETS = {
     "haar": [0.7071067811865476, 0.7071067811865476],
-    "db2": [-0.12940952255092145, 0.22414386804185735, 0.836516303737469, 0.48296291314469025],
+    "db2": [0.48296291314469025, 0.836516303737469, 0.22414386804185735, -0.12940952255092145],
+    "db3": [0.3326705529509569, 0.8068915093133388, 0.4598775021193313, -0.13501102001039084, -0.08544127388224149, 0.035226291882100656],
+    "db4": [0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.02798376941698385, -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278],
 }
 EXTENSIONS = {"symmetric": "mirror", "zero": "constant", "constant": "nearest", "periodic": "wrap"}
 
 
+def _high(low: list[float]) -> list[float]:
+    """The mirror filter: reversed, every second value negated."""
+    return [c if k % 2 else -c for k, c in enumerate(low)][::-1]
+
+
 def dwt(df: DataFrame, y: str, order: str, by=(), wavelet: str = "haar", extension: str = "symmetric") -> DataFrame:
     """(by, pos, approx, detail): one level of a wavelet transform.
 
@@ -275,13 +284,64 @@ def dwt(df: DataFrame, y: str, order: str, by=(), wavelet: str = "haar", extensi
     """
     low = WAVELETS[wavelet]
     n, keys = len(low), _by(by)
-    high = [c if k % 2 else -c for k, c in enumerate(low[::-1])]
+    high = _high(low)
     w = Window.partitionBy(*keys).orderBy("__pos")
     rows = padded(df, y, order, by, n - 1, EXTENSIONS[extension])
     out = rows.withColumn("approx", _weighted(w, low, 0)).withColumn("detail", _weighted(w, high, 0)).withColumn("__i", F.row_number().over(w) - 1)
     return out.where((F.col("__i") % 2 == 0) & F.col("approx").isNotNull()).select(*keys, (F.col("__i") / 2).cast("long").alias("pos"), "approx", "detail")
 
 
+def _merged(parts: DataFrame, keys: list[str], wavelet: str, extension: str) -> DataFrame:
+    """(by, pos, value) from two series (by, part, pos, value) a key, part approx or detail: one sort for both, then a sum."""
+    low = WAVELETS[wavelet]
+    n = len(low)
+    both = [*keys, "part"]
+    spread = parts.select(*both, F.explode(F.array(F.struct((F.col("pos") * 2).alias("at"), F.col("value").alias("y")), F.struct((F.col("pos") * 2 + 1).alias("at"), F.lit(0.0).alias("y")))).alias("__s")).select(*both, "__s.at", "__s.y")
+    w = Window.partitionBy(*both).orderBy("__pos")
+    rows = padded(spread, "y", "at", both, n - 1, EXTENSIONS[extension])
+    value = F.when(F.col("part") == "approx", _weighted(w, low[::-1], 0)).otherwise(_weighted(w, _high(low)[::-1], 0))
+    out = rows.select(*keys, (F.col("__pos") + (n - 1)).alias("pos"), value.alias("__v")).where("__v IS NOT NULL")
+    return out.groupBy(*keys, "pos").agg(F.sum("__v").alias("value"), F.count("*").alias("__n")).where("__n = 2").drop("__n")
+
+
+def idwt(df: DataFrame, by=(), wavelet: str = "haar", extension: str = "symmetric") -> DataFrame:
+    """(by, pos, value) from rows (by, pos, approx, detail): zeros between the coefficients, both correlated with the reversed filters.
+
+    The result keeps the L - 1 values by which ``dwt`` extends the series: value 0 of the series is at pos L - 1.
+    Away from the ends it is the series itself; 2 m + L - 1 values from m coefficients.
+    """
+    keys = _by(by)
+    part = [F.struct(F.lit(name).alias("part"), F.col(name).cast("double").alias("value")) for name in ("approx", "detail")]
+    return _merged(df.select(*keys, "pos", F.explode(F.array(*part)).alias("__p")).select(*keys, "pos", "__p.*"), keys, wavelet, extension)
+
+
+def wavedec(df: DataFrame, y: str, order: str, by=(), wavelet: str = "haar", extension: str = "symmetric", level: int = 1) -> DataFrame:
+    """(by, level, part, pos, value): details of levels 1 to ``level`` and the last level's approximation.
+
+    A level is written before the next one reads it, so none is computed twice; each is half as long as the one before.
+    """
+    if level < 1:
+        raise ValueError("level is at least 1")
+    keys, out = _by(by), []
+    at, value, place = df, y, order
+    for step in range(1, level + 1):
+        at = settled(dwt(at, value, place, by, wavelet, extension))
+        value, place = "approx", "pos"
+        parts = ["detail", "approx"] if step == level else ["detail"]
+        out += [at.select(*keys, F.lit(step).alias("level"), F.lit(part).alias("part"), "pos", F.col(part).alias("value")) for part in parts]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def waverec(coeffs: DataFrame, by=(), wavelet: str = "haar", extension: str = "symmetric", level: int = 1) -> DataFrame:
+    """(by, pos, value) from the rows of ``wavedec``, from the last level to the first; the longer of two series is cut to the shorter."""
+    keys = _by(by)
+    now = coeffs.where((F.col("level") == level) & (F.col("part") == "approx")).select(*keys, "pos", "value")
+    for step in range(level, 0, -1):
+        detail = coeffs.where((F.col("level") == step) & (F.col("part") == "detail")).select(*keys, F.lit("detail").alias("part"), "pos", "value")
+        now = _merged(detail.unionByName(now.withColumn("part", F.lit("approx"))), keys, wavelet, extension)
+    return now
+
+
 # --- spectra -------------------------------------------------------------------------------
 
 

@@ -158,6 +158,35 @@ def _(spark, d):
     return S.haar_dwt(lines(spark, d), "value", "event_id", "user_id")
 
 
+# One level of the Haar transform with zeros beyond the ends: value i of a series is in pair (i + 1) // 2.
+HAAR = "sum({y}) / sqrt(2) AS a, sum(CASE WHEN (i + 1) % 2 = 0 THEN {y} ELSE -{y} END) / sqrt(2) AS d"
+
+
+@query(
+    "wavedec",
+    f"""WITH s AS (SELECT user_id, row_number() OVER w - 1 AS i, value AS y FROM events {W}),
+one AS (SELECT user_id, (i + 1) // 2 AS i, {HAAR.format(y='y')} FROM s GROUP BY user_id, (i + 1) // 2),
+two AS (SELECT user_id, (i + 1) // 2 AS i, {HAAR.format(y='a')} FROM (SELECT user_id, i, a FROM one) GROUP BY user_id, (i + 1) // 2)
+SELECT user_id, 1 AS level, 'detail' AS part, i AS pos, {r('d', 'value')} FROM one
+UNION ALL SELECT user_id, 2, 'detail', i, {r('d', 'value')} FROM two
+UNION ALL SELECT user_id, 2, 'approx', i, {r('a', 'value')} FROM two""",
+)
+def _(spark, d):
+    return S.wavedec(lines(spark, d), "value", "event_id", "user_id", extension="zero", level=2)
+
+
+@query(
+    "idwt",
+    f"""WITH s AS (SELECT user_id, row_number() OVER w - 1 AS i, value AS y FROM events {W}),
+one AS (SELECT user_id, (i + 1) // 2 AS p, {HAAR.format(y='y')} FROM s GROUP BY user_id, (i + 1) // 2),
+v AS (SELECT user_id, 2 * p AS pos, (a + d) / sqrt(2) AS value FROM one UNION ALL SELECT user_id, 2 * p + 1, (a - d) / sqrt(2) FROM one
+UNION ALL SELECT user_id, 2 * max(p) + 2, 0.0 FROM one GROUP BY user_id)
+SELECT user_id, pos, {r('value', 'value')} FROM v""",
+)
+def _(spark, d):
+    return S.idwt(S.dwt(lines(spark, d), "value", "event_id", "user_id", extension="zero"), "user_id", extension="zero")
+
+
 @query(
     "detrend_linear",
     f"""WITH s AS (SELECT user_id, event_id, value AS y, (row_number() OVER w - 1)::DOUBLE AS i FROM events {W}),

@@ -242,6 +242,43 @@ def test_wavelets(spark):
         assert [r["approx"] for r in got] == pytest.approx(full.tolist())
 
 
+def test_wavelet_filters_and_inverses(spark):
+    y = [1.0, 4, 3, 5, 8, 2, 7, 6, 9, 1, 2]
+    df = series(spark, *y)
+    pads = {"zero": "constant", "symmetric": "symmetric", "periodic": "wrap", "constant": "edge"}
+
+    def forward(v, low, how):
+        high = [c * (-1) ** (k + 1) for k, c in enumerate(low)][::-1]
+        ext = np.pad(v, len(low) - 1, mode=pads[how])
+        return [np.correlate(ext, f, "valid")[::2] for f in (low, high)]
+
+    def back(a, d, low, how):
+        high = [c * (-1) ** (k + 1) for k, c in enumerate(low)][::-1]
+        both = [np.correlate(np.pad(np.ravel(np.column_stack([v, 0 * v])), len(low) - 1, mode=pads[how]), f[::-1], "valid") for v, f in ((a, low), (d, high))]
+        n = min(map(len, both))
+        return both[0][:n] + both[1][:n]
+
+    assert np.allclose(forward(y, S.WAVELETS["haar"], "zero")[1][1], (4 - 3) / 2**0.5)  # the earlier value less the later one
+    for wavelet, how in (("haar", "zero"), ("db2", "symmetric"), ("db3", "periodic"), ("db4", "constant")):
+        low = S.WAVELETS[wavelet]
+        a, d = forward(y, low, how)
+        got = S.dwt(df, "x", "t", "s", wavelet, how)
+        rows = got.orderBy("pos").collect()
+        assert np.allclose([(r["approx"], r["detail"]) for r in rows], np.column_stack([a, d]))
+        inverse = [r["value"] for r in S.idwt(got, "s", wavelet, how).orderBy("pos").collect()]
+        assert np.allclose(inverse, back(a, d, low, how))
+        if how == "zero":
+            assert np.allclose(inverse[len(low) - 1 : len(low) - 1 + len(y)], y)
+    low = S.WAVELETS["db2"]
+    coeffs = S.wavedec(df, "x", "t", "s", "db2", "symmetric", 2)
+    a1, d1 = forward(y, low, "symmetric")
+    a2, d2 = forward(a1, low, "symmetric")
+    for level, part, want in ((1, "detail", d1), (2, "detail", d2), (2, "approx", a2)):
+        assert np.allclose([r["value"] for r in coeffs.where(f"level = {level} AND part = '{part}'").orderBy("pos").collect()], want)
+    got = [r["value"] for r in S.waverec(coeffs, "s", "db2", "symmetric", 2).orderBy("pos").collect()]
+    assert np.allclose(got, back(back(a2, d2, low, "symmetric"), d1, low, "symmetric"))
+
+
 def test_map_coordinates(spark):
     from sparksci.operators import images
 
