@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from sparksci.functions import vectors
 from sparksci.operators import graph
 from sparksci.operators.spatial import _distances, _in_blocks, pdist, radius_join
+from sparksci.operators.statistics import ranks
 
 
 def nearest_center(v: Column, centers: list[list[float]]) -> Column:
@@ -70,7 +71,7 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, dims: int
     links = pairs.join(core, F.col("src") == F.col("core")).select("src", "dst", F.lit(1.0).alias("w"))
     member = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     found = graph.connected_components(links, member)
-    names = found.select("component").distinct().withColumn("label", F.row_number().over(Window.orderBy("component")).cast("long") - 1)
+    names = ranks(found.select("component").distinct(), "component", out="label").withColumn("label", F.col("label") - 1)
     return points.select("id").join(found.join(names, "component"), "id", "left").select("id", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
 
 
@@ -174,7 +175,7 @@ def single_linkage(points: DataFrame) -> DataFrame:
     """
     pairs = pdist(points).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("distance").alias("w"))
     tree = graph.minimum_spanning_tree(pairs, points.select("id"))
-    return tree.select(F.row_number().over(Window.orderBy("w", "src", "dst")).alias("step"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").alias("distance"))
+    return ranks(tree.select("src", "dst", "w"), "w", tie=("src", "dst"), out="step").select("step", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").alias("distance"))
 
 
 def fcluster(points: DataFrame, merges: DataFrame, distance: float) -> DataFrame:

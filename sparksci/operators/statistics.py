@@ -3,17 +3,21 @@
 Every operator takes ``by``, the grouping columns (none: one group), aggregates with
 map-side combining, and applies special functions to the aggregated rows only.  Null
 values are left out; a statistic below its least number of values is null.  Operators
-that rank order a group's values with a window, so a group's rows meet in one task:
-bucket or sample first where one group holds most of a large table.
+that rank deal the rows to tasks by ranges of (group, value, tie), so that one group or
+one value that holds most of a table is spread over tasks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparksci.functions import special
+from sparksci.sources.tables import settled
 
 
 def _by(by) -> list[str]:
@@ -112,19 +116,37 @@ def pearsonr(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
     return out.withColumn("p_value", F.when(F.col("n") >= 3, special.t_p_value(t, F.col("df")))).drop("r", "n")
 
 
-def ranks(df: DataFrame, x: str, by=(), tie: str = "", out: str = "rank", average: bool = False) -> DataFrame:
-    """Ordinal ranks from 1 (ties by ``tie``), or average ranks of ties on request."""
+def _beside(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the row that ``one`` holds for their keys; null keys are equal. Without keys ``one`` is one row."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(one))
+    named = one.withColumnsRenamed({k: f"__key{i}" for i, k in enumerate(keys)})
+    return rows.join(named, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)))).drop(*(f"__key{i}" for i in range(len(keys))))
+
+
+def ranks(df: DataFrame, x: str, by=(), tie=(), out: str = "rank", average: bool = False) -> DataFrame:
+    """Ordinal ranks from 1 (ties by the columns ``tie``), or average ranks of ties on request; null values rank first.
+
+    Rows are sorted in ranges and written once, numbered within their range; a range's first rank in a
+    group is the number of the group's rows in the ranges before it, a table of one row a range and group.
+    """
     keys = _by(by)
-    order = Window.partitionBy(*keys).orderBy(F.col(x), *([tie] if tie else []))
+    order = [*keys, x, *_by(tie)]
+    placed = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__range", F.shiftright("__at", 33))  # the partition, in the upper bits of the id
+    parts = placed.groupBy(*keys, "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__held"))
+    before = F.coalesce(F.sum("__held").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(*keys, "__range", (before + 1 - F.col("__first")).alias("__start"))
+    ranked = _beside(placed, starts, [*keys, "__range"]).withColumn(out, F.col("__at") + F.col("__start")).drop("__at", "__range", "__start")
     if not average:
-        return df.withColumn(out, F.row_number().over(order))
-    alike = Window.partitionBy(*keys, F.col(x))
-    return df.withColumn(out, F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (F.count("*").over(alike) - 1) / 2)
+        return ranked
+    shared = ranked.groupBy(*keys, x).agg(((F.min(out) + F.max(out)) / 2).alias("__mean"))
+    return _beside(ranked.drop(out), shared, [*keys, x]).withColumnRenamed("__mean", out)
 
 
-def spearmanr(df: DataFrame, x: str, y: str, by=(), tie: str = "", average_ties: bool = False) -> DataFrame:
+def spearmanr(df: DataFrame, x: str, y: str, by=(), tie=(), average_ties: bool = False) -> DataFrame:
     """Pearson correlation of ranks; ties rank in order of ``tie`` unless averaged."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*dict.fromkeys([*_by(by), x, y, *_by(tie)]))
     ranked = ranks(ranks(both, x, by, tie, "__rx", average_ties), y, by, tie, "__ry", average_ties)
     return pearsonr(ranked, "__rx", "__ry", by)
 
@@ -149,9 +171,10 @@ def f_oneway(df: DataFrame, x: str, sample: str, by=()) -> DataFrame:
     return _anova(df.where(F.col(x).isNotNull()).groupBy(*_by(by), sample).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("var_pop")), by)
 
 
-def kruskal(df: DataFrame, x: str, sample: str, by=(), tie: str = "") -> DataFrame:
+def kruskal(df: DataFrame, x: str, sample: str, by=(), tie=()) -> DataFrame:
     keys = _by(by)
-    ranked = ranks(df.where(F.col(x).isNotNull()), x, by, tie, "__r")
+    rows = df.where(F.col(x).isNotNull()).select(*dict.fromkeys([*keys, x, sample, *_by(tie)]))
+    ranked = ranks(rows, x, by, tie, "__r")
     parts = ranked.groupBy(*keys, sample).agg(F.count("*").alias("n"), F.sum("__r").cast("double").alias("r"))
     n = F.sum("n")
     out = parts.groupBy(*keys).agg((12.0 / (n * (n + 1)) * F.sum(F.col("r") ** 2 / F.col("n")) - 3 * (n + 1)).alias("statistic"), (F.count("*") - 1).alias("df"))
@@ -168,15 +191,10 @@ def friedmanchisquare(df: DataFrame, x: str, treatment: str, subject: str, by=()
     return out.withColumn("p_value", special.chi2_p_value(F.col("statistic"), F.col("df")))
 
 
-def shapiro(df: DataFrame, x: str, by=(), tie: str = "") -> DataFrame:
+def shapiro(df: DataFrame, x: str, by=(), tie=()) -> DataFrame:
     """W from Blom's normal scores scaled to unit length, with a normal approximation for its p-value."""
     keys = _by(by)
-    w = Window.partitionBy(*keys)
-    scored = (
-        ranks(df.where(F.col(x).isNotNull()), x, by, tie, "__i")
-        .withColumn("__n", F.count("*").over(w))
-        .withColumn("__m", special.normal_quantile((F.col("__i") - 0.375) / (F.col("__n") + 0.25)))
-    )
+    scored = _order_statistics(df, x, by, tie).withColumn("__m", special.normal_quantile((F.col("__i") - 0.375) / (F.col("__n") + 0.25)))
     n = F.count("*")
     out = scored.groupBy(*keys).agg(n.alias("n"), F.sum(F.col("__m") * F.col(x)).alias("mx"), F.sum(F.col("__m") ** 2).alias("mm"), (F.var_pop(x) * n).alias("ss"))
     stat = F.when(F.col("n") >= 3, F.when(F.col("ss") > 0, F.least(F.lit(1.0), F.try_divide(F.try_divide(F.col("mx") ** 2, F.col("mm")), F.col("ss")))).otherwise(1.0))
@@ -203,7 +221,7 @@ def normaltest(df: DataFrame, x: str, by=()) -> DataFrame:
     return out.select(*_by(by), "statistic").withColumn("p_value", special.chi2_p_value(F.col("statistic"), F.lit(2)))
 
 
-def levene(df: DataFrame, x: str, sample: str, center: str = "median", by=(), tie: str = "") -> DataFrame:
+def levene(df: DataFrame, x: str, sample: str, center: str = "median", by=(), tie=()) -> DataFrame:
     """Analysis of variance of the absolute deviations from each sample's mean, median or 10 % trimmed mean."""
     keys = [*_by(by), sample]
     rows = df.where(F.col(x).isNotNull())
@@ -252,13 +270,14 @@ def linregress(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
     )
 
 
-def _order_statistics(df: DataFrame, x: str, by, tie: str) -> DataFrame:
+def _order_statistics(df: DataFrame, x: str, by, tie) -> DataFrame:
+    """(by, x, tie, __i, __n): values with their rank and their group's size."""
     keys = _by(by)
-    w = Window.partitionBy(*keys)
-    return ranks(df.where(F.col(x).isNotNull()), x, by, tie, "__i").withColumn("__n", F.count("*").over(w))
+    ranked = ranks(df.where(F.col(x).isNotNull()).select(*dict.fromkeys([*keys, x, *_by(tie)])), x, by, tie, "__i")
+    return _beside(ranked, ranked.groupBy(*keys).agg(F.count("*").alias("__n")), keys)
 
 
-def trim_mean(df: DataFrame, x: str, proportion: float, by=(), tie: str = "") -> DataFrame:
+def trim_mean(df: DataFrame, x: str, proportion: float, by=(), tie=()) -> DataFrame:
     """Mean without the floor(n p) least and largest values; two values at least."""
     if not 0 <= proportion < 0.5:
         raise ValueError("the proportion lies in [0, 0.5)")
@@ -267,16 +286,16 @@ def trim_mean(df: DataFrame, x: str, proportion: float, by=(), tie: str = "") ->
     return _grouped(rows, by).agg(F.avg(x).alias("trim_mean"))
 
 
-def winsorized_mean(df: DataFrame, x: str, proportion: float, by=(), tie: str = "") -> DataFrame:
+def winsorized_mean(df: DataFrame, x: str, proportion: float, by=(), tie=()) -> DataFrame:
     """Mean with both tails set to the last value inside."""
     if not 0 <= proportion < 0.5:
         raise ValueError("the proportion lies in [0, 0.5)")
     cut = F.floor(F.col("__n") * F.lit(proportion))
-    w = Window.partitionBy(*_by(by))
     rows = _order_statistics(df, x, by, tie).where("__n >= 2")
-    low = F.max(F.when(F.col("__i") == cut + 1, F.col(x))).over(w)
-    high = F.max(F.when(F.col("__i") == F.col("__n") - cut, F.col(x))).over(w)
-    return _grouped(rows.withColumn("__w", F.least(F.greatest(F.col(x), low), high)), by).agg(F.avg("__w").alias("winsorized_mean"))
+    low = F.max(F.when(F.col("__i") == cut + 1, F.col(x)))
+    high = F.max(F.when(F.col("__i") == F.col("__n") - cut, F.col(x)))
+    held = _beside(rows, _grouped(rows, by).agg(low.alias("__low"), high.alias("__high")), _by(by))
+    return _grouped(held.withColumn("__w", F.least(F.greatest(F.col(x), F.col("__low")), F.col("__high"))), by).agg(F.avg("__w").alias("winsorized_mean"))
 
 
 def median_abs_deviation(df: DataFrame, x: str, by=(), scale: bool = False) -> DataFrame:

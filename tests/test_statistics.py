@@ -76,6 +76,31 @@ def test_spearman_ranks_ties_in_order(spark):
     assert one(S.spearmanr(df, "x", "y", (), "idx", True))["statistic"] < 1
 
 
+def test_ranks_over_many_ranges(spark):
+    """Groups, values and ties that several ranges share; null keys and values."""
+    rng = np.random.default_rng(5)
+    rows = [(None if g == 3 else f"g{g}", int(i), None if v == 9 else float(v)) for i, (g, v) in enumerate(zip(rng.choice([0, 0, 0, 0, 1, 2, 3], 600), rng.choice([1, 1, 1, 1, 2, 3, 9], 600)))]
+    df = spark.createDataFrame(rows, "grp string, idx long, x double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["idx"]: (r["rank"], r["mean"]) for r in S.ranks(S.ranks(df, "x", "grp", "idx"), "x", "grp", "idx", "mean", True).collect()}
+        whole = {r["idx"]: r["rank"] for r in S.ranks(df.select("idx", "x"), "x", (), "idx").collect()}
+        ranges = df.repartitionByRange("grp", "x", "idx").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranges > 1
+    low = lambda v: -math.inf if v is None else v
+    assert whole == {i: k for k, (_, i, _) in enumerate(sorted(rows, key=lambda r: (low(r[2]), r[1])), 1)}
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((low(v), i) for h, i, v in rows if h == g)
+        for k, (v, i) in enumerate(own, 1):
+            same = [j for j, (w, _) in enumerate(own, 1) if w == v]
+            want[i] = (k, sum(same) / len(same))
+    assert got == want
+    assert S.ranks(df.limit(0), "x", "grp", "idx").count() == 0
+
+
 def test_group_tests(spark):
     df = samples(spark, [1, 2, 3, 4, 5], [2, 3, 4, 5, 6], [10, 11, 12, 13, 14])
     assert one(S.f_oneway(df, "x", "grp"))["p_value"] < 1e-4
