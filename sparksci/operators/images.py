@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -159,6 +162,55 @@ def map_coordinates(df: DataFrame, queries: DataFrame, order: str = "linear") ->
     return asked.join(df, ["img", "y", "x"]).groupBy("img", "qid").agg(F.sum(F.col("w") * F.col("v")).alias("value"))
 
 
+def _mapped(df: DataFrame, shape: Callable, source: Callable, order: str) -> DataFrame:
+    """Images of shape(h, w) whose pixel (y, x) takes the old value at source(y, x, h, w); h, w are the old shape.
+
+    An image's lines are dealt to tasks before their pixels are made.
+    """
+    h, w = F.col("__h"), F.col("__w")
+    ends = df.groupBy("img").agg((F.max("y") + 1).alias("__h"), (F.max("x") + 1).alias("__w"))
+    upto = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)))
+    rows, columns = shape(h, w)
+    lines = ends.select("img", "__h", "__w", upto(rows).alias("y")).repartition("img", "y")
+    yq, xq = source(F.col("y"), F.col("x"), h, w)
+    asked = lines.select("*", upto(columns).alias("x")).select("img", F.struct("y", "x").alias("qid"), yq.alias("yq"), xq.alias("xq"))
+    return map_coordinates(df, asked, order).select("img", "qid.y", "qid.x", F.col("value").alias("v"))
+
+
+def affine_transform(df: DataFrame, matrix: list[list[float]], offset: tuple[float, float] = (0.0, 0.0), shape: tuple[int, int] | None = None, order: str = "linear") -> DataFrame:
+    """Pixel p of the new image takes the value at matrix * p + offset; the old image's shape unless one is given."""
+    (a, b), (c, d) = matrix
+    size = (lambda h, w: (h, w)) if shape is None else (lambda h, w: (F.lit(shape[0]), F.lit(shape[1])))
+    return _mapped(df, size, lambda y, x, h, w: (y * float(a) + x * float(b) + float(offset[0]), y * float(c) + x * float(d) + float(offset[1])), order)
+
+
+def zoom(df: DataFrame, factors: tuple[float, float], order: str = "linear") -> DataFrame:
+    """Scaled about the first pixel; the new shape is the old one times the factors, rounded."""
+    fy, fx = map(float, factors)
+    if fy <= 0 or fx <= 0:
+        raise ValueError("the factors are positive")
+    return _mapped(df, lambda h, w: (F.round(h * fy), F.round(w * fx)), lambda y, x, h, w: (y / fy, x / fx), order)
+
+
+def shift(df: DataFrame, by: tuple[float, float], order: str = "linear") -> DataFrame:
+    """Moved by (dy, dx); what comes in repeats the border."""
+    return _mapped(df, lambda h, w: (h, w), lambda y, x, h, w: (y - float(by[0]), x - float(by[1])), order)
+
+
+def rotate(df: DataFrame, angle: float, reshape: bool = False, order: str = "linear") -> DataFrame:
+    """Turned about the middle by ``angle`` degrees, counter-clockwise; with ``reshape`` the new image holds all of the old one."""
+    c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+    # A length that is whole but for rounding stays so.
+    size = (lambda h, w: (F.ceil(h * abs(c) + w * abs(s) - 1e-9), F.ceil(h * abs(s) + w * abs(c) - 1e-9))) if reshape else (lambda h, w: (h, w))
+
+    def source(y: Column, x: Column, h: Column, w: Column) -> tuple[Column, Column]:
+        new_h, new_w = size(h, w)
+        dy, dx = y - (new_h - 1) / 2, x - (new_w - 1) / 2
+        return (h - 1) / 2 + dy * c + dx * s, (w - 1) / 2 - dy * s + dx * c
+
+    return _mapped(df, size, source, order)
+
+
 def _sent(df: DataFrame, steps: list[tuple[int, int, float]]) -> DataFrame:
     """(img, y, x, w, v): every pixel's value at each (dy, dx) from it, with that step's weight, where a pixel is."""
     to = F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(float(w)).alias("w")) for a, b, w in steps))).alias("s")

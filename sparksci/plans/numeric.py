@@ -202,6 +202,35 @@ def _(spark, d):
     return M.map_coordinates(p, asked)
 
 
+def resampled(yq: str, xq: str, height: int = 24, width: int = 24) -> str:
+    """SQL of images whose pixels take the bilinear values at (yq, xq) of the old ones."""
+    return IMAGE + f""", q AS (SELECT i.img, y.range::INT AS y, x.range::INT AS x, greatest(0, least(23, {yq})) AS yq, greatest(0, least(23, {xq})) AS xq
+FROM (SELECT DISTINCT img FROM a) i, range({height}) y, range({width}) x)
+SELECT q.img, q.y, q.x, {r('sum((1 - abs(a.y - q.yq)) * (1 - abs(a.x - q.xq)) * a.v)', 'v')}
+FROM q JOIN a ON q.img = a.img AND abs(a.y - q.yq) < 1 AND abs(a.x - q.xq) < 1 GROUP BY 1, 2, 3"""
+
+
+C30, S30 = "cos(radians(30))", "sin(radians(30))"
+RESAMPLED = {
+    "affine_transform": (
+        lambda p: M.affine_transform(p, [[0.83717, 0.11323], [-0.09127, 0.91711]], (1.71313, 0.37171)),
+        resampled("0.83717::DOUBLE * y.range + 0.11323::DOUBLE * x.range + 1.71313::DOUBLE", "-0.09127::DOUBLE * y.range + 0.91711::DOUBLE * x.range + 0.37171::DOUBLE"),
+    ),
+    "zoom": (lambda p: M.zoom(p, (1.5, 2.0)), resampled("y.range / 1.5::DOUBLE", "x.range / 2.0::DOUBLE", 36, 48)),
+    "shift": (lambda p: M.shift(p, (0.5, -1.0)), resampled("y.range - 0.5::DOUBLE", "x.range + 1.0::DOUBLE")),
+    # 24 * (cos + sin) of 30 degrees is 32.8.
+    "rotate": (
+        lambda p: M.rotate(p, 30.0, reshape=True),
+        resampled(f"11.5::DOUBLE + {C30} * (y.range - 16) + {S30} * (x.range - 16)", f"11.5::DOUBLE - {S30} * (y.range - 16) + {C30} * (x.range - 16)", 33, 33),
+    ),
+}
+for name, (fn, sql) in RESAMPLED.items():
+
+    @query(name, sql)
+    def _(spark, d, fn=fn):
+        return fn(pixels(spark, d))
+
+
 Z = "((value - 50) / 25)"
 DENSITIES = [
     (D.normal(), f"exp(-{Z} * {Z} / 2) / sqrt(2 * pi())"),

@@ -289,6 +289,29 @@ def test_map_coordinates(spark):
     assert {r["qid"]: r["value"] for r in images.map_coordinates(df, asked, "nearest").collect()}[3] == 1
 
 
+def test_resampled_images(spark):
+    from sparksci.operators import images
+
+    def got(df):
+        held = {(r["y"], r["x"]): r["v"] for r in df.collect()}
+        return [[pytest.approx(held.pop((y, x)), abs=1e-9) for x in range(max(k[1] for k in held) + 1)] for y in range(max(k[0] for k in held) + 1)] if held else []
+
+    small = image(spark, [[0, 1], [2, 3]])
+    assert got(images.affine_transform(small, [[1, 0], [0, 1]])) == [[0, 1], [2, 3]]
+    assert got(images.affine_transform(small, [[0, 1], [1, 0]], shape=(2, 1))) == [[0], [1]]
+    assert got(images.zoom(small, (2, 2))) == [[0, 0.5, 1, 1], [1, 1.5, 2, 2], [2, 2.5, 3, 3], [2, 2.5, 3, 3]]
+    assert got(images.zoom(small, (0.5, 1))) == [[0, 1]] and images.zoom(small, (0.1, 1)).count() == 0
+    assert got(images.shift(small, (1, 0))) == [[0, 1], [0, 1]]
+    assert got(images.shift(small, (0, -0.5))) == [[0.5, 1], [2.5, 3]]
+    assert got(images.rotate(small, 90)) == [[1, 3], [0, 2]]
+    wide = image(spark, [[1, 2, 3], [4, 5, 6]])
+    assert got(images.rotate(wide, 90, reshape=True)) == [[3, 6], [2, 5], [1, 4]]
+    assert got(images.rotate(wide, 180, order="nearest")) == [[6, 5, 4], [3, 2, 1]]
+    assert images.rotate(wide.limit(0), 45).count() == 0
+    with pytest.raises(ValueError):
+        images.zoom(small, (0, 1))
+
+
 def test_whole_graph_queries(spark, sf, monkeypatch):
     from sparksci.plans import QUERIES
 
