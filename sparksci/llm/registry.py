@@ -1,6 +1,6 @@
 """The queries of the training-data operators and their SQL counterparts."""
 
-from sparksci.llm import bpe, language_id, line_dedup, lm_score, near_dedup, ogg, packing, sharding, topk, url_rules
+from sparksci.llm import bpe, fill_in_middle, filter_audit, language_id, line_dedup, lm_score, near_dedup, ogg, packing, sharding, token_count, topk, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1_url_rules,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_ogg_media": ogg.op9_ogg_media,
     "op10_bpe": bpe.op10_bpe,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_token_counts": token_count.op12_token_counts,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op6_language_id": language_id.ORACLE,
     "op7_near_dedup": near_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }

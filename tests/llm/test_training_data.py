@@ -681,7 +681,7 @@ def test_scores_of_odd_rows(spark, odd):
 
 def test_every_operator_has_its_query():
     names = sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES)
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
 
 
 def test_scratch_tables_can_be_removed(spark):
