@@ -14,6 +14,7 @@ from sparksci.functions import vectors
 from sparksci.operators import graph
 from sparksci.operators.spatial import _distances, _in_blocks, pdist, radius_join
 from sparksci.operators.statistics import ranks
+from sparksci.sources.tables import stored
 
 
 def nearest_center(v: Column, centers: list[list[float]]) -> Column:
@@ -64,9 +65,9 @@ def kmeans(points: DataFrame, centers: list[list[float]], max_iter: int = 300, t
     return c.tolist(), float(inertia), step
 
 
-def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, dims: int = 2) -> DataFrame:
+def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean") -> DataFrame:
     """(id, label): -1 for noise; clusters numbered by their least id. Links hold where either end is a core point."""
-    pairs = radius_join(points, points, eps, dims=dims).select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+    pairs = stored(radius_join(points, points, eps, metric).select(F.col("query_id").alias("src"), F.col("id").alias("dst")))
     core = pairs.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("src").alias("core"))
     links = pairs.join(core, F.col("src") == F.col("core")).select("src", "dst", F.lit(1.0).alias("w"))
     member = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()

@@ -238,20 +238,18 @@ def _square(size: int) -> list[tuple[int, int, float]]:
 
 
 def medfilt2d(df: DataFrame, size: int = 3) -> DataFrame:
-    """Median of the square around each pixel; beyond the image all is 0."""
-    held = _sent(df, _square(size)).groupBy("img", "y", "x").agg(F.collect_list("v").alias("near"))
-    every = F.array_sort(F.concat("near", F.array_repeat(F.lit(0.0), size * size - F.size("near"))))
-    return held.select("img", "y", "x", every[size * size // 2].alias("v"))
+    """Median of the square around each pixel; the square shrinks at the borders, and of an even number of values the upper one of the middle two is taken."""
+    held = _sent(df, _square(size)).groupBy("img", "y", "x").agg(F.sort_array(F.collect_list("v")).alias("near"))
+    return held.select("img", "y", "x", F.get("near", F.floor(F.size("near") / 2).cast("int")).alias("v"))
 
 
 def wiener2d(df: DataFrame, size: int = 3, noise: float | None = None) -> DataFrame:
-    """Local mean plus the share of the deviation above the noise, by default the image's mean local variance; beyond the image all is 0."""
-    n = float(size * size)
-    local = _sent(df, _square(size)).groupBy("img", "y", "x").agg((F.sum("v") / n).alias("m"), (F.sum(F.col("v") * F.col("v")) / n).alias("q"))
-    rows = df.join(local, ["img", "y", "x"]).withColumn("var", F.col("q") - F.col("m") * F.col("m"))
+    """Local mean plus the share of the deviation above the noise, by default the image's least local variance (at least 1e-10); the square shrinks at the borders."""
+    local = _sent(df, _square(size)).groupBy("img", "y", "x").agg(F.avg("v").alias("m"), F.var_pop("v").alias("var"))
+    rows = df.join(local, ["img", "y", "x"])
     if noise is None:
-        rows = rows.join(rows.groupBy("img").agg(F.avg("var").alias("noise")), "img")
+        rows = rows.join(rows.groupBy("img").agg(F.greatest(F.min("var"), F.lit(1e-10)).alias("noise")), "img")
     else:
         rows = rows.withColumn("noise", F.lit(float(noise)))
-    out = F.when(F.col("var") <= F.col("noise"), F.col("m")).otherwise(F.col("m") + (1 - F.col("noise") / F.col("var")) * (F.col("v") - F.col("m")))
-    return rows.select("img", "y", "x", out.alias("v"))
+    share = F.when(F.col("var") > F.col("noise"), (F.col("var") - F.col("noise")) / F.col("var")).otherwise(0.0)
+    return rows.select("img", "y", "x", (F.col("m") + share * (F.col("v") - F.col("m"))).alias("v"))

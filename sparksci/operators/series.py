@@ -71,9 +71,10 @@ def simpson(df: DataFrame, y: str, x: str, by=(), order=None) -> DataFrame:
 
 
 def medfilt(df: DataFrame, y: str, order, by=(), size: int = 3, out: str = "medfilt") -> DataFrame:
-    """Running median; the window shrinks at the ends."""
+    """Running median; the window shrinks at the ends, and of an even number of values the upper one of the middle two is taken."""
     h = _odd(size)
-    return df.withColumn(out, F.percentile(y, F.lit(0.5)).over(_frame(by, order, h, h)))
+    near = F.sort_array(F.collect_list(y).over(_frame(by, order, h, h)))
+    return df.withColumn(out, F.get(near, F.floor(F.size(near) / 2).cast("int")))
 
 
 def wiener(df: DataFrame, y: str, order, by=(), size: int = 3, noise: float | None = None, out: str = "wiener") -> DataFrame:
@@ -269,7 +270,38 @@ WAVELETS = {
     "db3": [0.3326705529509569, 0.8068915093133388, 0.4598775021193313, -0.13501102001039084, -0.08544127388224149, 0.035226291882100656],
     "db4": [0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.02798376941698385, -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278],
 }
-EXTENSIONS = {"symmetric": "mirror", "zero": "constant", "constant": "nearest", "periodic": "wrap"}
+EXTENSIONS = ("symmetric", "zero", "constant", "periodic", "smooth")
+
+
+def _extended(df: DataFrame, y: str, order: str, by, pad: int, mode: str) -> DataFrame:
+    """(by, __pos, __y): each series with ``pad`` more values at both ends, by the rules of the wavelet transforms.
+
+    symmetric mirrors the left end with the end value (c b a | a b c d) and the right end without it (a b c d | c b a);
+    periodic mirrors the left end and goes on from the start at the right; constant repeats the end values, smooth
+    goes on in the line of the last two, zero adds zeros. Short series go through their values again.
+    """
+    if mode not in EXTENSIONS:
+        raise ValueError(f"extension is one of {', '.join(EXTENSIONS)}")
+    keys = _by(by)
+    w = Window.partitionBy(*keys)
+    at = w.orderBy(order)
+    p, n, v = F.col("__pos"), F.col("__n"), F.col("__y")
+    rows = df.select(*keys, (F.row_number().over(at) - 1).alias("__pos"), F.count("*").over(w).alias("__n"), F.col(y).cast("double").alias("__y"), F.lag(y).over(at).alias("__b"), F.lead(y).over(at).alias("__a"))
+    more = []
+    for i in range(pad):
+        k = F.lit(i)
+        if mode == "symmetric":
+            left = F.when(k < n, k).otherwise(F.greatest(2 * n - 2 - k, F.lit(0)))
+            right = F.when(n > 1 + k, n - 2 - k).otherwise(k % n)
+        elif mode == "periodic":
+            left = right = k % n
+        else:
+            left, right = F.lit(0), n - 1
+        before = {"zero": F.lit(0.0), "smooth": v - F.coalesce(F.col("__a") - v, F.lit(0.0)) * (i + 1)}.get(mode, v)
+        after = {"zero": F.lit(0.0), "smooth": v + F.coalesce(v - F.col("__b"), F.lit(0.0)) * (i + 1)}.get(mode, v)
+        more += [F.when(p == left, F.struct(F.lit(-1 - i).cast("long").alias("at"), before.alias("y"))), F.when(p == right, F.struct((n + k).cast("long").alias("at"), after.alias("y")))]
+    every = F.filter(F.array(F.struct(p.cast("long").alias("at"), v.alias("y")), *more), lambda e: e.isNotNull())
+    return rows.select(*keys, F.explode(every).alias("__e")).select(*keys, F.col("__e.at").alias("__pos"), F.col("__e.y").alias("__y"))
 
 
 def _high(low: list[float]) -> list[float]:
@@ -286,7 +318,7 @@ def dwt(df: DataFrame, y: str, order: str, by=(), wavelet: str = "haar", extensi
     n, keys = len(low), _by(by)
     high = _high(low)
     w = Window.partitionBy(*keys).orderBy("__pos")
-    rows = padded(df, y, order, by, n - 1, EXTENSIONS[extension])
+    rows = _extended(df, y, order, by, n - 1, extension)
     out = rows.withColumn("approx", _weighted(w, low, 0)).withColumn("detail", _weighted(w, high, 0)).withColumn("__i", F.row_number().over(w) - 1)
     return out.where((F.col("__i") % 2 == 0) & F.col("approx").isNotNull()).select(*keys, (F.col("__i") / 2).cast("long").alias("pos"), "approx", "detail")
 
@@ -298,7 +330,7 @@ def _merged(parts: DataFrame, keys: list[str], wavelet: str, extension: str) ->
     both = [*keys, "part"]
     spread = parts.select(*both, F.explode(F.array(F.struct((F.col("pos") * 2).alias("at"), F.col("value").alias("y")), F.struct((F.col("pos") * 2 + 1).alias("at"), F.lit(0.0).alias("y")))).alias("__s")).select(*both, "__s.at", "__s.y")
     w = Window.partitionBy(*both).orderBy("__pos")
-    rows = padded(spread, "y", "at", both, n - 1, EXTENSIONS[extension])
+    rows = _extended(spread, "y", "at", both, n - 1, extension)
     value = F.when(F.col("part") == "approx", _weighted(w, low[::-1], 0)).otherwise(_weighted(w, _high(low)[::-1], 0))
     out = rows.select(*keys, (F.col("__pos") + (n - 1)).alias("pos"), value.alias("__v")).where("__v IS NOT NULL")
     return out.groupBy(*keys, "pos").agg(F.sum("__v").alias("value"), F.count("*").alias("__n")).where("__n = 2").drop("__n")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparksci.functions import vectors
+from sparksci.operators import neighbours
 
 BLOCK = 1024
 
@@ -81,37 +81,21 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
 def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """(query_id, rank, id, distance): the k nearest points of each query; ties to the smaller id.
 
-    Query blocks meet point blocks; a pair of blocks gives k rows a query at most, and a window keeps k of these.
+    Searched by the pruning index of ``neighbours``. Cosine distances are searched as lengths between unit vectors;
+    vectors of length 0 take no part there.
     """
-    p = _in_blocks(points, BLOCK)
-    q = _in_blocks(queries, 256).select(F.col("ids").alias("q_ids"), F.col("vs").alias("qs"))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                ids, q_ids = np.asarray(row.ids), np.asarray(row.q_ids)
-                d = _distances(np.stack(row.qs), np.stack(row.vs), metric)
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "id": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
-
-    found = q.crossJoin(p.drop("block")).mapInPandas(best, "query_id long, id long, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
-
+    if metric == "cosine":
+        unit = lambda t: t.withColumn("__n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).where("__n > 0").select("id", F.transform("v", lambda x: x / F.col("__n")).alias("v"))
+        p = unit(points)
+        return neighbours.knn(p, p if queries is points else unit(queries), k).withColumn("distance", F.col("distance") ** 2 / 2)
+    if metric == "sqeuclidean":
+        return neighbours.knn(points, queries, k).withColumn("distance", F.col("distance") ** 2)
+    return neighbours.knn(points, queries, k, metric)
 
-def radius_join(points: DataFrame, queries: DataFrame, radius: float, metric: str = "euclidean", dims: int = 2) -> DataFrame:
-    """(query_id, id, distance) within ``radius`` (inclusive): cells of that width on the leading dimensions, then the exact distance.
 
-    A query visits 3**dims cells; points are not replicated. Cosine has no such cells and is not offered.
-    """
-    if metric not in ("euclidean", "manhattan", "chebyshev"):
-        raise ValueError("metric is euclidean, manhattan or chebyshev")
-    cell = lambda c: F.array(*(F.floor(F.coalesce(F.get(c, F.lit(k)), F.lit(0.0)) / radius) for k in range(dims)))
-    near = F.array(*(F.array(*map(F.lit, step)) for step in product((-1, 0, 1), repeat=dims)))
-    p = points.select("id", "v", cell(F.col("v")).alias("cell"))
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode(near).alias("step"))
-    q = q.select("query_id", "q", F.zip_with(cell(F.col("q")), "step", lambda a, b: a + b).alias("cell"))
-    return q.join(p, "cell").select("query_id", "id", vectors.distance(F.col("q"), F.col("v"), metric).alias("distance")).where(F.col("distance") <= radius)
+def radius_join(points: DataFrame, queries: DataFrame, radius: float, metric: str = "euclidean") -> DataFrame:
+    """(query_id, id, distance) within ``radius`` (inclusive), searched by the pruning index of ``neighbours``."""
+    return neighbours.radius_join(points, queries, radius, metric)
 
 
 def procrustes_rotation(pairs: DataFrame) -> DataFrame:

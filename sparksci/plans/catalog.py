@@ -1,6 +1,6 @@
 """Every registered query and its SQL counterpart."""
 
-from sparksci.plans import cluster, graph, morphology, numeric, series, spatial, statistics
+from sparksci.plans import cluster, filters, graph, morphology, numeric, series, spatial, statistics
 from sparksci.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cluster", "graph", "morphology", "numeric", "series", "spatial", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "cluster", "filters", "graph", "morphology", "numeric", "series", "spatial", "statistics"]

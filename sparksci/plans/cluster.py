@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparksci.operators import cluster as C
+from sparksci.operators import density as D
 from sparksci.plans.registry import query, r
 from sparksci.plans.spatial import embedded
 from sparksci.sources.tables import table
@@ -108,19 +109,47 @@ def _(spark, d):
     return C.kmeans_predict(embedded(spark, d), fitted)
 
 
-@query(
-    "dbscan",
+DENSE = (
     LABELLED
     + f""", p AS (SELECT a.id AS s, b.id AS d FROM e a, e b WHERE {DIST} <= 1.0), c AS (SELECT s FROM p GROUP BY 1 HAVING count(*) >= 5),
 k AS (SELECT s, d FROM p WHERE s IN (SELECT s FROM c) OR d IN (SELECT s FROM c)),
 w AS (WITH RECURSIVE r(s, root) AS (SELECT DISTINCT s, s FROM k UNION SELECT k.d, r.root FROM r JOIN k ON k.s = r.s) SELECT s, min(root) AS root FROM r GROUP BY 1),
 n AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS label FROM (SELECT DISTINCT root FROM w))
-SELECT e.id, coalesce(n.label, -1)::BIGINT AS label FROM e LEFT JOIN w ON w.s = e.id LEFT JOIN n ON n.root = w.root""",
+SELECT e.id, coalesce(n.label, -1)::BIGINT AS label FROM e LEFT JOIN w ON w.s = e.id LEFT JOIN n ON n.root = w.root"""
 )
+
+
+@query("dbscan_all", DENSE)  # the older name of the same query
+@query("dbscan", DENSE)
 def _(spark, d):
     return C.dbscan(embedded(spark, d), 1.0, 5)
 
 
-@query("dbscan_all")
+def banked(spark, d):
+    """Suppliers in the plane: nation and balance."""
+    s = table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").cast("long").alias("id"), F.array(F.col("s_nationkey") * 2.0, F.col("s_acctbal") / 1000).alias("v"))
+
+
+# Within a nation, balances at most 0.4 apart: runs of neighbours are found by gaps, borders by distance.
+@query(
+    "dbscan_suppliers",
+    """WITH e AS (SELECT s_suppkey::BIGINT AS id, s_nationkey AS n, s_acctbal / 1000 AS x FROM supplier),
+p AS (SELECT a.id AS s, b.id AS d FROM e a JOIN e b ON b.n = a.n AND abs(a.x - b.x) <= 0.4), c AS (SELECT s FROM p GROUP BY 1 HAVING count(*) >= 3),
+k AS (SELECT s, d FROM p WHERE s IN (SELECT s FROM c) OR d IN (SELECT s FROM c)),
+w AS (WITH RECURSIVE r(s, root) AS (SELECT DISTINCT s, s FROM k UNION SELECT k.d, r.root FROM r JOIN k ON k.s = r.s) SELECT s, min(root) AS root FROM r GROUP BY 1),
+n AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS label FROM (SELECT DISTINCT root FROM w))
+SELECT e.id, coalesce(n.label, -1)::BIGINT AS label FROM e LEFT JOIN w ON w.s = e.id LEFT JOIN n ON n.root = w.root""",
+)
 def _(spark, d):
-    return C.dbscan(embedded(spark, d), 1.0, 5)
+    return C.dbscan(banked(spark, d), 0.4, 3)
+
+
+@query("hdbscan")
+def _(spark, d):
+    return D.hdbscan(embedded(spark, d), 5).select("id", "label", "probability")
+
+
+@query("hdbscan_suppliers")
+def _(spark, d):
+    return D.hdbscan(banked(spark, d), 3).select("id", "label", "probability")

@@ -104,14 +104,17 @@ for name, sign in (("convolve2d", "-"), ("correlate2d", "+")):
         return getattr(images, name)(pixels(spark, d), KERNEL)
 
 
-AROUND = ", s AS (SELECT a.img, a.y, a.x, any_value(a.v) AS v, list(b.v) AS near, sum(b.v) / 9 AS m, sum(b.v * b.v) / 9 AS q FROM a JOIN a b ON b.img = a.img AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY 1, 2, 3)"
+AROUND = ", s AS (SELECT a.img, a.y, a.x, any_value(a.v) AS v, list_sort(list(b.v)) AS near, avg(b.v) AS m, var_pop(b.v) AS var FROM a JOIN a b ON b.img = a.img AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY 1, 2, 3)"
 
 
-@query("medfilt2d", IMAGE + AROUND + f" SELECT img, y, x, {r('list_sort(list_resize(near, 9, 0.0))[5]', 'v')} FROM s")
+@query("medfilt2d", IMAGE + AROUND + f" SELECT img, y, x, {r('near[len(near) // 2 + 1]', 'v')} FROM s")
 def _(spark, d):
     return images.medfilt2d(pixels(spark, d))
 
 
-@query("wiener2d", IMAGE + AROUND + f", n AS (SELECT *, q - m * m AS var, avg(q - m * m) OVER (PARTITION BY img) AS noise FROM s) SELECT img, y, x, {r('CASE WHEN var <= noise THEN m ELSE m + (1 - noise / var) * (v - m) END', 'v')} FROM n")
+@query(
+    "wiener2d",
+    IMAGE + AROUND + f", n AS (SELECT *, greatest(min(var) OVER (PARTITION BY img), 1e-10) AS noise FROM s) SELECT img, y, x, {r('m + CASE WHEN var > noise THEN (var - noise) / var ELSE 0 END * (v - m)', 'v')} FROM n",
+)
 def _(spark, d):
     return images.wiener2d(pixels(spark, d))

@@ -181,7 +181,16 @@ def _(spark, d):
     return G.betweenness_centrality(e, G.nodes_of(e), False)
 
 
-@query("dwt_db2")
+# One level of the four-tap transform, written out over lists: three values more at the left with the end value, three at the right without it.
+DB2 = """WITH s AS (SELECT user_id, list(value ORDER BY event_id) AS v, count(*) AS n FROM events GROUP BY 1),
+x AS (SELECT user_id, n, list_transform([2, 1, 0], lambda i: v[CASE WHEN i < n THEN i ELSE greatest(2 * n - 2 - i, 0) END + 1]) || v || list_transform([0, 1, 2], lambda i: v[CASE WHEN n > 1 + i THEN n - 2 - i ELSE i % n END + 1]) AS e FROM s),
+p AS (SELECT user_id, e, unnest(range(0, n + 3, 2)) AS k FROM x)
+SELECT user_id, k // 2 AS pos,
+round(0.48296291314469025 * e[k + 1] + 0.836516303737469 * e[k + 2] + 0.22414386804185735 * e[k + 3] - 0.12940952255092145 * e[k + 4], 4) + 0.0 AS approx,
+round(-0.12940952255092145 * e[k + 1] - 0.22414386804185735 * e[k + 2] + 0.836516303737469 * e[k + 3] - 0.48296291314469025 * e[k + 4], 4) + 0.0 AS detail FROM p"""
+
+
+@query("dwt_db2", DB2)
 def _(spark, d):
     return series.dwt(events(spark, d), "value", "event_id", "user_id", "db2")
 

@@ -48,7 +48,8 @@ def _(spark, d):
 
 @query(
     "medfilt",
-    f"SELECT user_id, event_id, {r('quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)', 'medfilt')} FROM events",
+    f"""WITH n AS (SELECT user_id, event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS near FROM events)
+SELECT user_id, event_id, {r('near[len(near) // 2 + 1]', 'medfilt')} FROM n""",
 )
 def _(spark, d):
     return S.medfilt(lines(spark, d), "value", "event_id", "user_id", 3).select(*KEY, "medfilt")

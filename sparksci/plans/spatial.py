@@ -36,26 +36,19 @@ for name, sql in METRICS.items():
         return S.cdist(embedded(spark, d), asked(spark, d), name)
 
 
-@query("pdist", f"WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT q.id AS i, e.id AS j, {r(EUCLID, 'distance')} FROM e q JOIN e ON q.id < e.id")
-def _(spark, d):
-    return S.pdist(embedded(spark, d))
-
-
-@query(
-    "squareform",
-    f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
-SELECT q.id AS i, e.id AS j, {r(f'CASE WHEN q.id = e.id THEN 0.0 ELSE {EUCLID} END', 'distance')} FROM e q, e""",
-)
-def _(spark, d):
-    return S.squareform(S.pdist(embedded(spark, d)))
+VECTORS = "WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) "
+PAIRS = VECTORS + f"SELECT q.id AS i, e.id AS j, {r(EUCLID, 'distance')} FROM e q JOIN e ON q.id < e.id"
+SQUARE = VECTORS + f"SELECT q.id AS i, e.id AS j, {r(f'CASE WHEN q.id = e.id THEN 0.0 ELSE {EUCLID} END', 'distance')} FROM e q, e"
 
 
-@query("pdist_all")
+@query("pdist_all", PAIRS)  # the older name of the same query
+@query("pdist", PAIRS)
 def _(spark, d):
     return S.pdist(embedded(spark, d))
 
 
-@query("squareform_all")
+@query("squareform_all", SQUARE)  # the older name of the same query
+@query("squareform", SQUARE)
 def _(spark, d):
     return S.squareform(S.pdist(embedded(spark, d)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,15 +55,39 @@ def image(df: DataFrame, y: Column, x: Column, value: Column, height: int, width
 _own: list[str] = []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where none is named (tests, local mode)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not (spark.sparkContext.master or "").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if named is None and not _own:
+        _own.append(tempfile.mkdtemp(prefix="sparksci-"))
+    return (named or _own[0]).rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, computed and cut from its lineage in the shared checkpoint folder: iterations stay short and survive lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not (context.master or "").startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if named is None and not _own:
-            _own.append(tempfile.mkdtemp(prefix="sparksci-"))
-        context.setCheckpointDir(named or _own[0])
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back; ``forget`` removes it when no later plan reads it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/sparksci-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored = path
+    return back
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Remove tables that ``stored`` wrote."""
+    for df in frames:
+        path = getattr(df, "_stored", None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)

@@ -43,7 +43,7 @@ def test_convolution(spark):
 def test_filters(spark):
     df = series(spark, 1, 1, 1, 100, 1, 1, 1)
     assert values(S.medfilt(df, "x", "t", "s", 3), "medfilt", "t") == [1] * 7
-    assert values(S.medfilt(series(spark, 3, 1, 2), "x", "t", "s", 3), "medfilt", "t") == [2, 2, 1.5]
+    assert values(S.medfilt(series(spark, 3, 1, 2), "x", "t", "s", 3), "medfilt", "t") == [3, 2, 2]
     with pytest.raises(ValueError):
         S.medfilt(df, "x", "t", "s", 4)
     short = series(spark, 1, 2, 4)
@@ -245,21 +245,33 @@ def test_wavelets(spark):
 def test_wavelet_filters_and_inverses(spark):
     y = [1.0, 4, 3, 5, 8, 2, 7, 6, 9, 1, 2]
     df = series(spark, *y)
-    pads = {"zero": "constant", "symmetric": "symmetric", "periodic": "wrap", "constant": "edge"}
+
+    def extend(v, pad, how):
+        """The ends by their definition, value by value."""
+        v, n = list(v), len(v)
+        if how == "zero":
+            return [0.0] * pad + v + [0.0] * pad
+        if how == "constant":
+            return [v[0]] * pad + v + [v[-1]] * pad
+        if how == "smooth":
+            return [v[0] - (v[1] - v[0]) * (i + 1) for i in reversed(range(pad))] + v + [v[-1] + (v[-1] - v[-2]) * (i + 1) for i in range(pad)]
+        if how == "periodic":
+            return [v[i % n] for i in reversed(range(pad))] + v + [v[i % n] for i in range(pad)]
+        return [v[i if i < n else max(0, 2 * n - 2 - i)] for i in reversed(range(pad))] + v + [v[n - 2 - i] if n > 1 + i else v[i % n] for i in range(pad)]
 
     def forward(v, low, how):
         high = [c * (-1) ** (k + 1) for k, c in enumerate(low)][::-1]
-        ext = np.pad(v, len(low) - 1, mode=pads[how])
+        ext = extend(v, len(low) - 1, how)
         return [np.correlate(ext, f, "valid")[::2] for f in (low, high)]
 
     def back(a, d, low, how):
         high = [c * (-1) ** (k + 1) for k, c in enumerate(low)][::-1]
-        both = [np.correlate(np.pad(np.ravel(np.column_stack([v, 0 * v])), len(low) - 1, mode=pads[how]), f[::-1], "valid") for v, f in ((a, low), (d, high))]
+        both = [np.correlate(extend(np.ravel(np.column_stack([v, 0 * v])), len(low) - 1, how), f[::-1], "valid") for v, f in ((a, low), (d, high))]
         n = min(map(len, both))
         return both[0][:n] + both[1][:n]
 
     assert np.allclose(forward(y, S.WAVELETS["haar"], "zero")[1][1], (4 - 3) / 2**0.5)  # the earlier value less the later one
-    for wavelet, how in (("haar", "zero"), ("db2", "symmetric"), ("db3", "periodic"), ("db4", "constant")):
+    for wavelet, how in (("haar", "zero"), ("db2", "symmetric"), ("db3", "periodic"), ("db4", "constant"), ("db3", "smooth")):
         low = S.WAVELETS[wavelet]
         a, d = forward(y, low, how)
         got = S.dwt(df, "x", "t", "s", wavelet, how)
@@ -277,6 +289,10 @@ def test_wavelet_filters_and_inverses(spark):
         assert np.allclose([r["value"] for r in coeffs.where(f"level = {level} AND part = '{part}'").orderBy("pos").collect()], want)
     got = [r["value"] for r in S.waverec(coeffs, "s", "db2", "symmetric", 2).orderBy("pos").collect()]
     assert np.allclose(got, back(back(a2, d2, low, "symmetric"), d1, low, "symmetric"))
+    last = S.dwt(series(spark, 1, 4, 3, 5, 8, 2, 7, 6), "x", "t", "s", "db2").orderBy("pos").collect()[-2:]
+    assert [r["approx"] for r in last] == pytest.approx([7.2605, 8.1664], abs=1e-4)
+    short = S.dwt(series(spark, 1, 2), "x", "t", "s", "db4").orderBy("pos").collect()  # shorter than the filter
+    assert np.allclose([(r["approx"], r["detail"]) for r in short], np.column_stack(forward([1.0, 2.0], S.WAVELETS["db4"], "symmetric")))
 
 
 def test_map_coordinates(spark):
