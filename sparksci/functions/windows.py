@@ -36,6 +36,15 @@ def window(name: str, n: int, periodic: bool = True) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
 
 
+def weight(name: str, i: Column, n: Column, periodic: bool = False) -> Column:
+    """The window's value at place i of n, for windows whose length is a column; symmetric by default."""
+    turn = 2 * math.pi * i / F.greatest(n if periodic else n - 1, F.lit(1))
+    total = F.lit(TERMS[name][0])
+    for k, a in enumerate(TERMS[name][1:], 1):
+        total = total + (-1) ** k * a * F.cos(turn * k)
+    return F.when(n > 1, total).otherwise(1.0)
+
+
 def _bessel_i0(x: Column) -> Column:
     """Power series in (x/2)**2, enough terms for double precision up to x = 30."""
     quarter = x * x / 4

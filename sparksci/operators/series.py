@@ -468,8 +468,8 @@ def detrend(df: DataFrame, y: str, order, by=(), kind: str = "linear", out: str
     return joined.withColumn(out, F.col(y) - line).drop("__i", "__m", "__c", "__b")
 
 
-def periodogram(df: DataFrame, y: str, order, by=(), bins: int = 16, fs: float = 1.0, detrend: bool = True) -> DataFrame:
-    """(by, bin, freq, psd): one-sided power density of whole series at their first ``bins`` frequencies, by plain sums over all rows."""
+def leading_bins(df: DataFrame, y: str, order, by=(), bins: int = 16, fs: float = 1.0, detrend: bool = True) -> DataFrame:
+    """(by, bin, freq, psd): one-sided power density of whole series at their first ``bins`` frequencies only, by plain sums over all rows (``fourier.periodogram`` has all)."""
     keys = _by(by)
     mean = df.groupBy(*keys).agg(F.avg(y).alias("__m"), F.count(y).alias("__n"))
     held = df.where(F.col(y).isNotNull())

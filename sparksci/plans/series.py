@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparksci.operators import fourier
 from sparksci.operators import interpolate as P
 from sparksci.operators import series as S
 from sparksci.plans.registry import query, r
@@ -266,14 +267,44 @@ def _(spark, d):
     return P.hermite(P.pchip_slopes(k, "x", "value", "user_id"), q, "x", "value", "slope", "xq", "user_id").select(*KEY, "value")
 
 
+# A type's events are one long series: freed from the mean, weighed by a symmetric Hann window, filled up to a power of two.
 @query(
     "periodogram",
     f"""WITH o AS (SELECT event_type, value - avg(value) OVER (PARTITION BY event_type) AS y, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
-s AS (SELECT event_type, k.bin, max(n) AS n, sum(y * cos(2 * pi() * k.bin * i / n)) AS re, sum(y * sin(2 * pi() * k.bin * i / n)) AS im FROM o, range(16) k(bin) WHERE k.bin <= n // 2 GROUP BY 1, 2)
-SELECT event_type, bin, {r('bin / n', 'freq')}, {r('CASE WHEN bin = 0 OR 2 * bin = n THEN 1.0 ELSE 2.0 END * (re * re + im * im) / n', 'psd')} FROM s""",
+v AS (SELECT event_type, i, y * w AS y, w, pow(2, ceil(log2(n)))::BIGINT AS size FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * i / (n - 1)) AS w FROM o)),
+b AS (SELECT event_type, size, sum(w * w) AS w, unnest(range(size // 2 + 1)) AS bin FROM v GROUP BY 1, 2),
+s AS (SELECT b.event_type, b.size, b.w, b.bin, sum(y * cos(2 * pi() * ((b.bin * i) % b.size) / b.size)) AS re, sum(y * sin(2 * pi() * ((b.bin * i) % b.size) / b.size)) AS im FROM v JOIN b ON b.event_type = v.event_type GROUP BY 1, 2, 3, 4)
+SELECT event_type, bin, {r('bin / size', 'freq')}, {r('CASE WHEN bin = 0 OR 2 * bin = size THEN 1.0 ELSE 2.0 END * (re * re + im * im) / w', 'psd')} FROM s""",
 )
 def _(spark, d):
-    return S.periodogram(events(spark, d), "value", "event_id", "event_type")
+    return fourier.periodogram(events(spark, d), "value", "event_id", "event_type")
+
+
+# Both ways of a plain transform, term by term.
+SPECTRUM = """WITH o AS (SELECT user_id, event_id, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+s AS (SELECT o.user_id, o.n, k.i AS k, sum(o.y * cos(2 * pi() * ((k.i * o.i) % o.n) / o.n)) AS re, -sum(o.y * sin(2 * pi() * ((k.i * o.i) % o.n) / o.n)) AS im FROM o JOIN o k ON k.user_id = o.user_id GROUP BY 1, 2, 3), """
+
+
+@query(
+    "hilbert",
+    SPECTRUM
+    + f"""h AS (SELECT *, CASE WHEN k = 0 THEN 1 WHEN k < n // 2 THEN 2 WHEN k > n // 2 THEN 0 WHEN n % 2 = 0 THEN 1 ELSE 2 END AS h FROM s),
+z AS (SELECT o.user_id, o.event_id, sum(h * (re * cos(2 * pi() * ((k * i) % o.n) / o.n) - im * sin(2 * pi() * ((k * i) % o.n) / o.n))) / any_value(o.n) AS re, sum(h * (re * sin(2 * pi() * ((k * i) % o.n) / o.n) + im * cos(2 * pi() * ((k * i) % o.n) / o.n))) / any_value(o.n) AS im FROM o JOIN h ON h.user_id = o.user_id GROUP BY 1, 2)
+SELECT user_id, event_id, {r('re', 're')}, {r('im', 'im')}, {r('sqrt(re * re + im * im)', 'envelope')} FROM z""",
+)
+def _(spark, d):
+    return fourier.hilbert(events(spark, d), "value", "event_id", "user_id").select("user_id", "event_id", "re", "im", "envelope")
+
+
+@query(
+    "resample",
+    SPECTRUM
+    + f"""t AS (SELECT *, ((3 * n + 1) // 2)::BIGINT AS m FROM s), y AS (SELECT user_id, n, m, re, im, CASE WHEN k <= n // 2 THEN k ELSE m - (n - k) END AS k FROM t),
+q AS (SELECT DISTINCT user_id, m, unnest(range(m)) AS pos FROM y)
+SELECT y.user_id, q.pos, {r('sum(re * cos(2 * pi() * ((k * pos) % y.m) / y.m) - im * sin(2 * pi() * ((k * pos) % y.m) / y.m)) / any_value(n)', 'value')} FROM y JOIN q ON q.user_id = y.user_id GROUP BY 1, 2""",
+)
+def _(spark, d):
+    return fourier.resample(events(spark, d), "value", "event_id", 3, 2, "user_id")
 
 
 @query("csd")

@@ -46,9 +46,9 @@ def test_cross_density_and_coherence_equal_averaged_transforms(spark):
 def test_periodogram_equals_the_transform(spark):
     a, _, df = values(spark, 101)
     full = np.abs(np.fft.rfft(a - a.mean())) ** 2 / 101 * 2
-    got = S.periodogram(df, "x", "t", "g", bins=200).orderBy("bin").collect()
+    got = S.leading_bins(df, "x", "t", "g", bins=200).orderBy("bin").collect()
     assert [r["psd"] for r in got[1:]] == pytest.approx(list(full[1:])) and abs(got[0]["psd"]) < 1e-9
-    assert S.periodogram(df.where("t < 0"), "x", "t").count() == 0
+    assert S.leading_bins(df.where("t < 0"), "x", "t").count() == 0
 
 
 def test_inverse_transform_gives_the_series_back(spark):
