@@ -12,8 +12,7 @@ Series are rows (by, pos, re, im) with pos counting from 0; positions without a
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import and_
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,36 +45,44 @@ def fft(rows: DataFrame, by=(), inverse: bool = False) -> DataFrame:
     own = "".join(f"`{k}` {kinds[k]}, " for k in keys)
     columns, chunk = [*keys, "size"], CHUNK
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Columns of one group: transformed, turned, and cut into the groups of rows that the next step takes."""
-        n = int(pdf["size"].iloc[0])
-        n1, n2 = _split(n)
-        width, height = max(1, chunk // n1), max(1, chunk // n2)
-        pos, start = pdf["pos"].to_numpy(), int(pdf["__g"].iloc[0]) * width
-        held = min(width, n2 - start)
-        m = np.zeros((n1, held), complex)
-        np.add.at(m, (pos // n2, pos % n2 - start), pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy())
-        m = np.fft.ifft(m, axis=0) * n1 if inverse else np.fft.fft(m, axis=0)
-        turn = np.outer(np.arange(n1), np.arange(start, start + held)) % n
-        m *= np.exp(sign * 2j * np.pi * turn / n)
-        cuts = range(0, n1, height)
-        out = {k: [pdf[k].iloc[0]] * len(cuts) for k in columns}
-        return pd.DataFrame(out | {"__g": [c // height for c in cuts], "__c": start, "re": [m[c : c + height].real.ravel() for c in cuts], "im": [m[c : c + height].imag.ravel() for c in cuts]})
-
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Rows of one group, put together from the column groups and transformed."""
-        n = int(pdf["size"].iloc[0])
-        n1, n2 = _split(n)
-        height = max(1, chunk // n2)
-        start = int(pdf["__g"].iloc[0]) * height
-        held = min(height, n1 - start)
-        m = np.zeros((held, n2), complex)
-        for c, re, im in zip(pdf["__c"], pdf["re"], pdf["im"], strict=True):
-            part = (np.asarray(re) + 1j * np.asarray(im)).reshape(held, -1)
-            m[:, c : c + part.shape[1]] = part
-        m = np.fft.ifft(m, axis=1) * n2 / n if inverse else np.fft.fft(m, axis=1)
-        at = np.arange(start, start + held)[:, None] + n1 * np.arange(n2)
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in columns} | {"pos": [at.ravel()], "re": [m.real.ravel()], "im": [m.imag.ravel()]})
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups of columns: transformed, turned, and cut into the groups of rows that the next step takes."""
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                n = int(row.size)
+                n1, n2 = _split(n)
+                width, height = max(1, chunk // n1), max(1, chunk // n2)
+                pos, start = np.asarray(row.pos), int(row.group) * width
+                held = min(width, n2 - start)
+                m = np.zeros((n1, held), complex)
+                np.add.at(m, (pos // n2, pos % n2 - start), np.asarray(row.re) + 1j * np.asarray(row.im))
+                m = np.fft.ifft(m, axis=0) * n1 if inverse else np.fft.fft(m, axis=0)
+                turn = np.outer(np.arange(n1), np.arange(start, start + held)) % n
+                m *= np.exp(sign * 2j * np.pi * turn / n)
+                cuts = range(0, n1, height)
+                out.append(([c // height for c in cuts], start, [m[c : c + height].real.ravel() for c in cuts], [m[c : c + height].imag.ravel() for c in cuts]))
+            named = pdf[columns].assign(**{name: [o[k] for o in out] for k, name in enumerate(("group", "start", "re", "im"))})
+            yield named.explode(["group", "re", "im"])
+
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups of rows, put together from the column groups and transformed."""
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                n = int(row.size)
+                n1, n2 = _split(n)
+                height = max(1, chunk // n2)
+                first_row = int(row.group) * height
+                held = min(height, n1 - first_row)
+                m = np.zeros((held, n2), complex)
+                for c, re, im in zip(row.start, row.re, row.im, strict=True):
+                    part = (np.asarray(re) + 1j * np.asarray(im)).reshape(held, -1)
+                    m[:, c : c + part.shape[1]] = part
+                m = np.fft.ifft(m, axis=1) * n2 / n if inverse else np.fft.fft(m, axis=1)
+                at = np.arange(first_row, first_row + held)[:, None] + n1 * np.arange(n2)
+                out.append((at.ravel(), m.real.ravel(), m.imag.ravel()))
+            yield pdf[columns].assign(**{name: [o[k] for o in out] for k, name in enumerate(("pos", "re", "im"))})
 
     # Rows and columns of the table follow from the number of bits of the size.
     bits = F.floor(F.log2(F.col("size").cast("double")) + 0.5).cast("int")
@@ -87,9 +94,11 @@ def fft(rows: DataFrame, by=(), inverse: bool = False) -> DataFrame:
     every = rows.select(*columns).distinct().select(*columns, F.explode(groups).alias("__g"))
     nothing = every.select(*columns, (F.col("__g") * F.greatest(F.lit(1), F.floor(F.lit(chunk) / n1))).cast("long").alias("pos"), F.lit(0.0).alias("re"), F.lit(0.0).alias("im"), "__g")
     dealt = rows.select(*columns, "pos", "re", "im", group.alias("__g")).unionByName(nothing)
-    table = f"{own}size long, __g long, __c long, re array<double>, im array<double>"
-    turned = dealt.groupBy(*columns, "__g").applyInPandas(first, table)
-    done = turned.groupBy(*columns, "__g").applyInPandas(second, f"{own}size long, pos array<long>, re array<double>, im array<double>")
+    packed = dealt.groupBy(*columns, "__g").agg(F.collect_list(F.struct("pos", "re", "im")).alias("__v"))
+    apart = lambda df, *names: df.select(*columns, F.col("__g").alias("group"), *(F.col(f"__v.{n}").alias(n) for n in names))
+    turned = apart(packed, "pos", "re", "im").mapInPandas(first, f"{own}size long, group long, start long, re array<double>, im array<double>").withColumnRenamed("group", "__g")
+    gathered = turned.groupBy(*columns, "__g").agg(F.collect_list(F.struct("start", "re", "im")).alias("__v"))
+    done = apart(gathered, "start", "re", "im").mapInPandas(second, f"{own}size long, pos array<long>, re array<double>, im array<double>")
     return done.select(*columns, F.explode(F.arrays_zip("pos", "re", "im")).alias("__v")).select(*columns, "__v.pos", "__v.re", "__v.im")
 
 
