@@ -4,7 +4,8 @@ Groups (here: equal texts) are sorted by size and each goes to the least-loaded
 shard of a heap.  Groups of one size are interchangeable, so the heap runs over the
 distinct sizes with the number of groups of each, and the groups of a size are cut by
 rank.  The sizes are distinct whole numbers whose sum is at most the bytes of the
-table, so the driver sees at most sqrt(2 * bytes) of them, and one more for each part.
+table, so the driver sees at most sqrt(2 * bytes) of them, and one more for each part;
+its work is a few steps for each, not one for each group.
 
 Defined cases: null text is a text of no bytes and groups with the empty text;
 repeated rows keep a row each; an empty table gives no rows; equal loads go to the
@@ -29,24 +30,31 @@ GROUPS_A_PART = 500_000
 def lpt(sizes: list[tuple[int, int]], shards: int) -> dict[int, list[int]]:
     """How many groups of each size go to each shard, {size: counts}, from (size, groups).
 
-    Whole rounds, one group to each shard, are dealt at once where they keep the heap's order: when all loads
-    are within one group of each other.
+    While a size lasts, shard k takes groups at the loads L(k), L(k) + size, L(k) + 2 size, ...; the heap takes
+    these loads in ascending order over all shards. How many lie below a level is arithmetic, so all groups that
+    surely come first are dealt at once, by the highest level that does not use them up, and the heap deals the
+    last ones. The work is a few steps a size, however many groups it has and however unequal the loads are.
     """
     heap = [(0, k) for k in range(shards)]
     dealt = {}
     for weight, n in sorted(sizes, reverse=True):
         counts = [0] * shards
-        while n:
-            if n > 2 * shards and max(heap)[0] - heap[0][0] <= weight:
-                rounds = n // shards - 1
-                counts = [x + rounds for x in counts]
-                heap = [(load + rounds * weight, k) for load, k in heap]
-                heapq.heapify(heap)
-                n -= rounds * shards
+        if n > 2 * shards:
+            below = lambda level: [max(0, -(-(level - load) // weight)) for load, _ in heap]  # noqa: B023, E731
+            low, high = heap[0][0], heap[0][0] + n * weight  # the least loaded shard alone could take all
+            while low < high:
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if sum(below(middle)) <= n else (low, middle - 1)
+            taken = below(low)
+            for (_, k), m in zip(heap, taken, strict=True):
+                counts[k] += m
+            heap = [(load + m * weight, k) for (load, k), m in zip(heap, taken, strict=True)]
+            heapq.heapify(heap)
+            n -= sum(taken)
+        for _ in range(n):
             load, k = heap[0]
             heapq.heapreplace(heap, (load + weight, k))
             counts[k] += 1
-            n -= 1
         dealt[weight] = counts
     return dealt
 

@@ -3,9 +3,12 @@
 One more component makes all vectors equally long, so the largest inner product is the
 least Euclidean distance.  Every vector is keyed by its nearest pivot and its distance
 to it and stored, in that order, in blocks: sorted annuli around the pivots.  A first
-round searches the annuli next to each query for a bound on its k-th score; by the
-triangle inequality only annuli that reach into that radius can hold a better vector,
-and the second round searches exactly these.
+round searches the annuli next to each query for a bound on its k-th score.  An annulus
+knows its least and greatest distance to every pivot; by the triangle inequality only
+annuli that reach into a query's radius as seen from all pivots can hold a better vector,
+and the second round searches exactly these, query by query.  ``searched_share`` says
+how many pairs are left: few where vectors lie in clusters, all where their distances
+hardly differ.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows
 without id, take no part; shorter vectors count as padded with zeros; a query never
@@ -106,8 +109,11 @@ def _keyed(vectors: DataFrame, space: Space, query: bool) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, v array<long>, pivot int, dist double")
 
 
-def _blocks(keyed: DataFrame, space: Space, size: int, rows: int) -> DataFrame:
-    """Sorted annuli: (block, pivot, near, far, ids, m), each of one pivot and at most ``size`` vectors."""
+def _blocks(keyed: DataFrame, space: Space, size: int, rows: int, query: bool) -> DataFrame:
+    """Sorted annuli: (block, pivot, near, far, lo, hi, ids, m), each of one pivot and at most ``size`` vectors.
+
+    lo and hi are the bounds of the distances to every pivot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -118,22 +124,26 @@ def _blocks(keyed: DataFrame, space: Space, size: int, rows: int) -> DataFrame:
                 for at in range(a, b, size):
                     end = min(b, at + size)
                     own = batch.slice(at, end - at)
+                    m = _matrix(own.column(1), space.dim, space.kind)
+                    away = space.distances(m.astype(np.float64), query)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([number], pa.int64()),
                             pa.array([int(pivot[at])], pa.int32()),
                             pa.array([float(dist[at])]),
                             pa.array([float(dist[end - 1])]),
+                            pa.array([away.min(axis=0)], pa.list_(pa.float64())),
+                            pa.array([away.max(axis=0)], pa.list_(pa.float64())),
                             pa.array([own.column(0).to_numpy()], pa.list_(pa.int64())),
-                            pa.array([_matrix(own.column(1), space.dim, space.kind).tobytes()], pa.binary()),
+                            pa.array([m.tobytes()], pa.binary()),
                         ],
-                        names=["block", "pivot", "near", "far", "ids", "m"],
+                        names=["block", "pivot", "near", "far", "lo", "hi", "ids", "m"],
                     )
                     number += 1
 
     parts = shares(rows, 16 * size)
     ordered = keyed.repartitionByRange(parts, "pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")
-    return ordered.mapInArrow(run, "block long, pivot int, near double, far double, ids array<long>, m binary")
+    return ordered.mapInArrow(run, "block long, pivot int, near double, far double, lo array<double>, hi array<double>, ids array<long>, m binary")
 
 
 def _best(q_ids, q, ids, m, k):
@@ -152,61 +162,93 @@ def _best(q_ids, q, ids, m, k):
 
 
 def _search(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, space: Space, k: int) -> DataFrame:
-    """The k best rows of each query over the given pairs of blocks."""
+    """The k best rows of each query over the given pairs of blocks, but of queries that cannot find better ones in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                q_ids, ids = (batch.column(c)[at].values.to_numpy() for c in (0, 2))
+                q_ids, ids, lo, hi, radius = (batch.column(c)[at].values.to_numpy() for c in (0, 2, 4, 5, 6))
                 q, m = (np.frombuffer(batch.column(c)[at].as_py(), space.kind).reshape(-1, space.dim) for c in (1, 3))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _best(q_ids, q, ids, m, k)], names=["query_id", "vec_id", "score"])
+                d = space.distances(q.astype(np.float64), True)
+                may = np.maximum(lo - d, d - hi).max(axis=1) <= radius + SLACK * (1 + d.max(initial=0) + math.sqrt(space.longest))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _best(q_ids[may], q[may], ids, m, k)], names=["query_id", "vec_id", "score"])
+
+    met = pairs.join(queries.select("q_block", "q_ids", "q", "radius"), "q_block").join(blocks.select("block", "ids", "m", "lo", "hi"), "block").select("q_ids", "q", "ids", "m", "lo", "hi", "radius")
+    return met.mapInArrow(run, "query_id long, vec_id long, score long")
+
 
-    met = pairs.join(queries.select("q_block", "q_ids", "q"), "q_block").join(blocks.select("block", "ids", "m"), "block").select("q_ids", "q", "ids", "m")
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+class Plan:
+    """Both rounds: blocks, query blocks, the pairs searched first with what they find, and the pairs left to search."""
+
+    def __init__(self, df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, scale: int, pivots: int):
+        vectors = written(quantised(df, id_col, vector_col, scale), "topk-vectors")
+        self.space = space = _space(vectors, pivots)
+        if space is None:
+            return
+        asked = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+        self.blocks = written(_blocks(_keyed(vectors, space, False), space, BLOCK, vectors.count(), False), "topk-blocks")
+        queries = _blocks(_keyed(asked, space, True), space, QUERY_BLOCK, asked.count(), True)
+        queries = written(queries.selectExpr("block AS q_block", "pivot", "near AS q_near", "far AS q_far", "ids AS q_ids", "m AS q"), "topk-queries")
+        rings = self.blocks.select("block", "pivot", "near", "far", "lo", "hi")
+        # Round 1: the annuli around each query block's own pivot that come nearest to its distances.
+        gap = F.greatest(F.lit(0.0), F.col("q_near") - F.col("far"), F.col("near") - F.col("q_far"))
+        close = Window.partitionBy("q_block").orderBy("gap", "block")
+        home = queries.select("q_block", "pivot", "q_near", "q_far").join(rings, "pivot").withColumn("gap", gap)
+        home = home.withColumn("n", F.row_number().over(close)).where(F.col("n") <= HOME_BLOCKS).select("q_block", "block")
+        unbounded = queries.withColumn("radius", F.transform("q_ids", lambda _: F.lit(math.inf)))
+        self.first = written(_ranked(_search(home, unbounded, self.blocks, space, k), k), "topk-first")
+        bound = self.first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        members = queries.select("q_block", F.explode("q_ids").alias("query_id"))
+        grouped = members.join(bound, "query_id").groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "least"))).alias("least"))
+
+        def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """For each query the radius within which a better vector may lie; for each query block and pivot the distances that this allows."""
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    ids = batch.column(1)[at].values.to_numpy()
+                    q = np.frombuffer(batch.column(2)[at].as_py(), space.kind).reshape(-1, space.dim).astype(np.float64)
+                    known = dict(batch.column(3)[at].as_py() or [])
+                    least = np.array([known.get(i, -math.inf) for i in ids.tolist()])
+                    d = space.distances(q, True)
+                    radius = np.sqrt(np.maximum(0, (q**2).sum(axis=1) + space.longest - 2 * least))
+                    slack = SLACK * (1 + d.max() + math.sqrt(space.longest))
+                    low, high = (d - radius[:, None]).min(axis=0) - slack, (d + radius[:, None]).max(axis=0) + slack
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), *(pa.array([c], pa.list_(pa.float64())) for c in (radius, low, high))], names=["q_block", "radius", "low", "high"])
+
+        wide = queries.join(grouped, "q_block", "left").select("q_block", "q_ids", "q", "least").mapInArrow(reach, "q_block long, radius array<double>, low array<double>, high array<double>")
+        wide = written(wide, "topk-reach")
+        self.queries = queries.join(wide.select("q_block", "radius"), "q_block")
+        # An annulus is met through its own pivot; then all pivots must allow it.
+        through = wide.select("q_block", "low", "high", F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "own"))
+        met = through.join(rings, "pivot").where((F.col("far") >= F.col("own.low")) & (F.col("near") <= F.col("own.high")))
+        beyond = F.exists(F.zip_with("hi", "low", lambda x, y: x < y), lambda x: x) | F.exists(F.zip_with("lo", "high", lambda x, y: x > y), lambda x: x)
+        self.pairs = met.where(~beyond).select("q_block", "block").join(home, ["q_block", "block"], "left_anti")
+        self.home = home
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row the k largest inner products over all other rows."""
-    vectors = written(quantised(df, id_col, vector_col, scale), "topk-vectors")
-    space = _space(vectors, pivots)
-    if space is None:
+    plan = Plan(df, is_query, k, id_col, vector_col, scale, pivots)
+    if plan.space is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    asked = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = written(_blocks(_keyed(vectors, space, False), space, BLOCK, vectors.count()), "topk-blocks")
-    queries = _blocks(_keyed(asked, space, True), space, QUERY_BLOCK, asked.count())
-    queries = written(queries.selectExpr("block AS q_block", "pivot", "near AS q_near", "far AS q_far", "ids AS q_ids", "m AS q"), "topk-queries")
-    rings = blocks.select("block", "pivot", "near", "far")
-    # Round 1: the annuli around each query block's own pivot that come nearest to its distances.
-    gap = F.greatest(F.lit(0.0), F.col("q_near") - F.col("far"), F.col("near") - F.col("q_far"))
-    close = Window.partitionBy("q_block").orderBy("gap", "block")
-    home = queries.select("q_block", "pivot", "q_near", "q_far").join(rings, "pivot").withColumn("gap", gap)
-    home = home.withColumn("n", F.row_number().over(close)).where(F.col("n") <= HOME_BLOCKS).select("q_block", "block")
-    bound = _search(home, queries, blocks, space, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each query block and pivot, the distances within which a better vector may lie."""
-        for batch in batches:
-            for at in range(batch.num_rows):
-                ids = batch.column(1)[at].values.to_numpy()
-                q = np.frombuffer(batch.column(2)[at].as_py(), space.kind).reshape(-1, space.dim).astype(np.float64)
-                known = dict(batch.column(3)[at].as_py() or [])
-                least = np.array([known.get(i, -math.inf) for i in ids.tolist()])
-                d = space.distances(q, True)
-                radius = np.sqrt(np.maximum(0, (q**2).sum(axis=1) + space.longest - 2 * least))
-                slack = SLACK * (1 + d.max() + math.sqrt(space.longest))
-                low, high = (d - radius[:, None]).min(axis=0) - slack, (d + radius[:, None]).max(axis=0) + slack
-                n = len(low)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[at].as_py()] * n, pa.int64()), pa.array(np.arange(n), pa.int32()), pa.array(low), pa.array(high)], names=["q_block", "pivot", "low", "high"]
-                )
-
-    members = queries.select("q_block", F.explode("q_ids").alias("query_id"))
-    grouped = members.join(bound, "query_id").groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "least"))).alias("least"))
-    wide = queries.join(grouped, "q_block", "left").select("q_block", "q_ids", "q", "least").mapInArrow(reach, "q_block long, pivot int, low double, high double")
-    pairs = wide.join(rings, "pivot").where((F.col("far") >= F.col("low")) & (F.col("near") <= F.col("high"))).select("q_block", "block")
-    return _search(pairs, queries, blocks, space, k).select("query_id", "rank", "vec_id", "score")
+    second = _search(plan.pairs, plan.queries, plan.blocks, plan.space, k)
+    return _ranked(second.unionByName(plan.first.drop("rank")), k).select("query_id", "rank", "vec_id", "score")
+
+
+def searched_share(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, pivots: int = PIVOTS) -> float:
+    """The share of all (query, vector) pairs that lie in the blocks which both rounds search."""
+    plan = Plan(df, is_query, k, id_col, vector_col, scale, pivots)
+    if plan.space is None:
+        return 0.0
+    nq, nv = plan.queries.select("q_block", F.size("q_ids").alias("nq")), plan.blocks.select("block", F.size("ids").alias("nv"))
+    met = plan.pairs.union(plan.home).join(nq, "q_block").join(nv, "block").agg(F.sum(F.col("nq") * F.col("nv"))).first()[0] or 0
+    total = (nq.agg(F.sum("nq")).first()[0] or 0) * (nv.agg(F.sum("nv")).first()[0] or 0)
+    return met / total if total else 0.0
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

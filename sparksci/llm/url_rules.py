@@ -29,9 +29,6 @@ MIN_ROWS = 20
 MIN_CONFIDENCE = 0.5
 #: Standard errors that a rule's confidence lies above the share of its class at least.
 MIN_Z = 2.0
-#: Tokens of a labelled URL that are mined together: those that tell most about the label.  It bounds the token
-#: sets of a URL at 2**12; URLs are matched with all their tokens.
-MINED_TOKENS = 12
 #: Rules up to which the index is broadcast; a larger one is joined by shuffle.
 SMALL_INDEX = 50_000
 RULES = "rule_id long, tokens array<string>, anchor string, verdict string, confidence double, lift double, support double"
@@ -65,23 +62,37 @@ def tokens(url: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(every)), F.array().cast("array<string>"))
 
 
-def _baskets(labelled: DataFrame) -> DataFrame:
-    """(tokens, bad) of the labelled URLs that have tokens, with the most telling ones of long URLs."""
-    rows = written(labelled.select(tokens(F.col("url")).alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad")).where(F.size("tokens") > 0), "url-baskets")
-    if rows.where(F.size("tokens") > MINED_TOKENS).isEmpty():
-        return rows
-    share = rows.agg(F.avg(F.col("bad").cast("int")).alias("share"))
-    worth = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count("*").alias("n"), F.avg(F.col("bad").cast("int")).alias("p")).crossJoin(F.broadcast(share))
-    worth = worth.select("token", (F.abs(F.col("p") - F.col("share")) * F.sqrt("n")).alias("worth"))
-    told = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "bad", F.explode("tokens").alias("token")).join(worth, "token")
-    best = F.slice(F.sort_array(F.collect_list(F.struct("worth", "token")), asc=False), 1, MINED_TOKENS)
-    return written(told.groupBy("row").agg(F.first("bad").alias("bad"), best.alias("best")).select(F.col("best.token").alias("tokens"), "bad"), "url-baskets")
+def _baskets(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tokens, bad) of the labelled URLs that have tokens, by classes of tokens; and the classes (token, class).
+
+    Tokens that the very same rows hold tell the same, so a class of them is mined as its least token. Which rows
+    hold a token is compared by their number and two sums of hashes. A rule never needs two tokens of a class: the
+    rule without one of them is as sure and shorter.
+    """
+    rows = labelled.select(tokens(F.col("url")).alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad")).where(F.size("tokens") > 0)
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    held = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    part = lambda seed: F.sum(F.xxhash64("row", F.lit(seed)).cast("decimal(38,0)"))
+    marks = held.groupBy("token").agg(F.count("*").alias("n"), part(1).alias("a"), part(2).alias("b"))
+    first = marks.groupBy("n", "a", "b").agg(F.min("token").alias("class"))
+    classes = written(marks.join(first, ["n", "a", "b"]).select("token", "class"), "url-classes")
+    merged = held.join(classes, "token").groupBy("row", "bad").agg(F.collect_set("class").alias("tokens"))
+    return written(merged.select(F.array_sort("tokens").alias("tokens"), "bad"), "url-baskets"), classes
+
+
+def _spelled(rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rules over classes as rules over tokens: one for each choice of a token from every class."""
+    members = classes.groupBy("class").agg(F.collect_list("token").alias("members"))
+    own = rules.select("verdict", "tokens", F.explode("tokens").alias("class")).join(members, "class").groupBy("tokens", "verdict").agg(F.collect_list("members").alias("members"))
+    none = F.array(F.array().cast("array<string>"))
+    choices = F.aggregate("members", none, lambda done, m: F.flatten(F.transform(done, lambda d: F.transform(m, lambda t: F.concat(d, F.array(t))))))
+    return rules.join(own, ["tokens", "verdict"]).withColumn("tokens", F.explode(choices)).withColumn("tokens", F.array_sort("tokens")).drop("members")
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_z: float = MIN_Z, min_rows: int = MIN_ROWS) -> DataFrame:
     """Rules (RULES' columns) from rows (url, bad), all of them."""
     spark = labelled.sparkSession
-    baskets = _baskets(labelled)
+    baskets, classes = _baskets(labelled)
     n, bad = baskets.agg(F.count("*"), F.sum(F.col("bad").cast("long"))).first()
     if not n:
         return spark.createDataFrame([], RULES)
@@ -109,7 +120,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     shorter = found.select(F.col("tokens").alias("short"), "verdict", F.col("confidence").alias("sure"))
     beaten = parts.join(shorter, ["short", "verdict"]).where("sure >= confidence").select("tokens", "verdict").distinct()
     kept = found.join(beaten, ["tokens", "verdict"], "left_anti")
-    often = baskets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("often"))
+    kept = _spelled(kept, classes)
+    often = classes.join(baskets.select(F.explode("tokens").alias("class")).groupBy("class").agg(F.count("*").alias("often")), "class").select("token", "often")
     anchors = kept.select("tokens", F.explode("tokens").alias("token")).join(often, "token").groupBy("tokens").agg(F.min(F.struct("often", "token"))["token"].alias("anchor"))
     rules = kept.join(anchors, "tokens").select(F.xxhash64("tokens", "verdict").alias("rule_id"), "tokens", "anchor", "verdict", "confidence", "lift", "support")
     return written(rules, "url-rules")

@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import json
 import random
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -98,7 +99,12 @@ def test_mined_rules_equal_counting_all_token_sets(spark):
 def test_mining_long_urls_and_nothing(spark, empty):
     long = [("http://a.test/" + "/".join(f"part{chr(97 + k)}x" for k in range(24)) + f"?i={i}", i % 4 == 0) for i in range(50)]
     rules = url_rules.mine(spark.createDataFrame(long + [("http://b.test/" + "y" * 50_000, True), (None, True), ("", None)], "url string, bad boolean"))
-    assert rules.count() >= 0
+    # Every token is in the same rows: one rule each, of 24 path parts, the host's two labels and the query key.
+    got = {tuple(r["tokens"]) for r in rows(rules) if r["verdict"] == "allow"}
+    assert got == set() or all(len(t) == 1 for t in got)
+    told = [(f"http://a{i % 2}.test/" + "/".join(f"part{chr(97 + k)}x" for k in range(20)) + ("/spam" if i % 2 else "/news"), i % 2 == 1) for i in range(60)]
+    block = {tuple(r["tokens"]) for r in rows(url_rules.mine(spark.createDataFrame(told, "url string, bad boolean"))) if r["verdict"] == "block"}
+    assert block == {("h:a1",), ("p:spam",)}  # the two tokens that only bad rows hold; twenty shared parts add nothing
     none = spark.createDataFrame([], "url string, bad boolean")
     assert url_rules.mine(none).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, verdict string")
@@ -142,6 +148,18 @@ def test_lpt_equals_a_plain_heap(seed):
     assert sharding.lpt(list(Counter(sizes).items()), 8) == plain_heap(sizes, 8)
 
 
+def test_lpt_after_a_hot_group_equals_a_plain_heap_and_takes_no_step_a_group():
+    rng = random.Random(9)
+    for _ in range(200):
+        sizes = [rng.randint(1, 3000) for _ in range(rng.randint(0, 3))] + [rng.choice([1, 2, 3, 7, 10]) for _ in range(rng.randint(0, 400))]
+        shards = rng.randint(1, 9)
+        assert sharding.lpt(list(Counter(sizes).items()), shards) == plain_heap(sizes, shards)
+    began = time.perf_counter()
+    got = sharding.lpt([(10**11, 1), (100, 10**9)], 8)
+    assert time.perf_counter() - began < 1 and got[10**11] == [1] + [0] * 7
+    assert sum(got[100]) == 10**9 and got[100][0] == 0 and max(got[100][1:]) - min(got[100][1:]) <= 1
+
+
 def test_shards_of_long_texts_equal_a_plain_heap(spark):
     """Sizes near each other beyond 65,536 bytes, equal texts together."""
     rng = random.Random(8)
@@ -330,6 +348,23 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_top_k_prunes_clusters(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 8)) * 4
+    v = np.concatenate([c + rng.normal(size=(60, 8)) * 0.02 for c in centres])
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    assert topk.searched_share(df, F.col("vec_id") % 20 == 0, 5, pivots=24) < 0.5
+    m = np.floor(1024 * v).astype(np.int64)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows(topk.top_k(df, F.col("vec_id") % 20 == 0, 5, pivots=24))}
+    for q in range(0, len(v), 20):
+        s = m @ m[q]
+        order = [int(i) for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, int(s[i])) for i in order]
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in rows(topk.top_k(df, F.col("vec_id") == 0))] == [(0, 1, 2 * 1024 * 1024)]
