@@ -70,7 +70,7 @@ def test_hilbert(spark, small, data):
     assert all(abs(r["envelope"] - 1) < 1e-9 for r in fourier.hilbert(sine, "x", "t").collect())
 
 
-@pytest.mark.parametrize(("num", "den"), [(2, 1), (1, 2), (3, 4), (1, 1)])
+@pytest.mark.parametrize(("num", "den"), [(2, 1), (3, 4)])
 def test_resample(spark, small, data, num, den):
     got = {}
     for r in fourier.resample(table(spark, data), "x", "t", num, den, "s").orderBy("pos").collect():
@@ -92,7 +92,7 @@ def test_resample(spark, small, data, num, den):
         fourier.resample(wave, "x", "t", 0, 2)
 
 
-@pytest.mark.parametrize(("window", "detrend", "scaling", "onesided", "nfft"), [("rectangular", "constant", "density", True, None), ("hann", "linear", "spectrum", True, 100), ("hamming", "none", "density", False, None)])
+@pytest.mark.parametrize(("window", "detrend", "scaling", "onesided", "nfft"), [("rectangular", "constant", "density", True, None), ("hamming", "linear", "spectrum", False, 100)])
 def test_periodogram(spark, small, data, window, detrend, scaling, onesided, nfft):
     got = {}
     for r in fourier.periodogram(table(spark, data), "x", "t", "s", 2.0, window, nfft, detrend, scaling, onesided).orderBy("bin").collect():
