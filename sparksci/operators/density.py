@@ -111,24 +111,26 @@ def _merge_range(pdf: pd.DataFrame) -> pd.DataFrame:
             up[x], x = root, up[x]
         return root
 
-    for rank, u, v, w in zip(pdf["rank"].tolist(), pdf["u"].tolist(), pdf["v"].tolist(), pdf["w"].tolist(), strict=True):
-        a, b = sorted((find(u), find(v)))
-        out.append((rank, w, a, last[a], size[a], b, last[b], size[b]))
+    for rank, u, v, w, p, q in zip(*(pdf[c].tolist() for c in ("rank", "u", "v", "w", "p", "q")), strict=True):
+        x, y = find(u), find(v)
+        a, b = min(x, y), max(x, y)
+        out.append((rank, w, a, last[a], size[a], b, last[b], size[b], p, q, x == a))
         up[b], last[a], size[a] = a, rank, size[a] + size[b]
-    return pd.DataFrame({"part": pdf["part"].iloc[0], **{c: [o[k] for o in out] for k, c in enumerate(("rank", "w", "a", "last_a", "size_a", "b", "last_b", "size_b"))}})
+    return pd.DataFrame({"part": pdf["part"].iloc[0], **{c: [o[k] for o in out] for k, c in enumerate(("rank", "w", "a", "last_a", "size_a", "b", "last_b", "size_b", "p", "q", "p_left"))}})
 
 
 def merge_tree(tree: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, w, left, right, size_left, size_right): merges of a spanning tree's edges by length; points are nodes 0 .. n - 1.
+    """(node, w, left, right, size_left, size_right, p, q, p_left): merges of a spanning tree's edges by length; points are nodes 0 .. n - 1.
 
-    Nodes (id, point) number the points; merge k is node n + k - 1 and joins two earlier nodes. Ranges of MERGES
+    Nodes (id, point) number the points; merge k is node n + k - 1 and joins two earlier nodes by the edge from point
+    p to q, p lying in the left one or not. Ranges of MERGES
     edges are solved apart: a tree that is longer is halved again and again, the upper half sees components of
     the lower one as nodes.
     """
     n = nodes.count()
     number = nodes.select("id", "point")
     named = tree.join(number.withColumnsRenamed({"id": "src", "point": "u"}), "src").join(number.withColumnsRenamed({"id": "dst", "point": "v"}), "dst")
-    edges = stored(ranks(named.select("u", "v", "w", "src", "dst"), "w", tie=("src", "dst")).select(F.lit(0).cast("long").alias("part"), "rank", "u", "v", "w", F.lit(1).cast("long").alias("su"), F.lit(1).cast("long").alias("sv")))
+    edges = stored(ranks(named.select("u", "v", "w", "src", "dst"), "w", tie=("src", "dst")).select(F.lit(0).cast("long").alias("part"), "rank", "u", "v", "w", F.lit(1).cast("long").alias("su"), F.lit(1).cast("long").alias("sv"), F.col("u").alias("p"), F.col("v").alias("q")))
     levels = max(0, math.ceil(math.log2(max(1, n - 1) / MERGES)))
     for level in range(levels):
         width = MERGES << (levels - level - 1)
@@ -142,10 +144,10 @@ def merge_tree(tree: DataFrame, nodes: DataFrame) -> DataFrame:
         sizes = comps.groupBy("part", "to").agg(F.sum("size").alias("size"))
         to = comps.select("part", "x", "to").join(sizes, ["part", "to"])
         high = high.join(to.withColumnsRenamed({"x": "u", "to": "u2", "size": "su2"}), ["part", "u"]).join(to.withColumnsRenamed({"x": "v", "to": "v2", "size": "sv2"}), ["part", "v"])
-        columns = lambda u, v, su, sv: [F.col("half").alias("part"), F.col("rank"), F.col(u).alias("u"), F.col(v).alias("v"), F.col("w"), F.col(su).alias("su"), F.col(sv).alias("sv")]
+        columns = lambda u, v, su, sv: [F.col("half").alias("part"), F.col("rank"), F.col(u).alias("u"), F.col(v).alias("v"), F.col("w"), F.col(su).alias("su"), F.col(sv).alias("sv"), F.col("p"), F.col("q")]
         old, edges = edges, stored(low.select(*columns("u", "v", "su", "sv")).unionByName(high.select(*columns("u2", "v2", "su2", "sv2"))))
         forget(old, comps)
-    solved = edges.groupBy("part").applyInPandas(_merge_range, "part long, rank long, w double, a long, last_a long, size_a long, b long, last_b long, size_b long")
+    solved = edges.groupBy("part").applyInPandas(_merge_range, "part long, rank long, w double, a long, last_a long, size_a long, b long, last_b long, size_b long, p long, q long, p_left boolean")
     solved = stored(solved)
     forget(edges)
     # A side that has no merge in its range is the last merge of its name in an earlier range, or a point.
@@ -157,7 +159,7 @@ def merge_tree(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     a, b = (before.withColumnsRenamed({"name": s, "found": f"found_{s}"}) for s in "ab")
     out = solved.join(a, ["part", "a"], "left").join(b, ["part", "b"], "left")
     side = lambda s: F.when(F.col(f"last_{s}") > 0, F.col(f"last_{s}") + (n - 1)).otherwise(F.col(f"found_{s}"))
-    return out.select((F.col("rank") + (n - 1)).alias("node"), "w", side("a").alias("left"), side("b").alias("right"), F.col("size_a").alias("size_left"), F.col("size_b").alias("size_right"))
+    return out.select((F.col("rank") + (n - 1)).alias("node"), "w", side("a").alias("left"), side("b").alias("right"), F.col("size_a").alias("size_left"), F.col("size_b").alias("size_right"), "p", "q", "p_left")
 
 
 def tops(links: DataFrame) -> DataFrame:
@@ -261,3 +263,105 @@ def hdbscan(points: DataFrame, min_cluster_size: int = 5, min_samples: int | Non
     labels = found.join(names, "chosen").select("id", "label", "stability")
     label = F.coalesce("label", F.lit(-1)).cast("long")
     return every.join(labels, "id", "left").select("id", label.alias("label"), (label >= 0).cast("double").alias("probability"), "stability")
+
+
+def rooted(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(point, above) of a forest's edges (p, q): the neighbour on the way to the component's root (point); roots have no row.
+
+    The edges are walked around each tree, out and back; the walk is a list that starts at the root, and pointer
+    doubling counts how much of it is left at every step. An edge is walked away from the root first.
+    """
+    both = edges.select(F.col("p").alias("a"), F.col("q").alias("b")).union(edges.select("q", "p"))
+    around = Window.partitionBy("a").orderBy("b")
+    turn = both.select("a", "b", F.lead("b").over(around).alias("after"), F.first("b").over(around).alias("first"))
+    # Having come from b to a, the walk goes on to a's neighbour after b; past the last one to the first, at the root it ends.
+    on = turn.join(roots.select(F.col("point").alias("root"), F.lit(True).alias("is_root")), F.col("a") == F.col("root"), "left")
+    step = F.when(F.col("after").isNotNull(), F.col("after")).when(F.col("is_root").isNull(), F.col("first"))
+    state = stored(on.select(F.col("b").alias("x"), F.col("a").alias("y"), F.when(step.isNotNull(), F.struct(F.col("a").alias("x"), step.alias("y"))).alias("to"), F.lit(1).cast("long").alias("left")))
+    while not state.where("to IS NOT NULL").isEmpty():
+        ahead = state.select(F.struct("x", "y").alias("at"), F.col("to").alias("to2"), F.col("left").alias("left2"))
+        met = state.join(ahead, F.col("to") == F.col("at"), "left")
+        new = stored(met.select("x", "y", F.col("to2").alias("to"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left")))
+        forget(state)
+        state = new
+    back = state.select(F.col("y").alias("x2"), F.col("x").alias("y2"), F.col("left").alias("back"))
+    return state.join(back, (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))).where("left > back").select(F.col("y").alias("point"), F.col("x").alias("above"))
+
+
+#: Places that a running sum takes together.
+PLACES = 1 << 16
+
+
+def running(df: DataFrame, place: str, value: str, out: str) -> DataFrame:
+    """df with the sum of ``value`` over all rows before it; places count from 0 without gaps. No window holds more than PLACES rows of them."""
+    rows = df.withColumn("__block", F.floor(F.col(place) / PLACES).cast("long"))
+    sums = rows.groupBy("__block").agg(F.sum(value).alias("__s"))
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row in PLACES
+    sums = sums.select(F.col("__block").alias("__b"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
+    own = Window.partitionBy("__block").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("__own", F.coalesce(F.sum(value).over(own), F.lit(0))).join(sums, F.col("__block") == F.col("__b")).withColumn(out, F.col("__base") + F.col("__own")).drop("__block", "__b", "__base", "__own")
+
+
+def optics(points: DataFrame, min_samples: int = 5, max_eps: float = float("inf"), metric: str = "euclidean", xi: float | None = None) -> DataFrame:
+    """(id, place, reachability, core, label): the order in which density clusters are walked, from the least id on.
+
+    Each next point is the one that is nearest to those before by mutual reachability, max(core(i), core(j), d(i, j)),
+    ties by the ids of both; points that none before reaches within max_eps have an infinite reachability and begin
+    anew from the least id left. With ``xi`` stretches from a fall by that share to the next such rise are clusters,
+    numbered from 0; -1 elsewhere. Core is infinite where it is above max_eps or fewer other points exist. Points
+    without vector come in no row.
+
+    The walk along the spanning tree follows from its merges: at each merge the side that lies towards the start
+    comes first, whole, then the other. So places are sums along the way up the merge tree.
+    """
+    nodes = stored(numbered(points))
+    n = nodes.count()
+    if not n:
+        return points.sparkSession.createDataFrame([], "id long, place long, reachability double, core double, label long")
+    core, near = core_distances(points, min_samples, metric)
+    core = stored(core)
+    forget(near)
+    tree = stored(mutual_spanning_tree(points, min_samples, metric))
+    merges = stored(merge_tree(tree, nodes).where(F.col("w") <= max_eps).where(F.col("w") < float("inf")))
+    comps = stored(graph.connected_components(merges.select(F.col("p").alias("src"), F.col("q").alias("dst")), nodes.select(F.col("point").alias("id"))).select(F.col("id").alias("point"), "component"))
+    above = stored(rooted(merges.select("p", "q"), comps.select(F.col("component").alias("point")).distinct()))
+    # The end that lies away from the root is in the side that comes second.
+    down = stored(merges.join(above.select(F.col("point").alias("q1"), F.col("above").alias("a1")), (F.col("q") == F.col("q1")) & (F.col("p") == F.col("a1")), "left"))
+    left_first = F.col("p_left") == F.col("q1").isNotNull()
+    sides = down.select("node", F.explode(F.array(
+        F.struct(F.col("left").alias("child"), F.when(left_first, F.lit(0).cast("long")).otherwise(F.col("size_right")).alias("skip")),
+        F.struct(F.col("right").alias("child"), F.when(left_first, F.col("size_left")).otherwise(F.lit(0).cast("long")).alias("skip")),
+    )).alias("s"))
+    sides = sides.select("node", "s.child", "s.skip")
+    every = nodes.select(F.col("point").alias("node")).union(merges.select("node")).join(sides.select(F.col("child").alias("c"), F.col("node").alias("up"), "skip"), F.col("node") == F.col("c"), "left")
+    state = stored(every.select("node", "up", F.coalesce("skip", F.lit(0)).alias("skip")))
+    while not state.where("up IS NOT NULL").isEmpty():
+        ahead = state.select(F.col("node").alias("at"), F.col("up").alias("up2"), F.col("skip").alias("skip2"))
+        new = stored(state.join(ahead, F.col("up") == F.col("at"), "left").select("node", F.col("up2").alias("up"), (F.col("skip") + F.coalesce("skip2", F.lit(0))).alias("skip")))
+        forget(state)
+        state = new
+    sizes = ranks(comps.groupBy("component").agg(F.count("*").alias("size")), "component", out="k").withColumn("k", F.col("k") - 1)
+    begun = running(sizes, "k", "size", "begin").select("component", "begin")
+    reached = down.select(F.when(F.col("q1").isNotNull(), F.col("q")).otherwise(F.col("p")).alias("reached"), "w")
+    out = nodes.join(state.select(F.col("node").alias("point"), "skip"), "point").join(comps, "point").join(begun, "component")
+    out = out.join(reached, F.col("point") == F.col("reached"), "left").join(core, "id", "left")
+    far = F.lit(float("inf"))
+    held = F.coalesce("core", far)
+    out = stored(out.select("id", (F.col("begin") + F.col("skip")).alias("place"), F.coalesce("w", far).alias("reachability"), F.when(held <= max_eps, held).otherwise(far).alias("core")))
+    if xi is None:
+        return out.withColumn("label", F.lit(-1).cast("long"))
+    return out.join(_steep(out, xi), "place").select("id", "place", "reachability", "core", "label")
+
+
+def _steep(plot: DataFrame, xi: float) -> DataFrame:
+    """(place, label) of a reachability plot: each stretch ends at a rise (or next to an infinite value) and begins at the first fall after the one before."""
+    ahead = plot.select((F.col("place") - 1).alias("at"), F.col("reachability").alias("next"))
+    rows = plot.select("place", F.col("reachability").alias("r")).join(ahead, F.col("place") == F.col("at"), "left")
+    infinite = (F.col("r") == float("inf")) | (F.col("next") == float("inf"))
+    fall = F.col("next").isNotNull() & ~infinite & (F.col("r") * (1 - xi) >= F.col("next"))
+    rise = F.col("next").isNotNull() & (infinite | (~fall & (F.col("r") <= F.col("next") * (1 - xi))))
+    marked = stored(rows.select("place", fall.alias("fall"), rise.cast("long").alias("rise")))
+    parts = stored(running(marked, "place", "rise", "part"))
+    ends = parts.groupBy("part").agg(F.min(F.when(F.col("fall"), F.col("place"))).alias("start"), F.max("place").alias("end")).where("start IS NOT NULL")
+    named = ranks(ends, "part", out="label").select(F.col("part").alias("of"), "start", (F.col("label") - 1).alias("label"))
+    return parts.join(named, F.col("part") == F.col("of"), "left").select("place", F.when(F.col("place") >= F.col("start"), F.col("label")).otherwise(F.lit(-1)).cast("long").alias("label"))

@@ -153,3 +153,8 @@ def _(spark, d):
 @query("hdbscan_suppliers")
 def _(spark, d):
     return D.hdbscan(banked(spark, d), 3).select("id", "label", "probability")
+
+
+@query("optics")
+def _(spark, d):
+    return D.optics(banked(spark, d), 3, 2.0, xi=0.2)

@@ -130,18 +130,27 @@ def labels_by_hand(n, tree, size, method, single):
     return labels
 
 
-@pytest.mark.parametrize(("seed", "size", "k", "method", "single"), [(1, 5, 3, "eom", False), (2, 6, 6, "leaf", False)])
-def test_hdbscan_equals_brute_force(spark, monkeypatch, seed, size, k, method, single):
+def test_hdbscan_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 64)
-    monkeypatch.setattr(density, "MERGES", 64 if seed == 1 else 1 << 18)  # several ranges, or one
+    monkeypatch.setattr(density, "MERGES", 64)  # several ranges
+    seed, size, k = 1, 5, 3
     x = np.concatenate([blobs(seed, [40, 30, 30, 20], 2, 0.3, 10), blobs(seed, [5], 2)])
     tree = tree_by_hand(reach_matrix(x, k))
-    got = density.hdbscan(table(spark, x), size, k, method=method, allow_single_cluster=single)
-    labels = {r["id"]: r["label"] for r in got.collect()}
-    assert [labels[i] for i in range(len(x))] == labels_by_hand(len(x), tree, size, method, single)
+    labels = {r["id"]: r["label"] for r in density.hdbscan(table(spark, x), size, k).collect()}
+    assert [labels[i] for i in range(len(x))] == labels_by_hand(len(x), tree, size, "eom", False)
     assert len(set(labels.values())) > 2
 
 
+def test_selection_of_clusters(spark):
+    """0 holds 1 and 2, 1 holds 3 and 4, 2 holds 5 and 6."""
+    rows = [(0, None, 9.0), (1, 0, 3.0), (2, 0, 5.0), (3, 1, 2.0), (4, 1, 2.0), (5, 2, 1.0), (6, 2, 1.0)]
+    clusters = spark.createDataFrame([(c, p, 0.0, s) for c, p, s in rows], "cluster long, parent long, birth double, stability double")
+    read = lambda **k: {r["cluster"]: r["chosen"] for r in density.select_clusters(clusters, **k).collect()}
+    assert read() == {0: None, 1: None, 2: 2, 3: 3, 4: 4, 5: 2, 6: 2}
+    assert read(method="leaf") == {0: None, 1: None, 2: None, 3: 3, 4: 4, 5: 5, 6: 6}
+    assert read(allow_single_cluster=True) == dict.fromkeys(range(7), 0)
+
+
 def test_hdbscan_of_separate_groups_and_few_points(spark):
     group = [[0.0, 0.0], [0.1, 0.1], [0.2, 0.0], [0.0, 0.2], [0.1, 0.0]]
     x = group + [[a + 100, b + 100] for a, b in group]
@@ -152,3 +161,55 @@ def test_hdbscan_of_separate_groups_and_few_points(spark):
     assert density.hdbscan(few.where("id < 0"), 2).count() == 0
     with pytest.raises(ValueError):
         density.hdbscan(few, 1)
+
+
+def walk_by_hand(x, k, max_eps, xi):
+    """Order, reachabilities and labels, one point after the other."""
+    n = len(x)
+    w = reach_matrix(x, k)
+    reach, by, order, out = np.full(n, np.inf), [None] * n, [], []
+    left = set(range(n))
+    while left:
+        open_ = [j for j in left if reach[j] < np.inf]
+        now = min(open_, key=lambda j: (reach[j], *by[j])) if open_ else min(left)
+        left.remove(now)
+        order.append(now)
+        out.append(reach[now])
+        for j in left:
+            edge = (w[now, j], min(now, j), max(now, j))
+            if w[now, j] <= max_eps and (by[j] is None or edge < (reach[j], *by[j])):
+                reach[j], by[j] = w[now, j], edge[1:]
+    labels, start, c = [-1] * n, None, 0
+    for i in range(n - 1):
+        a, b = out[i], out[i + 1]
+        stop = np.isinf(a) or np.isinf(b)
+        if not stop and a * (1 - xi) >= b:
+            start = i if start is None else start
+        elif stop or a <= b * (1 - xi):
+            if start is not None:
+                for m in order[start : i + 1]:
+                    labels[m] = c
+                c, start = c + 1, None
+    if start is not None:
+        for m in order[start:]:
+            labels[m] = c
+    return order, out, labels
+
+
+@pytest.mark.parametrize(("max_eps", "places"), [(1.2, 16)])
+def test_optics_equals_walking_point_by_point(spark, monkeypatch, max_eps, places):
+    monkeypatch.setattr(density, "PLACES", places)
+    x = blobs(5, [25, 20], 2, 0.3, 8)
+    order, out, labels = walk_by_hand(x, 3, max_eps, 0.2)
+    got = density.optics(table(spark, x).union(spark.createDataFrame([(900, None)], "id long, v array<double>")), 3, max_eps, xi=0.2).orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(len(x)))
+    assert [r["id"] for r in got] == order
+    assert np.allclose([r["reachability"] for r in got], out)
+    assert {r["id"]: r["label"] for r in got} == dict(enumerate(labels))
+    assert max_eps > 2 or sum(np.isinf(out)) > 2
+
+
+def test_optics_of_few_points(spark):
+    few = spark.createDataFrame([(5, [1.0]), (3, [1.5])], "id long, v array<double>")
+    assert [(r["id"], r["place"], r["reachability"], r["core"]) for r in density.optics(few, 4).orderBy("place").collect()] == [(3, 0, float("inf"), float("inf")), (5, 1, float("inf"), float("inf"))]
+    assert density.optics(few.where("id < 0"), 2).count() == 0
