@@ -82,6 +82,8 @@ def label(df: DataFrame, full: bool = False) -> DataFrame:
     own = df.where("v <> 0").select("img", "y", "x")
     # One number for a pixel: image, row and column in mixed radix of 2**21.
     code = lambda img, y, x: (img.cast("long") * (1 << 42)) + y.cast("long") * (1 << 21) + x.cast("long")
+    fits = F.col("y").between(0, (1 << 21) - 2) & F.col("x").between(0, (1 << 21) - 2)
+    own = own.where(F.when(fits & F.col("img").between(0, (1 << 21) - 1), True).otherwise(F.raise_error(F.lit("images, rows and columns to be labelled are numbered from 0 and below 2**21 - 1")).cast("boolean")))
     here = own.withColumn("id", code(F.col("img"), F.col("y"), F.col("x")))
     near = here.select(F.col("id").alias("src"), F.explode(F.array(*(code(F.col("img"), F.col("y") + a, F.col("x") + b) for a, b in steps))).alias("dst"))
     links = near.join(here.select(F.col("id").alias("dst")), "dst").select("src", "dst", F.lit(1.0).alias("w"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparksci.operators import images
 from sparksci.operators import morphology as M
@@ -73,10 +74,15 @@ def _(spark, d):
     return M.binary_closing(masked(spark, d))
 
 
+def by_number(df):
+    """Images numbered from 1 in order of their names: a table of one row an image, so one window."""
+    names = df.select("img").distinct().select(F.col("img").alias("name"), F.dense_rank().over(Window.orderBy("img")).cast("long").alias("number"))
+    return df.join(F.broadcast(names), F.col("img") == F.col("name")).select(F.col("number").alias("img"), "y", "x", "v")
+
+
 def numbered(spark, d):
     """Labels need whole numbers for images."""
-    kinds = F.pmod(F.xxhash64("img"), F.lit(1 << 20)).cast("long")
-    return M.label(masked(spark, d).withColumn("img", kinds))
+    return M.label(by_number(masked(spark, d)))
 
 
 @query("label")

@@ -13,7 +13,7 @@ from sparksci.operators import mixture
 from sparksci.operators import series
 from sparksci.operators import spatial as S
 from sparksci.plans.graph import tree
-from sparksci.plans.morphology import IMAGE, masked, pixels
+from sparksci.plans.morphology import IMAGE, by_number, masked, pixels
 from sparksci.plans.registry import query, r
 from sparksci.plans.spatial import embedded
 from sparksci.plans.statistics import events, items
@@ -130,8 +130,7 @@ for name, sql in (("euclidean", "sqrt(min(pow(a.y - b.y, 2) + pow(a.x - b.x, 2))
 
 @query("binary_fill_holes")
 def _(spark, d):
-    kinds = F.pmod(F.xxhash64("img"), F.lit(1 << 20)).cast("long")
-    return M.binary_fill_holes(masked(spark, d).withColumn("img", kinds))
+    return M.binary_fill_holes(by_number(masked(spark, d)))
 
 
 @query("heat", IMAGE + NEAR + f"SELECT img, y, x, {r(f'CASE WHEN x IN (0, 23) OR y IN (0, 23) THEN v ELSE v + 0.2 * ({L} + {R} + {U} + {B} - 4 * v) END', 'v')} FROM n")

@@ -32,3 +32,8 @@ def test_entry_imports_without_the_optional_subpackage(tmp_path):
 
 def test_entry_imports_without_a_session():
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=ROOT, check=True)
+
+
+def test_entry_goes_on_without_a_library_of_the_optional_subpackage():
+    code = "import sys, warnings; sys.modules['ahocorasick'] = None; warnings.simplefilter('ignore'); import __spark_entry__ as e; q = e.queries(); assert 'describe' in q and not any(k.startswith('op1') for k in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
