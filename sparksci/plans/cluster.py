@@ -155,6 +155,6 @@ def _(spark, d):
     return D.hdbscan(banked(spark, d), 3).select("id", "label", "probability")
 
 
-@query("optics")
+@query("density_optics")
 def _(spark, d):
     return D.optics(banked(spark, d), 3, 2.0, xi=0.2)
