@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparksci.operators import cluster as C
 from sparksci.operators import density as D
+from sparksci.operators import spectral
 from sparksci.plans.registry import query, r
 from sparksci.plans.spatial import embedded
 from sparksci.sources.tables import table
@@ -158,3 +159,22 @@ def _(spark, d):
 @query("density_optics")
 def _(spark, d):
     return D.optics(banked(spark, d), 3, 2.0, xi=0.2)
+
+
+def near_graph(spark, d):
+    return spectral.neighbour_affinity(embedded(spark, d), 10)
+
+
+@query(
+    "spectral_affinity",
+    LABELLED
+    + f""", k AS (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS rank FROM e a JOIN e b ON a.id <> b.id)
+SELECT src, dst, 1.0::DOUBLE AS w FROM (SELECT i AS src, j AS dst FROM k WHERE rank <= 10 UNION SELECT j, i FROM k WHERE rank <= 10 UNION SELECT id, id FROM e)""",
+)
+def _(spark, d):
+    return near_graph(spark, d)
+
+
+@query("spectral_clustering")
+def _(spark, d):
+    return spectral.spectral_clustering(near_graph(spark, d), 4)
