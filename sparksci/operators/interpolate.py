@@ -6,14 +6,15 @@ two window frames over the union of both tables; no query is compared with all k
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparksci.operators.splines import cubic_spline_coefficients, spline_slopes
 from sparksci.operators.statistics import _by
 
+__all__ = ["akima_slopes", "cubic_spline_coefficients", "hermite", "interp1d", "pchip_slopes", "secant_slopes", "spline_slopes"]
+
 
 def _bracketed(knots: DataFrame, queries: DataFrame, x: str, values: list[str], xq: str, by) -> DataFrame:
     """queries with the structs ``a`` and ``b``: the knots at or before, and after, each query; end segments extend outwards."""
@@ -39,10 +40,13 @@ def _bracketed(knots: DataFrame, queries: DataFrame, x: str, values: list[str],
 
 
 def interp1d(knots: DataFrame, queries: DataFrame, x: str, y: str, xq: str, by=(), method: str = "linear", out: str = "value") -> DataFrame:
-    """Values between knots; outside, the end segment goes on (linear) or the end value holds (nearest).
+    """Values between knots; outside, the end segment goes on (linear, cubic) or the end value holds (nearest).
 
-    A query halfway between two knots takes the right one (nearest).
+    A query halfway between two knots takes the right one (nearest). ``cubic`` joins the knots with the slopes of
+    ``secant_slopes``; for splines see ``spline_slopes`` and ``hermite``.
     """
+    if method == "cubic":
+        return hermite(secant_slopes(knots, x, y, by, "__slope"), queries, x, y, "__slope", xq, by, out)
     rows = _bracketed(knots, queries, x, [y], xq, by)
     a, b, q = F.col("__a"), F.col("__b"), F.col(xq).cast("double")
     if method == "linear":
@@ -50,7 +54,7 @@ def interp1d(knots: DataFrame, queries: DataFrame, x: str, y: str, xq: str, by=(
     elif method == "nearest":
         value = F.when(F.abs(q - a["at"]) < F.abs(b["at"] - q), a["v0"]).otherwise(b["v0"])
     else:
-        raise ValueError("method is linear or nearest; for smooth curves see hermite")
+        raise ValueError("method is linear, nearest or cubic; for other smooth curves see hermite")
     return rows.withColumn(out, value).drop("__a", "__b")
 
 
@@ -92,6 +96,15 @@ def akima_slopes(df: DataFrame, x: str, y: str, by=(), out: str = "slope") -> Da
     return rows.withColumn(out, F.when(a + b > 0, (a * e1 + b * e2) / (a + b)).otherwise((e1 + e2) / 2)).drop("__m0", "__m1", "__m2", "__m3")
 
 
+def secant_slopes(df: DataFrame, x: str, y: str, by=(), out: str = "slope") -> DataFrame:
+    """Knots with the mean slope of the lines to both neighbours; at an end that of the only one, 0 for a single knot."""
+    w = Window.partitionBy(*_by(by)).orderBy(x)
+    ahead = F.try_divide(F.lead(y).over(w) - F.col(y), F.lead(x).over(w) - F.col(x))
+    steep = df.withColumn("__ahead", ahead).withColumn("__behind", F.lag("__ahead").over(w))
+    mean = (F.coalesce("__ahead", "__behind") + F.coalesce("__behind", "__ahead")) / 2
+    return steep.withColumn(out, F.coalesce(mean, F.lit(0.0))).drop("__ahead", "__behind")
+
+
 def hermite(knots: DataFrame, queries: DataFrame, x: str, y: str, slope: str, xq: str, by=(), out: str = "value") -> DataFrame:
     """Cubic Hermite values from knots with slopes (of pchip_slopes or akima_slopes)."""
     rows = _bracketed(knots, queries, x, [y, slope], xq, by)
@@ -102,41 +115,3 @@ def hermite(knots: DataFrame, queries: DataFrame, x: str, y: str, slope: str, xq
         (2 * t**3 - 3 * t**2 + 1) * a["v0"] + (t**3 - 2 * t**2 + t) * h * a["v1"] + (3 * t**2 - 2 * t**3) * b["v0"] + (t**3 - t**2) * h * b["v1"]
     )
     return rows.withColumn(out, F.when(h == 0, a["v0"]).otherwise(value)).drop("__a", "__b")
-
-
-def cubic_spline_coefficients(df: DataFrame, x: str, y: str, by=(), bc: str = "natural") -> DataFrame:
-    """(by, segment, x0, a, b, c, d): y = a + b t + c t^2 + d t^3 for t = x - x0 between neighbouring knots.
-
-    The second derivatives solve one tridiagonal system a group, on the group's knots alone; bc is natural (0 at the
-    ends) or clamped (slope 0 at the ends). Knots are distinct; a group of fewer than two has no segment.
-    """
-    if bc not in ("natural", "clamped"):
-        raise ValueError("bc is natural or clamped")
-    keys = _by(by)
-    kinds = dict(df.dtypes)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__x")
-        t, v = pdf["__x"].to_numpy(float), pdf["__y"].to_numpy(float)
-        n = len(t)
-        h, slope = np.diff(t), np.diff(v) / np.diff(t)
-        lower, diag, upper, right = np.zeros(n), np.ones(n), np.zeros(n), np.zeros(n)
-        lower[1:-1], diag[1:-1], upper[1:-1], right[1:-1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:], 6 * np.diff(slope)
-        if bc == "clamped" and n > 1:
-            diag[0], upper[0], right[0] = 2 * h[0], h[0], 6 * slope[0]
-            lower[-1], diag[-1], right[-1] = h[-1], 2 * h[-1], -6 * slope[-1]
-        for i in range(1, n):
-            w = lower[i] / diag[i - 1]
-            diag[i] -= w * upper[i - 1]
-            right[i] -= w * right[i - 1]
-        m = np.zeros(n)
-        for i in range(n - 1, -1, -1):
-            m[i] = (right[i] - (upper[i] * m[i + 1] if i + 1 < n else 0.0)) / diag[i]
-        out = pd.DataFrame({"segment": np.arange(n - 1), "x0": t[:-1], "a": v[:-1], "b": slope - h * (2 * m[:-1] + m[1:]) / 6, "c": m[:-1] / 2, "d": np.diff(m) / (6 * h)})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    rows = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where("__x IS NOT NULL AND __y IS NOT NULL")
-    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "segment long, x0 double, a double, b double, c double, d double"
-    return rows.groupBy(*keys).applyInPandas(solve, schema)

@@ -326,6 +326,56 @@ def _(spark, d):
     return S.istft(S.stft(events(spark, d), "value", "event_id", "event_type", 64), "event_type", 64)
 
 
-@query("cubic_spline_coefficients")
+SPLINE = """WITH RECURSIVE k AS (SELECT user_id, event_id::DOUBLE AS x, value AS y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n,
+  event_id - lag(event_id) OVER w AS h, lead(event_id) OVER w - event_id AS g, value - lag(value) OVER w AS u, lead(value) OVER w - value AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+q AS ({system}),
+f AS (SELECT user_id, i, up / mid AS p, rhs / mid AS s, stop FROM q WHERE i = start UNION ALL
+  SELECT q.user_id, q.i, q.up / (q.mid - q.lo * f.p), (q.rhs - q.lo * f.s) / (q.mid - q.lo * f.p), f.stop FROM f JOIN q ON q.user_id = f.user_id AND q.i = f.i + 1),
+z AS (SELECT user_id, i, s AS m FROM f WHERE i = stop UNION ALL SELECT f.user_id, f.i, f.s - f.p * z.m FROM z JOIN f ON f.user_id = z.user_id AND f.i = z.i - 1),
+m AS (SELECT * FROM z {ends}) """
+SPLINES = {
+    "natural": SPLINE.format(
+        system="""SELECT user_id, i, 0 AS start, n - 1 AS stop, CASE WHEN i IN (0, n - 1) THEN 0 ELSE h END AS lo, CASE WHEN i IN (0, n - 1) THEN 1 ELSE 2 * (h + g) END AS mid,
+  CASE WHEN i IN (0, n - 1) THEN 0 ELSE g END AS up, CASE WHEN i IN (0, n - 1) THEN 0 ELSE 6 * (v / g - u / h) END AS rhs FROM k""",
+        ends="",
+    ),
+    "not-a-knot": SPLINE.format(
+        system="""SELECT user_id, i, 1 AS start, n - 2 AS stop, CASE WHEN i = 1 THEN 0 WHEN i = n - 2 THEN (h * h - g * g) / h ELSE h END AS lo,
+  CASE WHEN n = 3 THEN 3 * (h + g) WHEN i = 1 THEN (h + g) * (h + 2 * g) / g WHEN i = n - 2 THEN (h + g) * (g + 2 * h) / h ELSE 2 * (h + g) END AS mid,
+  CASE WHEN i = n - 2 THEN 0 WHEN i = 1 THEN (g * g - h * h) / g ELSE g END AS up, 6 * (v / g - u / h) AS rhs FROM k WHERE i BETWEEN 1 AND n - 2""",
+        ends="""UNION ALL SELECT user_id, 0, CASE WHEN n = 3 THEN a.m ELSE ((h + g) * a.m - h * b.m) / g END FROM k JOIN z a USING (user_id, i) LEFT JOIN z b ON b.user_id = k.user_id AND b.i = 2 WHERE k.i = 1
+UNION ALL SELECT user_id, n - 1, CASE WHEN n = 3 THEN a.m ELSE ((h + g) * a.m - g * b.m) / h END FROM k JOIN z a USING (user_id, i) LEFT JOIN z b ON b.user_id = k.user_id AND b.i = n - 3 WHERE k.i = n - 2
+UNION ALL SELECT user_id, i, 0 FROM k WHERE n = 2""",
+    ),
+}
+SEGMENTS = f"""SELECT k.user_id, k.i AS segment, {r('x', 'x0')}, {r('y', 'a')}, {r('v / g - g * (2 * m.m + o.m) / 6', 'b')}, {r('m.m / 2', 'c')}, {r('(o.m - m.m) / (6 * g)', 'd')}
+FROM k JOIN m ON m.user_id = k.user_id AND m.i = k.i JOIN m o ON o.user_id = k.user_id AND o.i = k.i + 1"""
+
+
+@query("cubic_spline_coefficients", SPLINES["natural"] + SEGMENTS)
 def _(spark, d):
     return P.cubic_spline_coefficients(lines(spark, d), "x", "value", "user_id")
+
+
+@query("cubic_spline_not_a_knot", SPLINES["not-a-knot"] + SEGMENTS)
+def _(spark, d):
+    return P.cubic_spline_coefficients(lines(spark, d), "x", "value", "user_id", "not-a-knot")
+
+
+DRAWN = "CASE WHEN h = 0 THEN ya ELSE ya + (xq - a) * ma + (xq - a) ** 2 * (3 * k - 2 * ma - mb) / h + (xq - a) ** 3 * (ma + mb - 2 * k) / h ** 2 END"
+
+
+@query(
+    "interp1d_cubic",
+    KNOTS
+    + f""", s AS (SELECT *, (y1 - y) / (x1 - x) AS e, (y - yp) / (x - xp) AS b FROM n),
+t AS (SELECT user_id, x, y, coalesce((coalesce(e, b) + coalesce(b, e)) / 2, 0) AS m FROM s),
+p AS (SELECT t.*, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(m) OVER w AS m1, lag(x) OVER w AS xp, lag(y) OVER w AS yp, lag(m) OVER w AS mp FROM t WINDOW w AS (PARTITION BY user_id ORDER BY x)),
+o AS (SELECT q.user_id, event_id, xq, CASE WHEN x1 IS NULL THEN coalesce(xp, x) ELSE x END AS a, CASE WHEN x1 IS NULL THEN coalesce(yp, y) ELSE y END AS ya, CASE WHEN x1 IS NULL THEN coalesce(mp, m) ELSE m END AS ma,
+  coalesce(CASE WHEN x1 IS NULL THEN x ELSE x1 END, x) AS b, coalesce(y1, y) AS yb, coalesce(m1, m) AS mb FROM q JOIN p ON q.user_id = p.user_id AND q.event_id = p.x),
+u AS (SELECT *, b - a AS h, CASE WHEN a = b THEN 0 ELSE (yb - ya) / (b - a) END AS k FROM o)
+SELECT user_id, event_id, {r(DRAWN, 'value')} FROM u""",
+)
+def _(spark, d):
+    k, q = _queries(spark, d)
+    return P.interp1d(k, q, "x", "value", "xq", "user_id", "cubic").select(*KEY, "value")
