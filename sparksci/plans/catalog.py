@@ -1,6 +1,6 @@
 """Every registered query and its SQL counterpart."""
 
-from sparksci.plans import cluster, definitions, filters, graph, morphology, numeric, planar, series, spatial, statistics
+from sparksci.plans import cluster, definitions, filters, graph, hierarchy, morphology, numeric, planar, series, spatial, statistics
 from sparksci.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cluster", "definitions", "filters", "graph", "morphology", "numeric", "planar", "series", "spatial", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "cluster", "definitions", "filters", "graph", "hierarchy", "morphology", "numeric", "planar", "series", "spatial", "statistics"]
