@@ -120,3 +120,102 @@ def min_cut(edges: DataFrame, flow: DataFrame, source: int) -> DataFrame:
     inside, _ = _levels(ways, source, -1)  # arcs turned round, so hops to the source are hops from it
     near = given.join(inside.select(F.col("id").alias("src")), "src", "left_semi")
     return near.join(inside.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst", "w")
+
+
+def _prices(arcs: DataFrame, source: int, dust: float) -> DataFrame:
+    """(id, price): the least cost of a way from the source over arcs (u, v, cost, room) with room; written.
+
+    Only nodes that became cheaper are looked at again. A way of least cost visits no node twice, so a round more than
+    there are nodes tells of a cycle of negative cost.
+    """
+    spark = arcs.sparkSession
+    open_arcs = arcs.where("room > 0").groupBy("u", "v").agg(F.min("cost").alias("cost"))
+    known = stored(spark.createDataFrame([(source, 0.0, True)], "id long, price double, fresh boolean"))
+    rounds, most = 0, None
+    while True:
+        tried = open_arcs.join(known.where("fresh").select(F.col("id").alias("u"), "price"), "u").groupBy(F.col("v").alias("id")).agg(F.min(F.col("price") + F.col("cost")).alias("tried"))
+        cheaper = F.col("price").isNull() | (F.col("tried") < F.col("price") - dust)
+        new = stored(known.drop("fresh").join(tried, "id", "full").select("id", F.when(cheaper, F.coalesce("tried", "price")).otherwise(F.col("price")).alias("price"), (F.col("tried").isNotNull() & cheaper).alias("fresh")))
+        forget(known)
+        known, rounds = new, rounds + 1
+        if known.where("fresh").isEmpty():
+            return known
+        if rounds % 16 == 0:
+            most = most or arcs.select("u").union(arcs.select("v")).distinct().count()
+            if rounds > most:
+                raise ValueError("the network has a cycle of negative cost")
+
+
+def min_cost_flow(edges: DataFrame, source: int, sink: int, limit: float | None = None) -> tuple[float, float, DataFrame]:
+    """The amount of the greatest flow, or of ``limit`` if that is less, its least cost, and (src, dst, cost, flow) of the edges that carry some.
+
+    Edges are (src, dst, w, cost), cost a unit, null for none; parallel edges of one cost are one edge, those of different
+    costs stay apart. Edges without capacity, or null, and loops carry nothing. Costs may be negative, cycles of
+    negative cost raise.
+
+    Prices are the least costs of ways from the source over what room is left; the arcs that such ways use cost
+    nothing beside the prices, and a greatest flow over these alone goes in one phase. Then all ways of that cost are full, so
+    there are as many phases as costs of a way, and never an arc with room that the prices say is worth turning back
+    (``reduced_costs``).
+    """
+    if source == sink:
+        raise ValueError("source and sink are one node")
+    given = edges.where("w > 0 AND src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.coalesce(F.col("cost").cast("double"), F.lit(0.0)).alias("cost"), "w")
+    state = stored(given.groupBy("src", "dst", "cost").agg(F.sum("w").cast("double").alias("cap"), F.lit(0.0).alias("flow")))
+    top = state.agg(F.max("cap").alias("cap"), F.max(F.abs("cost")).alias("cost")).first()
+    dust, cents = (top["cap"] or 0.0) * DUST, (top["cost"] or 0.0) * 1e-9
+    amount = 0.0
+    while limit is None or limit - amount > dust:
+        arcs = stored(_residual(state, dust))
+        prices = _prices(arcs, source, cents)
+        if prices.where(F.col("id") == sink).isEmpty():
+            forget(arcs, prices)
+            break
+        price = prices.select("id", "price")
+        beside = arcs.join(price.withColumnsRenamed({"id": "u", "price": "pu"}), "u").join(price.withColumnsRenamed({"id": "v", "price": "pv"}), "v")
+        tight = stored(beside.where((F.col("room") > 0) & (F.abs(F.col("pu") + F.col("cost") - F.col("pv")) <= 4 * cents)).select("u", "v", "cost", "room", "back"))
+        forget(arcs, prices)
+        net = tight.groupBy(F.col("u").alias("src"), F.col("v").alias("dst")).agg(F.sum("room").alias("w"))
+        start = source
+        if limit is not None:
+            # A node before the source lets no more pass than is asked for.
+            start = tight.agg(F.least(F.min("u"), F.min("v"))).first()[0] - 1
+            net = net.union(net.sparkSession.createDataFrame([(start, source, limit - amount)], "src long, dst long, w double"))
+        more, used = max_flow(net, start, sink)
+        if more <= dust:
+            forget(tight)
+            break
+        # Both directions of an edge, or edges there and back of opposite cost, may share a pair of nodes: a few rows.
+        before = Window.partitionBy("u", "v").orderBy("back", "cost").rowsBetween(Window.unboundedPreceding, -1)
+        shared = tight.withColumn("base", F.coalesce(F.sum("room").over(before), F.lit(0.0))).join(used.select(F.col("src").alias("u"), F.col("dst").alias("v"), "flow"), ["u", "v"])
+        took = shared.withColumn("took", F.least(F.col("room"), F.col("flow") - F.col("base"))).where("took > 0")
+        forth = took.where("NOT back").select(F.col("u").alias("src"), F.col("v").alias("dst"), "cost", "took")
+        home = took.where("back").select(F.col("v").alias("src"), F.col("u").alias("dst"), (-F.col("cost")).alias("cost"), (-F.col("took")).alias("took"))
+        change = forth.union(home).groupBy("src", "dst", F.col("cost") + F.lit(0.0)).agg(F.sum("took").alias("took")).toDF("src", "dst", "cost", "took")
+        flow = F.col("flow") + F.coalesce("took", F.lit(0.0))
+        new = stored(state.join(change, ["src", "dst", "cost"], "left").select("src", "dst", "cost", "cap", F.when(flow > dust, F.least(flow, F.col("cap"))).otherwise(0.0).alias("flow")))
+        forget(state, tight)
+        state, amount = new, amount + more
+    cost = state.agg(F.sum(F.col("flow") * F.col("cost"))).first()[0] or 0.0
+    return amount, float(cost), state.where("flow > 0").select("src", "dst", "cost", "flow")
+
+
+def _residual(state: DataFrame, dust: float) -> DataFrame:
+    """(u, v, cost, room, back): what edges (src, dst, cost, cap, flow) can still take, and can give back."""
+    left = F.col("cap") - F.col("flow")
+    forth = state.select(F.col("src").alias("u"), F.col("dst").alias("v"), "cost", F.when(left > dust, left).otherwise(0.0).alias("room"), F.lit(False).alias("back"))
+    return forth.union(state.select("dst", "src", F.lit(0.0) - F.col("cost"), "flow", F.lit(True))).where("room > 0")
+
+
+def reduced_costs(edges: DataFrame, flow: DataFrame, source: int) -> DataFrame:
+    """(u, v, reduced): cost and prices of every arc that has room beside a flow, among nodes that the source still reaches.
+
+    None is negative if and only if no cycle among them would make the flow cheaper; where there is one, it raises.
+    """
+    given = edges.where("w > 0 AND src <> dst").groupBy("src", "dst", F.coalesce(F.col("cost").cast("double"), F.lit(0.0)).alias("cost")).agg(F.sum("w").cast("double").alias("cap"))
+    state = given.join(flow.select("src", "dst", "cost", "flow"), ["src", "dst", "cost"], "left").select("src", "dst", "cost", "cap", F.coalesce("flow", F.lit(0.0)).alias("flow"))
+    top = given.agg(F.max("cap").alias("cap"), F.max(F.abs("cost")).alias("cost")).first()
+    arcs = stored(_residual(state, (top["cap"] or 0.0) * DUST))
+    price = _prices(arcs, source, (top["cost"] or 0.0) * 1e-9).select("id", "price")
+    beside = arcs.join(price.withColumnsRenamed({"id": "u", "price": "pu"}), "u").join(price.withColumnsRenamed({"id": "v", "price": "pv"}), "v")
+    return beside.select("u", "v", (F.col("cost") + F.col("pu") - F.col("pv")).alias("reduced"))

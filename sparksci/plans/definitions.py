@@ -159,6 +159,20 @@ def network(spark, d):
     return first.unionByName(second).unionByName(third)
 
 
+#: A customer costs 1 to 3 a unit: each nation fills its cheapest customers first, as far as its own way in lets it.
+@query(
+    "min_cost_flow",
+    f"""WITH o AS (SELECT o_custkey AS id, count(*)::DOUBLE AS n FROM orders GROUP BY 1),
+c AS (SELECT c_nationkey AS g, c_custkey % 3 + 1 AS k, sum(least(c_custkey % 7 + 1, coalesce(n, 0))) AS room FROM customer LEFT JOIN o ON o.id = c_custkey GROUP BY 1, 2),
+s AS (SELECT g, k, greatest(0, least(room, 100 + 3 * g - coalesce(sum(room) OVER (PARTITION BY g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS f FROM c)
+SELECT (g + 20000000)::BIGINT AS nation, {r('sum(f)::DOUBLE', 'flow')}, {r('sum(f * k)::DOUBLE', 'cost')} FROM s GROUP BY 1 HAVING sum(f) > 0""",
+)
+def _(spark, d):
+    cost = F.when(F.col("src") >= 20_000_000, F.col("dst") % 3 + 1).otherwise(0).cast("double")
+    used = flow.min_cost_flow(network(spark, d).withColumn("cost", cost), -2, -1)[2]
+    return used.where("src >= 20000000").groupBy(F.col("src").alias("nation")).agg(F.sum("flow").alias("flow"), F.sum(F.col("flow") * F.col("cost")).alias("cost"))
+
+
 # --- distributions ---------------------------------------------------------------------------
 
 Z = "((value - 50) / 25)"
