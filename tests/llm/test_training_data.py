@@ -302,7 +302,6 @@ def test_scores_equal_brute_force(spark, order, monkeypatch):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 200)
     monkeypatch.setattr(lm_score, "PART_ROWS", 40)
     monkeypatch.setattr(lm_score, "PACKED_ROWS", 25)
-    monkeypatch.setattr(lm_score, "CLEANER_S", 0)
     rng = random.Random(order)
     texts = [" ".join(rng.choice("a b c d e f gg hh".split()) for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, "", "one", "one"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
