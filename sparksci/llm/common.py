@@ -42,6 +42,10 @@ def byte_length(c: Column) -> Column:
     return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
 
 
+#: Buckets of a table at most: the catalog's own bound is 100,000. Beyond it a bucket holds several keys.
+MOST_BUCKETS = 1 << 16
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is named (tests, local mode)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -67,6 +71,18 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return back
 
 
+def bucketed(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """df written to the shared folder in buckets of a key without nulls: later groupings by the key need no shuffle of it."""
+    spark = df.sparkSession
+    unique = f"{name}-{uuid.uuid4().hex}"
+    path, n = f"{scratch_dir(spark)}/sparksci/{unique}", min(parts, MOST_BUCKETS)
+    entry = f"sparksci_{unique}".replace("-", "_")
+    df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(entry, format="parquet")
+    back = spark.table(entry)
+    back._scratch = path
+    return back
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove scratch tables that no later plan reads."""
     for df in frames:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparksci.llm.common import BLANKS, ascii_lower, byte_length, sequence_hashes, shares, table, words, written
+from sparksci.llm.common import BLANKS, ascii_lower, bucketed, byte_length, sequence_hashes, shares, table, words, written
 
 ORDER = 3
 BACKOFF = 0.4
@@ -154,9 +154,6 @@ def score(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
     bits = (shares(2 * size / BYTES_A_WORD, PART_ROWS) - 1).bit_length()
     spread = F.pmod(F.xxhash64(F.col(id_col), F.crc32(F.coalesce(text, F.lit("")))), F.lit(blocks))
 
-    def docs() -> DataFrame:
-        return df.select(spread.alias("block"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).repartition("block")
-
     def first(key, t):
         return _asked(Block(t.column("text")), key[0].as_py(), range(min(order, 2) + 1), bits)
 
@@ -175,11 +172,13 @@ def score(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
             block.learn(k, told)
         return _scores(block, order, t.column("doc_id"))
 
-    told = written(_counted(docs().groupBy("block").applyInArrow(first, ASKED), 1 << bits), "lm-told")
+    # The texts are exchanged once: every step reads its blocks from buckets.
+    docs = bucketed(df.select(spread.alias("block"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), "lm-docs", "block", blocks)
+    told = written(_counted(docs.groupBy("block").applyInArrow(first, ASKED), 1 << bits), "lm-told")
     for n in range(3, order + 1):
-        more = docs().groupBy("block").cogroup(told.where("n > 1").groupBy("block")).applyInArrow(further(n), ASKED)
+        more = docs.groupBy("block").cogroup(told.where("n > 1").groupBy("block")).applyInArrow(further(n), ASKED)
         told = told.union(written(_counted(more, 1 << bits), "lm-told"))
-    return docs().groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, "doc_id long, n_words long, score double, mean_score double")
+    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, "doc_id long, n_words long, score double, mean_score double")
 
 
 def _scores(block: Block, order: int, doc_id: pa.ChunkedArray) -> pa.Table:
