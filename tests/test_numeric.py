@@ -166,3 +166,12 @@ def test_gaussian_mixture_query_takes_whole_vectors(spark, sf):
     p = density()
     assert [got[r["id"]][0] for r in held] == p.argmax(1).tolist()
     assert [got[r["id"]][1] for r in held] == pytest.approx(np.logaddexp.reduce(p, axis=1).tolist(), abs=1e-3)
+
+
+def test_iterations_keep_small_estimates(spark):
+    n = 600
+    e = spark.range(n).select(F.xxhash64("id").alias("src"), F.xxhash64(F.col("id") + 1).alias("dst"))
+    out = G.connected_components(e, spark.range(n + 1).select(F.xxhash64("id").alias("id")))
+    assert out.select("component").distinct().count() == 1
+    # Estimates of joins multiply: over the rounds of a long way the digits themselves would grow by a power.
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 100
