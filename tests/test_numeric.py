@@ -1,6 +1,7 @@
 """Numerical methods, image filters, matrices and mixtures against closed forms and numpy."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -175,3 +176,43 @@ def test_iterations_keep_small_estimates(spark):
     assert out.select("component").distinct().count() == 1
     # Estimates of joins multiply: over the rounds of a long way the digits themselves would grow by a power.
     assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 100
+
+
+def _between(links: dict[int, set[int]]) -> dict[int, float]:
+    """Brandes' sums over ordered pairs."""
+    out = dict.fromkeys(links, 0.0)
+    for s in links:
+        far, paths, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in links[v]:
+                if w not in far:
+                    far[w], paths[w] = far[v] + 1, 0
+                    order.append(w)
+                if far[w] == far[v] + 1:
+                    paths[w] += paths[v]
+        dep = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in links[w]:
+                if far[v] == far[w] - 1:
+                    dep[v] += paths[v] / paths[w] * (1 + dep[w])
+            if w != s:
+                out[w] += dep[w]
+    return out
+
+
+@pytest.mark.parametrize("folds", [16, 1])
+def test_betweenness_folds_branches(spark, monkeypatch, folds):
+    monkeypatch.setattr(G, "FOLDS", folds)
+    rng = random.Random(folds)
+    pairs = {(0, 1), (1, 2), (2, 3), (3, 0), (1, 3), (30, 31), (40, 41), (41, 42)} | {(k, rng.randrange(k)) for k in range(4, 24)}
+    links = {v: set() for p in pairs for v in p} | {50: set()}
+    for a, b in pairs:
+        links[a].add(b)
+        links[b].add(a)
+    e = spark.createDataFrame([(a, b, 1.0) for a in links for b in links[a]], "src long, dst long, w double")
+    seen = []
+    real = G._dependencies
+    monkeypatch.setattr(G, "_dependencies", lambda links, sources, held: seen.append(held.count()) or real(links, sources, held))
+    got = {r["id"]: r["centrality"] for r in G.betweenness_centrality(e, spark.createDataFrame([(v,) for v in links], "id long"), True, False).collect()}
+    assert got == pytest.approx(_between(links))
+    assert folds == 1 or seen == [7]  # the cycle and a node of every other component
