@@ -213,3 +213,18 @@ def test_optics_of_few_points(spark):
     few = spark.createDataFrame([(5, [1.0]), (3, [1.5])], "id long, v array<double>")
     assert [(r["id"], r["place"], r["reachability"], r["core"]) for r in density.optics(few, 4).orderBy("place").collect()] == [(3, 0, float("inf"), float("inf")), (5, 1, float("inf"), float("inf"))]
     assert density.optics(few.where("id < 0"), 2).count() == 0
+
+
+def test_bounds_of_long_vectors_leave_results_as_they_are(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(90, 16)), 1) + 1e4  # far from the origin: a product alone would lose the digits
+    x[10:20], x[30] = x[10], x[31] + 1e-9
+    d, ids = neighbours.distances(x, x, "euclidean"), rng.permutation(90)
+    wholes = []
+    real = neighbours.distances
+    monkeypatch.setattr(neighbours, "distances", lambda *a: wholes.append(1) or real(*a))
+    held = neighbours.Bounds(x, x, "euclidean")
+    assert not wholes and (held.low <= d).all() and (d <= held.high).all()
+    i, j, near = held.nearest(7, ids, np.full(90, np.inf))
+    best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :7]
+    assert (i == np.repeat(np.arange(90), 7)).all() and (j == best.ravel()).all() and (near == np.take_along_axis(d, best, 1).ravel()).all()
