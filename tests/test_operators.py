@@ -374,3 +374,18 @@ def test_whole_embedding_queries(spark, tmp_path, monkeypatch):
     want = {i: names.index(root[i]) if links[i].any() else -1 for i in range(len(v))}
     assert len(names) == 3
     assert table(QUERIES["dbscan_all"](spark, str(tmp_path)), "id", "label") == want
+
+
+def test_squareform_computes_pairs_once(spark):
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    pairs = spark.createDataFrame([(1, 2, 0.5), (1, 3, 1.5), (2, 3, 2.0)], "i long, j long, distance double").mapInPandas(count, "i long, j long, distance double")
+    got = {(r["i"], r["j"]): r["distance"] for r in X.squareform(pairs, ids).collect()}
+    assert got == {(1, 2): 0.5, (2, 1): 0.5, (1, 3): 1.5, (3, 1): 1.5, (2, 3): 2.0, (3, 2): 2.0, (1, 1): 0.0, (2, 2): 0.0, (3, 3): 0.0}
+    assert seen.value == 3
