@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparksci.sources.tables import swept
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Space and the control characters 9 to 13, the white space of every key here.
@@ -65,7 +67,8 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with swept(spark):
+        writer.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch = path
     return back
@@ -77,7 +80,8 @@ def bucketed(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
     unique = f"{name}-{uuid.uuid4().hex}"
     path, n = f"{scratch_dir(spark)}/sparksci/{unique}", min(parts, MOST_BUCKETS)
     entry = f"sparksci_{unique}".replace("-", "_")
-    df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(entry, format="parquet")
+    with swept(spark):
+        df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(entry, format="parquet")
     back = spark.table(entry)
     back._scratch = path
     return back

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from sparksci.llm import bpe, common, language_id, line_dedup, lm_score, near_dedup, ogg, packing, registry, sharding, topk, url_rules
+from sparksci.sources import tables
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string, key string"
 TEXTS = [None, "", " ", "word", "Same text here twice", "Same text here twice", "é中文 ñandú\nline two\n\nline four", "x" * 60_000, "1234 !!", "a b c d e f g h i j k l m n o p q r s t u v w x y z"]
@@ -724,3 +725,21 @@ def test_scratch_tables_can_be_removed(spark):
     common.clear_scratch(spark)
     with pytest.raises(Exception, match="exist|find|found"):
         spark.read.parquet(df._scratch).count()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+    before, setting = held(), spark.conf.get(tables.SWEEP, None)
+    df = spark.range(20_000).select((F.col("id") % 7).alias("k"), F.xxhash64("id").alias("h")).repartition(3, "h")
+    made = [common.written(df, "swept"), common.bucketed(df, "swept", "k", 3), tables.stored(df)]
+    for _ in range(50):  # they are removed in the background
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and spark.conf.get(tables.SWEEP, None) == setting
+    assert [t.count() for t in made] == [20_000] * 3
+    common.discard(*made[:2])
+    tables.forget(made[2])
