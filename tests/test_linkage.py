@@ -104,3 +104,33 @@ def test_no_merge_and_missing_pairs(spark):
         linkage.linkage(pairs, points, "nearest")
     with pytest.raises(ValueError, match="Euclidean"):
         linkage.linkage_from_data(points, "ward", "manhattan")
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_points_are_merged_without_a_table_of_pairs(spark, monkeypatch, method):
+    """Copies, clusters that are split over blocks and several blocks a side; no pair of points is written."""
+
+    def never(*_):
+        raise AssertionError("a table of all pairs")
+
+    monkeypatch.setattr(linkage, "pdist", never)
+    monkeypatch.setattr(linkage, "BLOCK", 8)
+    monkeypatch.setattr(linkage, "SIDE", 2)
+    rng = random.Random(11)
+    x = [[rng.gauss(c % 3 * 6, 1), rng.gauss(0, 1), *(rng.gauss(0, 0.1) for _ in range(7))] for c in range(20)]
+    x = np.array(x + [x[4]] * 3)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    merges = linkage.linkage_from_data(points, method, finish=3)
+    got = merges.orderBy("step").collect()
+    want = by_hand(d.tolist(), method)
+    assert sorted((r["a"], r["b"], r["size"]) for r in got) == sorted((a, b, s) for a, b, _, s in want)
+    assert sorted(r["distance"] for r in got) == pytest.approx(sorted(h for _, _, h, _ in want))
+    check_numbers(got, len(x))
+
+
+def test_doubled_ids_and_infinite_vectors_raise(spark):
+    for second in ([(1, [3.0])], [(2, [float("inf")])]):
+        points = spark.createDataFrame([(1, [0.0]), *second], "id long, v array<double>")
+        with pytest.raises(ValueError, match="one finite distance"):
+            linkage.linkage_from_data(points)
