@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 
 from sparksci.functions import vectors
 from sparksci.operators import graph
-from sparksci.operators.spatial import _distances, _in_blocks, pdist, radius_join
+from sparksci.operators.spatial import _distances, pdist, radius_join
 from sparksci.operators.statistics import ranks
-from sparksci.sources.tables import stored
+from sparksci.sources.tables import forget, stored
 
 
 def nearest_center(v: Column, centers: list[list[float]]) -> Column:
@@ -76,27 +76,57 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, metric: st
     return points.select("id").join(found.join(names, "component"), "id", "left").select("id", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
 
 
+#: Points of a block, and blocks that a task takes from one side, about; sums that it holds before it gives them on.
+BLOCK, SIDE, SUMS = 2048, 16, 1 << 21
+
+
+def _label_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, label, other, d, n): distances of each point to a label's points, added up over the pairs of blocks (sorted by label) of a task."""
+    held: dict[int, tuple] = {}
+
+    def given() -> Iterator[pd.DataFrame]:
+        for ids, labels, sums in held.values():
+            for other, (d, n) in sums.items():
+                yield pd.DataFrame({"id": ids, "label": labels, "other": other, "d": d, "n": n})
+        held.clear()
+
+    cells = 0
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            ids, labels, theirs = np.asarray(row.ids), np.asarray(row.labels), np.asarray(row.labels2)
+            x, y = np.frombuffer(row.v).reshape(len(ids), -1), np.frombuffer(row.v2).reshape(len(theirs), -1)
+            kinds, starts, counts = np.unique(theirs, return_index=True, return_counts=True)
+            d = np.concatenate([np.add.reduceat(_distances(x[at : at + 64], y, "euclidean"), starts, axis=1) for at in range(0, len(x), 64)])
+            sums = held.setdefault(row.block, (ids, labels, {}))[2]
+            for k, other in enumerate(kinds):
+                before = sums.get(other)
+                cells += len(ids) if before is None else 0
+                sums[other] = (d[:, k], int(counts[k])) if before is None else (before[0] + d[:, k], before[1] + int(counts[k]))
+            if cells > SUMS:
+                yield from given()
+                cells = 0
+    yield from given()
+
+
 def silhouette_samples(points: DataFrame) -> DataFrame:
-    """(id, label, silhouette) of rows (id, v, label). Blocks of points meet blocks; each pair gives one row a point and label.
+    """(id, label, silhouette) of rows (id, v, label). Blocks of points meet blocks; a task adds up what a block's points find in its other blocks.
 
-    All pairs by definition; sums are combined in the task, so what is shuffled is points x labels x blocks.
+    All pairs by definition; what is shuffled is points x labels x tasks a block meets.
     """
-    labelled = points.select("id", F.struct("v", "label").alias("v"))
-    a = _in_blocks(labelled, 512)
-    b = a.select(F.col("vs").alias("others"))
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                x, y = (np.stack([p["v"] for p in vs]).astype(float) for vs in (row.vs, row.others))
-                mine, theirs = (np.array([p["label"] for p in vs], np.int64) for vs in (row.vs, row.others))
-                d = _distances(x, y, "euclidean")
-                for label in np.unique(theirs):
-                    own = theirs == label
-                    yield pd.DataFrame({"id": row.ids, "label": mine, "other": label, "d": d[:, own].sum(1), "n": int(own.sum())})
-
-    parts = a.drop("block").crossJoin(b).mapInPandas(sums, "id long, label long, other long, d double, n long")
-    mean = parts.groupBy("id", "label", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    whole = points.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), "v", F.col("label").cast("long").alias("label"))
+    held = whole.count()
+    n = max(1, -(-held // min(BLOCK, max(64, held // 16))))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("label")
+        v = np.stack(pdf["v"].to_numpy()).astype(float)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "ids": [pdf["id"].to_numpy()], "labels": [pdf["label"].to_numpy(np.int64)], "v": [v.tobytes()]})
+
+    blocks = stored(whole.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy("block").applyInPandas(pack, "block long, ids array<long>, labels array<long>, v binary"))
+    others = blocks.select(F.col("labels").alias("labels2"), F.col("v").alias("v2")).repartition(max(1, -(-n // SIDE)))
+    parts = blocks.repartition(n).crossJoin(others.hint("shuffle_replicate_nl")).mapInPandas(_label_sums, "id long, label long, other long, d double, n long")
+    mean = stored(parts.groupBy("id", "label", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n")))
+    forget(blocks)
     own = F.max(F.when(F.col("label") == F.col("other"), F.when(F.col("n") > 1, F.col("d") / (F.col("n") - 1)).otherwise(0.0)))
     rest = F.min(F.when((F.col("label") != F.col("other")) & (F.col("other") >= 0), F.col("d") / F.col("n")))
     s = mean.groupBy("id", "label").agg(own.alias("a"), F.coalesce(rest, F.lit(0.0)).alias("b"))
