@@ -389,3 +389,21 @@ def test_squareform_computes_pairs_once(spark):
     got = {(r["i"], r["j"]): r["distance"] for r in X.squareform(pairs, ids).collect()}
     assert got == {(1, 2): 0.5, (2, 1): 0.5, (1, 3): 1.5, (3, 1): 1.5, (2, 3): 2.0, (3, 2): 2.0, (1, 1): 0.0, (2, 2): 0.0, (3, 3): 0.0}
     assert seen.value == 3
+
+
+def test_passes_leave_links_in_their_buckets(spark, capsys):
+    from pyspark.sql import functions as F
+
+    from sparksci.sources.tables import bucketed, forget
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = bucketed(spark.range(100).select((F.col("id") % 7).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w")), "src")
+        met = links.join(spark.range(7).withColumnRenamed("id", "src"), "src")
+        met.explain()
+        assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1  # of the values, none of the links
+        assert met.count() == 100 and not [t for t in spark.catalog.listTables() if t.name.startswith("sparksci_")]
+        forget(links)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
