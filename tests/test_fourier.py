@@ -1,6 +1,7 @@
 """Transforms by two exchanges against plain ones."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparksci.functions import windows
@@ -117,3 +118,30 @@ def test_periodogram(spark, small, data, window, detrend, scaling, onesided, nff
 def test_no_rows(spark):
     none = spark.createDataFrame([], "s string, t long, x double")
     assert fourier.hilbert(none, "x", "t", "s").count() == 0 and fourier.periodogram(none, "x", "t", "s").count() == 0 and fourier.resample(none, "x", "t", 2, 1, "s").count() == 0
+
+
+def test_a_task_holds_few_results_at_once():
+    """However many series a batch brings, they are taken in pieces of about PIECE values."""
+    sizes = [1 << 14] * 100 + [1 << 30] * 3 + [1] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(range(len(sizes)))], ["size", "row"])
+    pieces = list(fourier._pieces([batch, batch.slice(0, 0)]))
+    assert [r for p in pieces for r in p.column("row").to_pylist()] == list(range(len(sizes)))
+    most = [sum(min(n, fourier.CHUNK) for n in p.column("size").to_pylist()) for p in pieces]
+    assert len(pieces) > 5 and max(most) <= 2 * fourier.PIECE
+
+
+def test_series_that_are_known_are_not_computed_again(spark):
+    """With its sizes given, a transform reads its rows once."""
+    sc = spark.sparkContext
+    seen = sc.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(64).selectExpr("64L AS size", "id AS pos", "double(id) AS re", "0d AS im").mapInArrow(count, "size long, pos long, re double, im double")
+    known = spark.range(1).selectExpr("64L AS size")
+    got = {r["pos"]: complex(r["re"], r["im"]) for r in fourier.fft(rows, sizes=known).collect()}
+    assert np.allclose([got[k] for k in range(64)], np.fft.fft(np.arange(64)))
+    assert seen.value == 64
