@@ -1,6 +1,8 @@
 """What must not grow with the table: broadcasts of iterations, products that are shuffled."""
 
-from sparksci.operators import graph
+from pyspark.sql import functions as F
+
+from sparksci.operators import graph, matrix
 
 
 def test_components_send_no_labels_through_the_driver(spark, monkeypatch):
@@ -15,3 +17,34 @@ def test_components_send_no_labels_through_the_driver(spark, monkeypatch):
     got = {r["id"]: r["component"] for r in graph.connected_components(edges, spark.range(41).select("id")).collect()}
     assert got == {k: k // 10 * 10 for k in range(41)}
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_products_of_neighbouring_columns_are_added_before_the_shuffle(spark):
+    """8 blocks of 50 columns, each block with 16 cells: a task has few blocks, so few partial sums are shuffled."""
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        column = F.floor(F.col("id") / 4)
+        a = spark.range(1600).select((F.col("id") % 4 + 4 * F.floor(column / 50)).alias("i"), column.alias("j"), F.lit(1.0).alias("v"))
+        old = set(stages())
+        got = {(r["i"], r["j"]): r["v"] for r in matrix.multiply(a, matrix.transpose(a)).collect()}
+        moved = sum(n for k, n in stages().items() if k not in old)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {(i, j): 50.0 for i in range(32) for j in range(i // 4 * 4, i // 4 * 4 + 4)}
+    assert 3200 <= moved < 3200 + 400
+
+
+def test_product_of_gaps_and_nulls(spark):
+    a = spark.createDataFrame([(0, 1, 2.0), (0, 2, None), (1, 5, 3.0), (2, None, 1.0)], "i long, j long, v double")
+    b = spark.createDataFrame([(1, 7, 4.0), (2, 8, 1.0), (2, 7, 1.0), (6, 7, 1.0), (None, 7, 1.0)], "i long, j long, v double")
+    assert {(r["i"], r["j"]): r["v"] for r in matrix.multiply(a, b).collect()} == {(0, 7): 8.0, (0, 8): None}
