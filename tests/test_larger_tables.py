@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sparksci.functions import vectors
 from sparksci.operators import graph, matrix
 
 
@@ -48,3 +49,19 @@ def test_product_of_gaps_and_nulls(spark):
     a = spark.createDataFrame([(0, 1, 2.0), (0, 2, None), (1, 5, 3.0), (2, None, 1.0)], "i long, j long, v double")
     b = spark.createDataFrame([(1, 7, 4.0), (2, 8, 1.0), (2, 7, 1.0), (6, 7, 1.0), (None, 7, 1.0)], "i long, j long, v double")
     assert {(r["i"], r["j"]): r["v"] for r in matrix.multiply(a, b).collect()} == {(0, 7): 8.0, (0, 8): None}
+
+
+def test_euler_turns_are_products_with_few_steps(spark):
+    """Equal to products of turns about axes, with one normalisation in all."""
+    axes = {"X": (1, 0, 0), "Y": (0, 1, 0), "Z": (0, 0, 1)}
+    one = spark.createDataFrame([(0.3, -1.2, 2.5)], "a double, b double, c double")
+    for order in ("XYZ", "ZYX", "ZXZ", "YYX"):
+        plain = None
+        for axis, angle in zip(order, "abc", strict=True):
+            turn = vectors.quat_from_axis_angle(*(F.lit(float(k)) for k in axes[axis]), F.col(angle))
+            plain = turn if plain is None else vectors.quat_multiply(turn, plain)
+        got = one.select(vectors.quat_from_euler(order, F.col("a"), F.col("b"), F.col("c")).alias("q"), plain.alias("p"))
+        row = got.first()
+        assert all(abs(row["q"][k] - row["p"][k]) < 1e-12 for k in "wxyz"), order
+    plan = one.select(vectors.quat_from_euler("XYZ", F.col("a"), F.col("b"), F.col("c")).alias("q"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("transform(") <= 4
