@@ -46,6 +46,18 @@ TOLD = "block long, n int, at array<int>, total array<long>"
 ASKED = "part int, block long, n int, first int, grams array<long>, own array<int>"
 
 
+def _stable_order(hashes: np.ndarray) -> np.ndarray:
+    """np.argsort(hashes, kind="stable"), several times as fast on hashes: their leading bits and places are sorted as one number."""
+    low = np.uint64((1 << len(hashes).bit_length()) - 1)
+    both = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    both.sort()
+    order = (both & low).astype(np.int64)
+    ranked = hashes[order]
+    if (ranked[1:] < ranked[:-1]).any():  # hashes that differ in their last bits only
+        return np.argsort(hashes, kind="stable")
+    return order
+
+
 class Block:
     """The words of some documents and their n-grams."""
 
@@ -78,7 +90,7 @@ class Block:
         The sort is stable, so the windows of an n-gram are in order of their documents.
         """
         hashes, end = self.windows(n)
-        order = np.argsort(hashes, kind="stable")
+        order = _stable_order(hashes)
         ranked = hashes[order]
         new = np.r_[True, ranked[1:] != ranked[:-1]][: len(ranked)]
         starts = np.flatnonzero(new)
@@ -130,7 +142,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows() -> pa.RecordBatch:
         block, n, at, total = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(4))
-        order = np.lexsort((n, block))
+        key = block * (int(n.max()) + 1) + n
+        order = np.argsort(key.astype(np.uint16) if key.max() < 1 << 16 else key, kind="stable")  # 16 bits are sorted digit by digit
         block, n = block[order], n[order]
         starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (n[1:] != n[:-1])])
         ends = pa.array(np.r_[starts, len(block)], pa.int32())

@@ -318,6 +318,17 @@ def test_score_query_equals_brute_force(spark, tmp_path):
     assert [got[i] for i in range(len(texts))] == pytest.approx(brute_scores(texts, 3), abs=1e-4)
 
 
+def test_lm_stable_order_equals_numpys_stable_sort():
+    rng = np.random.default_rng(4)
+    for hashes in (
+        rng.integers(0, 1 << 63, 5000, dtype=np.uint64)[rng.integers(0, 700, 20000)],
+        np.array([7, 6, 7, 5, 6, 7], np.uint64),  # these differ in the bits that hold the places only
+        np.zeros(9, np.uint64),
+        np.empty(0, np.uint64),
+    ):
+        assert lm_score._stable_order(hashes).tolist() == np.argsort(hashes, kind="stable").tolist()
+
+
 def test_count_tables(spark):
     df = spark.createDataFrame([("a b a b",), ("b",), (None,)], "text string")
     got = {(r["n"], r["gram"]): r["count"] for r in rows(lm_score.ngram_counts(df))}
