@@ -141,6 +141,26 @@ def test_hdbscan_equals_brute_force(spark, monkeypatch):
     assert len(set(labels.values())) > 2
 
 
+def test_tree_of_copies_searches_near_blocks_only(spark, monkeypatch):
+    """All neighbours of a copy are copies: no neighbour leads out of them, yet their way out is not sought in every block."""
+    rng = np.random.default_rng(12)
+    # Spots along lines; and one spot so full that blocks hold nothing else.
+    x = np.concatenate([np.repeat([[12.0 * (k % 4), 0.37 * k + 0.01 * (k * k % 7)] for k in range(32)], 8, axis=0), np.repeat([[90.0, 5.0]], 50, axis=0)])
+    x = x[rng.permutation(len(x))]
+    counts = []
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return neighbours.meet(pairs, *rest)
+
+    monkeypatch.setattr(density, "build", lambda points, metric: neighbours.build(points, metric, 16))
+    monkeypatch.setattr(density, "meet", counted)
+    got = sorted((r["w"], r["src"], r["dst"]) for r in density.mutual_spanning_tree(table(spark, x), 3).collect())
+    assert got == sorted(tree_by_hand(reach_matrix(x, 3)))
+    blocks = neighbours.build(table(spark, x), size=16).blocks.count()
+    assert blocks > 16 and max(counts) < 0.6 * blocks**2
+
+
 def test_selection_of_clusters(spark):
     """0 holds 1 and 2, 1 holds 3 and 4, 2 holds 5 and 6."""
     rows = [(0, None, 9.0), (1, 0, 3.0), (2, 0, 5.0), (3, 1, 2.0), (4, 1, 2.0), (5, 2, 1.0), (6, 2, 1.0)]
