@@ -117,7 +117,7 @@ def _power_sql(steps: int) -> str:
     return ", ".join(parts) + f" SELECT id, {r('abs(v)', 'centrality')} FROM v{steps}"
 
 
-ORACLES["eigenvector_centrality"] = _power_sql(8)
+ORACLES["eigenvector_centrality"] = _power_sql(100)
 
 #: Rings of customers: cycles for components.
 RING = """WITH c AS (SELECT c_custkey::BIGINT AS id, lead(c_custkey) OVER w AS up, first_value(c_custkey) OVER w AS first, (c_custkey % 7 + 1)::DOUBLE AS w FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_custkey % 10 ORDER BY c_custkey)),

@@ -71,7 +71,7 @@ def _(spark, d):
 @query("eigenvector_centrality")
 def _(spark, d):
     e = supply(spark, d, False)
-    return G.eigenvector_centrality(e, G.nodes_of(e), max_iter=8)
+    return G.eigenvector_centrality(e, G.nodes_of(e), tol=1e-10)
 
 
 def sparse(spark, d):

@@ -1,5 +1,6 @@
 """What must not grow with the table: broadcasts of iterations, products that are shuffled."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparksci.functions import vectors
@@ -65,3 +66,21 @@ def test_euler_turns_are_products_with_few_steps(spark):
         assert all(abs(row["q"][k] - row["p"][k]) < 1e-12 for k in "wxyz"), order
     plan = one.select(vectors.quat_from_euler("XYZ", F.col("a"), F.col("b"), F.col("c")).alias("q"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("transform(") <= 4
+
+
+def test_eigenvector_query_is_not_cut_after_few_passes(spark, sf, monkeypatch):
+    """A graph of two sides swings between two vectors; passes that are not made change nothing, for an even and an odd number of them."""
+    from sparksci.plans import QUERIES
+    from sparksci.plans import graph as plans
+
+    a = np.zeros((5, 5))
+    for i, j in ((0, 1), (0, 2), (0, 3), (3, 4)):
+        a[i, j] = a[j, i] = 1.0
+    edges = spark.createDataFrame([(int(i), int(j), 1.0) for i, j in zip(*np.nonzero(a), strict=True)], "src long, dst long, w double")
+    monkeypatch.setattr(plans, "supply", lambda *_: edges)
+    x = [np.ones(5) / 5**0.5]
+    for _ in range(100):
+        x.append(a @ x[-1] / np.linalg.norm(a @ x[-1]))
+    for got, want in ((QUERIES["eigenvector_centrality"](spark, sf), x[100]), (graph.eigenvector_centrality(edges, graph.nodes_of(edges), 99), x[99])):
+        assert np.allclose([r["centrality"] for r in got.orderBy("id").collect()], want, rtol=0, atol=6e-5)
+    assert np.abs(x[8] - x[100]).max() > 6e-5 and np.abs(x[99] - x[100]).max() > 0.01
