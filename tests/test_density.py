@@ -183,6 +183,14 @@ def test_hdbscan_of_separate_groups_and_few_points(spark):
         density.hdbscan(few, 1)
 
 
+def test_members_of_hdbscan_have_the_strength_of_their_stay(spark):
+    """4 leaves its cluster at 1 / 2 of density 1; 109 at 1 / 3.8 where the others split at 1 / 1.2 and stay together longer than their halves."""
+    x = [0.0, 1.0, 2.0, 4.0, 100.0, 101.0, 102.0, 103.2, 104.2, 105.2, 109.0, 1000.0]
+    got = density.hdbscan(table(spark, [[c] for c in x]), 3, 1).orderBy("id").collect()
+    assert [r["label"] for r in got] == [0] * 4 + [1] * 7 + [-1]
+    assert np.allclose([r["probability"] for r in got], [1, 1, 1, 0.5, *[1] * 6, 1.2 / 3.8, 0])
+
+
 def walk_by_hand(x, k, max_eps, xi):
     """Order, reachabilities and labels, one point after the other."""
     n = len(x)
