@@ -191,6 +191,27 @@ def test_members_of_hdbscan_have_the_strength_of_their_stay(spark):
     assert np.allclose([r["probability"] for r in got], [1, 1, 1, 0.5, *[1] * 6, 1.2 / 3.8, 0])
 
 
+def test_few_pointers_are_followed_in_one_task(spark, monkeypatch):
+    """Ways of 40 nodes and a table of chosen clusters: no rounds of jobs below MERGES rows, and the same results as with rounds."""
+    links = spark.createDataFrame([(k, max(0, k - 1), int(k > 0)) for k in range(40)], "node long, up long, add long")
+    edges = spark.createDataFrame([(k, k + 1) for k in range(39) if k != 20], "p long, q long")
+    clusters = spark.createDataFrame([(0, None, 9.0), (1, 0, 3.0), (2, 0, 5.0), (3, 1, 2.0), (4, 1, 2.0)], "cluster long, parent long, stability double")
+    roots, written, keep = spark.createDataFrame([(0,), (21,)], "point long"), [], density.stored
+    monkeypatch.setattr(density, "stored", lambda df: written.append(1) or keep(df))
+
+    def results():
+        met = density.components(edges.select(F.col("p").alias("src"), F.col("q").alias("dst")), spark.range(41), 41)
+        held = density.followed(links), density.rooted(edges, roots), density.select_clusters(clusters), met
+        return [sorted(map(tuple, df.collect()), key=repr) for df in held]
+
+    few = results()
+    assert few[0] == sorted([(k, 0, k) for k in range(40)], key=repr) and few[1] == sorted([(k, k - 1) for k in range(1, 40) if k != 21], key=repr)
+    assert few[3] == sorted([(k, 0 if k < 21 else 21 if k < 40 else 40) for k in range(41)], key=repr)
+    assert len(written) == 2  # pointers and clusters, each once
+    monkeypatch.setattr(density, "MERGES", 4)
+    assert results() == few and len(written) > 15
+
+
 def walk_by_hand(x, k, max_eps, xi):
     """Order, reachabilities and labels, one point after the other."""
     n = len(x)
