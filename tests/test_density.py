@@ -212,6 +212,23 @@ def test_few_pointers_are_followed_in_one_task(spark, monkeypatch):
     assert results() == few and len(written) > 15
 
 
+def test_blocks_that_all_meet_go_by_tiles(spark, monkeypatch):
+    """No pair of blocks is pruned: each block is shuffled once, and searches find what brute force does."""
+    x = np.random.default_rng(8).normal(size=(120, 3))
+    points, d = table(spark, x), neighbours.distances(x, x, "euclidean")
+    monkeypatch.setattr(neighbours, "TILE", (2, 3))
+    monkeypatch.setattr(neighbours, "build", lambda *a, keep=neighbours.build, **k: keep(*a[:2], 16, **k))
+    tiles, keep = [], neighbours._tiled
+    monkeypatch.setattr(neighbours, "_tiled", lambda *a: tiles.append(keep(*a)) or tiles[-1])
+    near = neighbours.knn(points, points, 5).collect()
+    assert {(r["query_id"], r["rank"], r["id"]) for r in near} == {(i, k + 1, int(j)) for i in range(120) for k, j in enumerate(np.argsort(d[i], kind="stable")[:5])}
+    got = [(r["query_id"], r["id"]) for r in neighbours.radius_join(points, points, 2.0).collect()]
+    assert sorted(got) == [(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 2.0), strict=True)]
+    assert len(tiles) == 2 and all("CartesianProduct" in t._jdf.queryExecution().executedPlan().toString() for t in tiles)
+    # A point comes once, or at most once a tile of points, not once a block.
+    assert tiles[0].groupBy("query_id").count().agg(F.max("count")).first()[0] <= 5 * -(-neighbours.build(points, "euclidean").size // 3)
+
+
 def walk_by_hand(x, k, max_eps, xi):
     """Order, reachabilities and labels, one point after the other."""
     n = len(x)
