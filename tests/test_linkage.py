@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sparksci.operators import cluster, linkage
@@ -134,3 +135,31 @@ def test_doubled_ids_and_infinite_vectors_raise(spark):
         points = spark.createDataFrame([(1, [0.0]), *second], "id long, v array<double>")
         with pytest.raises(ValueError, match="one finite distance"):
             linkage.linkage_from_data(points)
+
+
+@pytest.mark.parametrize("method", ["average", "complete", "single", "ward"])
+def test_blocks_meet_in_arrays_that_are_made_once(monkeypatch, method):
+    """Clusters of one to 150 rows over many parts, two rows that nearly coincide: nearest clusters as by all distances."""
+    rng = np.random.default_rng(3)
+    made, keep = [], linkage.RowDistances
+    monkeypatch.setattr(linkage, "RowDistances", lambda *a: made.append(keep(*a)) or made[-1])
+
+    def block(n, first, sizes):
+        starts = np.arange(n) if method == "ward" else np.cumsum([0, *sizes])
+        w = rng.integers(1, 4, n).astype(float) if method == "ward" else 1 / np.repeat(np.diff(np.r_[starts, n]), np.diff(np.r_[starts, n]))
+        return {"ids": first + np.arange(len(starts)), "starts": starts, "split": np.zeros(len(starts), bool), "w": w, "v": rng.normal(size=(n, 5))}
+
+    q, t = block(300, 0, [1, 2, 150, 3, 60, 1, 1]), block(200, 1000, [2] * 20 + [1] * 30)
+    t["v"][7] = q["v"][11] + 1e-9
+    names = {**q, **{f"{k}2": c for k, c in t.items()}}
+    row = pd.DataFrame({k: [c.tobytes() if k.rstrip("2") in "wv" else c] for k, c in names.items()})
+    got = pd.concat(list(linkage._meeting(method, "euclidean", False)(iter([row]))))
+    assert len(made) == 1
+    d = np.sqrt(((q["v"][:, None] - t["v"]) ** 2).sum(-1))
+    if method == "ward":
+        d *= np.sqrt(2 * q["w"][:, None] * t["w"] / (q["w"][:, None] + t["w"]))
+    else:
+        whole = {"average": np.mean, "complete": np.max, "single": np.min}[method]
+        d = np.array([[whole(d[a:b, e:f]) for e, f in zip(t["starts"], [*t["starts"][1:], 200], strict=True)] for a, b in zip(q["starts"], [*q["starts"][1:], 300], strict=True)])
+    assert got["q"].tolist() == q["ids"].tolist() and got["t"].tolist() == t["ids"][d.argmin(1)].tolist()
+    assert np.allclose(got["d"], d.min(1), rtol=1e-9, atol=0)
