@@ -84,3 +84,21 @@ def test_eigenvector_query_is_not_cut_after_few_passes(spark, sf, monkeypatch):
     for got, want in ((QUERIES["eigenvector_centrality"](spark, sf), x[100]), (graph.eigenvector_centrality(edges, graph.nodes_of(edges), 99), x[99])):
         assert np.allclose([r["centrality"] for r in got.orderBy("id").collect()], want, rtol=0, atol=6e-5)
     assert np.abs(x[8] - x[100]).max() > 6e-5 and np.abs(x[99] - x[100]).max() > 0.01
+
+
+def test_distances_to_queries_are_computed_by_blocks(spark, monkeypatch):
+    """Two blocks of vectors, and rows that fit in none: each pair once, with the distance of its own two vectors."""
+    from sparksci.operators import spatial
+
+    monkeypatch.setattr(spatial, "BLOCK", 8)
+    rows = [(k, [float(k % 5), k / 3, -1.0]) for k in range(12)] + [(20, None), (21, [1.0, None, 2.0]), (22, [0.0, 0.0, 0.0]), (23, [float("inf"), 1.0, 1.0]), (24, [1.0, 2.0]), (None, [1.0, 2.0, 3.0])]
+    points = spark.createDataFrame(rows, "id long, v array<double>")
+    for metric in ("euclidean", "cosine"):
+        points = points if metric == "euclidean" else points.where("id IS NULL OR id <> 22")  # zero under cosine: raises as before
+        queries = points.where("id IS NULL OR id % 2 = 0")
+        q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+        plain = points.crossJoin(q).select("query_id", "id", vectors.distance(F.col("q"), F.col("v"), metric).alias("distance"))
+        held = spatial.cdist(points, queries, metric)
+        assert "MapInPandas" in held._jdf.queryExecution().executedPlan().toString()
+        got, want = (sorted(((r[0] or -1, r[1] or -1, None if r[2] is None else round(r[2], 6) + 0.0) for r in df.collect()), key=repr) for df in (held, plain))
+        assert repr(got) == repr(want)
